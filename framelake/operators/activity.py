@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelake.functions.bits import MAX_CLASSIC, with_words
 from framelake.plans.changes import change_counts
-from framelake.plans.ordered import CHUNK_US, chunk_of, gaps
+from framelake.plans.ordered import CHUNK_US, chunk_of, gaps, place
 from framelake.plans.stats import exact_median
 
 ID_KEY = ["session_id", "iface", "arb_id"]
@@ -94,16 +94,10 @@ def dlc_histogram(frames: DataFrame) -> DataFrame:
     return frames.groupBy("iface", "arb_id", F.length("data").alias("dlc")).agg(F.count("*").alias("frames"))
 
 
-def _place() -> Column:
-    """(time, sequence) as one ordered number, so that ``min`` keeps a fixed-size buffer."""
-    scale = F.lit("10000000000000000000").cast("decimal(20,0)")
-    return (F.col("ts_us").cast("decimal(18,0)") * scale + F.col("sequence").cast("decimal(19,0)")).cast("decimal(38,0)")
-
-
 def dominant_dlc(frames: DataFrame) -> DataFrame:
     """Most common length per (interface, id); a tie goes to the length seen first in (session, time) order."""
     per_source = frames.groupBy("iface", "arb_id", F.length("data").alias("dominant_dlc"), "session_id").agg(
-        F.count("*").alias("n"), F.min(_place()).alias("at")
+        F.count("*").alias("n"), F.min(place()).alias("at")
     )
     per_length = per_source.groupBy("iface", "arb_id", "dominant_dlc").agg(
         F.sum("n").alias("n"), F.min(F.struct("session_id", "at")).alias("at")

@@ -24,6 +24,12 @@ def chunk_of(ts_us: Column | str, width_us: int = CHUNK_US) -> Column:
     return F.floor(ts / F.lit(width_us)).cast("bigint")
 
 
+def place(ts: str = "ts_us", pos: str = "sequence") -> Column:
+    """(time, position) as one ordered DECIMAL, so that min/max and min_by/max_by keep fixed-size hash buffers."""
+    scale = F.lit("10000000000000000000").cast("decimal(20,0)")
+    return (F.col(ts).cast("decimal(18,0)") * scale + F.col(pos).cast("decimal(19,0)")).cast("decimal(38,0)")
+
+
 @dataclass(frozen=True)
 class Carry:
     """One running value: ``kind`` is ``sum`` or ``last`` (last non-null)."""
