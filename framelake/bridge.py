@@ -103,3 +103,271 @@ def states(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ts_us",
         lookup(F.col("event_type"), STATE_BYTE).alias("raw_state"),
     )
+
+
+# The ids of the fixed-layout decoders, assigned to users in turn.
+VEHICLE_IDS = [
+    0x200, 0x202, 0x204, 0x206, 0x210, 0x212, 0x302, 0x304, 0x30E, 0x460, 0x308, 0x228, 0x5EC, 0x0F1, 0x1F1, 0x2C7,
+]
+
+
+def _hex(column: Column, width: int) -> Column:
+    return F.lpad(F.hex(column), width, "0")
+
+
+def vehicle_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight-byte frames under the ids of the fixed-layout decoders; one session per interface."""
+    e = events(spark, sf_dir)
+    arb = F.element_at(F.array(*[F.lit(i) for i in VEHICLE_IDS]), (F.col("user_id") % len(VEHICLE_IDS) + 1).cast("int"))
+    code = lookup(F.col("event_type"), TYPE_CODE)
+    state = lookup(F.col("event_type"), STATE_BYTE)
+    is_state = arb == 0x5EC
+    cells = [
+        F.when(is_state, 0xFE).otherwise(F.col("k")),
+        F.when(is_state, state).otherwise(F.shiftright("cents", 8).cast("int")),
+        (F.col("cents") % 256).cast("int"),
+        code,
+        (F.col("user_id") % 256).cast("int"),
+        (F.col("k") * 7) % 256,
+        ((F.col("cents") * 3) % 256).cast("int"),
+        ((F.col("user_id") * 5) % 256).cast("int"),
+    ]
+    iface = F.concat(F.lit("can"), (F.col("user_id") % 5).cast("string"))
+    return e.select(
+        iface.alias("session_id"),
+        F.col("event_id").alias("sequence"),
+        "ts_us",
+        iface.alias("iface"),
+        arb.cast("bigint").alias("arb_id"),
+        F.lit(False).alias("is_extended"),
+        F.lit(False).alias("remote"),
+        F.lit(8).alias("dlc"),
+        F.unhex(F.concat(*[_hex(c, 2) for c in cells])).alias("data"),
+    )
+
+
+def battery_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vehicle payloads on the ids of the 125 kbit/s battery network (32 voltage, 16 temperature ids)."""
+    f = vehicle_frames(spark, sf_dir)
+    u = F.col("sequence")
+    low = F.when(u % 3 == 0, F.lit(0x7E0) + u % 16).otherwise(F.lit(0x460) + u % 32)
+    # three pairs per voltage frame: 32 slots x 3 = 96 values
+    return f.withColumn("arb_id", low).withColumn("data", F.substring("data", 1, 6)).withColumn("dlc", F.lit(6))
+
+
+def isotp_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as one ISO-TP message of 1 + k bytes, byte j = (event_id + j) mod 256, cut into wire frames.
+
+    When cents mod 7 is 0 the first consecutive frame is missing, when it is 1 that frame is sent twice.
+    """
+    e = events(spark, sf_dir).withColumn("n", F.col("k") + 1)
+    text = F.array_join(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: _hex((F.col("event_id") + j) % 256, 2)), "")
+    count = F.ceil((F.col("n") - 6) / F.lit(7)).cast("int")
+    rest = lambda i: F.substr(F.col("text"), i * 14 - 1, F.lit(14))
+    cf = lambda i: F.concat(F.lit("2"), F.hex(i % 16), rest(i))
+    fault = F.col("cents") % 7
+    tail = F.when(
+        F.col("n") <= 7, F.array(F.concat(F.lit("0"), F.hex("n"), "text"))
+    ).otherwise(
+        F.concat(
+            F.array(F.concat(F.lit("1"), F.lpad(F.hex("n"), 3, "0"), F.substr("text", F.lit(1), F.lit(12)))),
+            F.when(fault == 0, F.array().cast("array<string>")).when(fault == 1, F.array(cf(F.lit(1)), cf(F.lit(1)))).otherwise(F.array(cf(F.lit(1)))),
+            F.when(count >= 2, F.transform(F.sequence(F.lit(2), count), cf)).otherwise(F.array().cast("array<string>")),
+        )
+    )
+    return (
+        e.withColumn("text", text)
+        .select("event_id", "ts_us", "user_id", F.posexplode(tail).alias("i", "hx"))
+        .select(
+            F.lit("events").alias("session_id"),
+            (F.col("event_id") * 32 + F.col("i")).alias("sequence"),
+            (F.col("ts_us") + F.col("i")).alias("ts_us"),
+            F.concat(F.lit("can"), (F.col("user_id") % 5).cast("string")).alias("iface"),
+            (F.col("user_id") + 256).alias("arb_id"),
+            F.lit(False).alias("is_extended"),
+            F.lit(False).alias("remote"),
+            (F.length("hx") / 2).cast("int").alias("dlc"),
+            F.unhex("hx").alias("data"),
+        )
+    )
+
+
+def diag_messages(spark: SparkSession, sf_dir: str, modules: int = 3, did_step: int = 10) -> DataFrame:
+    """Events as diagnostic messages of up to three modules: reads, answers, refusals and security exchanges."""
+    e = events(spark, sf_dir)
+    did = _hex(F.floor(F.col("k") / did_step).cast("int"), 2)
+    cents = _hex(F.col("cents"), 4)
+    k = _hex(F.col("k"), 2)
+    kind = F.col("event_type")
+    payload = (
+        F.when(kind == "signup", F.concat(F.lit("22F1"), did))
+        .when(kind == "click", F.concat(F.lit("62F1"), did, cents))
+        .when(kind == "error", F.concat(F.lit("7F22"), F.when(F.col("k") < 50, "78").otherwise("31")))
+        .when(kind == "purchase", F.concat(F.lit("27"), k, cents))
+        .otherwise(F.concat(F.lit("67"), k, cents))
+    )
+    asks = kind.isin("signup", "purchase")
+    module = F.col("user_id") % modules
+    return e.select(
+        F.lit("events").alias("session_id"),
+        F.concat(F.lit("can"), (F.col("user_id") % 5).cast("string")).alias("iface"),
+        (F.when(asks, F.lit(0x7E0)).otherwise(F.lit(0x7E8)) + module).alias("arb_id"),
+        "ts_us",
+        F.col("event_id").alias("completion_seq"),
+        F.unhex(payload).alias("payload"),
+    )
+
+
+def raw_diag_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The diagnostic payloads as unframed frames on the same ids."""
+    return diag_messages(spark, sf_dir).select(
+        "session_id", F.col("completion_seq").alias("sequence"), "ts_us", "iface", "arb_id", F.lit(False).alias("is_extended"),
+        F.lit(False).alias("remote"), F.length("payload").alias("dlc"), F.col("payload").alias("data"),
+    )
+
+
+def address_refs(spark: SparkSession) -> DataFrame:
+    """Address candidates of three modules; 0x7EA also belongs to a second catalog."""
+    rows = [("catalogA", "legacyReference", f"M{m}", "request", 0x7E0 + m) for m in range(3)]
+    rows += [("catalogA", "legacyReference", f"M{m}", "normalResponse", 0x7E8 + m) for m in range(3)]
+    rows += [("catalogB", "candidate", "M9", "normalResponse", 0x7EA)]
+    return spark.createDataFrame(rows, "catalog_id STRING, confidence STRING, module STRING, role STRING, can_id BIGINT")
+
+
+def trace_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event as a pass-through call in a trace of 1,000 events: begin and end record, 20 ms after the bus event.
+
+    Faults: k = 13 ends with another API, k = 14 has no begin record, k = 15 no end record.
+    """
+    e = events(spark, sf_dir)
+    asks = F.col("event_type").isin("signup", "purchase")
+    m = diag_messages(spark, sf_dir).select(F.col("completion_seq").alias("event_id"), F.hex("payload").alias("hx"), "arb_id")
+    api = F.when(asks, "PassThruWriteMsgs").otherwise("PassThruReadMsgs")
+    message = F.struct(
+        F.when(F.col("event_type").isin("purchase", "view"), "0x27").otherwise("34").alias("service"),
+        (F.length("hx") / 2).cast("int").alias("dataLength"),
+        F.col("event_type").isin("purchase", "view").alias("payloadRedacted"),
+        F.concat(F.lit("0000"), _hex(F.col("arb_id"), 4), F.col("hx")).alias("payloadHex"),
+    )
+    block = F.floor(F.col("event_id") / 1000).cast("bigint")
+    at = (F.col("event_id") % 1000) * 2
+    none = F.filter(F.array(message), lambda x: F.lit(False))
+
+    def record(kind: str, offset: int, carries: Column) -> Column:
+        wrong = (F.col("k") == 13) if kind == "callEnd" else F.lit(False)
+        return F.struct(
+            F.lit(kind).alias("recordType"), (at + offset).alias("sequence"),
+            F.when(wrong, "PassThruOther").otherwise(api).alias("api"), F.when(carries, F.array(message)).otherwise(none).alias("messages"),
+            (F.col("event_id") * 1000 + offset * 7).alias("monotonicNs"),
+        )
+
+    first = F.struct(
+        F.lit("session").alias("recordType"), F.lit(0).cast("bigint").alias("sequence"), F.lit(None).cast("string").alias("api"),
+        none.alias("messages"), F.lit(0).cast("bigint").alias("monotonicNs"),
+    )
+    calls = F.concat(
+        F.when(F.col("event_id") % 1000 == 0, F.array(first)).otherwise(F.filter(F.array(first), lambda x: F.lit(False))),
+        F.filter(
+            F.array(record("callBegin", 1, asks), record("callEnd", 2, ~asks)),
+            lambda r: ~((F.col("k") == 14) & (r["recordType"] == "callBegin")) & ~((F.col("k") == 15) & (r["recordType"] == "callEnd")),
+        ),
+    )
+    return e.join(m, "event_id").select("event_id", "ts_us", block.alias("block"), F.explode(calls).alias("r")).select(
+        F.concat(F.lit("trace"), F.col("block").cast("string")).alias("trace_id"),
+        (F.col("r.sequence") + 1).alias("line"),
+        F.lit("obd-atlas.j2534-trace.v1").alias("schema"),
+        "r.recordType",
+        "r.sequence",
+        F.date_format(F.timestamp_micros(F.col("ts_us") + 20_000), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("utc"),
+        "r.monotonicNs",
+        F.when(F.col("r.recordType") != "session", F.concat(F.lit("c"), (F.col("event_id") % 500).cast("string"))).alias("callId"),
+        "r.api",
+        F.lit(0).cast("bigint").alias("returnCode"),
+        F.lit(None).cast("bigint").alias("durationNs"),
+        "r.messages",
+    )
+
+
+def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as an annotated transcript of 1,000 lines per file: sign-ups are headings, the rest are data rows."""
+    e = events(spark, sf_dir)
+    m = diag_messages(spark, sf_dir).select(F.col("completion_seq").alias("event_id"), F.hex("payload").alias("hx"), "arb_id")
+    heading = F.concat(
+        F.lit("; "),
+        F.when(F.col("k") < 30, "BCM wake-up").when(F.col("k") < 60, "Radio read").when(F.col("k") < 80, "Instrument Cluster step").otherwise("Original - 12 remark"),
+    )
+    cells = F.array_join(F.transform(F.sequence(F.lit(1), F.length("hx"), F.lit(2)), lambda i: F.concat(F.lit("0x"), F.substr("hx", i, F.lit(2)))), " ")
+    row = F.concat(
+        F.col("event_id").cast("string"), F.when(F.col("k") % 2 == 0, F.concat(F.lit(" "), F.col("k").cast("string"))).otherwise(""),
+        F.lit(" 0x"), F.hex("arb_id"), F.lit(" "), cells,
+    )
+    return e.join(m, "event_id").select(
+        F.concat(F.lit("file"), F.floor(F.col("event_id") / 1000).cast("string")).alias("path"),
+        F.floor((F.col("event_id") % 1000) / 250).cast("bigint").alias("block"),
+        (F.col("event_id") % 1000 + 1).alias("line_no"),
+        F.when(F.col("event_type") == "signup", heading).otherwise(row).alias("value"),
+    )
+
+
+def c5_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as logger files of 1,000 records: views are GPS sentences, the rest CAN records; both take 18 bytes."""
+    e = events(spark, sf_dir)
+    le = lambda c, n: F.concat(*[_hex(F.shiftright(c, 8 * i).bitwiseAND(255), 2) for i in range(n)])
+    ms = F.floor(F.col("ts_us") / 1000) - 1_704_067_200_000
+    can = F.concat(
+        F.lit("0510"), _hex(F.col("user_id") % 5 + 1, 2), le((F.col("user_id") + 256).cast("bigint"), 2), F.lit("08"), le(ms.cast("bigint"), 4),
+        _hex(F.col("k"), 2), _hex(F.col("cents"), 4), F.lit("0000000000"),
+    )
+    gps = F.concat(F.lit("2410"), le(ms.cast("bigint"), 4), F.rpad(F.hex(F.concat(F.lit("$VTG,"), F.col("cents").cast("string"), F.lit(",K"))), 24, "0"))
+    rows = e.select(
+        F.floor(F.col("event_id") / 1000).cast("bigint").alias("file"), "event_id",
+        F.when(F.col("event_type") == "view", gps).otherwise(can).alias("hx"),
+    )
+    return rows.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("event_id", "hx"))).alias("r")).select(
+        F.concat(F.lit("trip/"), F.col("file").cast("string"), F.lit(".BIN")).alias("path"),
+        F.unhex(F.array_join(F.transform("r", lambda x: x["hx"]), "")).alias("content"),
+    )
+
+
+def definition_lines(spark: SparkSession, sf_dir: str, faults: bool = False) -> DataFrame:
+    """Parts as definition files of 100 messages, two signals each, with notes, value lists and extensions.
+
+    With ``faults``, size 13 gives a bad DLC, size 17 a signal outside its message, size 19 a malformed signal.
+    """
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    key = F.col("p_partkey")
+    raw = F.when(key % 4 == 0, F.lit(2_147_483_648) + 0x10000 + key).otherwise(key % 2048)
+    name = F.concat(F.lit("P"), key.cast("string"))
+    cents = F.round(F.col("p_retailprice") * 100).cast("bigint")
+    note = F.concat(F.col("p_name"), F.lit(' \\"'), F.col("p_brand"), F.lit('\\"'))
+    size = lambda n: (F.col("p_size") == n) & F.lit(faults)
+    dlc = F.when(size(13), ": 99 ECU").otherwise(": 8 ECU")
+    place = F.when(size(17), " : 70|12@0+").when(size(19), " : seven|12@0+").otherwise(" : 7|12@0+")
+    lines = F.array(
+        F.concat(F.lit("BO_ "), raw.cast("string"), F.lit(" "), name, dlc),
+        F.concat(F.lit(" SG_ Size_"), key.cast("string"), place, F.lit(" (0.125,-40) [0|"), F.col("p_size").cast("string"), F.lit('] "mm" NodeA,NodeB')),
+        F.concat(F.lit(" SG_ Price m1 : 16|16@1- ("), (cents / 1000.0).cast("string"), F.lit(',0) [-1|1] "" Vector__XXX')),
+        F.concat(F.lit("CM_ BO_ "), raw.cast("string"), F.lit(' "'), note, F.lit('";')),
+        F.concat(F.lit("VAL_ "), raw.cast("string"), F.lit(' Price 0 "off" '), F.col("p_size").cast("string"), F.lit(' "'), F.col("p_type"), F.lit('" ;')),
+    )
+    body = p.select(
+        F.concat(F.lit("defs"), F.floor(key / 100).cast("string"), F.lit(".dbc")).alias("path"),
+        F.floor((key % 100) / 50).cast("bigint").alias("block"),
+        key.alias("key"),
+        F.posexplode(lines).alias("i", "value"),
+    ).select("path", "block", ((F.col("key") % 100) * 5 + F.col("i") + 10).cast("bigint").alias("line_no"), "value")
+    head = F.array(F.lit('VERSION "1.0"'), F.lit("NS_ :"), F.lit(" CM_"), F.lit("BS_:"), F.lit("BU_: ECU NodeA NodeB"), F.lit('BA_DEF_ "x" INT 0 1;'))
+    heads = p.select(F.concat(F.lit("defs"), F.floor(key / 100).cast("string"), F.lit(".dbc")).alias("path")).distinct().select(
+        "path", F.lit(0).cast("bigint").alias("block"), F.posexplode(head).alias("i", "value")
+    ).select("path", "block", (F.col("i") + 1).cast("bigint").alias("line_no"), "value")
+    return heads.unionByName(body)
+
+
+def cell_series(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Views as samples of 12 cells, clicks as samples of 12 slots."""
+    e = events(spark, sf_dir)
+    of = lambda kind, name, prefix: e.where(F.col("event_type") == kind).select(
+        F.concat(F.lit(prefix), F.lpad((F.col("user_id") % 12).cast("string"), 2, "0")).alias(name), "ts_us", F.col("event_id").alias("sequence"),
+        (F.lit(3.6) + F.col("cents") / F.lit(1e6)).alias("value"),
+    )
+    return of("view", "cell", "Cell_"), of("click", "slot", "Slot_")

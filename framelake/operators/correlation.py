@@ -105,33 +105,47 @@ def voice_correlation(
     return _top(scored, [F.desc("score"), F.asc("iface"), F.asc("arb_id"), F.asc("byte_index")], k)
 
 
-def bit_event_candidates(
-    frames: DataFrame,
-    phases: DataFrame,
-    min_frames: int = 3,
-    min_change: float = 0.65,
-    max_restore: float = 0.20,
-    bin_us: int = CHUNK_US,
-) -> DataFrame:
-    """Bits that change during an event and return to their baseline afterwards.
+BIT_KEY = ["discovery_id", "iface", "arb_id", "is_extended", "w_len"]
+
 
-    ``phases`` has (discovery_id, phase, lo_us, hi_us) with phase baseline, event or after. Frames are reduced to
-    64 one-counts per (key, phase) map-side; only those counts are shuffled.
+def phase_bit_counts(frames: DataFrame, phases: DataFrame, bin_us: int = CHUNK_US) -> DataFrame:
+    """Frames and one-counts of all 64 bits per (key, phase); additive, so batches of a stream can be summed.
+
+    ``phases`` has (discovery_id, phase, lo_us, hi_us) with phase baseline, event or after. The counts build up
+    map-side; only they are shuffled.
     """
     usable = frames.where(~F.col("remote") & (F.length("data") > 0)).select(
         "sequence", "ts_us", "iface", "arb_id", "is_extended", "data"
     )
     joined = with_words(interval_join(usable, phases, F.col("lo_us"), F.col("hi_us"), bin_us=bin_us))
-    key = ["discovery_id", "iface", "arb_id", "is_extended", "w_len"]
 
     def ones(byte: int, bit: int) -> str:
         word, base = ("w_hi", 24 - 8 * byte) if byte < 4 else ("w_lo", 56 - 8 * byte)
         return f"sum(shiftright({word}, {base + bit}) & 1)"
 
-    counts = joined.groupBy(*key, "phase").agg(
+    return joined.groupBy(*BIT_KEY, "phase").agg(
         F.count("*").alias("n"),
         F.expr("array(" + ", ".join(ones(b, i) for b in range(8) for i in range(8)) + ")").alias("ones"),
     )
+
+
+def bit_event_candidates(
+    frames: DataFrame,
+    phases: DataFrame,
+    min_frames: int = 3,
+    min_change: float = 0.65,
+    max_restore: float = 0.20,
+    bin_us: int = CHUNK_US,
+) -> DataFrame:
+    """Bits that change during an event and return to their baseline afterwards."""
+    return candidates_from_counts(phase_bit_counts(frames, phases, bin_us), min_frames, min_change, max_restore)
+
+
+def candidates_from_counts(
+    counts: DataFrame, min_frames: int = 3, min_change: float = 0.65, max_restore: float = 0.20
+) -> DataFrame:
+    """Verdict over (summed) bit counts."""
+    key = BIT_KEY
     bits = counts.select(*key, "phase", "n", F.posexplode(F.slice("ones", F.lit(1), F.col("w_len") * 8)).alias("bit", "hits"))
 
     def of(phase: str, column: str) -> Column:

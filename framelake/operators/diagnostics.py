@@ -16,8 +16,9 @@ from framelake.functions.services import (
     service_name,
 )
 from framelake.operators.isotp import SEQUENCE_CHUNK, reassemble_isotp
-from framelake.plans.ordered import CHUNK_US, Carry, chunk_of, place, running
+from framelake.plans.ordered import CHUNK_US, Carry, chunk_of, running
 from framelake.plans.timejoin import asof_backward
+from framelake.session import cut_lineage
 
 LAYER_STEP = 1 << 61
 
@@ -214,46 +215,48 @@ def pair_transactions(events: DataFrame, chunk_us: int = CHUNK_US) -> DataFrame:
         .select("*", F.explode("modules").alias("module"))
         .withColumn(
             "evidence",
-            F.filter("address_matches", lambda m: (m["role"] == "request") & (m["module"] == F.col("module")))[0]["confidence"],
+            F.get(F.filter("address_matches", lambda m: (m["role"] == "request") & (m["module"] == F.col("module"))), F.lit(0))["confidence"],
         )
         .drop("modules", "address_matches")
         .withColumn("chunk", chunk_of("ts_us", chunk_us))
     )
     key = ["session_id", "channel", "module", "service"]
-    grouped = running(rows, key, ["ts_us", "pos"], {"turn": Carry("sum", F.col("is_request").cast("bigint"))}, ["chunk"])
-    terminal = ~F.col("is_request") & ~F.coalesce(F.col("nrc_name") == "responsePending", F.lit(False))
-    at = F.struct("ts_us", "pos")
-    turns = grouped.where("turn > 0")
-    heads = turns.where("starts").select(
-        *key, "turn", "service_id", "transport", "evidence", F.col("ts_us").alias("request_us"), F.col("can_id").alias("request_can_id")
-    )
-    replies = turns.where("NOT is_request").select(*key, "turn", at.alias("at"), terminal.alias("terminal"), "ts_us", "can_id", "direction", "nrc_code", "nrc_name")
-    stop = replies.where("terminal").groupBy(*key, "turn").agg(F.min(place("at.ts_us", "at.pos")).alias("stop"))
-    kept = replies.join(stop, [*key, "turn"], "left").where(F.col("stop").isNull() | (place("at.ts_us", "at.pos") <= F.col("stop")))
-    lists = kept.groupBy(*key, "turn").agg(
-        F.array_sort(F.collect_list(F.struct("at", "can_id", "direction", "nrc_code", "nrc_name"))).alias("list")
-    )
-    latency = lambda r: (r["at"]["ts_us"] - F.col("request_us")) / 1000.0
+    asks = F.col("is_request")
+    terminal = ~asks & ~F.coalesce(F.col("nrc_name") == "responsePending", F.lit(False))
+    head = F.struct("ts_us", "pos", "starts", "service_id", "transport", "evidence", "can_id")
+    # one pass: every row learns the request it follows and whether that request is still open
+    turns = running(
+        rows, key, ["ts_us", "pos"],
+        {
+            "head": Carry("last", F.when(asks, head)),
+            "open": Carry("last", F.when(asks, True).when(terminal, False), inclusive=False),
+        },
+        ["chunk"],
+    ).where("head.starts AND (is_request OR open)")
+    reply = F.struct("ts_us", "pos", "can_id", "direction", "nrc_code", "nrc_name")
+    grouped = turns.groupBy(*key, "head").agg(F.array_sort(F.collect_list(F.when(~asks, reply))).alias("list"))
+    latency = lambda r: (r["ts_us"] - F.col("head.ts_us")) / 1000.0
     responses = F.transform(
-        F.coalesce("list", F.array()),
+        "list",
         lambda r: F.struct(
-            (r["at"]["ts_us"] / 1e6).alias("timestamp"), r["can_id"].alias("can_id"), r["direction"].alias("direction"),
+            (r["ts_us"] / 1e6).alias("timestamp"), r["can_id"].alias("can_id"), r["direction"].alias("direction"),
             latency(r).alias("latency_ms"), r["nrc_code"].alias("nrc_code"), r["nrc_name"].alias("nrc_name"),
         ),
     )
-    return heads.join(lists, [*key, "turn"], "left").select(
+    first, last = F.try_element_at("list", F.lit(1)), F.try_element_at("list", F.lit(-1))
+    return grouped.select(
         *key,
-        "service_id",
-        "transport",
-        F.col("evidence").alias("address_evidence"),
-        (F.col("request_us") / 1e6).alias("request_ts"),
-        "request_can_id",
-        F.coalesce(F.size("list"), F.lit(0)).alias("response_count"),
+        "head.service_id",
+        "head.transport",
+        F.col("head.evidence").alias("address_evidence"),
+        (F.col("head.ts_us") / 1e6).alias("request_ts"),
+        F.col("head.can_id").alias("request_can_id"),
+        F.size("list").alias("response_count"),
         responses.alias("responses"),
-        F.when(F.size("list") > 0, latency(F.col("list")[0])).alias("initial_latency_ms"),
-        F.when(F.size("list") > 0, latency(F.element_at("list", -1))).alias("final_latency_ms"),
-        F.when(F.size("list") > 0, F.element_at("list", -1)["direction"]).alias("final_direction"),
-        F.col("list").isNull().alias("unanswered"),
+        latency(first).alias("initial_latency_ms"),
+        latency(last).alias("final_latency_ms"),
+        last["direction"].alias("final_direction"),
+        (F.size("list") == 0).alias("unanswered"),
     )
 
 
@@ -364,6 +367,17 @@ def session_events(frames: DataFrame, refs: DataFrame, chunk: int = SEQUENCE_CHU
     return annotate_addresses(merge_events(iso, legacy_events(frames, refs, iso)), refs)
 
 
+def session_extract(frames: DataFrame, refs: DataFrame) -> dict[str, DataFrame]:
+    """Events, traffic, transactions and summary of captures; the events are written once and read by all of them."""
+    events = cut_lineage(session_events(frames, refs))
+    traffic = endpoint_traffic(frames, refs)
+    transactions = pair_transactions(events)
+    return {
+        "events": events, "traffic": traffic, "transactions": transactions,
+        "summary": diag_summary(events, traffic, transactions),
+    }
+
+
 __all__ = [
     "annotate_addresses", "asof_definition", "classify_diag", "diag_fields", "diag_summary",
     "distinct_roles", "dynamic_definitions", "endpoint_traffic", "event_timeline", "legacy_events", "merge_events",

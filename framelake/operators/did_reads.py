@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from framelake.functions.bits import byte_at
 from framelake.operators.isotp import SEQUENCE_CHUNK
 from framelake.plans.ordered import CHUNK_US, Carry, chunk_of, running
+from framelake.session import cut_lineage
 
 KEY = ["session_id", "channel", "did"]
 BIG = 1 << 60
@@ -119,6 +120,7 @@ def pair_did_reads(
         F.col("completion_seq").alias("sequence"), "ts_us", "payload", asks.alias("is_request"),
     )
     requests, responses = _numbered(rows, window_us, chunk, chunk_us)
+    responses = cut_lineage(responses)  # read by the fold, by the run and for the output
     folded = responses.select(*KEY, "chunk", "sequence", "asked", "old", "good").groupBy(*KEY, "chunk").applyInPandas(_fold_chunk, _FOLD)
     starts = folded.groupBy(*KEY).applyInPandas(_chain, _START)
     matched = (

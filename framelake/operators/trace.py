@@ -24,7 +24,7 @@ def validate_trace(records: DataFrame, schema_id: str = TRACE_SCHEMA, chunk: int
     r = records.withColumn("_chunk", F.expr(f"line div {chunk}"))
     r = running(
         r, ["trace_id"], ["line"],
-        {"_before": Carry("sum", F.lit(1).cast("bigint"), inclusive=False)}, ["_chunk"],
+        {"_before": Carry("last", F.col("sequence"), inclusive=False)}, ["_chunk"],
     )
 
     def bad(condition: Column, rule: str, detail: Column, source: DataFrame = r) -> DataFrame:
@@ -41,8 +41,8 @@ def validate_trace(records: DataFrame, schema_id: str = TRACE_SCHEMA, chunk: int
     begin, end = F.col("recordType") == "callBegin", F.col("recordType") == "callEnd"
     parts = [
         bad(F.col("schema") != schema_id, "unexpectedSchema", F.col("schema")),
-        bad(F.col("sequence") != F.col("_before"), "nonContiguousSequence", F.col("sequence")),
-        bad((F.col("_before") == 0) & ~F.col("recordType").eqNullSafe("session"), "firstRecordNotSession", F.col("recordType")),
+        bad(F.col("sequence") != F.coalesce(F.col("_before") + 1, F.lit(0)), "nonContiguousSequence", F.col("sequence")),
+        bad(F.col("_before").isNull() & ~F.col("recordType").eqNullSafe("session"), "firstRecordNotSession", F.col("recordType")),
         bad(~F.coalesce(F.col("recordType"), F.lit("")).isin("session", "callBegin", "callEnd"), "unknownRecordType", F.col("recordType")),
         bad(begin & (is_open | (F.col("callId") == "")), "duplicateCallBegin", F.col("callId"), lagged),
         bad(end & ~is_open, "orphanCallEnd", F.col("callId"), lagged),

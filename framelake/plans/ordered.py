@@ -113,10 +113,15 @@ def gaps(df: DataFrame, keys: Sequence[str], t: str, width_us: int, unit_us: int
     """
     base = df.select(*keys, F.col(t).alias("_t")).withColumn("_chunk", chunk_of(F.col("_t") * unit_us, width_us))
     part = [*keys, "_chunk"]
-    inner = base.select(
-        *keys, (F.col("_t") - F.lag("_t").over(Window.partitionBy(*part).orderBy("_t"))).alias("gap")
+    in_chunk = Window.partitionBy(*part).orderBy("_t")
+    # both branches below read the same three columns, so Spark shuffles once and reuses the exchange
+    placed = base.select(
+        *part, "_t", F.lag("_t").over(in_chunk).alias("_before"), F.lead("_t").over(in_chunk).alias("_after")
+    )
+    inner = placed.where("_before IS NOT NULL").select(*keys, (F.col("_t") - F.col("_before")).alias("gap"))
+    edges = placed.where("_before IS NULL OR _after IS NULL").groupBy(*part).agg(
+        F.min("_t").alias("_lo"), F.max("_t").alias("_hi")
     )
-    edges = base.groupBy(*part).agg(F.min("_t").alias("_lo"), F.max("_t").alias("_hi"))
     keyed = Window.partitionBy(*keys).orderBy("_chunk") if keys else Window.orderBy("_chunk")
     outer = edges.select(*keys, (F.col("_lo") - F.lag("_hi").over(keyed)).alias("gap"))
-    return inner.unionByName(outer).where("gap IS NOT NULL")
+    return inner.unionByName(outer.where("gap IS NOT NULL"))

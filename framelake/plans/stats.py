@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framelake.session import cut_lineage
+
 
 def pearson(x: Column, y: Column) -> Column:
     """Pearson r of an aggregate; 0.0 when either side is constant (``corr`` would raise under ANSI)."""
@@ -26,10 +28,10 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str = "med
 
     ``median`` keeps all distinct values of a key in one buffer. Here equal values are counted first (map-side),
     a histogram with a bounded number of buckets finds the buckets of the middle ranks, and only those buckets
-    are ordered by value.
+    are ordered by value. The counts are read twice, so they are written to the checkpoint folder first.
     """
     keys = list(keys)
-    counts = (
+    counts = cut_lineage(
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias("_v"))
         .agg(F.count("*").alias("_n"))
