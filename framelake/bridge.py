@@ -19,19 +19,22 @@ def lookup(column: Column, table: dict[str, int]) -> Column:
     return out.cast("int")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread a table of fewer splits than cores (one small file) over the cores; larger tables stay as scanned."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event table with microsecond time, integer k and value in cents."""
-    raw = spark.read.parquet(f"{sf_dir}/events.parquet")
+    raw = spread(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_id")
     epoch = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
-    return raw.select(
-        "event_id",
-        epoch.alias("ts_us"),
-        "user_id",
-        "event_type",
-        "value",
-        F.get_json_object("props", "$.k").cast("int").alias("k"),
-        F.least(F.round(F.col("value") * 100), F.lit(65535)).cast("bigint").alias("cents"),
-    )
+    k = F.split_part(F.split_part("props", F.lit(": "), F.lit(2)), F.lit("}"), F.lit(1)).cast("int")
+    cents = F.least(F.round(F.col("value") * 100), F.lit(65535)).cast("bigint")
+    # the generator computes the three values once per row; as plain columns, a pushed-down filter on a payload
+    # built from them would repeat the parsing for every reference
+    parsed = F.inline(F.array(F.struct(epoch.alias("ts_us"), k.alias("k"), cents.alias("cents"))))
+    return raw.select("event_id", "user_id", "event_type", "value", parsed)
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -334,7 +337,7 @@ def definition_lines(spark: SparkSession, sf_dir: str, faults: bool = False) ->
 
     With ``faults``, size 13 gives a bad DLC, size 17 a signal outside its message, size 19 a malformed signal.
     """
-    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    p = spread(spark.read.parquet(f"{sf_dir}/part.parquet"), "p_partkey")
     key = F.col("p_partkey")
     raw = F.when(key % 4 == 0, F.lit(2_147_483_648) + 0x10000 + key).otherwise(key % 2048)
     name = F.concat(F.lit("P"), key.cast("string"))

@@ -64,11 +64,11 @@ def _unsigned(bits: Column) -> Column:
     return F.conv(bits, 2, 10).cast("decimal(20,0)")
 
 
-def _apply_sign(bits: Column, length: Column, signed: Column) -> Column:
-    raw = _unsigned(bits)
-    span = F.pow(F.lit(2.0), length).cast("decimal(20,0)")
+def _apply_sign(bits: Column, signed: Column) -> Column:
+    """Value of at most 64 bits; a negative one is sign-extended to 64 bits and read as two's complement."""
     negative = signed & (F.substr(bits, F.lit(1), F.lit(1)) == "1")
-    return F.when(negative, (raw - span).cast("decimal(20,0)")).otherwise(raw)
+    extended = F.conv(F.lpad(bits, 64, F.lit("1")), 2, -10).cast("decimal(20,0)")
+    return F.when(negative, extended).otherwise(_unsigned(bits))
 
 
 def _col(value) -> Column:
@@ -83,7 +83,7 @@ def motorola(data: Column, start, length, signed=False) -> Column:
     start, length, signed = _col(start), _col(length), _col(signed)
     first = F.floor(start / F.lit(8)).cast("int") * 8 + 7 - (start % 8)
     bits = F.substr(bit_text(data), first + 1, length)
-    return F.when(first + length <= F.length(data) * 8, _apply_sign(bits, length, signed))
+    return F.when(first + length <= F.length(data) * 8, _apply_sign(bits, signed))
 
 
 def intel(data: Column, start, length, signed=False) -> Column:
@@ -91,7 +91,7 @@ def intel(data: Column, start, length, signed=False) -> Column:
     start, length, signed = _col(start), _col(length), _col(signed)
     low_first = F.concat(_low_first(data), F.repeat(F.lit("0"), start + length))
     bits = F.reverse(F.substr(low_first, start + 1, length))
-    return _apply_sign(bits, length, signed)
+    return _apply_sign(bits, signed)
 
 
 def _low_first(data: Column) -> Column:
@@ -121,17 +121,20 @@ def byte_hex(value: Column) -> Column:
     return F.concat(F.lit("0x"), F.lpad(F.hex(value), 2, "0"))
 
 
-def explode_bytes(frames: DataFrame) -> DataFrame:
-    """One row per (frame, byte_index, value)."""
+def explode_words(wide: DataFrame) -> DataFrame:
+    """One row per (row, byte_index, value) of a table prepared by :func:`with_words`."""
     cells = F.array(*[word_byte(i) for i in range(MAX_CLASSIC)])
-    wide = with_words(frames)
-    kept = [c for c in frames.columns if c != "data"]
-    return (
-        wide.where("w_len > 0")
-        .select(*kept, F.posexplode(F.slice(cells, F.lit(1), F.least("w_len", F.lit(MAX_CLASSIC)))).alias("byte_index", "value"))
+    kept = [c for c in wide.columns if c not in ("data", "w_len", "w_hi", "w_lo")]
+    return wide.where("w_len > 0").select(
+        *kept, F.posexplode(F.slice(cells, F.lit(1), F.least("w_len", F.lit(MAX_CLASSIC)))).alias("byte_index", "value")
     )
 
 
+def explode_bytes(frames: DataFrame) -> DataFrame:
+    """One row per (frame, byte_index, value)."""
+    return explode_words(with_words(frames))
+
+
 def explode_bits(frames: DataFrame) -> DataFrame:
     """One row per bit, least significant bit of each byte first; remote and empty frames are skipped."""
     per_byte = explode_bytes(frames.where(~F.col("remote")))

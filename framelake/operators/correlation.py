@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelake.functions.bits import explode_bytes, extract_words, with_words
+from framelake.functions.bits import explode_words, extract_words, with_words
 from framelake.operators.activity import select_dominant_dlc
 from framelake.plans.ordered import CHUNK_US
 from framelake.plans.stats import pearson
@@ -36,12 +36,12 @@ def distribution_shift(
 ) -> DataFrame:
     """Per (annotation, interface, id, byte): value histograms before and during, their distance and score."""
     key = ["annotation_idx", "iface", "arb_id", "byte_index"]
-    joined = annotation_window_join(
-        frames.select("sequence", "ts_us", "iface", "arb_id", "data"), annotations, baseline_us, bin_us
-    )
+    # payloads are opened once, before the join repeats frames for overlapping windows
+    wide = with_words(frames.select("sequence", "ts_us", "iface", "arb_id", "data")).drop("data")
+    joined = annotation_window_join(wide, annotations, baseline_us, bin_us).drop("ts_us", "sequence")
     # values of one byte: at most 256 rows per key from here on
     hist = (
-        explode_bytes(joined)
+        explode_words(joined)
         .groupBy(*key, "value")
         .agg(F.sum(F.when(F.col("action"), 0).otherwise(1)).alias("b"), F.sum(F.when(F.col("action"), 1).otherwise(0)).alias("a"))
     )
@@ -114,10 +114,10 @@ def phase_bit_counts(frames: DataFrame, phases: DataFrame, bin_us: int = CHUNK_U
     ``phases`` has (discovery_id, phase, lo_us, hi_us) with phase baseline, event or after. The counts build up
     map-side; only they are shuffled.
     """
-    usable = frames.where(~F.col("remote") & (F.length("data") > 0)).select(
-        "sequence", "ts_us", "iface", "arb_id", "is_extended", "data"
-    )
-    joined = with_words(interval_join(usable, phases, F.col("lo_us"), F.col("hi_us"), bin_us=bin_us))
+    usable = with_words(
+        frames.where(~F.col("remote") & (F.length("data") > 0)).select("sequence", "ts_us", "iface", "arb_id", "is_extended", "data")
+    ).drop("data")
+    joined = interval_join(usable, phases, F.col("lo_us"), F.col("hi_us"), bin_us=bin_us)
 
     def ones(byte: int, bit: int) -> str:
         word, base = ("w_hi", 24 - 8 * byte) if byte < 4 else ("w_lo", 56 - 8 * byte)

@@ -29,11 +29,12 @@ def decode_registry(frames: DataFrame, registry: DataFrame) -> DataFrame:
     byte order gives no row. When the frames carry a ``network`` column it is part of the key, because an id alone
     is not an identity. The registry is a catalog; Spark broadcasts it while it is small and shuffles otherwise.
     """
-    match = frames["arb_id"] == registry["can_id"]
+    match = F.col("arb_id") == F.col("can_id")
+    keyed = frames
     if "network" in frames.columns:
-        match = match & (frames["network"] == registry["network"])
-    f = frames.drop("network") if "network" in frames.columns else frames
-    joined = f.join(registry, match)
+        keyed = frames.withColumnRenamed("network", "frame_network")
+        match = match & (F.col("frame_network") == F.col("network"))
+    joined = keyed.join(registry, match)
     data = F.col("data")
     endian = F.lower(F.trim("endian"))
     args = (F.col("start_bit"), F.col("length"), F.col("signed"))
@@ -49,7 +50,7 @@ def decode_registry(frames: DataFrame, registry: DataFrame) -> DataFrame:
             "sequence",
             "ts_us",
             F.col("iface").alias("bus"),
-            registry["network"],
+            "network",
             "bitrate_kbps",
             "arb_id",
             "message",

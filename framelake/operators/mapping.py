@@ -11,14 +11,22 @@ from framelake.plans.timejoin import nearest_within
 from framelake.session import cut_lineage
 
 
+MAX_SLOTS = 4096
+
+
+def _slot_list(slots: DataFrame) -> Column:
+    """The vehicle's slot names as one small array; more names than any pack has stop the job."""
+    names = slots.select(F.array_sort(F.collect_set("slot"))).scalar()
+    return F.when(F.size(names) <= MAX_SLOTS, names).otherwise(F.raise_error(F.lit("Too many slots")).cast("array<string>"))
+
+
 def paired_series(cells: DataFrame, slots: DataFrame, tol_us: int = 250_000, chunk_us: int = CHUNK_US) -> DataFrame:
     """Each cell sample with the nearest sample of every slot.
 
     ``cells`` has (cell, ts_us, sequence, value), ``slots`` (slot, ts_us, sequence, value). A cell sample is paired
     with every slot because each (cell, slot) is scored; the slot list is a fixed dimension of the vehicle.
     """
-    names = slots.select("slot").distinct()
-    left = cells.select("cell", "ts_us", "sequence", F.col("value").alias("cell_v")).join(names)
+    left = cells.select("cell", "ts_us", "sequence", F.col("value").alias("cell_v"), F.explode(_slot_list(slots)).alias("slot"))
     right = slots.select("slot", "ts_us", "sequence", F.col("value").alias("slot_v"))
     return nearest_within(left, right, ["slot"], tol_us, ["slot_v"], right_dup="last", chunk_us=chunk_us)
 
@@ -37,7 +45,7 @@ def series_pair_score(cells: DataFrame, slots: DataFrame, tol_us: int = 250_000,
         pearson(dc, ds).alias("r"),
     )
     # every (cell, slot) gets a row, also without pairs
-    grid = cells.select("cell").distinct().join(slots.select("slot").distinct())
+    grid = cells.select("cell").distinct().select("cell", F.explode(_slot_list(slots)).alias("slot"))
     n = F.coalesce(F.col("overlap"), F.lit(0))
     enough = n >= 2
     r = F.when(F.col("deltas") >= 2, F.col("r")).otherwise(0.0)

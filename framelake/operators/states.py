@@ -95,24 +95,13 @@ def marker_window(samples: DataFrame, markers: DataFrame) -> DataFrame:
     Without any start or any end marker all samples are kept; without a later end the window stays open.
     """
     label = F.lower("label")
-    starts = markers.agg(
-        F.min(F.when(label.endswith(" start"), F.col("ts_us"))).alias("lo"),
-        F.max(F.when(label.endswith(" end"), F.lit(1))).alias("any_end"),
-    )
-    # one row each: aggregates without grouping, so the joins below are one-row broadcasts
-    ends = (
-        markers.where(label.endswith(" end"))
-        .join(F.broadcast(starts))
-        .where("ts_us >= lo")
-        .agg(F.min("ts_us").alias("hi"))
-    )
-    bounds = starts.join(F.broadcast(ends)).select(
-        F.when(F.col("any_end") == 1, F.col("lo")).alias("_lo"), F.when(F.col("any_end") == 1, F.col("hi")).alias("_hi")
-    )
-    inside = F.col("_lo").isNull() | (
-        (F.col("ts_us") >= F.col("_lo")) & (F.col("_hi").isNull() | (F.col("ts_us") <= F.col("_hi")))
-    )
-    return samples.join(F.broadcast(bounds)).where(inside).drop("_lo", "_hi")
+    starts, ends = markers.where(label.endswith(" start")), markers.where(label.endswith(" end"))
+    # scalar subqueries: three numbers, whatever the number of markers
+    lo = starts.select(F.min("ts_us")).scalar()
+    hi = ends.where(F.col("ts_us") >= lo).select(F.min("ts_us")).scalar()
+    any_end = ends.select(F.max("ts_us")).scalar()
+    ts = F.col("ts_us")
+    return samples.where(lo.isNull() | any_end.isNull() | ((ts >= lo) & (hi.isNull() | (ts <= hi))))
 
 
 def channel_coverage(frames: DataFrame) -> DataFrame:

@@ -170,17 +170,22 @@ def match_trace_to_bus(messages: DataFrame, events: DataFrame, max_delta_us: int
 
     bus = bus.withColumn("sequence_of", F.col("sequence"))
     short = left.select(*ident, "ts_us", "side", F.col("service_id").alias("bus_service_id"))
-    # a candidate "ends with" the bus payload exactly when the bus payload is one of its byte-aligned tails
+    payloads = bus.where("bus_payload != '' AND bus_payload != '<REDACTED>'").withColumn("tail", _tail_key(F.col("bus_payload")))
+    # a candidate "ends with" the bus payload exactly when the bus payload is one of its byte-aligned tails; only
+    # tails of lengths that occur on the bus are made (a message has at most 4,095 bytes, so this list is bounded)
+    lengths = payloads.select(F.collect_set(F.length("bus_payload"))).scalar()
+    sized = left.withColumn("_lengths", lengths)
     tails = F.array_distinct(
         F.flatten(
             F.transform(
                 payload_candidates(F.col("payload_hex"), F.col("payload_redacted")),
-                lambda c: F.transform(F.sequence(F.lit(1), F.length(c), F.lit(2)), lambda i: _tail_key(F.substr(c, i))),
+                lambda c: F.transform(
+                    F.filter("_lengths", lambda n: n <= F.length(c)), lambda n: _tail_key(F.substr(c, F.length(c) - n + 1, n))
+                ),
             )
         )
     )
-    with_tail = left.select(*ident, "ts_us", "side", F.col("service_id").alias("bus_service_id"), F.explode(tails).alias("tail"))
-    payloads = bus.where("bus_payload != '' AND bus_payload != '<REDACTED>'").withColumn("tail", _tail_key(F.col("bus_payload")))
+    with_tail = sized.select(*ident, "ts_us", "side", F.col("service_id").alias("bus_service_id"), F.explode(tails).alias("tail"))
     served = "bus_service_id IS NOT NULL"
     ranks = [
         best(with_tail.where(served), payloads.where(served), ["side", "tail", "bus_service_id"], 0),
