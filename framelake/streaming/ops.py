@@ -31,13 +31,16 @@ PAIRS = (
 
 
 def stream_frames(spark: SparkSession, folder: str, fmt: str = "parquet", session_id: str = "live", files_per_batch: int = 1000) -> DataFrame:
-    """Frames from a folder that grows: frame tables (parquet) or capture text."""
+    """Frames from a folder that grows: frame tables (parquet) or capture text.
+
+    A text stream has no line numbers, so its sequence is the time: frames of one microsecond keep no order.
+    """
     reader = spark.readStream.option("maxFilesPerTrigger", files_per_batch)
     if fmt == "parquet":
         return reader.schema(schemas.FRAMES).parquet(folder)
-    text = reader.text(folder).select(F.trim("value").alias("value"), F.monotonically_increasing_id().alias("sequence"))
+    text = reader.text(folder).select(F.trim("value").alias("value"))
     cols = frame_columns(F.col("value"), ANY_FRAME_LINE)
-    parsed = text.select(F.lit(session_id).alias("session_id"), "sequence", *[c.alias(n) for n, c in cols.items()])
+    parsed = text.select(F.lit(session_id).alias("session_id"), cols["ts_us"].alias("sequence"), *[c.alias(n) for n, c in cols.items()])
     return parsed.where("ts_us IS NOT NULL AND data IS NOT NULL").select(
         "session_id", "sequence", "ts_us", "iface", "arb_id", "is_extended", "remote", F.length("data").alias("dlc"), "data"
     )
