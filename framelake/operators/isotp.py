@@ -63,9 +63,10 @@ def _segments(frames: DataFrame, chunk: int) -> DataFrame:
 
 def _carried(segments: DataFrame) -> DataFrame:
     """State at the start of each chunk: the open message, its frames and bytes so far, and whether it is intact."""
+    # "part" is only named here so that this branch shuffles the same columns as the main one and reuses its exchange
     last = segments.groupBy(*KEY, "chunk").agg(
-        F.max_by(F.struct("seg", "idx", "bytes", "head", "dmin", "dmax"), "sequence").alias("s")
-    )
+        F.max_by(F.struct("seg", "idx", "bytes", "head", "dmin", "dmax", "part"), "sequence").alias("s")
+    ).where("s.part IS NOT NULL")
     keyed = f"PARTITION BY {', '.join(KEY)} ORDER BY chunk"
     # a chunk with a first frame restarts the state; chunks without one add to it
     grouped = last.selectExpr(

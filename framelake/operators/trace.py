@@ -10,6 +10,7 @@ from framelake.functions.text import epoch_us
 from framelake.operators.isotp import SEQUENCE_CHUNK
 from framelake.plans.ordered import CHUNK_US, Carry, running
 from framelake.plans.timejoin import interval_join, nearest_within
+from framelake.session import cut_lineage
 
 # Fixed value: schema id of trace records.
 TRACE_SCHEMA = "obd-atlas.j2534-trace.v1"
@@ -157,11 +158,12 @@ def match_trace_to_bus(messages: DataFrame, events: DataFrame, max_delta_us: int
     if "payload_redacted" not in events.columns:
         events = events.withColumn("payload_redacted", F.lit(False))
     asks = F.col("direction").isin("applicationToProvider", "applicationToProviderPeriodic")
-    left = messages.where("direction != 'other'").select(
+    # both sides are read by four joins, so they are written once
+    left = cut_lineage(messages.where("direction != 'other'").select(
         "trace_id", "sequence", "ts_us", "call_id", "api", "message_index", "direction", "service_id", "payload_hex", "payload_redacted",
         F.when(asks, "request").otherwise("response").alias("side"),
-    )
-    bus = _bus_side(events)
+    ))
+    bus = cut_lineage(_bus_side(events))
     ident = ["trace_id", "sequence", "message_index"]
 
     def best(l: DataFrame, r: DataFrame, by: list[str], rank: int) -> DataFrame:
