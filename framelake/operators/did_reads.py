@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from framelake.functions.bits import byte_at
 from framelake.operators.isotp import SEQUENCE_CHUNK
-from framelake.plans.ordered import CHUNK_US, Carry, chunk_of, running
+from framelake.plans.ordered import CHUNK_US, Carry, counts_until, running
 from framelake.session import cut_lineage
 
 KEY = ["session_id", "channel", "did"]
@@ -77,18 +77,12 @@ def _numbered(rows: DataFrame, window_us: int, chunk: int, chunk_us: int) -> tup
     )
     requests = asked.where("is_request").select(*KEY, F.col("asked").alias("number"), F.col("ts_us").alias("request_us"), F.hex("payload").alias("request_payload"))
     responses = asked.where("NOT is_request").select(*KEY, "chunk", "sequence", "ts_us", "payload", "asked")
-    # counts "request before t - window" and "request not after t" from one ordered pass over points in time
-    probe = lambda df, at, side: df.select(*KEY, "sequence", at.alias("at"), F.lit(side).alias("side"))
-    answers = rows.where("NOT is_request")
-    points = (
-        probe(answers, F.col("ts_us") - window_us, 0)
-        .unionByName(probe(rows.where("is_request"), F.col("ts_us"), 1))
-        .unionByName(probe(answers, F.col("ts_us"), 2))
-        .withColumn("chunk", chunk_of("at", chunk_us))
-    )
-    counted = running(points, KEY, ["at", "side", "sequence"], {"seen": Carry("sum", (F.col("side") == 1).cast("bigint"))}, ["chunk"])
-    counts = counted.where("side != 1").groupBy(*KEY, "sequence").agg(
-        F.max(F.when(F.col("side") == 0, F.col("seen"))).alias("old"), F.max(F.when(F.col("side") == 2, F.col("seen"))).alias("good")
+    # "request before t - window" and "request not after t"
+    asked_at, answers = rows.where("is_request"), rows.where("NOT is_request")
+    late = counts_until(asked_at, answers.withColumn("ts_us", F.col("ts_us") - window_us), KEY, ["sequence"], width_us=chunk_us)
+    now = counts_until(asked_at, answers, KEY, ["sequence"], width_us=chunk_us)
+    counts = late.select(*KEY, "sequence", F.col("before").alias("old")).join(
+        now.select(*KEY, "sequence", F.col("upto").alias("good")), [*KEY, "sequence"]
     )
     joined = responses.join(counts, [*KEY, "sequence"]).select(
         *KEY, "chunk", "sequence", "ts_us", "payload", "asked",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from framelake.functions.bits import byte_at, byte_hex
 from framelake.functions.services import candidate_response_id, single_frame_payload
 from framelake.functions.text import epoch_us
-from framelake.plans.timejoin import interval_join
+from framelake.plans.ordered import counts_until
 
 
 def session_summary(sessions: DataFrame, buses: DataFrame) -> DataFrame:
@@ -60,9 +60,11 @@ def unknown_module_report(rows: DataFrame, registry: DataFrame, slack_us: int =
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("service", "n")))).alias("services"),
     )
     markers = rows.where("direction = 'marker'").select("ts_us", "label")
-    near = interval_join(
-        markers, per_id.select("can_id", "first_us", "last_us"), F.col("first_us") - slack_us, F.col("last_us") + slack_us, closed=True
-    ).groupBy("can_id").agg(F.count("*").alias("nearby_markers"))
+    # markers in [first - slack, last + slack], as a difference of two ordered counts
+    edge = lambda c, shift: per_id.select("can_id", (F.col(c) + shift).alias("ts_us"))
+    low = counts_until(markers, edge("first_us", -slack_us), [], ["can_id"]).select("can_id", "before")
+    high = counts_until(markers, edge("last_us", slack_us), [], ["can_id"]).select("can_id", "upto")
+    near = low.join(high, "can_id").select("can_id", (F.col("upto") - F.col("before")).alias("nearby_markers"))
     response = candidate_response_id(F.col("can_id"))
     status = registry.select(F.col("request_id").alias("can_id"), F.col("key").alias("registry_key"), "simulation_status")
     return per_id.join(near, "can_id", "left").join(status, "can_id", "left").select(

@@ -340,7 +340,7 @@ UNION ALL SELECT 'all', CAST(len(l) AS INT), NULL, NULL FROM al WHERE len(l) !=
 
     q["window_correlation"] = _correlation(str(6 * HOUR), "s0", "s0 DESC, iface DESC, arb_id DESC, byte_index DESC")
     q["voice_correlation"] = _correlation(str(6 * HOUR), "round(s0, 6)", "round(s0, 6) DESC, iface, arb_id, byte_index")
-    q["annotation_windows"] = _with(*fr, _ANN.format(end=6 * HOUR), body=f"""SELECT annotation_idx, ts_us >= start_us AS action, count(*) AS frames, CAST(sum(event_id) AS BIGINT) AS checksum
+    q["annotation_windows"] = _with(*fr, _ANN.format(end=6 * HOUR), body=f"""SELECT annotation_idx, ts_us >= start_us AS action, count(*) AS frames, bit_xor(event_id) AS checksum
 FROM fr JOIN ann ON ts_us >= start_us - {12 * HOUR} AND ts_us < end_us GROUP BY ALL""")
     h12 = 12 * HOUR
     q["bit_event_candidates"] = _with(*fr, _bits_sql(), _ANN.format(end=6 * HOUR), f"""pb AS (
@@ -419,7 +419,7 @@ UNION ALL SELECT 'unanswered_transactions', 'all', count(*) FROM tx WHERE unansw
     q["legacy_events"] = _with(*dm, body="""SELECT ts_us, iface AS channel, can_id, payload, direction, service, 'legacyUnframedReference' AS transport FROM dm d
 WHERE NOT EXISTS (SELECT 1 FROM dm i WHERE i.ts_us = d.ts_us AND i.iface = d.iface AND i.can_id = d.can_id AND substr(i.payload, 5, 2) < '32')""")
     q["merge_events"] = _with(*dm, body="""SELECT CASE WHEN direction = 'negativeResponse' THEN 'legacyUnframedReference' ELSE 'isoTp' END AS transport, direction, service, count(*) AS events,
-  CAST(sum(ts_us) AS BIGINT) AS checksum FROM dm GROUP BY ALL""")
+  bit_xor(ts_us) AS checksum FROM dm GROUP BY ALL""")
     q["endpoint_traffic"] = _with(*dm, _REFS, _TRAFFIC, body="SELECT * FROM traffic")
     q["pair_transactions"] = _with(*dm, _TX, body="SELECT * FROM tx")
     q["redact_hash"] = _with(*dm, body="""SELECT event_id AS pos, service, CASE WHEN service = 'SecurityAccess' THEN '<redacted>' ELSE payload END AS payload,

@@ -125,3 +125,22 @@ def gaps(df: DataFrame, keys: Sequence[str], t: str, width_us: int, unit_us: int
     keyed = Window.partitionBy(*keys).orderBy("_chunk") if keys else Window.orderBy("_chunk")
     outer = edges.select(*keys, (F.col("_lo") - F.lag("_hi").over(keyed)).alias("gap"))
     return inner.unionByName(outer.where("gap IS NOT NULL"))
+
+
+def counts_until(
+    points: DataFrame, probes: DataFrame, keys: Sequence[str], ident: Sequence[str], t: str = "ts_us", width_us: int = CHUNK_US
+) -> DataFrame:
+    """Per probe: ``before`` = points of its keys earlier than its time, ``upto`` = points not later than it.
+
+    Two ordered counts instead of a join of all pairs. ``ident`` identifies a probe.
+    """
+    nothing = [F.lit(None).cast(probes.schema[c].dataType).alias(c) for c in ident]
+    marks = points.select(*keys, F.col(t).alias("_t"), F.lit(1).alias("_side"), *nothing)
+    for side in (0, 2):
+        marks = marks.unionByName(probes.select(*keys, F.col(t).alias("_t"), F.lit(side).alias("_side"), *ident))
+    counted = running(
+        marks.withColumn("_chunk", chunk_of("_t", width_us)), keys, ["_t", "_side"],
+        {"_seen": Carry("sum", (F.col("_side") == 1).cast("bigint"))}, ["_chunk"],
+    )
+    at = lambda side: F.max(F.when(F.col("_side") == side, F.col("_seen")))
+    return counted.where("_side != 1").groupBy(*keys, *ident).agg(at(0).alias("before"), at(2).alias("upto"))

@@ -248,7 +248,7 @@ def voice_correlation(spark: SparkSession, d: str) -> DataFrame:
 @query
 def annotation_windows(spark: SparkSession, d: str) -> DataFrame:
     j = correlation.annotation_window_join(B.frames(spark, d), B.annotations(spark, d), 12 * HOUR, bin_us=6 * HOUR)
-    return j.groupBy("annotation_idx", "action").agg(F.count("*").alias("frames"), F.sum("sequence").alias("checksum"))
+    return j.groupBy("annotation_idx", "action").agg(F.count("*").alias("frames"), F.bit_xor("sequence").alias("checksum"))
 
 
 @query
@@ -422,7 +422,7 @@ def merge_events(spark: SparkSession, d: str) -> DataFrame:
     iso = _events(spark, d).where("direction != 'negativeResponse'")
     legacy = diagnostics.legacy_events(B.raw_diag_frames(spark, d), B.address_refs(spark), iso.where("service = 'SecurityAccess'"))
     return diagnostics.merge_events(iso, legacy).groupBy("transport", "direction", "service").agg(
-        F.count("*").alias("events"), F.sum("ts_us").alias("checksum")
+        F.count("*").alias("events"), F.bit_xor("ts_us").alias("checksum")
     )
 
 
