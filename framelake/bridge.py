@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framelake.functions.text import iso_utc
+
 # Event type to code and to contactor state byte.
 TYPE_CODE = {"signup": 1, "click": 2, "error": 3, "purchase": 4, "view": 5}
 STATE_BYTE = {"signup": 0x68, "click": 0x6A, "error": 0x6F, "purchase": 0x6B, "view": 0x6B}
@@ -281,7 +283,7 @@ def trace_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("obd-atlas.j2534-trace.v1").alias("schema"),
         "r.recordType",
         "r.sequence",
-        F.date_format(F.timestamp_micros(F.col("ts_us") + 20_000), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("utc"),
+        iso_utc(F.col("ts_us") + 20_000).alias("utc"),
         "r.monotonicNs",
         F.when(F.col("r.recordType") != "session", F.concat(F.lit("c"), (F.col("event_id") % 500).cast("string"))).alias("callId"),
         "r.api",

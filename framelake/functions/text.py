@@ -17,7 +17,16 @@ def epoch_text_us(seconds: Column) -> Column:
 
 
 def iso_utc(ts_us: Column) -> Column:
-    return F.date_format(F.timestamp_micros(ts_us), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    """``YYYY-MM-DDTHH:MM:SS.ffffffZ`` by arithmetic, so that the session time zone plays no part."""
+    day_us = 86_400_000_000
+    days = F.floor(ts_us / F.lit(day_us)).cast("int")
+    rest = ts_us - days.cast("bigint") * day_us
+    unit = lambda us, modulo: F.lpad((F.floor(rest / F.lit(us)).cast("bigint") % modulo).cast("string"), 2, "0")
+    date = F.date_add(F.lit("1970-01-01").cast("date"), days).cast("string")
+    return F.concat(
+        date, F.lit("T"), unit(3_600_000_000, 24), F.lit(":"), unit(60_000_000, 60), F.lit(":"), unit(1_000_000, 60), F.lit("."),
+        F.lpad((rest % 1_000_000).cast("string"), 6, "0"), F.lit("Z"),
+    )
 
 
 def vtg_speed(sentence: Column) -> Column:

@@ -79,10 +79,12 @@ def _numbered(rows: DataFrame, window_us: int, chunk: int, chunk_us: int) -> tup
     responses = asked.where("NOT is_request").select(*KEY, "chunk", "sequence", "ts_us", "payload", "asked")
     # "request before t - window" and "request not after t"
     asked_at, answers = rows.where("is_request"), rows.where("NOT is_request")
-    late = counts_until(asked_at, answers.withColumn("ts_us", F.col("ts_us") - window_us), KEY, ["sequence"], width_us=chunk_us)
-    now = counts_until(asked_at, answers, KEY, ["sequence"], width_us=chunk_us)
-    counts = late.select(*KEY, "sequence", F.col("before").alias("old")).join(
-        now.select(*KEY, "sequence", F.col("upto").alias("good")), [*KEY, "sequence"]
+    probes = answers.select(*KEY, "sequence", F.col("ts_us") - window_us, F.lit(0)).toDF(*KEY, "sequence", "ts_us", "which").unionByName(
+        answers.select(*KEY, "sequence", "ts_us", F.lit(1).alias("which"))
+    )
+    seen = counts_until(asked_at, probes, KEY, ["sequence", "which"], width_us=chunk_us)
+    counts = seen.groupBy(*KEY, "sequence").agg(
+        F.max(F.when(F.col("which") == 0, F.col("before"))).alias("old"), F.max(F.when(F.col("which") == 1, F.col("upto"))).alias("good")
     )
     joined = responses.join(counts, [*KEY, "sequence"]).select(
         *KEY, "chunk", "sequence", "ts_us", "payload", "asked",
@@ -113,6 +115,7 @@ def pair_did_reads(
         "session_id", F.col("iface").alias("channel"), (byte_at(p, 1) * 256 + byte_at(p, 2)).alias("did"),
         F.col("completion_seq").alias("sequence"), "ts_us", "payload", asks.alias("is_request"),
     )
+    rows = cut_lineage(rows)  # a small part of all messages, read by the numbering and by the counts
     requests, responses = _numbered(rows, window_us, chunk, chunk_us)
     responses = cut_lineage(responses)  # read by the fold, by the run and for the output
     folded = responses.select(*KEY, "chunk", "sequence", "asked", "old", "good").groupBy(*KEY, "chunk").applyInPandas(_fold_chunk, _FOLD)

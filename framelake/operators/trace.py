@@ -22,37 +22,36 @@ def validate_trace(records: DataFrame, schema_id: str = TRACE_SCHEMA, chunk: int
     ``records`` has (trace_id, line, ...trace columns). Lines are cut into chunks; the previous record of the
     trace and of the call are carried across chunk borders.
     """
-    r = records.withColumn("_chunk", F.expr(f"line div {chunk}"))
-    r = running(
-        r, ["trace_id"], ["line"],
-        {"_before": Carry("last", F.col("sequence"), inclusive=False)}, ["_chunk"],
-    )
-
-    def bad(condition: Column, rule: str, detail: Column, source: DataFrame = r) -> DataFrame:
-        return source.where(F.coalesce(condition, F.lit(True))).select(
-            "trace_id", "line", F.lit(rule).alias("rule"), detail.cast("string").alias("detail")
-        )
-
-    calls = r.where(F.col("recordType").isin("callBegin", "callEnd")).withColumn("callId", F.coalesce("callId", F.lit("")))
-    opened = F.when(F.col("recordType") == "callBegin", F.struct(F.lit(True).alias("open"), F.col("api").alias("api"))).otherwise(
-        F.struct(F.lit(False).alias("open"), F.lit(None).cast("string").alias("api"))
-    )
+    chunked = records.withColumn("_chunk", F.expr(f"line div {chunk}"))
+    kind = F.col("recordType")
+    placed = running(chunked, ["trace_id"], ["line"], {"_before": Carry("last", F.col("sequence"), inclusive=False)}, ["_chunk"])
+    calls = chunked.where(kind.isin("callBegin", "callEnd")).withColumn("callId", F.coalesce("callId", F.lit("")))
+    opened = F.struct((kind == "callBegin").alias("open"), F.col("api").alias("api"))
     lagged = running(calls, ["trace_id", "callId"], ["line"], {"_prev": Carry("last", opened, inclusive=False)}, ["_chunk"])
     is_open = F.coalesce(F.col("_prev.open"), F.lit(False))
-    begin, end = F.col("recordType") == "callBegin", F.col("recordType") == "callEnd"
-    parts = [
-        bad(F.col("schema") != schema_id, "unexpectedSchema", F.col("schema")),
-        bad(F.col("sequence") != F.coalesce(F.col("_before") + 1, F.lit(0)), "nonContiguousSequence", F.col("sequence")),
-        bad(F.col("_before").isNull() & ~F.col("recordType").eqNullSafe("session"), "firstRecordNotSession", F.col("recordType")),
-        bad(~F.coalesce(F.col("recordType"), F.lit("")).isin("session", "callBegin", "callEnd"), "unknownRecordType", F.col("recordType")),
-        bad(begin & (is_open | (F.col("callId") == "")), "duplicateCallBegin", F.col("callId"), lagged),
-        bad(end & ~is_open, "orphanCallEnd", F.col("callId"), lagged),
-        bad(end & is_open & ~F.col("api").eqNullSafe(F.col("_prev.api")), "apiMismatch", F.col("api"), lagged),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    begin, end = kind == "callBegin", kind == "callEnd"
+
+    def broken(df: DataFrame, rules: list[tuple[str, Column, Column]]) -> DataFrame:
+        found = F.array(
+            *[
+                F.when(F.coalesce(condition, F.lit(True)), F.struct(F.lit(name).alias("rule"), detail.cast("string").alias("detail")))
+                for name, condition, detail in rules
+            ]
+        )
+        return df.select("trace_id", "line", F.inline(F.filter(found, lambda v: v.isNotNull())))
+
+    by_record = broken(placed, [
+        ("unexpectedSchema", F.col("schema") != schema_id, F.col("schema")),
+        ("nonContiguousSequence", F.col("sequence") != F.coalesce(F.col("_before") + 1, F.lit(0)), F.col("sequence")),
+        ("firstRecordNotSession", F.col("_before").isNull() & ~kind.eqNullSafe("session"), kind),
+        ("unknownRecordType", ~F.coalesce(kind, F.lit("")).isin("session", "callBegin", "callEnd"), kind),
+    ])
+    by_call = broken(lagged, [
+        ("duplicateCallBegin", begin & (is_open | (F.col("callId") == "")), F.col("callId")),
+        ("orphanCallEnd", end & ~is_open, F.col("callId")),
+        ("apiMismatch", end & is_open & ~F.col("api").eqNullSafe(F.col("_prev.api")), F.col("api")),
+    ])
+    return by_record.unionByName(by_call)
 
 
 def trace_summary(records: DataFrame) -> DataFrame:
