@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.functions.text import iso_utc
+from framelake.operators.trace import TRACE_SCHEMA
 
 # Event type to code and to contactor state byte.
 TYPE_CODE = {"signup": 1, "click": 2, "error": 3, "purchase": 4, "view": 5}
@@ -280,7 +281,7 @@ def trace_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.join(m, "event_id").select("event_id", "ts_us", block.alias("block"), F.explode(calls).alias("r")).select(
         F.concat(F.lit("trace"), F.col("block").cast("string")).alias("trace_id"),
         (F.col("r.sequence") + 1).alias("line"),
-        F.lit("obd-atlas.j2534-trace.v1").alias("schema"),
+        F.lit(TRACE_SCHEMA).alias("schema"),
         "r.recordType",
         "r.sequence",
         iso_utc(F.col("ts_us") + 20_000).alias("utc"),

@@ -15,7 +15,7 @@ def session_summary(sessions: DataFrame, buses: DataFrame) -> DataFrame:
     """Sessions with their buses, by start time and interface."""
     return sessions.join(buses, "session_id").select(
         "session_id", "metadata_started_utc", "vehicle_model", "vehicle_generation", "total_frames", "logged_interface",
-        "atlas_bus", "frames", "unique_arbitration_ids", F.when(F.col("captured"), "captured").otherwise("no frames").alias("state"),
+        "bus_name", "frames", "unique_arbitration_ids", F.when(F.col("captured"), "captured").otherwise("no frames").alias("state"),
     ).orderBy("metadata_started_utc", "session_id", "logged_interface")
 
 

@@ -278,7 +278,7 @@ def build() -> dict[str, str]:
     fr = (_EV, _FR)
     q["frames_bridge"] = _with(*fr, body="SELECT 'events' AS session_id, event_id AS sequence, ts_us, iface, arb_id, dlc, hx AS payload FROM fr")
     q["session_summary"] = _with(_EV, _VF, body="""SELECT iface AS session_id, CAST(min(ts_us) AS VARCHAR) AS metadata_started_utc, 'bridge' AS vehicle_model,
-  '1' AS vehicle_generation, count(*) AS total_frames, iface AS logged_interface, iface AS atlas_bus, count(*) AS frames,
+  '1' AS vehicle_generation, count(*) AS total_frames, iface AS logged_interface, iface AS bus_name, count(*) AS frames,
   count(DISTINCT arb_id) AS unique_arbitration_ids, 'captured' AS state FROM vf GROUP BY iface""")
     q["frame_count_check"] = _with(_EV, body="SELECT iface AS session_id, count(*) + 1 AS total_frames, count(*) AS parsed FROM ev WHERE iface = 'can1' GROUP BY iface")
     q["id_activity"] = _with(*fr, _BY, _BYTE_METRICS, _ID_METRICS, body="SELECT * FROM im")

@@ -43,7 +43,7 @@ def frames_bridge(spark: SparkSession, d: str) -> DataFrame:
 @query
 def session_summary(spark: SparkSession, d: str) -> DataFrame:
     f = B.vehicle_frames(spark, d)
-    buses = reports.capture_buses(f).withColumn("atlas_bus", F.col("logged_interface")).withColumn("captured", F.lit(True))
+    buses = reports.capture_buses(f).withColumn("bus_name", F.col("logged_interface")).withColumn("captured", F.lit(True))
     sessions = f.groupBy("session_id").agg(
         F.count("*").alias("total_frames"), F.min("ts_us").cast("string").alias("metadata_started_utc"),
         F.lit("bridge").alias("vehicle_model"), F.lit("1").alias("vehicle_generation"),

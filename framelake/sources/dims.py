@@ -47,7 +47,7 @@ def read_manifest(spark: SparkSession, path: str | Sequence[str]) -> dict[str, D
     )
     buses = m.select("session_id", F.explode("buses").alias("b")).select(
         "session_id", "b.*", F.to_json("b").alias("details_json")
-    )
+    ).withColumnRenamed("atlas_bus", "bus_name")
     buses = buses.withColumn("captured", F.coalesce("captured", F.lit(False))).withColumn("frames", F.coalesce("frames", F.lit(0)))
     files = m.select("session_id", F.explode("files").alias("f")).select("session_id", "f.*")
     return {"sessions": sessions, "buses": buses, "capture_files": files}
