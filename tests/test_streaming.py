@@ -93,3 +93,18 @@ def test_stream_text_source(spark, tmp_path):
     (tmp_path / "t" / "a.log").write_text("(1.5) can0 100#01\n# note\n(1.6) can0 100##102\n")
     rows = drain(ops.stream_frames(spark, str(tmp_path / "t"), fmt="text"), "text")
     assert sorted((r["ts_us"], bytes(r["data"]).hex()) for r in rows) == [(1500000, "01"), (1600000, "02")]
+
+
+def test_pending_request_rules():
+    from framelake.streaming.state import PendingRequests
+
+    p = PendingRequests()
+    assert p.push("request", 1000, 0x22, 0xF190, None) is None
+    assert p.push("request", 3000, 0x22, 0xF18C, None) is None
+    # a refusal names no identifier: it answers the most recent request of the service, and pending keeps it open
+    assert p.push("response", 4000, 0x22, None, 0x78) == 1.0
+    assert p.push("response", 5000, 0x22, 0xF18C, None) == 2.0
+    assert p.push("response", 6000, 0x22, 0xF18C, None) is None
+    assert p.push("response", 7000, 0x22, None, 0x31) == 6.0
+    assert p.push("response", 8000, 0x22, None, 0x31) is None
+    assert p.push("response", 9000, 0x27, None, None) is None
