@@ -26,10 +26,13 @@ def build_session(app: str = "framelake", master: str | None = None, shuffle_par
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; only a session without one gets a scratch folder."""
+    """Use the cluster's shared checkpoint folder; only a session in one process may fall back to a folder of its own."""
     if spark.sparkContext.getCheckpointDir() is not None:
         return
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not configured and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="framelake-ckpt-"))
 
 
