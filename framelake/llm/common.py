@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +27,14 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="framelake-shared-")
         spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return f"{whole.rstrip('/')}/llm-{uuid.uuid4().hex}"
+
+
+def store(uri: str) -> tuple[FileSystem, str]:
+    """The file system of a qualified folder or file and the path in it, for tasks that write or read bytes."""
+    return FileSystem.from_uri(uri)
 
 
 def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
