@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from framelake.llm.decontaminate import OP10_SQL, op10_decontaminate
 from framelake.llm.lines import OP5_SQL, op5_line_dedup
+from framelake.llm.packing import op6_packing
 from framelake.llm.simhash import op2_simhash
 from framelake.llm.tokens import op9_tokens
 from framelake.llm.toxicity import op3_toxicity
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_simhash": op2_simhash, "op3_toxicity": op3_toxicity, "op5_line_dedup": op5_line_dedup, "op9_tokens": op9_tokens, "op10_decontaminate": op10_decontaminate}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_simhash": op2_simhash, "op3_toxicity": op3_toxicity, "op5_line_dedup": op5_line_dedup, "op6_packing": op6_packing, "op9_tokens": op9_tokens, "op10_decontaminate": op10_decontaminate}
 ORACLES: dict[str, str] = {"op5_line_dedup": OP5_SQL, "op10_decontaminate": OP10_SQL}

@@ -19,9 +19,10 @@ SAMPLE_ROWS = 16_000
 #: Words and word beginnings that the linear classifier knows at most, and the strongest of them that vote by themselves.
 FEATURES = 4_000
 VOTERS = 96
-#: Documents of the sample that a feature must be in, and how much likelier it must be in toxic ones.
-MIN_DOCS = 4
+#: How much likelier a feature must be in toxic documents, and the least G of its counts: some 10^5 rare words are tried,
+#: of which chance alone gives a handful a G of 16.
 MIN_LIFT = 4.0
+MIN_G = 16.0
 #: A document with this score or more counts as toxic.
 THRESHOLD = 0.3
 _WORD = re.compile(r"[^\W\d_]+")
@@ -145,9 +146,15 @@ def _mined(sample: DataFrame, limit: int) -> list[str]:
     total = counts.where("f = ''").first()
     if not total or not total["clean"] or not total["toxic"]:
         return []
+    base = total["toxic"] / (total["toxic"] + total["clean"])
     p, n = (F.col("toxic") + 0.5) / (total["toxic"] + 1), (F.col("clean") + 0.5) / (total["clean"] + 1)
-    strength = (p - n) / F.sqrt(p * (1 - p) / total["toxic"] + n * (1 - n) / total["clean"])
-    top = counts.where((F.col("f") != "") & (F.col("toxic") >= MIN_DOCS) & (p / n >= MIN_LIFT)).orderBy(strength.desc(), "f").limit(limit)
+    seen = F.col("toxic") + F.col("clean")
+
+    def part(k: str, share: float) -> Column:
+        return F.when(F.col(k) > 0, 2 * F.col(k) * F.log(F.col(k) / (seen * share))).otherwise(0.0)
+
+    g = part("toxic", base) + part("clean", 1 - base)
+    top = counts.where((F.col("f") != "") & (p / n >= MIN_LIFT) & (g >= MIN_G)).orderBy(g.desc(), "f").limit(limit)
     return [r["f"] for r in top.select("f").collect()]
 
 
