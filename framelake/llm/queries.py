@@ -12,6 +12,7 @@ from framelake.llm.packing import op6_packing
 from framelake.llm.simhash import op2_simhash
 from framelake.llm.tokens import op9_tokens
 from framelake.llm.toxicity import op3_toxicity
+from framelake.llm.warc import OP1_SQL, op1_warc
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_simhash": op2_simhash, "op3_toxicity": op3_toxicity, "op5_line_dedup": op5_line_dedup, "op6_packing": op6_packing, "op9_tokens": op9_tokens, "op10_decontaminate": op10_decontaminate}
-ORACLES: dict[str, str] = {"op5_line_dedup": OP5_SQL, "op10_decontaminate": OP10_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_warc": op1_warc, "op2_simhash": op2_simhash, "op3_toxicity": op3_toxicity, "op5_line_dedup": op5_line_dedup, "op6_packing": op6_packing, "op9_tokens": op9_tokens, "op10_decontaminate": op10_decontaminate}
+ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op5_line_dedup": OP5_SQL, "op10_decontaminate": OP10_SQL}
