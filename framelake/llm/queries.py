@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from framelake.llm.ann import op7_ann
 from framelake.llm.decontaminate import OP10_SQL, op10_decontaminate
 from framelake.llm.lines import OP5_SQL, op5_line_dedup
 from framelake.llm.packing import op6_packing
@@ -14,5 +15,5 @@ from framelake.llm.tokens import op9_tokens
 from framelake.llm.toxicity import op3_toxicity
 from framelake.llm.warc import OP1_SQL, op1_warc
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_warc": op1_warc, "op2_simhash": op2_simhash, "op3_toxicity": op3_toxicity, "op5_line_dedup": op5_line_dedup, "op6_packing": op6_packing, "op9_tokens": op9_tokens, "op10_decontaminate": op10_decontaminate}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_warc": op1_warc, "op2_simhash": op2_simhash, "op3_toxicity": op3_toxicity, "op5_line_dedup": op5_line_dedup, "op6_packing": op6_packing, "op7_ann": op7_ann, "op9_tokens": op9_tokens, "op10_decontaminate": op10_decontaminate}
 ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op5_line_dedup": OP5_SQL, "op10_decontaminate": OP10_SQL}
