@@ -23,8 +23,8 @@ CHUNK_BITS = 8
 RANK_BYTES = 64
 #: A file is closed at the first document end after so many tokens.
 FILE_TOKENS = 4_000_000
-#: Entries of the chunk and of the word cache of a worker.
-CACHE = 300_000
+#: Entries of the piece and of the word cache, which a worker process keeps from task to task (some 100 MB each).
+CACHE = 500_000
 
 _POPCOUNT = np.array([i.bit_count() for i in range(256)], dtype=np.uint8)
 
@@ -105,56 +105,92 @@ def unpack(data: bytes) -> tuple[list[int | None], np.ndarray, list[tuple[np.nda
 # ---- text to ids ---------------------------------------------------------------------------------------------
 
 
-class _Ids(dict):
-    """Ids, as bytes, of the pieces between white space."""
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable ones for themselves, the rest from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(other)) for b in range(256)]
+
+
+class _Words(dict):
+    """Ids, as bytes, of single words; plain lower-case words go to the merges directly where that gives the library's ids."""
 
     def __init__(self, vocabulary: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
+        self.letters, self.tokenize = _byte_letters(), self.tokenizer.model.tokenize
+        probes = ["a", "the", "straße", "élève", "zzxqj", "señores", "over", "œuvre"]
+        self.direct = all(self._merged(w) == self._encoded(w) for w in probes)
+
+    def _encoded(self, piece: str) -> bytes:
+        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _merged(self, word: str) -> bytes:
+        return np.array([x.id for x in self.tokenize("".join([self.letters[b] for b in word.encode()]))], "<u4").tobytes()
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= CACHE:
             self.clear()
-        self[piece] = got = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        self[piece] = got = self._merged(piece) if self.direct and _LOWER.fullmatch(piece) else self._encoded(piece)
+        return got
+
+
+_LOWER = re.compile(r"[a-zß-öø-ÿ]+")
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+_ODD = re.compile("[\x1c-\x1f]")
+
+
+class _Pieces(dict):
+    """Ids, as bytes, of the pieces between white space; a plain word shares them with its other spellings."""
+
+    def __init__(self, words: _Words) -> None:
+        self.words = words
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= CACHE:
+            self.clear()
+        plain = _PLAIN.fullmatch(piece)
+        if plain:
+            got = self.words[plain[1].lower()] + (self.words[plain[2]] if plain[2] else b"")
+        else:
+            got = self.words[piece]
+        self[piece] = got
         return got
 
 
 class Encoder:
-    """``encode(text)`` gives the library's ids as little-endian bytes; the same pieces are encoded once.
+    """``encode(text)`` gives the library's ids as little-endian bytes; equal pieces are encoded once.
 
-    A vocabulary that drops white space (its pre-tokenizer never joins across it) allows that each piece between
-    white space is encoded by itself. Words of plain letters with a full stop or comma behind share the word's ids.
-    Texts with the control characters that Python alone takes for white space go to the library as they are.
+    For vocabularies that lower-case, drop white space and never join across it: then each piece between white space
+    can be encoded by itself. Texts with the control characters that Python alone takes for white space, and all texts
+    under a vocabulary of another kind, go to the library as they are.
     """
 
-    _plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,])")
-    _odd = re.compile("[\x1c-\x1f]")
-
     def __init__(self, vocabulary: str) -> None:
-        self.words = _Ids(vocabulary)
-        outer = self
-
-        class Pieces(dict):
-            def __missing__(self, piece: str) -> bytes:
-                if len(self) >= CACHE:
-                    self.clear()
-                plain = outer._plain.fullmatch(piece)
-                if plain:
-                    got = outer.words[plain[1].lower()] + outer.words[plain[2]]
-                else:
-                    got = outer.words[piece.lower() if piece.isascii() and piece.isalpha() else piece]
-                self[piece] = got
-                return got
-
-        self.pieces = Pieces()
+        self.words = _Words(vocabulary)
+        self.pieces = _Pieces(self.words)
+        probe = "The THE  don't, Señor. x-ray 12\n\tÉlève (a) Zq.\n"
+        self.piecewise = b"".join(map(self.pieces.__getitem__, probe.split())) == self.words._encoded(probe)
 
     def encode(self, text: str) -> bytes:
-        if self._odd.search(text):
-            return np.array(self.words.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if not self.piecewise or _ODD.search(text):
+            return self.words._encoded(text)
         return b"".join(map(self.pieces.__getitem__, text.split()))
 
 
+_kept: dict[int, Encoder] = {}
+
+
+def worker_encoder(vocabulary: str) -> Encoder:
+    """The encoder of this worker process: its caches serve all tasks that run in it."""
+    key = zlib.crc32(vocabulary.encode())
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = Encoder(vocabulary)
+    return _kept[key]
+
+
 # ---- files ---------------------------------------------------------------------------------------------------
 
 
@@ -170,7 +206,7 @@ def write_tokens(df: DataFrame, folder: str, tokenizer: str, end_id: int = 2, id
     vocabulary = df.sparkSession.sparkContext.broadcast(Path(tokenizer).read_text(encoding="utf-8"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, end = Encoder(vocabulary.value), np.array([end_id], "<u4").tobytes()
+        encoder, end = worker_encoder(vocabulary.value), np.array([end_id], "<u4").tobytes()
         part, file, docs, lengths, parts, held = TaskContext.get().partitionId(), 0, [], [], [], 0
 
         def close() -> pd.DataFrame:
