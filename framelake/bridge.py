@@ -22,18 +22,14 @@ def lookup(column: Column, table: dict[str, int]) -> Column:
     return out.cast("int")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread a table of fewer splits than cores (one small file) over the cores; larger tables stay as scanned."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event table with microsecond time, integer k and value in cents."""
-    raw = spread(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_id")
+    raw = spark.read.parquet(f"{sf_dir}/events.parquet")
     epoch = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
     k = F.split_part(F.split_part("props", F.lit(": "), F.lit(2)), F.lit("}"), F.lit(1)).cast("int")
-    cents = F.least(F.round(F.col("value") * 100), F.lit(65535)).cast("bigint")
+    exact = F.round(F.col("value") * 100).cast("bigint")
+    # the payloads below have two bytes for it
+    cents = F.when(exact <= 65535, exact).otherwise(F.raise_error(F.lit("Value does not fit the frame layout")).cast("bigint"))
     # the generator computes the three values once per row; as plain columns, a pushed-down filter on a payload
     # built from them would repeat the parsing for every reference
     parsed = F.inline(F.array(F.struct(epoch.alias("ts_us"), k.alias("k"), cents.alias("cents"))))
@@ -68,20 +64,45 @@ def typed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.withColumn("arb_id", F.lit(256) + F.conv(F.hex(F.substring("data", 1, 1)), 16, 10).cast("bigint"))
 
 
+def long_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`frames` with payloads of 3 to 64 bytes: clicks have 8 more bytes, k of 90 and above 6 to 60 more; byte j is cents + 7j."""
+    f = frames(spark, sf_dir)
+    shape = F.when(F.substring("data", 1, 1) == F.unhex(F.lit("02")), 8).when(F.col("_k") >= 90, (F.col("_k") - 89) * 6).otherwise(0)
+    code = F.conv(F.hex("data"), 16, 10).cast("bigint")
+    four = F.length("data") == 4
+    wide = f.withColumn("_k", F.when(four, code % 256)).withColumn("_c", F.when(four, F.shiftright(code, 8).bitwiseAND(65535)))
+    more = F.when(four, shape).otherwise(0)
+    rest = F.transform(F.sequence(F.lit(4), F.lit(3) + more), lambda j: F.lpad(F.hex((F.col("_c") + j * 7) % 256), 2, "0"))
+    data = F.when(more > 0, F.unhex(F.concat(F.hex("data"), F.array_join(rest, "")))).otherwise(F.col("data"))
+    return wide.withColumn("data", data).withColumn("dlc", F.length("data")).drop("_k", "_c")
+
+
+def typed_long_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`long_frames` under one id per event type."""
+    f = long_frames(spark, sf_dir)
+    return f.withColumn("arb_id", F.lit(256) + F.conv(F.hex(F.substring("data", 1, 1)), 16, 10).cast("bigint"))
+
+
+def _iface() -> Column:
+    return F.concat(F.lit("can"), (F.col("user_id") % 5).cast("string"))
+
+
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Severe errors (value of 150 and more) as annotations of six hours."""
-    e = events(spark, sf_dir).where("event_type = 'error' AND value >= 150")
+    """Errors as annotations of three hours, one capture per interface."""
+    e = events(spark, sf_dir).where("event_type = 'error'")
     return e.select(
+        _iface().alias("session_id"),
         F.col("event_id").alias("annotation_idx"),
         F.col("ts_us").alias("start_us"),
-        (F.col("ts_us") + 6 * 3_600_000_000).alias("end_us"),
+        (F.col("ts_us") + 3 * 3_600_000_000).alias("end_us"),
     )
 
 
 def markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Large purchases (value of 150 and more) as operator markers."""
-    e = events(spark, sf_dir).where("event_type = 'purchase' AND value >= 150")
+    """Purchases as operator markers, one capture per interface."""
+    e = events(spark, sf_dir).where("event_type = 'purchase'")
     return e.select(
+        _iface().alias("session_id"),
         F.col("event_id").alias("marker_id"),
         F.col("ts_us").alias("start_us"),
         (F.col("ts_us") + F.col("k") * 1_000_000).alias("end_us"),
@@ -104,6 +125,7 @@ def states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event types as contactor states, one sequence per user."""
     e = events(spark, sf_dir)
     return e.select(
+        _iface().alias("session_id"),
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("channel"),
         F.col("event_id").alias("seq"),
         "ts_us",
@@ -340,7 +362,7 @@ def definition_lines(spark: SparkSession, sf_dir: str, faults: bool = False) ->
 
     With ``faults``, size 13 gives a bad DLC, size 17 a signal outside its message, size 19 a malformed signal.
     """
-    p = spread(spark.read.parquet(f"{sf_dir}/part.parquet"), "p_partkey")
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
     key = F.col("p_partkey")
     raw = F.when(key % 4 == 0, F.lit(2_147_483_648) + 0x10000 + key).otherwise(key % 2048)
     name = F.concat(F.lit("P"), key.cast("string"))
@@ -370,10 +392,10 @@ def definition_lines(spark: SparkSession, sf_dir: str, faults: bool = False) ->
 
 
 def cell_series(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Views as samples of 12 cells, clicks as samples of 12 slots."""
+    """Views as samples of 12 cells, clicks as samples of 12 slots, one capture per interface."""
     e = events(spark, sf_dir)
     of = lambda kind, name, prefix: e.where(F.col("event_type") == kind).select(
-        F.concat(F.lit(prefix), F.lpad((F.col("user_id") % 12).cast("string"), 2, "0")).alias(name), "ts_us", F.col("event_id").alias("sequence"),
+        _iface().alias("session_id"), F.concat(F.lit(prefix), F.lpad((F.col("user_id") % 12).cast("string"), 2, "0")).alias(name), "ts_us", F.col("event_id").alias("sequence"),
         (F.lit(3.6) + F.col("cents") / F.lit(1e6)).alias("value"),
     )
     return of("view", "cell", "Cell_"), of("click", "slot", "Slot_")

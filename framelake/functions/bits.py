@@ -5,22 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_CLASSIC = 8
+#: Payload bytes that are held in two words; longer payloads are opened in blocks of this many bytes.
+BLOCK = 8
 
 
 def with_words(df: DataFrame, data: str = "data") -> DataFrame:
-    """Add ``w_len``, ``w_hi`` and ``w_lo``: the first eight payload bytes as two unsigned 32-bit words."""
-    d = F.col(data)
+    """One row per block of eight payload bytes, with ``w_block`` (from 0), ``w_len`` (bytes of the block), ``w_hi`` and
+    ``w_lo`` (the block as two unsigned 32-bit words) and ``w_next`` (the first byte behind it, or null).
 
-    def word(start: int) -> Column:
-        text = F.rpad(F.hex(F.substring(d, start, 4)), 8, "0")
+    A payload of up to eight bytes, an empty or a null one gives one row; no byte of a longer one is left out.
+    """
+    d, n = F.col(data), F.length(F.col(data))
+    more = F.sequence(F.lit(0), F.ceil(n / F.lit(BLOCK)).cast("int") - 1)
+    blocks = df.select("*", F.explode(F.when(n > BLOCK, more).otherwise(F.array(F.lit(0)))).alias("w_block"))
+    start = F.col("w_block") * BLOCK
+
+    def word(first: int) -> Column:
+        text = F.rpad(F.hex(F.substr(d, start + first, F.lit(4))), 8, "0")
         return F.conv(text, 16, 10).cast("bigint")
 
-    return df.select("*", F.length(d).alias("w_len"), word(1).alias("w_hi"), word(5).alias("w_lo"))
+    return blocks.select("*", F.when(n.isNotNull(), F.least(n - start, F.lit(BLOCK))).alias("w_len"), word(1).alias("w_hi"), word(5).alias("w_lo"), byte_at(d, start + BLOCK).alias("w_next"))
 
 
 def word_byte(i: int) -> Column:
-    """Byte ``i`` (0..7) of a frame prepared by :func:`with_words`; null beyond the payload."""
+    """Byte ``i`` (0..7) of a block prepared by :func:`with_words`; null beyond the payload."""
     source, shift = (F.col("w_hi"), 24 - 8 * i) if i < 4 else (F.col("w_lo"), 56 - 8 * i)
     return F.when(F.col("w_len") > i, F.shiftright(source, shift).bitwiseAND(255).cast("int"))
 
@@ -123,11 +131,11 @@ def byte_hex(value: Column) -> Column:
 
 def explode_words(wide: DataFrame) -> DataFrame:
     """One row per (row, byte_index, value) of a table prepared by :func:`with_words`."""
-    cells = F.array(*[word_byte(i) for i in range(MAX_CLASSIC)])
-    kept = [c for c in wide.columns if c not in ("data", "w_len", "w_hi", "w_lo")]
-    return wide.where("w_len > 0").select(
-        *kept, F.posexplode(F.slice(cells, F.lit(1), F.least("w_len", F.lit(MAX_CLASSIC)))).alias("byte_index", "value")
-    )
+    cells = F.array(*[word_byte(i) for i in range(BLOCK)])
+    words = ("data", "w_block", "w_len", "w_hi", "w_lo", "w_next")
+    kept = [c for c in wide.columns if c not in words]
+    opened = wide.where("w_len > 0").select(*kept, "w_block", F.posexplode(F.slice(cells, F.lit(1), F.col("w_len"))).alias("_at", "value"))
+    return opened.select(*kept, (F.col("w_block") * BLOCK + F.col("_at")).alias("byte_index"), "value")
 
 
 def explode_bytes(frames: DataFrame) -> DataFrame:
@@ -144,17 +152,17 @@ def explode_bits(frames: DataFrame) -> DataFrame:
 
 
 def series_array() -> Column:
-    """All u8, u16le and u16be readings of a ``with_words`` frame as ARRAY<STRUCT<kind, offset, x>>."""
+    """All u8, u16le and u16be readings of a ``with_words`` block as ARRAY<STRUCT<kind, offset, x>>; pairs reach into the next block."""
     cells: list[Column] = []
+    at = [word_byte(i) for i in range(BLOCK)] + [F.col("w_next")]
 
     def entry(kind: str, offset: int, x: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), F.lit(offset).alias("offset"), x.cast("bigint").alias("x"))
+        return F.struct(F.lit(kind).alias("kind"), (F.col("w_block") * BLOCK + offset).alias("offset"), x.cast("bigint").alias("x"))
 
-    for i in range(MAX_CLASSIC):
-        cells.append(entry("u8", i, word_byte(i)))
-    for i in range(MAX_CLASSIC - 1):
-        cells.append(entry("u16le", i, word_byte(i) + word_byte(i + 1) * 256))
-        cells.append(entry("u16be", i, word_byte(i) * 256 + word_byte(i + 1)))
+    for i in range(BLOCK):
+        cells.append(entry("u8", i, at[i]))
+        cells.append(entry("u16le", i, at[i] + at[i + 1] * 256))
+        cells.append(entry("u16be", i, at[i] * 256 + at[i + 1]))
     return F.filter(F.array(*cells), lambda c: c["x"].isNotNull())
 
 

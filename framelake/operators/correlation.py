@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelake.functions.bits import explode_words, extract_words, with_words
+from framelake.functions.bits import BLOCK, explode_words, extract_words, with_words
 from framelake.operators.activity import select_dominant_dlc
 from framelake.plans.ordered import CHUNK_US
 from framelake.plans.stats import pearson
@@ -23,22 +25,25 @@ def align_annotations(transcript: DataFrame, epoch_us: int) -> DataFrame:
 
 
 def annotation_window_join(
-    frames: DataFrame, annotations: DataFrame, baseline_us: int, bin_us: int = CHUNK_US
+    frames: DataFrame, annotations: DataFrame, baseline_us: int, bin_us: int = CHUNK_US, by: Sequence[str] = ("session_id",)
 ) -> DataFrame:
-    """Frames in [start - baseline, end) of each annotation, with ``action`` telling the phase."""
-    windows = annotations.select("annotation_idx", "start_us", "end_us")
-    joined = interval_join(frames, windows, F.col("start_us") - baseline_us, F.col("end_us"), bin_us=bin_us)
+    """Frames in [start - baseline, end) of each annotation, with ``action`` telling the phase.
+
+    ``by`` names the capture key that both sides carry: an annotation only meets frames of its own capture.
+    """
+    windows = annotations.select(*by, "annotation_idx", "start_us", "end_us")
+    joined = interval_join(frames, windows, F.col("start_us") - baseline_us, F.col("end_us"), on=by, bin_us=bin_us)
     return joined.withColumn("action", F.col("ts_us") >= F.col("start_us")).drop("start_us", "end_us")
 
 
 def distribution_shift(
-    frames: DataFrame, annotations: DataFrame, baseline_us: int, min_obs: int, bin_us: int = CHUNK_US
+    frames: DataFrame, annotations: DataFrame, baseline_us: int, min_obs: int, bin_us: int = CHUNK_US, by: Sequence[str] = ("session_id",)
 ) -> DataFrame:
-    """Per (annotation, interface, id, byte): value histograms before and during, their distance and score."""
-    key = ["annotation_idx", "iface", "arb_id", "byte_index"]
+    """Per (capture, annotation, interface, id, byte): value histograms before and during, their distance and score."""
+    key = [*by, "annotation_idx", "iface", "arb_id", "byte_index"]
     # payloads are opened once, before the join repeats frames for overlapping windows
-    wide = with_words(frames.select("sequence", "ts_us", "iface", "arb_id", "data")).drop("data")
-    joined = annotation_window_join(wide, annotations, baseline_us, bin_us).drop("ts_us", "sequence")
+    wide = with_words(frames.select(*by, "sequence", "ts_us", "iface", "arb_id", "data")).drop("data", "w_next")
+    joined = annotation_window_join(wide, annotations, baseline_us, bin_us, by).drop("ts_us", "sequence")
     # values of one byte: at most 256 rows per key from here on
     hist = (
         explode_words(joined)
@@ -66,8 +71,8 @@ def distribution_shift(
     return scored.withColumn("score", F.lit(100.0) * F.col("distance") + F.lit(20.0) * change / 255)
 
 
-def _top(scored: DataFrame, order: list[Column], k: int) -> DataFrame:
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("annotation_idx").orderBy(*order)))
+def _top(scored: DataFrame, order: list[Column], k: int, by: Sequence[str]) -> DataFrame:
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy(*by, "annotation_idx").orderBy(*order)))
     return ranked.where(F.col("rank") <= k)
 
 
@@ -78,10 +83,11 @@ def window_correlation(
     min_obs: int = 3,
     k: int = 8,
     bin_us: int = CHUNK_US,
+    by: Sequence[str] = ("session_id",),
 ) -> DataFrame:
     """Top ``k`` bytes per annotation; equal scores go to the larger (interface, id, byte)."""
-    scored = distribution_shift(frames, annotations, baseline_us, min_obs, bin_us)
-    return _top(scored, [F.desc("score"), F.desc("iface"), F.desc("arb_id"), F.desc("byte_index")], k)
+    scored = distribution_shift(frames, annotations, baseline_us, min_obs, bin_us, by)
+    return _top(scored, [F.desc("score"), F.desc("iface"), F.desc("arb_id"), F.desc("byte_index")], k, by)
 
 
 def voice_correlation(
@@ -93,6 +99,7 @@ def voice_correlation(
     min_obs: int = 3,
     k: int = 8,
     bin_us: int = CHUNK_US,
+    by: Sequence[str] = ("session_id",),
 ) -> DataFrame:
     """As :func:`window_correlation` with a stretched action window and scores rounded to 6 digits before ranking.
 
@@ -101,29 +108,27 @@ def voice_correlation(
     stretched = annotations.withColumn(
         "end_us", F.greatest(F.col("end_us"), F.col("start_us") + min_span_us) + after_us
     )
-    scored = distribution_shift(frames, stretched, baseline_us, min_obs, bin_us).withColumn("score", F.round("score", 6))
-    return _top(scored, [F.desc("score"), F.asc("iface"), F.asc("arb_id"), F.asc("byte_index")], k)
+    scored = distribution_shift(frames, stretched, baseline_us, min_obs, bin_us, by).withColumn("score", F.round("score", 6))
+    return _top(scored, [F.desc("score"), F.asc("iface"), F.asc("arb_id"), F.asc("byte_index")], k, by)
 
 
-BIT_KEY = ["discovery_id", "iface", "arb_id", "is_extended", "w_len"]
+BIT_KEY = ["discovery_id", "iface", "arb_id", "is_extended", "length", "w_block"]
 
 
-def phase_bit_counts(frames: DataFrame, phases: DataFrame, bin_us: int = CHUNK_US) -> DataFrame:
-    """Frames and one-counts of all 64 bits per (key, phase); additive, so batches of a stream can be summed.
+def phase_bit_counts(frames: DataFrame, phases: DataFrame, bin_us: int = CHUNK_US, by: Sequence[str] = ("session_id",)) -> DataFrame:
+    """Frames and one-counts of the 64 bits of each block per (key, phase); additive, so batches of a stream can be summed.
 
-    ``phases`` has (discovery_id, phase, lo_us, hi_us) with phase baseline, event or after. The counts build up
-    map-side; only they are shuffled.
+    ``phases`` has (discovery_id, phase, lo_us, hi_us) and the capture key ``by``, with phase baseline, event or after.
+    The counts build up map-side; only they are shuffled.
     """
-    usable = with_words(
-        frames.where(~F.col("remote") & (F.length("data") > 0)).select("sequence", "ts_us", "iface", "arb_id", "is_extended", "data")
-    ).drop("data")
-    joined = interval_join(usable, phases, F.col("lo_us"), F.col("hi_us"), bin_us=bin_us)
+    usable = frames.where(~F.col("remote") & (F.length("data") > 0)).select(*by, "sequence", "ts_us", "iface", "arb_id", "is_extended", F.length("data").alias("length"), "data")
+    joined = interval_join(with_words(usable).drop("data", "w_next"), phases, F.col("lo_us"), F.col("hi_us"), on=by, bin_us=bin_us)
 
     def ones(byte: int, bit: int) -> str:
         word, base = ("w_hi", 24 - 8 * byte) if byte < 4 else ("w_lo", 56 - 8 * byte)
         return f"sum(shiftright({word}, {base + bit}) & 1)"
 
-    return joined.groupBy(*BIT_KEY, "phase").agg(
+    return joined.groupBy(*by, *BIT_KEY, "phase").agg(
         F.count("*").alias("n"),
         F.expr("array(" + ", ".join(ones(b, i) for b in range(8) for i in range(8)) + ")").alias("ones"),
     )
@@ -136,17 +141,19 @@ def bit_event_candidates(
     min_change: float = 0.65,
     max_restore: float = 0.20,
     bin_us: int = CHUNK_US,
+    by: Sequence[str] = ("session_id",),
 ) -> DataFrame:
     """Bits that change during an event and return to their baseline afterwards."""
-    return candidates_from_counts(phase_bit_counts(frames, phases, bin_us), min_frames, min_change, max_restore)
+    return candidates_from_counts(phase_bit_counts(frames, phases, bin_us, by), min_frames, min_change, max_restore, by)
 
 
 def candidates_from_counts(
-    counts: DataFrame, min_frames: int = 3, min_change: float = 0.65, max_restore: float = 0.20
+    counts: DataFrame, min_frames: int = 3, min_change: float = 0.65, max_restore: float = 0.20, by: Sequence[str] = ("session_id",)
 ) -> DataFrame:
     """Verdict over (summed) bit counts."""
-    key = BIT_KEY
-    bits = counts.select(*key, "phase", "n", F.posexplode(F.slice("ones", F.lit(1), F.col("w_len") * 8)).alias("bit", "hits"))
+    key = [*by, *BIT_KEY]
+    held = F.least(F.col("length") - F.col("w_block") * BLOCK, F.lit(BLOCK)) * 8
+    bits = counts.select(*key, "phase", "n", F.posexplode(F.slice("ones", F.lit(1), held)).alias("bit", "hits"))
 
     def of(phase: str, column: str) -> Column:
         return F.sum(F.when(F.col("phase") == phase, F.col(column)).otherwise(0))
@@ -165,12 +172,13 @@ def candidates_from_counts(
     change = F.abs(F.col("p_event") - (F.col("p_base") + F.col("p_after")) / 2)
     restore = F.abs(F.col("p_base") - F.col("p_after"))
     return q.where((change >= min_change) & (restore <= max_restore)).select(
+        *by,
         "discovery_id",
         F.col("iface").alias("channel"),
         F.col("arb_id").alias("id"),
         F.col("is_extended").alias("extended"),
-        F.col("w_len").alias("length"),
-        F.floor(F.col("bit") / 8).cast("int").alias("byte_index"),
+        "length",
+        (F.col("w_block") * BLOCK + F.floor(F.col("bit") / 8)).cast("int").alias("byte_index"),
         (F.col("bit") % 8).alias("bit_index"),
         "p_base",
         "p_event",
@@ -233,16 +241,16 @@ def top_speed_candidates(candidates: DataFrame, k: int = 50) -> DataFrame:
     ).limit(k)
 
 
-def live_validation_steps(samples: DataFrame, step_markers: DataFrame, chunk_us: int = CHUNK_US) -> DataFrame:
+def live_validation_steps(samples: DataFrame, step_markers: DataFrame, chunk_us: int = CHUNK_US, by: Sequence[str] = ("session_id",)) -> DataFrame:
     """Raw value statistics per operator target; a sample belongs to the latest marker at or before it.
 
-    ``samples`` has (ts_us, sequence, raw_value); ``step_markers`` has (ts_us, sequence, target_mph). A marker
-    without target pauses the validation.
+    ``samples`` has (ts_us, sequence, raw_value), ``step_markers`` (ts_us, sequence, target_mph), both with the capture
+    key ``by``. A marker without target pauses the validation.
     """
-    tagged = asof_backward(samples, step_markers, [], ["target_mph"], chunk_us=chunk_us)
+    tagged = asof_backward(samples, step_markers, by, ["target_mph"], chunk_us=chunk_us)
     return (
         tagged.where("target_mph IS NOT NULL")
-        .groupBy("target_mph")
+        .groupBy(*by, "target_mph")
         .agg(
             F.count("*").alias("samples"),
             F.min("raw_value").alias("raw_min"),

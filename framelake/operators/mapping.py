@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,41 +13,39 @@ from framelake.plans.timejoin import nearest_within
 from framelake.session import cut_lineage
 
 
-MAX_SLOTS = 4096
-
+def _slots_of(slots: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The slots of each capture: the small dimension that its cells are compared with."""
+    return slots.select(*by, "slot").distinct()
 
-def _slot_list(slots: DataFrame) -> Column:
-    """The vehicle's slot names as one small array; more names than any pack has stop the job."""
-    names = slots.select(F.array_sort(F.collect_set("slot"))).scalar()
-    return F.when(F.size(names) <= MAX_SLOTS, names).otherwise(F.raise_error(F.lit("Too many slots")).cast("array<string>"))
 
+def paired_series(cells: DataFrame, slots: DataFrame, tol_us: int = 250_000, chunk_us: int = CHUNK_US, by: Sequence[str] = ("session_id",)) -> DataFrame:
+    """Each cell sample with the nearest sample of every slot of its capture.
 
-def paired_series(cells: DataFrame, slots: DataFrame, tol_us: int = 250_000, chunk_us: int = CHUNK_US) -> DataFrame:
-    """Each cell sample with the nearest sample of every slot.
-
-    ``cells`` has (cell, ts_us, sequence, value), ``slots`` (slot, ts_us, sequence, value). A cell sample is paired
-    with every slot because each (cell, slot) is scored; the slot list is a fixed dimension of the vehicle.
+    ``cells`` has (cell, ts_us, sequence, value), ``slots`` (slot, ts_us, sequence, value), both with the capture key
+    ``by``. A cell sample is paired with every slot because each (cell, slot) is scored; a vehicle has few slots.
     """
-    left = cells.select("cell", "ts_us", "sequence", F.col("value").alias("cell_v"), F.explode(_slot_list(slots)).alias("slot"))
-    right = slots.select("slot", "ts_us", "sequence", F.col("value").alias("slot_v"))
-    return nearest_within(left, right, ["slot"], tol_us, ["slot_v"], right_dup="last", chunk_us=chunk_us)
+    samples = cells.select(*by, "cell", "ts_us", "sequence", F.col("value").alias("cell_v"))
+    left = samples.join(_slots_of(slots, by), [*by])
+    right = slots.select(*by, "slot", "ts_us", "sequence", F.col("value").alias("slot_v"))
+    return nearest_within(left, right, [*by, "slot"], tol_us, ["slot_v"], right_dup="last", chunk_us=chunk_us)
 
 
-def series_pair_score(cells: DataFrame, slots: DataFrame, tol_us: int = 250_000, chunk_us: int = CHUNK_US) -> DataFrame:
-    """Score of every (cell, slot): 0.65 delta correlation + 0.25 closeness + 0.10 overlap, rounded to 6 digits."""
-    pairs = paired_series(cells, slots, tol_us, chunk_us).withColumn("chunk", chunk_of("ts_us", chunk_us))
-    stepped = previous(pairs, ["cell", "slot"], ["ts_us", "sequence"], ["cell_v", "slot_v"], ["chunk"])
+def series_pair_score(cells: DataFrame, slots: DataFrame, tol_us: int = 250_000, chunk_us: int = CHUNK_US, by: Sequence[str] = ("session_id",)) -> DataFrame:
+    """Score of every (capture, cell, slot): 0.65 delta correlation + 0.25 closeness + 0.10 overlap, rounded to 6 digits."""
+    key = [*by, "cell", "slot"]
+    pairs = paired_series(cells, slots, tol_us, chunk_us, by).withColumn("chunk", chunk_of("ts_us", chunk_us))
+    stepped = previous(pairs, key, ["ts_us", "sequence"], ["cell_v", "slot_v"], ["chunk"])
     dc = F.col("cell_v") - F.col("prev.cell_v")
     ds = F.col("slot_v") - F.col("prev.slot_v")
     miss = F.col("cell_v") - F.col("slot_v")
-    stats = stepped.groupBy("cell", "slot").agg(
+    stats = stepped.groupBy(*key).agg(
         F.count("*").alias("overlap"),
         F.sqrt(F.sum(miss * miss) / F.count("*")).alias("rmse"),
         F.count(dc).alias("deltas"),
         pearson(dc, ds).alias("r"),
     )
-    # every (cell, slot) gets a row, also without pairs
-    grid = cells.select("cell").distinct().select("cell", F.explode(_slot_list(slots)).alias("slot"))
+    # every (cell, slot) of a capture gets a row, also without pairs
+    grid = cells.select(*by, "cell").distinct().join(_slots_of(slots, by), [*by])
     n = F.coalesce(F.col("overlap"), F.lit(0))
     enough = n >= 2
     r = F.when(F.col("deltas") >= 2, F.col("r")).otherwise(0.0)
@@ -54,9 +54,8 @@ def series_pair_score(cells: DataFrame, slots: DataFrame, tol_us: int = 250_000,
         + F.lit(0.25) * F.exp(-F.col("rmse") / F.lit(0.005))
         + F.lit(0.10) * F.least(F.lit(1.0), n / F.lit(8.0))
     )
-    return grid.join(stats, ["cell", "slot"], "left").select(
-        "cell",
-        "slot",
+    return grid.join(stats, key, "left").select(
+        *key,
         F.when(enough, F.round(score, 6)).otherwise(0.0).alias("score"),
         F.when(enough, F.round(r, 6)).otherwise(0.0).alias("delta_correlation"),
         F.when(enough, F.round("rmse", 6)).otherwise(999.0).alias("rmse_v"),
@@ -73,41 +72,41 @@ def mapping_confidence(min_pairs: int) -> Column:
     )
 
 
-def top_alternatives(scores: DataFrame, k: int = 3) -> DataFrame:
-    """Best ``k`` slots per cell; ties by slot."""
-    best = Window.partitionBy("cell").orderBy(F.desc("score"), F.asc("slot"))
+def top_alternatives(scores: DataFrame, k: int = 3, by: Sequence[str] = ("session_id",)) -> DataFrame:
+    """Best ``k`` slots per cell of a capture; ties by slot."""
+    best = Window.partitionBy(*by, "cell").orderBy(F.desc("score"), F.asc("slot"))
     top = scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return top.groupBy("cell").agg(
+    return top.groupBy(*by, "cell").agg(
         F.array_sort(F.collect_list(F.struct("rank", "slot", "score", "rmse_v", "delta_correlation", "overlap"))).alias("alternatives")
     )
 
 
-def greedy_assign(scores: DataFrame, min_pairs: int = 4) -> DataFrame:
-    """One-to-one assignment by falling score (ties: cell, then slot).
+def greedy_assign(scores: DataFrame, min_pairs: int = 4, by: Sequence[str] = ("session_id",)) -> DataFrame:
+    """One-to-one assignment per capture by falling score (ties: cell, then slot).
 
     Each round keeps the pairs that are the best of both their cell and their slot; a pair like that is what the
-    greedy order would take, whatever happens elsewhere. Rounds repeat until no pair is left, with the remaining
-    pairs written to the checkpoint folder, so a lost executor never replays earlier rounds.
+    greedy order would take, whatever happens elsewhere. All captures share the rounds. Rounds repeat until no pair is
+    left, with the remaining pairs written to the checkpoint folder, so a lost executor never replays earlier rounds.
     """
-    pairs = cut_lineage(scores.select("cell", "slot", "score", "delta_correlation", "rmse_v", "overlap"))
+    by = list(by)
+    pairs = cut_lineage(scores.select(*by, "cell", "slot", "score", "delta_correlation", "rmse_v", "overlap"))
     left = pairs
     taken: DataFrame | None = None
     order = [F.desc("score"), F.asc("cell"), F.asc("slot")]
     while not left.isEmpty():
         ranked = left.select(
             "*",
-            F.row_number().over(Window.partitionBy("cell").orderBy(*order)).alias("_rc"),
-            F.row_number().over(Window.partitionBy("slot").orderBy(*order)).alias("_rs"),
+            F.row_number().over(Window.partitionBy(*by, "cell").orderBy(*order)).alias("_rc"),
+            F.row_number().over(Window.partitionBy(*by, "slot").orderBy(*order)).alias("_rs"),
         )
-        won = ranked.where("_rc = 1 AND _rs = 1").drop("_rc", "_rs")
-        won = cut_lineage(won)
+        won = cut_lineage(ranked.where("_rc = 1 AND _rs = 1").drop("_rc", "_rs"))
         taken = won if taken is None else taken.unionByName(won)
         left = cut_lineage(
-            left.join(won.select("cell"), "cell", "left_anti").join(won.select("slot"), "slot", "left_anti")
+            left.join(won.select(*by, "cell"), [*by, "cell"], "left_anti").join(won.select(*by, "slot"), [*by, "slot"], "left_anti")
         )
     assigned = taken if taken is not None else pairs
-    return assigned.join(top_alternatives(pairs), "cell").select(
-        "cell", "slot", "score", "rmse_v", "delta_correlation", "overlap",
+    return assigned.join(top_alternatives(pairs, by=by), [*by, "cell"]).select(
+        *by, "cell", "slot", "score", "rmse_v", "delta_correlation", "overlap",
         mapping_confidence(min_pairs).alias("confidence"), "alternatives",
         F.lit("candidateOnly").alias("mapping_status"),
     )

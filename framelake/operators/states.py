@@ -89,19 +89,19 @@ def state_counts(samples: DataFrame, by: Sequence[str]) -> DataFrame:
     return samples.groupBy(*by, "raw_state").agg(F.count("*").alias("samples"))
 
 
-def marker_window(samples: DataFrame, markers: DataFrame) -> DataFrame:
-    """Samples between the first '... start' marker and the first '... end' marker at or after it (closed).
+def marker_window(samples: DataFrame, markers: DataFrame, by: Sequence[str] = ("session_id",)) -> DataFrame:
+    """Samples between the first '... start' marker of their capture and its first '... end' marker at or after it (closed).
 
-    Without any start or any end marker all samples are kept; without a later end the window stays open.
+    A capture without any start or any end marker keeps all samples; without a later end the window stays open.
     """
-    label = F.lower("label")
-    starts, ends = markers.where(label.endswith(" start")), markers.where(label.endswith(" end"))
-    # scalar subqueries: three numbers, whatever the number of markers
-    lo = starts.select(F.min("ts_us")).scalar()
-    hi = ends.where(F.col("ts_us") >= lo).select(F.min("ts_us")).scalar()
-    any_end = ends.select(F.max("ts_us")).scalar()
+    by, label = list(by), F.lower("label")
+    firsts = markers.where(label.endswith(" start")).groupBy(*by).agg(F.min("ts_us").alias("_lo"))
+    # one row per capture that has both a start and an end
+    ends = markers.where(label.endswith(" end")).join(firsts, by)
+    bounds = ends.groupBy(*by).agg(F.min("_lo").alias("_lo"), F.min(F.when(F.col("ts_us") >= F.col("_lo"), F.col("ts_us"))).alias("_hi"))
     ts = F.col("ts_us")
-    return samples.where(lo.isNull() | any_end.isNull() | ((ts >= lo) & (hi.isNull() | (ts <= hi))))
+    inside = F.col("_lo").isNull() | ((ts >= F.col("_lo")) & (F.col("_hi").isNull() | (ts <= F.col("_hi"))))
+    return samples.join(bounds, by, "left").where(inside).drop("_lo", "_hi")
 
 
 def channel_coverage(frames: DataFrame) -> DataFrame:

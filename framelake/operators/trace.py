@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,8 +130,9 @@ def pair_calls(records: DataFrame, chunk: int = SEQUENCE_CHUNK) -> DataFrame:
     )
 
 
-def _bus_side(events: DataFrame) -> DataFrame:
+def _bus_side(events: DataFrame, by: Sequence[str]) -> DataFrame:
     return events.select(
+        *by,
         F.when(F.col("direction") == "request", "request").otherwise("response").alias("side"),
         "ts_us",
         F.col("pos").alias("sequence"),
@@ -143,12 +146,17 @@ def _bus_side(events: DataFrame) -> DataFrame:
 
 
 def _tail_key(tail: Column) -> Column:
-    """Short tails as they are, long ones as a digest, so that a long message does not grow quadratically."""
-    return F.when(F.length(tail) <= 32, tail).otherwise(F.concat(F.length(tail).cast("string"), F.lit(":"), F.md5(tail)))
+    """Length and digest, so that a long message does not grow quadratically."""
+    return F.concat(F.length(tail).cast("string"), F.lit(":"), F.md5(tail))
+
 
+def match_trace_to_bus(
+    messages: DataFrame, events: DataFrame, max_delta_us: int = 1_000_000, chunk_us: int | None = None, by: Sequence[str] = ("session_id",)
+) -> DataFrame:
+    """The best bus event of its capture for each trace message: equal payload, then equal service, then nearest in time.
 
-def match_trace_to_bus(messages: DataFrame, events: DataFrame, max_delta_us: int = 1_000_000, chunk_us: int = CHUNK_US) -> DataFrame:
-    """The best bus event for each trace message: equal payload, then equal service, then nearest in time.
+    Both sides carry the capture key ``by`` (a trace is recorded with one capture). The chunk of the joins follows the
+    tolerance unless given.
 
     Instead of comparing all pairs in the band, each rank is a nearest-in-time join on its own equality key: the
     payload tails of the message, its service, or its direction alone. Ties go to the earlier event. ``events``
@@ -159,11 +167,12 @@ def match_trace_to_bus(messages: DataFrame, events: DataFrame, max_delta_us: int
     asks = F.col("direction").isin("applicationToProvider", "applicationToProviderPeriodic")
     # both sides are read by four joins, so they are written once
     left = cut_lineage(messages.where("direction != 'other'").select(
-        "trace_id", "sequence", "ts_us", "call_id", "api", "message_index", "direction", "service_id", "payload_hex", "payload_redacted",
+        *by, "trace_id", "sequence", "ts_us", "call_id", "api", "message_index", "direction", "service_id", "payload_hex", "payload_redacted",
         F.when(asks, "request").otherwise("response").alias("side"),
     ))
-    bus = cut_lineage(_bus_side(events))
-    ident = ["trace_id", "sequence", "message_index"]
+    bus = cut_lineage(_bus_side(events, by))
+    chunk_us = chunk_us or max(60_000_000, 4 * max_delta_us)
+    ident = [*by, "trace_id", "sequence", "message_index"]
 
     def best(l: DataFrame, r: DataFrame, by: list[str], rank: int) -> DataFrame:
         hit = nearest_within(l, r, by, max_delta_us, ["bus_event", "sequence_of"], right_dup="earliest", chunk_us=chunk_us)
@@ -189,10 +198,10 @@ def match_trace_to_bus(messages: DataFrame, events: DataFrame, max_delta_us: int
     with_tail = sized.select(*ident, "ts_us", "side", F.col("service_id").alias("bus_service_id"), F.explode(tails).alias("tail"))
     served = "bus_service_id IS NOT NULL"
     ranks = [
-        best(with_tail.where(served), payloads.where(served), ["side", "tail", "bus_service_id"], 0),
-        best(with_tail.drop("bus_service_id"), payloads, ["side", "tail"], 1),
-        best(short.where(served), bus.where(served), ["side", "bus_service_id"], 2),
-        best(short.drop("bus_service_id"), bus, ["side"], 3),
+        best(with_tail.where(served), payloads.where(served), [*by, "side", "tail", "bus_service_id"], 0),
+        best(with_tail.drop("bus_service_id"), payloads, [*by, "side", "tail"], 1),
+        best(short.where(served), bus.where(served), [*by, "side", "bus_service_id"], 2),
+        best(short.drop("bus_service_id"), bus, [*by, "side"], 3),
     ]
     found = ranks[0]
     for part in ranks[1:]:
@@ -206,7 +215,7 @@ def match_trace_to_bus(messages: DataFrame, events: DataFrame, max_delta_us: int
         .otherwise("timeOnlyCandidate")
     )
     return left.join(winner, ident, "left").select(
-        "trace_id", "sequence", "call_id", "api", "message_index", "direction",
+        *by, "trace_id", "sequence", "call_id", "api", "message_index", "direction",
         (F.col("ts_us") / 1e6).alias("trace_ts"), "service_id", status.alias("status"),
         (hit["delta"] / 1000.0).alias("delta_ms"),
         F.when(hit.isNotNull(), ~F.col("payload_redacted") & ~hit["bus_event"]["redacted"]).alias("payload_compared"),
@@ -215,21 +224,21 @@ def match_trace_to_bus(messages: DataFrame, events: DataFrame, max_delta_us: int
 
 
 def markers_near_events(
-    markers: DataFrame, events: DataFrame, window_us: int = 5_000_000, k: int = 12, bin_us: int = CHUNK_US
+    markers: DataFrame, events: DataFrame, window_us: int = 5_000_000, k: int = 12, bin_us: int = CHUNK_US, by: Sequence[str] = ("session_id",)
 ) -> DataFrame:
-    """Up to ``k`` nearest events per marker; distance is zero inside [start_us, end_us].
+    """Up to ``k`` nearest events of its capture per marker; distance is zero inside [start_us, end_us].
 
-    ``markers`` has (marker_id, label, start_us, end_us), ``events`` (ts_us, pos, ...). The per-marker limit is
+    ``markers`` has (marker_id, label, start_us, end_us), ``events`` (ts_us, pos, ...), both with the capture key ``by``. The per-marker limit is
     applied before the shuffle of the ranking as well (window group limit), so only k rows per task travel.
     """
     near = interval_join(
-        events, markers, F.col("start_us") - window_us, F.col("end_us") + window_us, closed=True, bin_us=bin_us
+        events, markers, F.col("start_us") - window_us, F.col("end_us") + window_us, on=by, closed=True, bin_us=bin_us
     )
     ts = F.col("ts_us")
     delta = F.when(ts.between(F.col("start_us"), F.col("end_us")), F.lit(0)).otherwise(
         F.least(F.abs(ts - F.col("start_us")), F.abs(ts - F.col("end_us")))
     )
-    order = Window.partitionBy("marker_id").orderBy("delta_us", "ts_us", "pos")
+    order = Window.partitionBy(*by, "marker_id").orderBy("delta_us", "ts_us", "pos")
     ranked = near.withColumn("delta_us", delta).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.withColumn("delta_ms", F.col("delta_us") / 1000.0).drop("delta_us")
 

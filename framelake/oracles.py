@@ -8,7 +8,7 @@ DAY = 24 * HOUR
 _EV = """ev AS (
   SELECT event_id, epoch_us(ts) AS ts_us, user_id, event_type, value,
          CAST(regexp_extract(props, '"k": (\\d+)', 1) AS INT) AS k,
-         CAST(least(round(value * 100), 65535) AS BIGINT) AS cents,
+         CAST(round(value * 100) AS BIGINT) AS cents,
          CASE event_type WHEN 'signup' THEN 1 WHEN 'click' THEN 2 WHEN 'error' THEN 3 WHEN 'purchase' THEN 4 ELSE 5 END AS code,
          CASE event_type WHEN 'signup' THEN 104 WHEN 'click' THEN 106 WHEN 'error' THEN 111 ELSE 107 END AS state,
          'can' || CAST(user_id % 5 AS VARCHAR) AS iface
@@ -26,6 +26,28 @@ _BY = """bt AS (
   UNION ALL SELECT iface, arb_id, typed_id, event_id, ts_us, dlc, 2, b2 FROM fr
   UNION ALL SELECT iface, arb_id, typed_id, event_id, ts_us, dlc, 3, b3 FROM fr WHERE b3 IS NOT NULL)"""
 
+# payloads of 3 to 64 bytes: bl is the list of all byte values
+_LF = """fr AS (
+  SELECT *, 256 + user_id AS arb_id, 256 + code AS typed_id, CAST(len(bl) AS INT) AS dlc,
+         array_to_string(list_transform(bl, lambda x: printf('%02X', x)), '') AS hx
+  FROM (SELECT *, list_concat([code, cents // 256, cents % 256], CASE WHEN k >= 10 THEN list_concat([CAST(k AS BIGINT)],
+          list_transform(range(4, 4 + CASE WHEN code = 2 THEN 8 WHEN k >= 90 THEN (k - 89) * 6 ELSE 0 END), lambda j: (cents + j * 7) % 256)) ELSE CAST([] AS BIGINT[]) END) AS bl
+        FROM ev))"""
+
+_LBY = """bt AS (
+  SELECT iface, arb_id, typed_id, event_id, ts_us, dlc, CAST(byte_index AS INT) AS byte_index, bl[byte_index + 1] AS value
+  FROM (SELECT *, unnest(range(len(bl))) AS byte_index FROM fr))"""
+
+_LSERIES = """series AS (
+  SELECT iface, typed_id, event_id, ts_us, unnest([
+    {'kind': 'u8', 'offset': i, 'x': bl[i + 1]}, {'kind': 'u16le', 'offset': i, 'x': bl[i + 1] + bl[i + 2] * 256},
+    {'kind': 'u16be', 'offset': i, 'x': bl[i + 1] * 256 + bl[i + 2]}]) AS s
+  FROM (SELECT *, unnest(range(len(bl))) AS i FROM SRC))"""
+
+_LBITS = """bits AS (
+  SELECT iface, typed_id, event_id, ts_us, dlc, {'byte_index': i // 8, 'bit_index': i % 8, 'bit': (bl[i // 8 + 1] >> (i % 8)) & 1} AS s
+  FROM (SELECT *, CAST(unnest(range(len(bl) * 8)) AS INT) AS i FROM fr))"""
+
 _IDS = "[512, 514, 516, 518, 528, 530, 770, 772, 782, 1120, 776, 552, 1516, 241, 497, 711]"
 _VF = f"""vf AS (
   SELECT *, CASE WHEN arb_id = 1516 THEN 254 ELSE k END AS c0, CASE WHEN arb_id = 1516 THEN state ELSE cents // 256 END AS c1,
@@ -93,16 +115,16 @@ _SERIES = """series AS (
     {'kind': 'u16le', 'offset': 1, 'x': b1 + b2 * 256}, {'kind': 'u16be', 'offset': 1, 'x': b1 * 256 + b2},
     {'kind': 'u16le', 'offset': 2, 'x': b2 + b3 * 256}, {'kind': 'u16be', 'offset': 2, 'x': b2 * 256 + b3}]) AS s FROM SRC)"""
 
-_ANN = "ann AS (SELECT event_id AS annotation_idx, ts_us AS start_us, ts_us + {end} AS end_us FROM ev WHERE event_type = 'error' AND value >= 150)"
+_ANN = "ann AS (SELECT event_id AS annotation_idx, iface, ts_us AS start_us, ts_us + {end} AS end_us FROM ev WHERE event_type = 'error')"
 
 
 def _correlation(end: str, score: str, order: str) -> str:
     return _with(
-        _EV, _FR, _BY, _ANN.format(end=end),
+        _EV, _LF, _LBY, _ANN.format(end=end),
         f"""hist AS (
   SELECT annotation_idx, iface, typed_id AS arb_id, byte_index, value, sum(CASE WHEN ts_us < start_us THEN 1 ELSE 0 END) AS b,
          sum(CASE WHEN ts_us >= start_us THEN 1 ELSE 0 END) AS a
-  FROM bt JOIN ann ON ts_us >= start_us - {12 * HOUR} AND ts_us < end_us GROUP BY ALL)""",
+  FROM bt JOIN ann USING (iface) WHERE ts_us >= start_us - {6 * HOUR} AND ts_us < end_us GROUP BY ALL)""",
         """tot AS (
   SELECT annotation_idx, iface, arb_id, byte_index, sum(b) AS nb, sum(a) AS na, sum(value * b) / CAST(sum(b) AS DOUBLE) AS mb,
          sum(value * a) / CAST(sum(a) AS DOUBLE) AS ma FROM hist GROUP BY ALL HAVING sum(b) >= 3 AND sum(a) >= 3)""",
@@ -111,17 +133,12 @@ def _correlation(end: str, score: str, order: str) -> str:
     SELECT annotation_idx, iface, arb_id, byte_index, sum(abs(b * CAST(na AS DOUBLE) - a * CAST(nb AS DOUBLE))) AS gap
     FROM hist JOIN tot USING (annotation_idx, iface, arb_id, byte_index) GROUP BY ALL) d USING (annotation_idx, iface, arb_id, byte_index))""",
         f"sd AS (SELECT *, {score} AS score FROM (SELECT *, 100.0 * distance + 20.0 * abs(ma - mb) / 255 AS s0 FROM sc))",
-        body=f"""SELECT annotation_idx, rank, iface, arb_id, byte_index, CAST(nb AS BIGINT) AS n_base, CAST(na AS BIGINT) AS n_action,
+        body=f"""SELECT iface AS session_id, annotation_idx, rank, 'bus' AS iface, arb_id, byte_index, CAST(nb AS BIGINT) AS n_base, CAST(na AS BIGINT) AS n_action,
        round(mb, 6) AS mean_base, round(ma, 6) AS mean_action, round(distance, 6) AS distance, round(score, 6) AS score
-FROM (SELECT *, row_number() OVER (PARTITION BY annotation_idx ORDER BY {order}) AS rank FROM sd) WHERE rank <= 8""",
+FROM (SELECT *, row_number() OVER (PARTITION BY iface, annotation_idx ORDER BY {order}) AS rank FROM sd) WHERE rank <= 8""",
     )
 
 
-def _bits_sql() -> str:
-    cells = ", ".join(f"{{'byte_index': {b}, 'bit_index': {i}, 'bit': (b{b} >> {i}) & 1}}" for b in range(4) for i in range(8))
-    return f"bits AS (SELECT iface, typed_id, event_id, ts_us, dlc, unnest([{cells}]) AS s FROM fr)"
-
-
 _RUNS = """runs AS (
   SELECT * FROM (SELECT 'u' || user_id AS channel, event_id AS seq, ts_us, state AS raw_state, {part} AS day,
                         lag(state) OVER (PARTITION BY user_id, {part} ORDER BY ts_us, event_id) AS p FROM ev)
@@ -276,33 +293,34 @@ cl AS (SELECT *, CASE WHEN section LIKE 'BCM%' THEN 'BCM' WHEN section LIKE 'Rad
 def build() -> dict[str, str]:
     q: dict[str, str] = {}
     fr = (_EV, _FR)
+    lf = (_EV, _LF)
     q["frames_bridge"] = _with(*fr, body="SELECT 'events' AS session_id, event_id AS sequence, ts_us, iface, arb_id, dlc, hx AS payload FROM fr")
     q["session_summary"] = _with(_EV, _VF, body="""SELECT iface AS session_id, CAST(min(ts_us) AS VARCHAR) AS metadata_started_utc, 'bridge' AS vehicle_model,
   '1' AS vehicle_generation, count(*) AS total_frames, iface AS logged_interface, iface AS bus_name, count(*) AS frames,
   count(DISTINCT arb_id) AS unique_arbitration_ids, 'captured' AS state FROM vf GROUP BY iface""")
     q["frame_count_check"] = _with(_EV, body="SELECT iface AS session_id, count(*) + 1 AS total_frames, count(*) AS parsed FROM ev WHERE iface = 'can1' GROUP BY iface")
-    q["id_activity"] = _with(*fr, _BY, _BYTE_METRICS, _ID_METRICS, body="SELECT * FROM im")
-    q["byte_activity"] = _with(*fr, _BY, _BYTE_METRICS, body="""SELECT 'events' AS session_id, *,
+    q["id_activity"] = _with(*lf, _LBY, _BYTE_METRICS, _ID_METRICS, body="SELECT * FROM im")
+    q["byte_activity"] = _with(*lf, _LBY, _BYTE_METRICS, body="""SELECT 'events' AS session_id, *,
   1e2 * change_count / greatest(observation_count - 1, 1) + least(distinct_values - 1, 32) AS activity_score FROM bm""")
-    q["top_ids"] = _with(*fr, _BY, _BYTE_METRICS, _ID_METRICS, body="SELECT * FROM im ORDER BY round(activity_score, 6) DESC, frame_count DESC, iface, arb_id LIMIT 25")
+    q["top_ids"] = _with(*lf, _LBY, _BYTE_METRICS, _ID_METRICS, body="SELECT * FROM im ORDER BY round(activity_score, 6) DESC, frame_count DESC, iface, arb_id LIMIT 25")
     q["id_counts"] = _with(*fr, body="SELECT iface, arb_id, count(*) AS frames FROM fr GROUP BY ALL")
     q["dlc_histogram"] = _with(*fr, body="SELECT iface, arb_id, dlc, count(*) AS frames FROM fr GROUP BY ALL")
     q["dominant_dlc"] = _with(*fr, _DOMINANT, body="SELECT * FROM dom")
     q["period_stats"] = _with(*fr, _BUS, body="""SELECT 'bus' AS iface, typed_id AS arb_id, median(m) / 1000.0 AS median_period_ms FROM (
   SELECT iface, typed_id, median(gap) AS m FROM (
     SELECT iface, typed_id, ts_us - lag(ts_us) OVER (PARTITION BY iface, typed_id ORDER BY ts_us) AS gap FROM bus) WHERE gap IS NOT NULL GROUP BY ALL) GROUP BY typed_id""")
-    q["change_rate"] = _with(*fr, _BUS, """bb AS (
-  SELECT typed_id, iface, ts_us, event_id, unnest([{'i': 0, 'v': b0}, {'i': 1, 'v': b1}, {'i': 2, 'v': b2}, {'i': 3, 'v': b3}]) AS s FROM bus)""", body=f"""
+    q["change_rate"] = _with(*lf, _BUS, """bb AS (
+  SELECT typed_id, iface, ts_us, event_id, {'i': CAST(i AS INT), 'v': bl[i + 1]} AS s FROM (SELECT *, unnest(range(len(bl))) AS i FROM bus))""", body=f"""
 SELECT 'bus' AS iface, typed_id AS arb_id, i AS byte_index, count(*) AS observations, min(v) AS minimum_value, max(v) AS maximum_value,
        CASE WHEN count(*) > 1 THEN sum(ch) / CAST(count(*) - 1 AS DOUBLE) ELSE 0 END AS change_rate
 FROM (SELECT *, {_CHANGED.format(v='v')} AS ch FROM (SELECT typed_id, iface, ts_us, event_id, s.i AS i, s.v AS v FROM bb) WHERE v IS NOT NULL
       WINDOW w AS (PARTITION BY typed_id, i ORDER BY iface, ts_us, event_id)) GROUP BY typed_id, i""")
     q["payload_transitions"] = _with(*fr, body="""SELECT iface, arb_id, event_id AS sequence, coalesce(lag(hx) OVER w != hx, false) AS changed FROM fr
 WINDOW w AS (PARTITION BY iface, arb_id ORDER BY ts_us, event_id)""")
-    q["explode_bytes"] = _with(*fr, _BY, body="SELECT event_id AS sequence, byte_index, value FROM bt")
-    q["bit_probability"] = _with(*fr, _bits_sql(), body="""SELECT iface, typed_id AS arb_id, s.byte_index AS byte_index, s.bit_index AS bit_index, CAST(sum(s.bit) AS BIGINT) AS ones, count(s.bit) AS frames
+    q["explode_bytes"] = _with(*lf, _LBY, body="SELECT event_id AS sequence, byte_index, value FROM bt")
+    q["bit_probability"] = _with(*lf, _LBITS, body="""SELECT iface, typed_id AS arb_id, s.byte_index AS byte_index, s.bit_index AS bit_index, CAST(sum(s.bit) AS BIGINT) AS ones, count(s.bit) AS frames
 FROM bits WHERE s.bit IS NOT NULL GROUP BY ALL""")
-    q["word_ranges"] = _with(*fr, _SERIES.replace("SRC", "fr"), body="""SELECT iface, typed_id AS arb_id, s.kind AS kind, s."offset" AS "offset", count(*) AS n, min(s.x) AS lo, max(s.x) AS hi,
+    q["word_ranges"] = _with(*lf, _LSERIES.replace("SRC", "fr"), body="""SELECT iface, typed_id AS arb_id, s.kind AS kind, s."offset" AS "offset", count(*) AS n, min(s.x) AS lo, max(s.x) AS hi,
   CAST(sum(s.x) AS BIGINT) AS total FROM series WHERE s.x IS NOT NULL GROUP BY ALL""")
 
     signed = "CASE WHEN cents >= 32768 THEN cents - 65536 ELSE cents END"
@@ -338,19 +356,19 @@ FROM bits WHERE s.bit IS NOT NULL GROUP BY ALL""")
 al AS (SELECT list_reverse(flatten(list(v ORDER BY slot))) AS l FROM lat)""", body="""SELECT 'all' AS session_id, CAST(len(l) AS INT) AS observed_values, CAST(i AS INT) AS cell, l[i + 1] AS volts FROM al, range(0, 96) t(i) WHERE len(l) = 96
 UNION ALL SELECT 'all', CAST(len(l) AS INT), NULL, NULL FROM al WHERE len(l) != 96""")
 
-    q["window_correlation"] = _correlation(str(6 * HOUR), "s0", "s0 DESC, iface DESC, arb_id DESC, byte_index DESC")
-    q["voice_correlation"] = _correlation(str(6 * HOUR), "round(s0, 6)", "round(s0, 6) DESC, iface, arb_id, byte_index")
-    q["annotation_windows"] = _with(*fr, _ANN.format(end=6 * HOUR), body=f"""SELECT annotation_idx, ts_us >= start_us AS action, count(*) AS frames, bit_xor(event_id) AS checksum
-FROM fr JOIN ann ON ts_us >= start_us - {12 * HOUR} AND ts_us < end_us GROUP BY ALL""")
-    h12 = 12 * HOUR
-    q["bit_event_candidates"] = _with(*fr, _bits_sql(), _ANN.format(end=6 * HOUR), f"""pb AS (
+    q["window_correlation"] = _correlation(str(3 * HOUR), "s0", "s0 DESC, iface DESC, arb_id DESC, byte_index DESC")
+    q["voice_correlation"] = _correlation(str(3 * HOUR), "round(s0, 6)", "round(s0, 6) DESC, iface, arb_id, byte_index")
+    q["annotation_windows"] = _with(*fr, _ANN.format(end=3 * HOUR), body=f"""SELECT iface AS session_id, annotation_idx, ts_us >= start_us AS action, count(*) AS frames, bit_xor(event_id) AS checksum
+FROM fr JOIN ann USING (iface) WHERE ts_us >= start_us - {6 * HOUR} AND ts_us < end_us GROUP BY ALL""")
+    h6 = 6 * HOUR
+    q["bit_event_candidates"] = _with(*lf, _LBITS, _ANN.format(end=3 * HOUR), f"""pb AS (
   SELECT annotation_idx, iface, typed_id, dlc, s.byte_index AS byte_index, s.bit_index AS bit_index,
          CASE WHEN ts_us < start_us THEN 'b' WHEN ts_us < end_us THEN 'e' ELSE 'a' END AS ph, s.bit AS bit
-  FROM bits JOIN ann ON ts_us >= start_us - {h12} AND ts_us < end_us + {h12} WHERE s.bit IS NOT NULL),
+  FROM bits JOIN ann USING (iface) WHERE ts_us >= start_us - {h6} AND ts_us < end_us + {h6} AND s.bit IS NOT NULL),
 pp AS (SELECT annotation_idx, iface, typed_id, dlc, byte_index, bit_index, count(*) FILTER (ph = 'b') AS nb, count(*) FILTER (ph = 'e') AS ne, count(*) FILTER (ph = 'a') AS na,
          sum(bit) FILTER (ph = 'b') / CAST(count(*) FILTER (ph = 'b') AS DOUBLE) AS p_base, sum(bit) FILTER (ph = 'e') / CAST(count(*) FILTER (ph = 'e') AS DOUBLE) AS p_event,
          sum(bit) FILTER (ph = 'a') / CAST(count(*) FILTER (ph = 'a') AS DOUBLE) AS p_after FROM pb GROUP BY ALL)""", body="""
-SELECT annotation_idx AS discovery_id, iface AS channel, typed_id AS id, false AS extended, dlc AS length, byte_index, bit_index, p_base, p_event, p_after,
+SELECT iface AS session_id, annotation_idx AS discovery_id, 'bus' AS channel, typed_id AS id, false AS extended, dlc AS length, byte_index, bit_index, p_base, p_event, p_after,
        abs(p_event - (p_base + p_after) / 2) - abs(p_base - p_after) / 2 AS score
 FROM pp WHERE nb >= 3 AND ne >= 3 AND na >= 3 AND abs(p_event - (p_base + p_after) / 2) >= CAST(0.45 AS DOUBLE) AND abs(p_base - p_after) <= CAST(0.30 AS DOUBLE)""")
     sp = "sp AS (SELECT iface AS source, event_id, ts_us, cents AS speed FROM ev WHERE event_type = 'view')"
@@ -360,15 +378,15 @@ FROM pp WHERE nb >= 3 AND ne >= 3 AND na >= 3 AND abs(p_event - (p_base + p_afte
            row_number() OVER (PARTITION BY f.event_id ORDER BY abs(s.ts_us - f.ts_us), s.ts_us DESC, CASE WHEN s.ts_us >= f.ts_us THEN s.event_id ELSE -s.event_id END) AS r
     FROM fr f JOIN sp s ON s.source = f.iface AND s.ts_us BETWEEN f.ts_us - {HOUR} AND f.ts_us + {HOUR}) WHERE r = 1)"""
     q["nearest_within"] = _with(*fr, sp, near, body="SELECT source, event_id AS sequence, ts_us, speed, delta FROM nr")
-    q["signal_speed_correlation"] = _with(*fr, _BUS, sp, near, _SERIES.replace("SRC", "bus"), """cr AS (
+    q["signal_speed_correlation"] = _with(*lf, _BUS, sp, near, _LSERIES.replace("SRC", "bus"), """cr AS (
   SELECT 'bus' AS bus, typed_id AS can_id, s.kind AS kind, s."offset" AS "offset", count(*) AS overlap,
          round(coalesce(covar_pop(CAST(s.x AS DOUBLE), CAST(speed AS DOUBLE)) / nullif(stddev_pop(CAST(s.x AS DOUBLE)) * stddev_pop(CAST(speed AS DOUBLE)), 0), 0), 6) AS r
   FROM series JOIN nr USING (event_id) WHERE s.x IS NOT NULL GROUP BY ALL HAVING count(*) >= 20)""", body="""
 SELECT bus, can_id, kind, "offset", r, abs(r) AS abs_r, overlap, CASE WHEN abs(r) >= 0.95 THEN 'strongCandidate' WHEN abs(r) >= 0.8 THEN 'candidate' WHEN abs(r) >= 0.6 THEN 'weakCandidate' ELSE 'background' END AS confidence
 FROM cr ORDER BY abs_r DESC, overlap DESC, bus, can_id, CASE WHEN kind = 'u8' THEN 0 ELSE 1 END, "offset", CASE WHEN kind = 'u16be' THEN 1 ELSE 0 END LIMIT 50""")
-    q["live_validation_steps"] = _with(_EV, """mk AS (SELECT ts_us, event_id, CASE WHEN k >= 20 THEN CAST((k // 10) * 10 AS DOUBLE) END AS target FROM ev WHERE event_type = 'purchase')""", body="""
-SELECT target AS target_mph, count(*) AS samples, min(cents) AS raw_min, max(cents) AS raw_max, sum(cents) / CAST(count(*) AS DOUBLE) AS raw_mean
-FROM (SELECT e.cents, m.target FROM ev e ASOF JOIN mk m ON e.ts_us >= m.ts_us WHERE e.event_type = 'click') WHERE target IS NOT NULL GROUP BY target""")
+    q["live_validation_steps"] = _with(_EV, """mk AS (SELECT iface, ts_us, event_id, CASE WHEN k >= 20 THEN CAST((k // 10) * 10 AS DOUBLE) END AS target FROM ev WHERE event_type = 'purchase')""", body="""
+SELECT iface AS session_id, target AS target_mph, count(*) AS samples, min(cents) AS raw_min, max(cents) AS raw_max, sum(cents) / CAST(count(*) AS DOUBLE) AS raw_mean
+FROM (SELECT e.iface, e.cents, m.target FROM ev e ASOF JOIN mk m ON e.iface = m.iface AND e.ts_us >= m.ts_us WHERE e.event_type = 'click') WHERE target IS NOT NULL GROUP BY iface, target""")
 
     q["state_runs"] = _with(_EV, _RUNS.format(part="0"), body="SELECT channel, seq, ts_us, raw_state FROM runs")
     daily = _RUNS.format(part=_DAY)
@@ -376,9 +394,11 @@ FROM (SELECT e.cents, m.target FROM ev e ASOF JOIN mk m ON e.ts_us >= m.ts_us WH
     q["cadence_stats"] = _with(_EV, body="""SELECT channel, median(gap) / 1000.0 AS median_ms, sum(gap) / CAST(count(*) AS DOUBLE) / 1000.0 AS mean_ms, min(gap) / 1000.0 AS min_ms, max(gap) / 1000.0 AS max_ms FROM (
   SELECT 'u' || user_id AS channel, ts_us - lag(ts_us) OVER (PARTITION BY user_id ORDER BY ts_us) AS gap FROM ev) WHERE gap IS NOT NULL GROUP BY channel""")
     q["state_counts"] = _with(_EV, body="SELECT 'u' || user_id AS channel, state AS raw_state, count(*) AS samples FROM ev GROUP BY ALL")
-    q["marker_window"] = _with(_EV, """mk AS (SELECT ts_us, k < 50 AS starts FROM ev WHERE event_type = 'error' AND value >= 100),
-bd AS (SELECT s.lo, (SELECT min(ts_us) FROM mk WHERE NOT starts AND ts_us >= s.lo) AS hi, (SELECT count(*) FROM mk WHERE NOT starts) AS ends FROM (SELECT min(ts_us) FILTER (starts) AS lo FROM mk) s)""", body="""
-SELECT 'u' || user_id AS channel, count(*) AS samples FROM ev, bd WHERE lo IS NULL OR ends = 0 OR (ts_us >= lo AND (hi IS NULL OR ts_us <= hi)) GROUP BY ALL""")
+    q["marker_window"] = _with(_EV, """mk AS (SELECT iface, ts_us, k < 50 AS starts FROM ev WHERE event_type = 'error'),
+lo AS (SELECT iface, min(ts_us) FILTER (starts) AS lo, count(*) FILTER (NOT starts) AS ends FROM mk GROUP BY iface),
+bd AS (SELECT iface, lo, ends, (SELECT min(ts_us) FROM mk WHERE NOT starts AND mk.iface = lo.iface AND ts_us >= lo.lo) AS hi FROM lo)""", body="""
+SELECT iface AS session_id, 'u' || user_id AS channel, count(*) AS samples FROM ev LEFT JOIN bd USING (iface)
+WHERE lo IS NULL OR ends = 0 OR (ts_us >= lo AND (hi IS NULL OR ts_us <= hi)) GROUP BY ALL""")
     q["channel_coverage"] = _with(_EV, body="""SELECT 'events' AS session_id, iface AS channel, (min(ts_us) - (SELECT min(ts_us) FROM ev)) / 1e6 AS first_seconds,
   (max(ts_us) - (SELECT min(ts_us) FROM ev)) / 1e6 AS last_seconds, count(*) AS frames FROM ev GROUP BY iface""")
     step = lambda name, at, amps="NULL", volts="NULL", raw="NULL", mode="NULL": f"SELECT '{name}' AS event, round(({at} - t0) / 1e6, 6) AS seconds, round(CAST({amps} AS DOUBLE), 6) AS current_a, round(CAST({volts} AS DOUBLE), 6) AS voltage_v, {raw} AS raw_position, {mode} AS system_power_mode FROM st2 WHERE {at} IS NOT NULL"
@@ -452,37 +472,37 @@ UNION ALL SELECT trace_id, sequence, substr(payload_hex, 9) FROM tm WHERE NOT pa
     q["band_match"] = _with(*tr, _TM, """rk AS (
   SELECT m.trace_id, m.sequence, m.direction, m.service_id, m.payload_redacted, abs(d.ts_us - m.ts_us) AS delta, d.ts_us AS bus_us, d.service AS bus_service,
          (NOT m.payload_redacted) AND d.service != 'SecurityAccess' AND suffix(m.payload_hex, d.payload) AS exact, d.service_id = m.service_id AS served, d.service = 'SecurityAccess' AS bus_red, d.event_id
-  FROM tm m JOIN dm d ON d.ts_us BETWEEN m.ts_us - 600000000 AND m.ts_us + 600000000 AND (d.direction = 'request') = m.asks WHERE m.direction != 'other'),
+  FROM tm m JOIN dm d ON m.trace_id = 'trace' || (d.event_id // 1000) AND d.ts_us BETWEEN m.ts_us - 600000000 AND m.ts_us + 600000000 AND (d.direction = 'request') = m.asks WHERE m.direction != 'other'),
 bst AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trace_id, sequence ORDER BY exact DESC, served DESC, delta, bus_us, event_id) AS r FROM rk) WHERE r = 1)""", body="""
 SELECT m.trace_id, m.sequence, m.direction, m.service_id, CASE WHEN b.delta IS NULL THEN 'noBusCandidateInWindow' WHEN exact THEN 'exactPayloadAndTimeMatch' WHEN served THEN 'serviceAndTimeCandidate' ELSE 'timeOnlyCandidate' END AS status,
   delta / 1000.0 AS delta_ms, NOT m.payload_redacted AND NOT bus_red AS payload_compared, bus_us / 1e6 AS bus_ts, bus_service
 FROM tm m LEFT JOIN bst b ON b.trace_id = m.trace_id AND b.sequence = m.sequence WHERE m.direction != 'other'""")
-    q["marker_nearest"] = _with(*dm, """mk AS (SELECT event_id AS marker_id, ts_us AS s, ts_us + k * 1000000 AS e, 'purchase ' || k AS label FROM ev WHERE event_type = 'purchase' AND value >= 150)""", body=f"""
-SELECT marker_id, label, rank, delta / 1000.0 AS delta_ms, pos, channel, service FROM (
+    q["marker_nearest"] = _with(*dm, """mk AS (SELECT event_id AS marker_id, iface, ts_us AS s, ts_us + k * 1000000 AS e, 'purchase ' || k AS label FROM ev WHERE event_type = 'purchase')""", body=f"""
+SELECT channel AS session_id, marker_id, label, rank, delta / 1000.0 AS delta_ms, pos, channel, service FROM (
   SELECT *, row_number() OVER (PARTITION BY marker_id ORDER BY delta, ts_us, pos) AS rank FROM (
     SELECT marker_id, label, d.event_id AS pos, d.ts_us, d.iface AS channel, d.service, CASE WHEN d.ts_us BETWEEN s AND e THEN 0 ELSE least(abs(d.ts_us - s), abs(d.ts_us - e)) END AS delta
-    FROM mk JOIN dm d ON d.ts_us BETWEEN s - {12 * HOUR} AND e + {12 * HOUR})) WHERE rank <= 12""")
-    q["union_markers"] = _with(_EV, body="""SELECT ts_us AS start_us, 'purchase ' || k AS label, 'operator' AS source, NULL AS annotation_idx FROM ev WHERE event_type = 'purchase' AND value >= 150
-UNION ALL SELECT ts_us, NULL, 'voice', event_id FROM ev WHERE event_type = 'error' AND value >= 150""")
-    q["bundle_summary"] = _with(*dm, _TX, _TR, _TM, body="""SELECT 'operator_markers' AS layer, count(*) AS rows FROM ev WHERE event_type = 'purchase' AND value >= 150
+    FROM mk JOIN dm d ON d.iface = mk.iface AND d.ts_us BETWEEN s - {3 * HOUR} AND e + {3 * HOUR})) WHERE rank <= 12""")
+    q["union_markers"] = _with(_EV, body="""SELECT ts_us AS start_us, 'purchase ' || k AS label, 'operator' AS source, NULL AS annotation_idx FROM ev WHERE event_type = 'purchase'
+UNION ALL SELECT ts_us, NULL, 'voice', event_id FROM ev WHERE event_type = 'error'""")
+    q["bundle_summary"] = _with(*dm, _TX, _TR, _TM, body="""SELECT 'operator_markers' AS layer, count(*) AS rows FROM ev WHERE event_type = 'purchase'
 UNION ALL SELECT 'diagnostic_events', count(*) FROM dm UNION ALL SELECT 'transactions', count(*) FROM tx UNION ALL SELECT 'trace_messages', count(*) FROM tm""")
 
-    scores = f"""cl AS (SELECT 'Cell_' || lpad(CAST(user_id % 12 AS VARCHAR), 2, '0') AS cell, ts_us, event_id, CAST(3.6 AS DOUBLE) + cents / CAST(1e6 AS DOUBLE) AS v FROM ev WHERE event_type = 'view'),
-sl AS (SELECT 'Slot_' || lpad(CAST(user_id % 12 AS VARCHAR), 2, '0') AS slot, ts_us, event_id, CAST(3.6 AS DOUBLE) + cents / CAST(1e6 AS DOUBLE) AS v FROM ev WHERE event_type = 'click'),
-pr AS (SELECT * FROM (SELECT cell, slot, c.ts_us, c.event_id, c.v AS cv, s.v AS sv, row_number() OVER (PARTITION BY slot, c.event_id ORDER BY abs(s.ts_us - c.ts_us), s.ts_us DESC, s.event_id DESC) AS r
-       FROM cl c JOIN sl s ON s.ts_us BETWEEN c.ts_us - {HOUR // 2} AND c.ts_us + {HOUR // 2}) WHERE r = 1),
-dl AS (SELECT *, cv - lag(cv) OVER w AS dc, sv - lag(sv) OVER w AS ds FROM pr WINDOW w AS (PARTITION BY cell, slot ORDER BY ts_us, event_id)),
-ag AS (SELECT cell, slot, count(*) AS overlap, sqrt(sum((cv - sv) * (cv - sv)) / count(*)) AS rmse, CASE WHEN count(dc) >= 2 THEN coalesce(covar_pop(dc, ds) / nullif(stddev_pop(dc) * stddev_pop(ds), 0), 0) ELSE 0 END AS r FROM dl GROUP BY ALL),
-sc AS (SELECT cell, slot, CASE WHEN coalesce(overlap, 0) < 2 THEN 0.0 ELSE round(CAST(0.65 AS DOUBLE) * greatest(r, 0) + CAST(0.25 AS DOUBLE) * exp(-rmse / CAST(0.005 AS DOUBLE)) + CAST(0.1 AS DOUBLE) * least(1.0, overlap / CAST(8 AS DOUBLE)), 6) END AS score,
+    scores = f"""cl AS (SELECT 'Cell_' || lpad(CAST(user_id % 12 AS VARCHAR), 2, '0') AS cell, iface, ts_us, event_id, CAST(3.6 AS DOUBLE) + cents / CAST(1e6 AS DOUBLE) AS v FROM ev WHERE event_type = 'view'),
+sl AS (SELECT 'Slot_' || lpad(CAST(user_id % 12 AS VARCHAR), 2, '0') AS slot, iface, ts_us, event_id, CAST(3.6 AS DOUBLE) + cents / CAST(1e6 AS DOUBLE) AS v FROM ev WHERE event_type = 'click'),
+pr AS (SELECT * FROM (SELECT c.iface, cell, slot, c.ts_us, c.event_id, c.v AS cv, s.v AS sv, row_number() OVER (PARTITION BY slot, c.event_id ORDER BY abs(s.ts_us - c.ts_us), s.ts_us DESC, s.event_id DESC) AS r
+       FROM cl c JOIN sl s ON s.iface = c.iface AND s.ts_us BETWEEN c.ts_us - {HOUR // 2} AND c.ts_us + {HOUR // 2}) WHERE r = 1),
+dl AS (SELECT *, cv - lag(cv) OVER w AS dc, sv - lag(sv) OVER w AS ds FROM pr WINDOW w AS (PARTITION BY iface, cell, slot ORDER BY ts_us, event_id)),
+ag AS (SELECT iface, cell, slot, count(*) AS overlap, sqrt(sum((cv - sv) * (cv - sv)) / count(*)) AS rmse, CASE WHEN count(dc) >= 2 THEN coalesce(covar_pop(dc, ds) / nullif(stddev_pop(dc) * stddev_pop(ds), 0), 0) ELSE 0 END AS r FROM dl GROUP BY ALL),
+sc AS (SELECT iface AS session_id, cell, slot, CASE WHEN coalesce(overlap, 0) < 2 THEN 0.0 ELSE round(CAST(0.65 AS DOUBLE) * greatest(r, 0) + CAST(0.25 AS DOUBLE) * exp(-rmse / CAST(0.005 AS DOUBLE)) + CAST(0.1 AS DOUBLE) * least(1.0, overlap / CAST(8 AS DOUBLE)), 6) END AS score,
          CASE WHEN coalesce(overlap, 0) < 2 THEN 0.0 ELSE round(r, 6) END AS delta_correlation, CASE WHEN coalesce(overlap, 0) < 2 THEN 999.0 ELSE round(rmse, 6) END AS rmse_v, coalesce(overlap, 0) AS overlap
-       FROM (SELECT DISTINCT cell FROM cl) CROSS JOIN (SELECT DISTINCT slot FROM sl) LEFT JOIN ag USING (cell, slot))"""
+       FROM (SELECT DISTINCT iface, cell FROM cl) JOIN (SELECT DISTINCT iface, slot FROM sl) USING (iface) LEFT JOIN ag USING (iface, cell, slot))"""
     q["series_pair_score"] = _with(_EV, scores, body="SELECT * FROM sc")
-    q["top_alternatives"] = _with(_EV, scores, body="SELECT cell, rank, slot, score FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY score DESC, slot) AS rank FROM sc) WHERE rank <= 3")
-    q["greedy_assign"] = "WITH RECURSIVE " + ",\n".join([_EV, scores, """rn AS (SELECT *, row_number() OVER (ORDER BY score DESC, cell, slot) AS n FROM sc),
+    q["top_alternatives"] = _with(_EV, scores, body="SELECT session_id, cell, rank, slot, score FROM (SELECT *, row_number() OVER (PARTITION BY session_id, cell ORDER BY score DESC, slot) AS rank FROM sc) WHERE rank <= 3")
+    q["greedy_assign"] = "WITH RECURSIVE " + ",\n".join([_EV, scores, """rn AS (SELECT *, session_id || cell AS c, session_id || slot AS s, row_number() OVER (ORDER BY score DESC, cell, slot, session_id) AS n FROM sc),
 go AS (SELECT 0 AS n, CAST([] AS VARCHAR[]) AS uc, CAST([] AS VARCHAR[]) AS us, false AS hit
-  UNION ALL SELECT r.n, CASE WHEN ok THEN list_append(uc, r.cell) ELSE uc END, CASE WHEN ok THEN list_append(us, r.slot) ELSE us END, ok
-  FROM (SELECT g.uc, g.us, r0.*, NOT list_contains(g.uc, r0.cell) AND NOT list_contains(g.us, r0.slot) AS ok FROM go g JOIN rn r0 ON r0.n = g.n + 1) r)"""]) + """
-SELECT cell, slot, score, rmse_v, delta_correlation, overlap, CASE WHEN overlap < 4 THEN 'insufficientOverlap' WHEN score >= 0.9 AND rmse_v <= 0.003 THEN 'strongCandidate' WHEN score >= 0.75 THEN 'candidate' ELSE 'weakCandidate' END AS confidence,
+  UNION ALL SELECT r.n, CASE WHEN ok THEN list_append(uc, r.c) ELSE uc END, CASE WHEN ok THEN list_append(us, r.s) ELSE us END, ok
+  FROM (SELECT g.uc, g.us, r0.*, NOT list_contains(g.uc, r0.c) AND NOT list_contains(g.us, r0.s) AS ok FROM go g JOIN rn r0 ON r0.n = g.n + 1) r)"""]) + """
+SELECT session_id, cell, slot, score, rmse_v, delta_correlation, overlap, CASE WHEN overlap < 4 THEN 'insufficientOverlap' WHEN score >= 0.9 AND rmse_v <= 0.003 THEN 'strongCandidate' WHEN score >= 0.75 THEN 'candidate' ELSE 'weakCandidate' END AS confidence,
   'candidateOnly' AS mapping_status FROM rn JOIN go USING (n) WHERE hit"""
     q["cross_session_mapping"] = _with(_EV, f"""ob AS (SELECT {_DAY} AS session, 'Cell_' || (user_id % 96) AS cell, min(CASE WHEN user_id % 3 = 0 OR k < 97 THEN 'A' ELSE 'B' END) AS slot, CAST(0.9 AS DOUBLE) + max(k) / CAST(1000 AS DOUBLE) AS score,
   min(k) / CAST(20000 AS DOUBLE) AS rmse, max(k) >= 5 AS strong FROM ev GROUP BY ALL)""", body="""

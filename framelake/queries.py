@@ -60,17 +60,17 @@ def frame_count_check(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def id_activity(spark: SparkSession, d: str) -> DataFrame:
-    return activity.id_activity(B.frames(spark, d))
+    return activity.id_activity(B.long_frames(spark, d))
 
 
 @query
 def byte_activity(spark: SparkSession, d: str) -> DataFrame:
-    return activity.byte_activity(B.frames(spark, d))
+    return activity.byte_activity(B.long_frames(spark, d))
 
 
 @query
 def top_ids(spark: SparkSession, d: str) -> DataFrame:
-    return activity.top_ids(activity.id_activity(B.frames(spark, d)))
+    return activity.top_ids(activity.id_activity(B.long_frames(spark, d)))
 
 
 @query
@@ -95,7 +95,7 @@ def period_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def change_rate(spark: SparkSession, d: str) -> DataFrame:
-    return activity.change_rate(_by_iface(B.typed_frames(spark, d)))
+    return activity.change_rate(_by_iface(B.typed_long_frames(spark, d)))
 
 
 @query
@@ -115,18 +115,18 @@ def _by_iface(f: DataFrame) -> DataFrame:
 
 @query
 def explode_bytes(spark: SparkSession, d: str) -> DataFrame:
-    return bits.explode_bytes(B.frames(spark, d)).select("sequence", "byte_index", "value")
+    return bits.explode_bytes(B.long_frames(spark, d)).select("sequence", "byte_index", "value")
 
 
 @query
 def bit_probability(spark: SparkSession, d: str) -> DataFrame:
-    b = bits.explode_bits(B.typed_frames(spark, d))
+    b = bits.explode_bits(B.typed_long_frames(spark, d))
     return b.groupBy("iface", "arb_id", "byte_index", "bit_index").agg(F.sum("bit").alias("ones"), F.count("*").alias("frames"))
 
 
 @query
 def word_ranges(spark: SparkSession, d: str) -> DataFrame:
-    w = bits.extract_words(B.typed_frames(spark, d))
+    w = bits.extract_words(B.typed_long_frames(spark, d))
     return w.groupBy("iface", "arb_id", "kind", "offset").agg(
         F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("x").alias("total")
     )
@@ -223,46 +223,50 @@ def cells_snapshot(spark: SparkSession, d: str) -> DataFrame:
 # ---- correlation ---------------------------------------------------------------------------------------------
 
 
+def _captures(spark: SparkSession, d: str) -> DataFrame:
+    """Long payloads, one id per event type, one capture per interface."""
+    return _by_iface(B.typed_long_frames(spark, d))
+
+
 def _ranked(df: DataFrame) -> DataFrame:
     return df.select(
-        "annotation_idx", "rank", "iface", "arb_id", "byte_index", "n_base", "n_action",
+        "session_id", "annotation_idx", "rank", "iface", "arb_id", "byte_index", "n_base", "n_action",
         *[F.round(c, 6).alias(c) for c in ("mean_base", "mean_action", "distance", "score")],
     )
 
 
 @query
 def window_correlation(spark: SparkSession, d: str) -> DataFrame:
-    out = correlation.window_correlation(B.typed_frames(spark, d), B.annotations(spark, d), baseline_us=12 * HOUR, bin_us=6 * HOUR)
+    out = correlation.window_correlation(_captures(spark, d), B.annotations(spark, d), baseline_us=6 * HOUR, bin_us=3 * HOUR)
     return _ranked(out)
 
 
 @query
 def voice_correlation(spark: SparkSession, d: str) -> DataFrame:
     a = B.annotations(spark, d).withColumn("end_us", F.col("start_us") + 1000)
-    out = correlation.voice_correlation(
-        B.typed_frames(spark, d), a, baseline_us=12 * HOUR, after_us=5 * HOUR, min_span_us=HOUR, bin_us=6 * HOUR
-    )
+    out = correlation.voice_correlation(_captures(spark, d), a, baseline_us=6 * HOUR, after_us=2 * HOUR, min_span_us=HOUR, bin_us=3 * HOUR)
     return _ranked(out)
 
 
 @query
 def annotation_windows(spark: SparkSession, d: str) -> DataFrame:
-    j = correlation.annotation_window_join(B.frames(spark, d), B.annotations(spark, d), 12 * HOUR, bin_us=6 * HOUR)
-    return j.groupBy("annotation_idx", "action").agg(F.count("*").alias("frames"), F.bit_xor("sequence").alias("checksum"))
+    j = correlation.annotation_window_join(_captures(spark, d), B.annotations(spark, d), 6 * HOUR, bin_us=3 * HOUR)
+    return j.groupBy("session_id", "annotation_idx", "action").agg(F.count("*").alias("frames"), F.bit_xor("sequence").alias("checksum"))
 
 
 @query
 def bit_event_candidates(spark: SparkSession, d: str) -> DataFrame:
     a = B.annotations(spark, d)
     phases = a.select(
+        "session_id",
         F.col("annotation_idx").alias("discovery_id"),
         F.inline(F.array(
-            F.struct(F.lit("baseline").alias("phase"), (F.col("start_us") - 12 * HOUR).alias("lo_us"), F.col("start_us").alias("hi_us")),
+            F.struct(F.lit("baseline").alias("phase"), (F.col("start_us") - 6 * HOUR).alias("lo_us"), F.col("start_us").alias("hi_us")),
             F.struct(F.lit("event").alias("phase"), F.col("start_us").alias("lo_us"), F.col("end_us").alias("hi_us")),
-            F.struct(F.lit("after").alias("phase"), F.col("end_us").alias("lo_us"), (F.col("end_us") + 12 * HOUR).alias("hi_us")),
+            F.struct(F.lit("after").alias("phase"), F.col("end_us").alias("lo_us"), (F.col("end_us") + 6 * HOUR).alias("hi_us")),
         )),
     )
-    return correlation.bit_event_candidates(B.typed_frames(spark, d), phases, min_change=0.45, max_restore=0.30, bin_us=6 * HOUR)
+    return correlation.bit_event_candidates(_captures(spark, d), phases, min_change=0.45, max_restore=0.30, bin_us=3 * HOUR)
 
 
 @query
@@ -276,16 +280,16 @@ def nearest_within(spark: SparkSession, d: str) -> DataFrame:
 @query
 def signal_speed_correlation(spark: SparkSession, d: str) -> DataFrame:
     speeds = B.speeds(spark, d).withColumnRenamed("source", "session_id")
-    out = correlation.signal_speed_correlation(_by_iface(B.typed_frames(spark, d)), speeds, tol=HOUR)
+    out = correlation.signal_speed_correlation(_captures(spark, d), speeds, tol=HOUR)
     return out.select("bus", "can_id", "kind", "offset", "r", "abs_r", "overlap", "confidence")
 
 
 @query
 def live_validation_steps(spark: SparkSession, d: str) -> DataFrame:
-    e = B.events(spark, d)
-    samples = e.where("event_type = 'click'").select("ts_us", F.col("event_id").alias("sequence"), F.col("cents").alias("raw_value"))
+    e = B.events(spark, d).withColumn("session_id", F.concat(F.lit("can"), (F.col("user_id") % 5).cast("string")))
+    samples = e.where("event_type = 'click'").select("session_id", "ts_us", F.col("event_id").alias("sequence"), F.col("cents").alias("raw_value"))
     steps = e.where("event_type = 'purchase'").select(
-        "ts_us", F.col("event_id").alias("sequence"), F.when(F.col("k") >= 20, F.floor(F.col("k") / 10) * 10).cast("double").alias("target_mph")
+        "session_id", "ts_us", F.col("event_id").alias("sequence"), F.when(F.col("k") >= 20, F.floor(F.col("k") / 10) * 10).cast("double").alias("target_mph")
     )
     return correlation.live_validation_steps(samples, steps)
 
@@ -320,8 +324,9 @@ def state_counts(spark: SparkSession, d: str) -> DataFrame:
 @query
 def marker_window(spark: SparkSession, d: str) -> DataFrame:
     e = B.events(spark, d)
-    m = e.where("event_type = 'error' AND value >= 100").select("ts_us", F.when(F.col("k") < 50, "Drive start").otherwise("Drive END").alias("label"))
-    return states.marker_window(B.states(spark, d), m).groupBy("channel").agg(F.count("*").alias("samples"))
+    session = F.concat(F.lit("can"), (F.col("user_id") % 5).cast("string")).alias("session_id")
+    m = e.where("event_type = 'error'").select(session, "ts_us", F.when(F.col("k") < 50, "Drive start").otherwise("Drive END").alias("label"))
+    return states.marker_window(B.states(spark, d), m).groupBy("session_id", "channel").agg(F.count("*").alias("samples"))
 
 
 @query
@@ -512,8 +517,10 @@ def payload_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def band_match(spark: SparkSession, d: str) -> DataFrame:
-    bus = diagnostics.redact(_events(spark, d))
-    m = trace.match_trace_to_bus(_trace_messages(spark, d), bus, max_delta_us=600_000_000)
+    # a trace of 1,000 events is recorded with the capture of the same 1,000 events
+    bus = diagnostics.redact(_events(spark, d)).withColumn("session_id", F.concat(F.lit("trace"), F.floor(F.col("pos") / 1000).cast("string")))
+    messages = _trace_messages(spark, d).withColumn("session_id", F.col("trace_id"))
+    m = trace.match_trace_to_bus(messages, bus, max_delta_us=600_000_000)
     return m.select(
         "trace_id", "sequence", "direction", "service_id", "status", "delta_ms", "payload_compared",
         F.col("bus_event.timestamp").alias("bus_ts"), F.col("bus_event.service").alias("bus_service"),
@@ -522,9 +529,9 @@ def band_match(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def marker_nearest(spark: SparkSession, d: str) -> DataFrame:
-    e = _events(spark, d).select("ts_us", "pos", "channel", "service")
-    out = trace.markers_near_events(B.markers(spark, d), e, window_us=12 * HOUR, bin_us=6 * HOUR)
-    return out.select("marker_id", "label", "rank", "delta_ms", "pos", "channel", "service")
+    e = _events(spark, d).select(F.col("channel").alias("session_id"), "ts_us", "pos", "channel", "service")
+    out = trace.markers_near_events(B.markers(spark, d), e, window_us=3 * HOUR, bin_us=3 * HOUR)
+    return out.select("session_id", "marker_id", "label", "rank", "delta_ms", "pos", "channel", "service")
 
 
 @query
@@ -559,7 +566,7 @@ def series_pair_score(spark: SparkSession, d: str) -> DataFrame:
 @query
 def top_alternatives(spark: SparkSession, d: str) -> DataFrame:
     t = mapping.top_alternatives(_scores(spark, d))
-    return t.select("cell", F.inline("alternatives")).select("cell", "rank", "slot", "score")
+    return t.select("session_id", "cell", F.inline("alternatives")).select("session_id", "cell", "rank", "slot", "score")
 
 
 @query
