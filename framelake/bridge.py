@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.functions.text import iso_utc
-from framelake.operators.trace import TRACE_SCHEMA
 
 # Event type to code and to contactor state byte.
 TYPE_CODE = {"signup": 1, "click": 2, "error": 3, "purchase": 4, "view": 5}
 STATE_BYTE = {"signup": 0x68, "click": 0x6A, "error": 0x6F, "purchase": 0x6B, "view": 0x6B}
 
+#: Schema id of the bridge's own trace records.
+TRACE_SCHEMA = "bridge.trace.v1"
+
 DAY_US = 86_400_000_000
 
 

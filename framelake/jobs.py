@@ -18,39 +18,55 @@ from framelake.sources import c5, candump, dbc, dims
 from framelake.sources.lines import read_lines
 
 
-def ingest(spark: SparkSession, manifest: str, folder: str, store: str, replace: bool = False, verify: bool = True) -> DataFrame:
-    """Manifest and its capture log into the session store; files are checked before anything is written."""
-    m = dims.read_manifest(spark, manifest)
+def ingest(spark: SparkSession, manifest: str, folder: str, store: str, schema_id: str, replace: bool = False, verify: bool = True, bus_field: str = "bus") -> DataFrame:
+    """Manifests and their capture logs into the session store; files are checked before anything is written.
+
+    Only the logs that the manifests name are read. With ``verify`` every file must have the hash that its manifest gives.
+    """
+    m = dims.read_manifest(spark, manifest, schema_id, bus_field)
     checked = quality.verify_files(m["capture_files"], spark, folder, check_hash=verify)
-    bad = checked.where("status NOT IN ('verified', 'unhashed')")
-    if not bad.isEmpty() or not quality.sessions_without_log(m["capture_files"]).isEmpty():
+    accepted = ["verified"] if verify else ["verified", "unhashed"]
+    if not checked.where(~F.col("status").isin(accepted)).isEmpty() or not quality.sessions_without_log(m["capture_files"]).isEmpty():
         raise ValueError("Capture files are missing or differ from the manifest")
     logs = m["capture_files"].where("role = 'candump_log'").select("session_id", "name")
-    lines = read_lines(spark, folder).withColumn("name", F.element_at(F.split("path", "/"), -1)).join(logs, "name")
+    paths = [f"{folder.rstrip('/')}/{r['name']}" for r in logs.toLocalIterator()]
+    lines = read_lines(spark, paths).withColumn("name", quality.relative_path(F.col("path"), folder)).join(logs, "name")
     frames = candump.frames_from_lines(lines, "strict")
     back = write_session(frames, m["sessions"], f"{store}/frames", replace, (f"{store}/id_metrics", f"{store}/byte_metrics", f"{store}/correlations"))
-    m["sessions"].write.partitionBy("session_id").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(f"{store}/sessions")
-    overwrite_sessions(m["buses"], f"{store}/buses")
+    ids = m["sessions"].select("session_id")
+    overwrite_sessions(m["sessions"], f"{store}/sessions", ids)
+    overwrite_sessions(m["buses"], f"{store}/buses", ids)
     return back
 
 
-def discover(spark: SparkSession, store: str, session_id: str, n: int = 25) -> DataFrame:
-    """Id and byte metrics of a session, stored; returns the most active ids."""
-    frames = reports.filter_session(spark.read.parquet(f"{store}/frames"), session_id)
-    overwrite_sessions(activity.id_activity(frames), f"{store}/id_metrics")
-    overwrite_sessions(activity.byte_activity(frames), f"{store}/byte_metrics")
-    return activity.top_ids(reports.filter_session(spark.read.parquet(f"{store}/id_metrics"), session_id), n)
+def _chosen(spark: SparkSession, store: str, sessions: Sequence[str] | str | None) -> DataFrame:
+    """The asked sessions of the store, or all of them."""
+    known = spark.read.parquet(f"{store}/sessions").select("session_id", "metadata_started_utc")
+    if sessions is None:
+        return known
+    return known.where(F.col("session_id").isin([sessions] if isinstance(sessions, str) else list(sessions)))
+
+
+def discover(spark: SparkSession, store: str, sessions: Sequence[str] | str | None = None, n: int = 25) -> DataFrame:
+    """Id and byte metrics of sessions (all of them by default) in one plan, stored; returns the most active ids."""
+    ids = _chosen(spark, store, sessions).select("session_id")
+    frames = spark.read.parquet(f"{store}/frames").join(ids, "session_id", "left_semi")
+    overwrite_sessions(activity.id_activity(frames), f"{store}/id_metrics", ids)
+    overwrite_sessions(activity.byte_activity(frames), f"{store}/byte_metrics", ids)
+    return activity.top_ids(spark.read.parquet(f"{store}/id_metrics").join(ids, "session_id", "left_semi"), n)
 
 
-def correlate(spark: SparkSession, store: str, session_id: str, transcript: str, baseline_us: int = 5_000_000, min_obs: int = 3, k: int = 8) -> DataFrame:
-    """Ranked bytes per annotation of a session, stored and returned."""
-    start = reports.filter_session(spark.read.parquet(f"{store}/sessions"), session_id).select(epoch_us(F.col("metadata_started_utc")).alias("us")).first()
+def correlate(
+    spark: SparkSession, store: str, session_id: str, transcript: str, baseline_us: int = 5_000_000, min_obs: int = 3, k: int = 8
+) -> DataFrame:
+    """Ranked bytes per annotation of the session that a transcript belongs to, stored and returned."""
+    chosen = _chosen(spark, store, session_id)
+    start = chosen.select(epoch_us(F.col("metadata_started_utc")).alias("us")).first()
     if start is None or start["us"] is None:
         raise ValueError("Session has no metadata start time for audio alignment")
-    notes = correlation.align_annotations(dims.read_transcript(spark, transcript), start["us"])
+    notes = correlation.align_annotations(dims.read_transcript(spark, transcript), start["us"]).withColumn("session_id", F.lit(session_id))
     frames = reports.filter_session(spark.read.parquet(f"{store}/frames"), session_id)
-    ranked = correlation.window_correlation(frames, notes, baseline_us, min_obs, k).withColumn("session_id", F.lit(session_id))
-    overwrite_sessions(ranked, f"{store}/correlations")
+    overwrite_sessions(correlation.window_correlation(frames, notes, baseline_us, min_obs, k), f"{store}/correlations", chosen.select("session_id"))
     return reports.filter_session(spark.read.parquet(f"{store}/correlations"), session_id)
 
 
@@ -81,10 +97,10 @@ def did_extract(frames: DataFrame, tx: int = 0x7E4, rx: int = 0x7EC, dynamic_rx:
 
 
 def bms_map(internal: DataFrame, hv: DataFrame, registry: DataFrame, tol_us: int = 250_000, min_pairs: int = 4) -> DataFrame:
-    """Cell-to-slot assignment between the internal and the high-voltage battery network."""
-    cells = decode.decode_registry(internal, registry).where("signal LIKE 'Cell\\\\_%'").select(F.col("signal").alias("cell"), "ts_us", "sequence", "value")
+    """Cell-to-slot assignment between the internal and the high-voltage battery network, for each session."""
+    cells = decode.decode_registry(internal, registry).where("signal LIKE 'Cell\\\\_%'").select("session_id", F.col("signal").alias("cell"), "ts_us", "sequence", "value")
     slots = decode.decode_hv_frames(hv).where("signal = 'cellVoltage'").select(
-        F.format_string("HVslot_%02d", "slot").alias("slot"), "ts_us", "sequence", "value"
+        "session_id", F.format_string("HVslot_%02d", "slot").alias("slot"), "ts_us", "sequence", "value"
     )
     return mapping.greedy_assign(mapping.series_pair_score(cells, slots, tol_us), min_pairs)
 
@@ -92,18 +108,19 @@ def bms_map(internal: DataFrame, hv: DataFrame, registry: DataFrame, tol_us: int
 def speed_rank(records: DataFrame, tol_us: int = 6_000_000, min_overlap: int = 20, k: int = 50) -> DataFrame:
     """Speed candidates of logger records; GPS speed is external evidence, so nothing is confirmed here."""
     speeds = c5.gps_records(records).select(
-        F.col("source").alias("session_id"), F.col("offset").alias("sequence"), (F.col("timestamp_ms") * 1000).alias("ts_us"),
+        F.col("path").alias("session_id"), F.col("offset").alias("sequence"), (F.col("timestamp_ms") * 1000).alias("ts_us"),
         vtg_speed(F.col("sentence")).alias("speed"),
     ).where("speed IS NOT NULL")
     return correlation.signal_speed_correlation(c5.logger_frames(c5.can_records(records)), speeds, tol_us, min_overlap, k)
 
 
 def evidence_bundle(
-    frames: DataFrame, refs: DataFrame, markers: DataFrame, records: DataFrame | None = None, max_delta_us: int = 1_000_000, window_us: int = 5_000_000
+    frames: DataFrame, refs: DataFrame, markers: DataFrame, records: DataFrame | None = None, schema_id: str = "", max_delta_us: int = 1_000_000, window_us: int = 5_000_000
 ) -> dict[str, DataFrame]:
     """All evidence layers of a capture. Redaction comes before every correlation, so sensitive payloads never match.
 
-    ``markers`` has (marker_id, label, start_us, end_us); ``records`` are validated trace records.
+    ``markers`` has (session_id, marker_id, label, start_us, end_us); ``records`` are trace records of schema ``schema_id``,
+    with the session_id of the capture that each trace was recorded with.
     """
     session = session_extract(frames, refs)
     events = cut_lineage(diagnostics.redact(session["events"]))
@@ -111,9 +128,10 @@ def evidence_bundle(
     layers = {"markers": markers, "diagnostic_events": events, "transactions": session["transactions"], "did_reads": dids["reads"], "dynamic_packets": dids["packets"]}
     out = {**session, **dids, "events": events, "markers_to_events": trace.markers_near_events(markers, events, window_us)}
     if records is not None:
-        if not trace.validate_trace(records).isEmpty():
+        if not trace.validate_trace(records, schema_id).isEmpty():
             raise ValueError("Trace breaks the record rules; see validate_trace")
-        messages = trace.explode_trace_messages(records)
+        owners = records.select("trace_id", "session_id").distinct()
+        messages = trace.explode_trace_messages(records).join(owners, "trace_id")
         out["trace_summary"] = trace.trace_summary(records)
         out["trace_to_bus"] = trace.match_trace_to_bus(messages, events, max_delta_us)
         layers["trace_messages"] = messages

@@ -2,24 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def relative_path(path: Column, folder: str) -> Column:
+    """The part of a file's whole path below ``folder``, url escapes undone."""
+    whole = F.regexp_replace(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), "^[A-Za-z0-9]+:/*", "/")
+    base = "/" + re.sub("^[A-Za-z0-9]+:/*", "/", folder).strip("/") + "/"
+    return F.when(whole.startswith(base), F.substr(whole, F.lit(len(base) + 1)))
+
+
+def _sha256(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Hash of each file, read in blocks, so that its size does not matter."""
+    from pyarrow.fs import FileSystem
+
+    for pdf in batches:
+        digests = []
+        for path in pdf["path"]:
+            fs, at = FileSystem.from_uri(path)
+            digest = hashlib.sha256()
+            with fs.open_input_stream(at, compression=None) as f:
+                while block := f.read(1 << 20):
+                    digest.update(block)
+            digests.append(digest.hexdigest())
+        yield pdf.assign(actual_sha256=digests)
+
+
 def verify_files(capture_files: DataFrame, spark: SparkSession, folder: str, check_hash: bool = True) -> DataFrame:
-    """Manifest entries with status verified, missing, sizeMismatch or hashMismatch.
+    """Manifest entries with status verified, missing, sizeMismatch, hashMismatch or unhashed (no hash given or asked for).
 
-    ``binaryFile`` reads a file into one row, up to 2 GB; larger files keep the size check and are marked unhashed.
+    Names are paths below ``folder``, so equal base names in two folders are two files. Files are listed without their
+    content and hashed by a streamed read on the executors, a task for each.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    listed = raw.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("actual_size"))
+    listed = raw.select("path", relative_path(F.col("path"), folder).alias("name"), F.col("length").alias("actual_size"))
+    listed = listed.join(capture_files.select("name").distinct(), "name", "left_semi")
     if check_hash:
-        small = raw.where(F.col("length") < 2_000_000_000)
-        hashed = small.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("actual_sha256"))
-        listed = listed.join(hashed, "name", "left")
+        listed = listed.repartition("path").mapInPandas(_sha256, "name string, path string, actual_size bigint, actual_sha256 string")
     else:
         listed = listed.withColumn("actual_sha256", F.lit(None).cast("string"))
-    joined = capture_files.join(listed, "name", "left")
+    joined = capture_files.join(listed.drop("path"), "name", "left")
     status = (
         F.when(F.col("name").isNull() | F.col("role").isNull(), "incompleteEntry")
         .when(F.col("actual_size").isNull(), "missing")

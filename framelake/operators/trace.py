@@ -14,11 +14,8 @@ from framelake.plans.ordered import CHUNK_US, Carry, running
 from framelake.plans.timejoin import interval_join, nearest_within
 from framelake.session import cut_lineage
 
-# Fixed value: schema id of trace records.
-TRACE_SCHEMA = "obd-atlas.j2534-trace.v1"
 
-
-def validate_trace(records: DataFrame, schema_id: str = TRACE_SCHEMA, chunk: int = SEQUENCE_CHUNK) -> DataFrame:
+def validate_trace(records: DataFrame, schema_id: str, chunk: int = SEQUENCE_CHUNK) -> DataFrame:
     """Violations as rows (trace_id, sequence, rule, detail); a valid trace gives none.
 
     ``records`` has (trace_id, line, ...trace columns). Lines are cut into chunks; the previous record of the

@@ -485,7 +485,7 @@ def did_fifo(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def trace_validation(spark: SparkSession, d: str) -> DataFrame:
-    return trace.validate_trace(B.trace_records(spark, d))
+    return trace.validate_trace(B.trace_records(spark, d), B.TRACE_SCHEMA)
 
 
 @query
@@ -698,10 +698,10 @@ def marker_lines(spark: SparkSession, d: str) -> DataFrame:
     lines = e.select(
         F.col("event_id").alias("line_no"),
         F.when(F.col("event_type") == "signup", F.concat(
-            F.lit("# ATLAS_EVENT ("), F.floor(F.col("ts_us") / 1_000_000).cast("string"), F.lit("."), F.lpad((F.col("ts_us") % 1_000_000).cast("string"), 6, "0"),
+            F.lit("# MARK ("), F.floor(F.col("ts_us") / 1_000_000).cast("string"), F.lit("."), F.lpad((F.col("ts_us") % 1_000_000).cast("string"), 6, "0"),
             F.lit(") now source=op"), (F.col("k") % 3).cast("string"), F.lit(" label=step "), F.col("k").cast("string"))).otherwise("(1.0) can0 100#00").alias("value"),
     )
-    return candump.markers_from_lines(lines).select("sequence", "ts_us", "source", "label")
+    return candump.markers_from_lines(lines, "MARK").select("sequence", "ts_us", "source", "label")
 
 
 def _adapter(spark: SparkSession, d: str, dialect: str, line: Column) -> DataFrame:
@@ -741,7 +741,7 @@ def c5_summary(spark: SparkSession, d: str) -> DataFrame:
 @query
 def logger_anchor(spark: SparkSession, d: str) -> DataFrame:
     can = c5.can_records(c5.decode_blobs(B.c5_blobs(spark, d)))
-    anchors = can.groupBy("source").agg(F.min("timestamp_ms").alias("logger_ms"), (F.lit(10**15) + F.min("offset")).alias("wall_us"))
+    anchors = can.groupBy("path").agg(F.min("timestamp_ms").alias("logger_ms"), (F.lit(10**15) + F.min("offset")).alias("wall_us"))
     return c5.anchor_logger_time(can, anchors).select("path", "offset", "ts_us")
 
 

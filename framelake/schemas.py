@@ -22,17 +22,24 @@ CATALOG = (
 
 ADDRESS_REFS = "catalog_id STRING, confidence STRING, module STRING, role STRING, can_id BIGINT"
 
-MANIFEST = (
+_MANIFEST = (
     "schema STRING, session_id STRING, capture_type STRING, host STRING, "
     "vehicle STRUCT<platform: STRING, model: STRING, generation: STRING>, "
     "time STRUCT<metadata_started_utc: STRING, first_can_frame_utc: STRING, last_can_frame_utc: STRING, "
     "can_duration_seconds: DOUBLE, audio_duration_seconds: DOUBLE>, "
     "capture_status STRUCT<total_frames: BIGINT, termination_reason: STRING>, "
-    "buses ARRAY<STRUCT<logged_interface: STRING, atlas_bus: STRING, adapter: STRING, adapter_channel: STRING, "
+    "buses ARRAY<STRUCT<logged_interface: STRING, {bus}: STRING, adapter: STRING, adapter_channel: STRING, "
     "bitrate: BIGINT, mode: STRING, frames: BIGINT, unique_arbitration_ids: BIGINT, captured: BOOLEAN>>, "
     "files ARRAY<STRUCT<name: STRING, role: STRING, format: STRING, size_bytes: BIGINT, sha256: STRING>>"
 )
 
+
+
+def manifest(bus_field: str) -> str:
+    """Manifest schema; the field of a bus entry that holds its name is the caller's."""
+    return _MANIFEST.format(bus=f"`{bus_field}`")
+
+
 ADDRESS_REFERENCE = (
     "schemaVersion INT, catalogId STRING, confidence STRING, module STRING, "
     "transport STRUCT<requestCanId: STRING, responseCanId: STRING, dynamicResponseCanId: STRING>, "

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,18 +26,24 @@ def build_session(app: str = "framelake", master: str | None = None, shuffle_par
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; only a session in one process may fall back to a folder of its own."""
-    if spark.sparkContext.getCheckpointDir() is not None:
-        return
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder name below ``spark.checkpoint.dir``, which all executors share; only a session in one process may fall
+    back to a folder of its own."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     master = spark.sparkContext.master
-    if not configured and (not master.startswith("local") or master.startswith("local-cluster")):
+    if not root and (not master.startswith("local") or master.startswith("local-cluster")):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="framelake-ckpt-"))
+    if not root:
+        root = tempfile.mkdtemp(prefix="framelake-shared-")
+        spark.sparkContext.setCheckpointDir(root)
+    return f"{root.rstrip('/')}/table-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in reliable storage so that lost executors do not replay the whole lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the shared folder, so that lost executors do not replay the whole lineage.
+
+    A written table is computed once, where ``checkpoint()`` computes twice, and later reads prune its columns.
+    """
+    folder = shared_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from framelake.functions.bits import id_text
 from framelake.functions.text import marker_label, marker_source
+from framelake.plans.ordered import chunk_of
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -18,8 +21,11 @@ def _exists(spark: SparkSession, path: str) -> bool:
         return False
 
 
-def overwrite_sessions(df: DataFrame, path: str) -> None:
-    """Replace exactly the session partitions present in ``df``."""
+def overwrite_sessions(df: DataFrame, path: str, sessions: DataFrame | None = None) -> None:
+    """Replace session partitions: those of ``sessions`` (session_id) are deleted first, so that a session without rows keeps
+    no stale ones; without ``sessions`` those present in ``df`` are replaced."""
+    if sessions is not None:
+        drop_sessions(df.sparkSession, path, sessions)
     df.write.partitionBy("session_id").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
 
 
@@ -37,40 +43,60 @@ def check_frame_count(frames: DataFrame, sessions: DataFrame) -> DataFrame:
 def write_session(
     frames: DataFrame, sessions: DataFrame, path: str, replace: bool = False, derived: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Write frames by session; refuses existing sessions unless ``replace``, and verifies after the write.
+    """Write frames by session; refuses existing sessions unless ``replace``.
 
-    Frames are clustered by (session, interface, id) and sorted by time inside files, so that row-group statistics
-    prune time ranges. Replacing a session also clears its partitions in the ``derived`` tables.
+    The frames go to a folder beside the table, are read back and counted there, and only then take the place of the old
+    partitions: a check that fails leaves the table as it was. Frames are clustered by (session, interface, id, hour) and
+    sorted by time inside files, so that row-group statistics prune time ranges and one id is never one task. Replacing
+    a session, also by one without frames, clears its old frames and its partitions in the ``derived`` tables.
     """
     spark = frames.sparkSession
     ids = sessions.select("session_id").distinct()
-    wrong = check_frame_count(frames, sessions)
-    if not wrong.isEmpty():
-        raise ValueError("Frame count differs from the manifest")
-    if _exists(spark, path):
+    if _exists(spark, path) and not replace:
         known = spark.read.parquet(path).select("session_id").distinct()
-        if not replace and not known.join(ids, "session_id", "left_semi").isEmpty():
+        if not known.join(ids, "session_id", "left_semi").isEmpty():
             raise ValueError("Session already present; use replace")
-    laid_out = frames.repartition("session_id", "iface", "arb_id").sortWithinPartitions("session_id", "iface", "arb_id", "ts_us", "sequence")
-    overwrite_sessions(laid_out, path)
+    staging = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
+    laid_out = frames.repartition("session_id", "iface", "arb_id", chunk_of("ts_us")).sortWithinPartitions("session_id", "iface", "arb_id", "ts_us", "sequence")
+    laid_out.write.partitionBy("session_id").parquet(staging)
+    staged = spark.read.schema(frames.schema).parquet(staging)
+    if not check_frame_count(staged, sessions).isEmpty():
+        raise ValueError("Frame count differs from the manifest")
+    drop_sessions(spark, path, ids)
+    _move_partitions(spark, staging, path)
     for table in derived:
         drop_sessions(spark, table, ids)
-    back = spark.read.parquet(path).join(ids, "session_id", "left_semi")
-    if not check_frame_count(back, frames.groupBy("session_id").agg(F.count("*").alias("total_frames"))).isEmpty():
-        raise ValueError("Stored frames differ from the frames written")
-    return back
+    return spark.read.schema(frames.schema).parquet(path).join(ids, "session_id", "left_semi")
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """The file system of a path, and the constructor of paths."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    return hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop.Path
+
+
+def _move_partitions(spark: SparkSession, source: str, target: str) -> None:
+    """Rename each session partition into the table; their number is that of the sessions written."""
+    fs, path = _hadoop(spark, target)
+    fs.mkdirs(path(target))
+    for part in fs.listStatus(path(source)):
+        if part.isDirectory():
+            fs.rename(part.getPath(), path(path(target), part.getPath().getName()))
+    fs.delete(path(source), True)
 
 
 def drop_sessions(spark: SparkSession, path: str, sessions: DataFrame) -> None:
-    """Remove the partitions of some sessions from a derived table. Sessions to drop are a short list."""
-    if not _exists(spark, path):
+    """Remove the partitions of some sessions from a table: those of its partition folders that are named for them."""
+    fs, hadoop_path = _hadoop(spark, path)
+    if not fs.exists(hadoop_path(path)):
         return
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    base = hadoop.Path(path)
-    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for row in sessions.toLocalIterator():
-        escaped = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(row["session_id"])
-        fs.delete(hadoop.Path(base, f"session_id={escaped}"), True)
+    there = [(p.getPath().getName(), p.getPath().getName().partition("=")[2]) for p in fs.listStatus(hadoop_path(path)) if p.getPath().getName().startswith("session_id=")]
+    if not there:
+        return
+    folders = spark.createDataFrame(there, "folder STRING, escaped STRING")
+    named = folders.withColumn("session_id", F.try_url_decode(F.replace("escaped", F.lit("+"), F.lit("%2B"))))
+    for row in named.join(sessions.select("session_id").distinct(), "session_id", "left_semi").select("folder").toLocalIterator():
+        fs.delete(hadoop_path(hadoop_path(path), row["folder"]), True)
 
 
 def candump_lines(frames: DataFrame, width_by_flag: bool = True) -> DataFrame:

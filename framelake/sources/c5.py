@@ -116,8 +116,8 @@ def source_summary(records: DataFrame) -> DataFrame:
 
 
 def anchor_logger_time(can: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Logger milliseconds to wall time: anchor + (logger ms - anchor ms); ``anchors`` has (source, wall_us, logger_ms)."""
-    return can.join(anchors, "source").withColumn(
+    """Logger milliseconds to wall time: anchor + (logger ms - anchor ms); ``anchors`` has (path, wall_us, logger_ms)."""
+    return can.join(anchors, "path").withColumn(
         "ts_us", F.col("wall_us") + (F.col("timestamp_ms") - F.col("logger_ms")) * 1000
     ).drop("wall_us", "logger_ms")
 
@@ -125,7 +125,7 @@ def anchor_logger_time(can: DataFrame, anchors: DataFrame) -> DataFrame:
 def logger_frames(can: DataFrame) -> DataFrame:
     """CAN records as frames on the logger's own clock (not an epoch)."""
     return can.select(
-        F.col("source").alias("session_id"), F.col("offset").alias("sequence"), (F.col("timestamp_ms") * 1000).alias("ts_us"),
+        F.col("path").alias("session_id"), F.col("offset").alias("sequence"), (F.col("timestamp_ms") * 1000).alias("ts_us"),
         F.col("bus").cast("string").alias("iface"), F.col("can_id").cast("bigint").alias("arb_id"), F.lit(False).alias("is_extended"),
         F.lit(False).alias("remote"), F.length("data").alias("dlc"), "data",
     )

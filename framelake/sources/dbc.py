@@ -7,27 +7,124 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.functions.text import dbc_id, unescape_text
+from framelake.functions.text import dbc_id
 from framelake.plans.ordered import Carry, running
 from framelake.session import cut_lineage
 from framelake.sources.lines import read_lines
 
-# Statement formats of the definition language.
-QUOTED = r'"((?:[^"\\]|\\.)*)"'
-VERSION_LINE = rf"^VERSION\s+{QUOTED}\s*$"
-MESSAGE_LINE = r"^BO_\s+(\d+)\s+([A-Za-z_]\w*)\s*:\s*(\d+)\s+(\S+)\s*$"
-SIGNAL_LINE = (
-    r"^SG_\s+([A-Za-z_]\w*)\s*(M|m\d+M?)?\s*:\s*(\d+)\|(\d+)@([01])([+-])\s*"
-    r"\(([-+0-9.eE]+),([-+0-9.eE]+)\)\s*\[([-+0-9.eE]+)\|([-+0-9.eE]+)\]\s*"
-    rf"{QUOTED}\s*(.*)$"
-)
-VALUES_LINE = r"^VAL_\s+(\d+)\s+([A-Za-z_]\w*)\s+(.*);\s*$"
-VALUE_PAIR = r'(-?\d+)\s+"(?:[^"\\]|\\.)*"'
-MESSAGE_NOTE = rf"^CM_\s+BO_\s+(\d+)\s+{QUOTED}\s*;\s*$"
-SIGNAL_NOTE = rf"^CM_\s+SG_\s+(\d+)\s+([A-Za-z_]\w*)\s+{QUOTED}\s*;\s*$"
+# Statements of the definition language that are kept as they are, and those whose form is checked.
 EXTENSIONS = ("BA_", "BA_DEF_", "BA_DEF_DEF_", "SIG_GROUP_", "SIG_VALTYPE_", "BO_TX_BU_")
 CORE = ("BO_", "SG_", "VAL_", "CM_")
 
+DIGITS = "0123456789"
+WORD = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ_" + DIGITS
+#: Stand for an escaped backslash and an escaped quote while a statement is cut at its quotes.
+_BACKSLASH, _QUOTE = "\x01", "\x02"
+
+
+# ---- statements are cut into fields: first at the quotes, then at blanks and punctuation ----
+
+
+def _cut(text: Column) -> Column:
+    """The parts of a statement outside (even places) and inside (odd places) of quotes."""
+    masked = F.replace(F.replace(text, F.lit("\\\\"), F.lit(_BACKSLASH)), F.lit('\\"'), F.lit(_QUOTE))
+    return F.split(masked, '"', -1)
+
+
+def _plain(part: Column) -> Column:
+    """A quoted part with its escapes resolved."""
+    return F.replace(F.replace(part, F.lit(_QUOTE), F.lit('"')), F.lit(_BACKSLASH), F.lit("\\"))
+
+
+def _fields(text: Column) -> Column:
+    return F.filter(F.split(text, r"\s+"), lambda x: x != "")
+
+
+def _only(text: Column, letters: str) -> Column:
+    return (text != "") & (F.translate(text, letters, "") == "")
+
+
+def _name(text: Column) -> Column:
+    return _only(text, WORD) & ~F.substr(text, F.lit(1), F.lit(1)).between("0", "9")
+
+
+def _sure(keyword: str, ok: Column, **fields: Column) -> Column:
+    """The fields of a statement as a struct, null where it has another keyword or form."""
+    whole = F.when(F.coalesce(ok, F.lit(False)), F.struct(*[c.alias(n) for n, c in fields.items()]))
+    return F.when(F.col("text").startswith(keyword), whole)
+
+
+def cut_lines(df: DataFrame) -> DataFrame:
+    """Adds what all statement forms are read from: ``parts`` (see :func:`_cut`), ``left`` and ``right`` (the fields before
+    and the text behind the first colon outside of quotes), ``numbers`` (the fields of ``right`` without punctuation)."""
+    halves = df.withColumn("parts", _cut(F.col("text"))).withColumn("_halves", F.split(F.get("parts", F.lit(0)), ":", 2))
+    sides = halves.withColumn("left", _fields(F.get("_halves", F.lit(0)))).withColumn("right", F.get("_halves", F.lit(1))).drop("_halves")
+    return sides.withColumn("numbers", _fields(F.translate("right", "|@(),[]", "       ")))
+
+
+def version_fields() -> Column:
+    parts = F.col("parts")
+    at = lambda i: F.get(parts, F.lit(i))
+    return _sure("VERSION", (F.trim(at(0)) == "VERSION") & (F.size(parts) == 3) & (F.trim(at(2)) == ""), version=_plain(at(1)))
+
+
+def message_fields() -> Column:
+    """``BO_ id name : bytes transmitter``, blanks around the colon as one likes."""
+    left, right = F.col("left"), _fields(F.col("right"))
+    raw, name, dlc = F.get(left, F.lit(1)), F.get(left, F.lit(2)), F.get(right, F.lit(0))
+    ok = (F.get(left, F.lit(0)) == "BO_") & (F.size(left) == 3) & (F.size(right) == 2) & _only(raw, DIGITS) & _name(name) & _only(dlc, DIGITS)
+    return _sure("BO_", ok & (F.size("parts") == 1), raw_id=_long(raw), name=name, dlc=dlc.cast("int"), transmitter=F.get(right, F.lit(1)))
+
+
+def signal_fields() -> Column:
+    """``SG_ name [multiplex] : start|length@order sign (factor,offset) [minimum|maximum] "unit" receivers``."""
+    parts, left, right, numbers = F.col("parts"), F.col("left"), F.col("right"), F.col("numbers")
+    name, mux = F.get(left, F.lit(1)), F.coalesce(F.get(left, F.lit(2)), F.lit(""))
+    n = lambda i: F.get(numbers, F.lit(i))
+    marks = F.translate(right, DIGITS + "+-.eE \t", "")
+    form = (F.get(left, F.lit(0)) == "SG_") & (F.size(left) <= 3) & _name(name) & (marks == "|@(,)[|]") & (F.size(numbers) == 7) & (F.size(parts) == 3)
+    mux_ok = mux.isin("", "M") | (F.translate(mux, DIGITS, "").isin("m", "mM") & (F.length(mux) > F.length(F.translate(mux, DIGITS, ""))))
+    ok = form & mux_ok & _only(n(0), DIGITS) & _only(n(1), DIGITS) & n(2).isin("0+", "0-", "1+", "1-")
+    receivers = F.filter(F.transform(F.split(F.get(parts, F.lit(2)), ","), lambda r: F.trim(r)), lambda r: r != "")
+    return _sure(
+        "SG_", ok, name=name, multiplex=F.nullif(mux, F.lit("")), start_bit=n(0).cast("int"), length=n(1).cast("int"),
+        byte_order=F.substr(n(2), F.lit(1), F.lit(1)).cast("int"), is_signed=n(2).endswith("-"),
+        factor=n(3).try_cast("double"), offset=n(4).try_cast("double"), minimum=n(5).try_cast("double"), maximum=n(6).try_cast("double"),
+        unit=_plain(F.get(parts, F.lit(1))), receivers=receivers,
+    )
+
+
+def value_fields() -> Column:
+    """``VAL_ id name number "text" ... ;`` with the pairs as an array of (value, text)."""
+    parts, text = F.col("parts"), F.col("text")
+    head = _fields(F.regexp_replace(F.get(parts, F.lit(0)), ";", " "))
+    raw, name = F.get(head, F.lit(1)), F.get(head, F.lit(2))
+    ok = (F.get(head, F.lit(0)) == "VAL_") & text.endswith(";") & _only(raw, DIGITS) & _name(name)
+    places = F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: (i % 2 == 1) & (i + 1 < F.size(parts)))
+    number = lambda i: F.element_at(_fields(F.get(parts, i - 1)), -1)
+    pairs = F.transform(places, lambda i: F.struct(number(i).try_cast("bigint").alias("value"), _plain(F.get(parts, i)).alias("text")))
+    bare = F.size(parts) == 1
+    return _sure(
+        "VAL_", ok, raw_id=_long(raw), name=name, pairs=F.filter(pairs, lambda p: p["value"].isNotNull()),
+        body=F.when(bare, F.array_join(F.slice(head, F.lit(4), F.greatest(F.size(head) - 3, F.lit(0))), " ")).otherwise(text),
+    )
+
+
+def note_fields(of_signal: bool) -> Column:
+    """``CM_ BO_ id "note";`` or ``CM_ SG_ id name "note";``."""
+    parts = F.col("parts")
+    head = _fields(F.get(parts, F.lit(0)))
+    raw, name = F.get(head, F.lit(2)), F.get(head, F.lit(3))
+    ok = (F.get(head, F.lit(0)) == "CM_") & (F.get(head, F.lit(1)) == ("SG_" if of_signal else "BO_")) & (F.size(head) == (4 if of_signal else 3))
+    ok = ok & _only(raw, DIGITS) & (F.size(parts) == 3) & (F.trim(F.get(parts, F.lit(2))) == ";")
+    if of_signal:
+        ok = ok & _name(name)
+    return _sure("CM_", ok, raw_id=_long(raw), name=name, body=_plain(F.get(parts, F.lit(1))))
+
+
+def _long(digits: Column) -> Column:
+    return digits.try_cast("decimal(20,0)").cast("bigint")
+
 
 def _starts(text: Column, prefixes: Sequence[str]) -> Column:
     out = F.lit(False)
@@ -42,36 +139,22 @@ def statements(lines: DataFrame) -> DataFrame:
     The names block runs from NS_ to BS_ and is skipped; a signal belongs to the last message line above it.
     """
     text = F.trim(F.regexp_replace("value", "^﻿", ""))
-    is_version = text.rlike(VERSION_LINE)
-    # state lines of the names block; VERSION lines are read even inside it
-    edge = F.when(is_version, None).when(text.startswith("NS_"), 1).when(text.startswith("BS_"), 0)
-    message = text.rlike(MESSAGE_LINE)
-    base = lines.where("trim(value) != ''").select("path", "block", "line_no", text.alias("text"), edge.alias("edge"))
-    names = running(base, ["path"], ["line_no"], {"inside": Carry("last", F.col("edge"))}, ["block"])
-    kept = names.where((F.coalesce("inside", F.lit(0)) == 0) | F.col("text").rlike(VERSION_LINE))
+    # each line is cut once; what it was cut into travels with it
     t = F.col("text")
-    kind = (
-        F.when(t.rlike(VERSION_LINE), "version")
-        .when(t.startswith("BS_"), "skip")
-        .when(t.startswith("BU_:"), "nodes")
-        .when(t.rlike(MESSAGE_LINE), "message")
-        .when(t.rlike(SIGNAL_LINE), "signal")
-        .when(t.rlike(VALUES_LINE), "values")
-        .when(t.rlike(MESSAGE_NOTE), "message_note")
-        .when(t.rlike(SIGNAL_NOTE), "signal_note")
-        .when(_starts(t, EXTENSIONS), "passthrough")
-        .when(_starts(t, CORE), "malformed")
-        .otherwise("passthrough")
-    )
-    typed = kept.select("path", "block", "line_no", "text", kind.alias("kind")).where("kind != 'skip'")
-    owner = F.when(
-        F.col("kind") == "message",
-        F.struct(
-            F.col("line_no").alias("line_no"),
-            F.regexp_extract("text", MESSAGE_LINE, 1).cast("decimal(20,0)").cast("bigint").alias("raw_id"),
-            F.regexp_extract("text", MESSAGE_LINE, 3).cast("int").alias("dlc"),
-        ),
+    cut = cut_lines(lines.where("trim(value) != ''").select("path", "block", "line_no", text.alias("text"))).select(
+        "path", "block", "line_no", "text", version_fields().alias("as_version"), message_fields().alias("as_message"), signal_fields().alias("as_signal"),
+        value_fields().alias("as_values"), note_fields(False).alias("as_message_note"), note_fields(True).alias("as_signal_note"),
     )
+    # state lines of the names block; VERSION lines are read even inside it
+    edge = F.when(F.col("as_version").isNotNull(), None).when(t.startswith("NS_"), 1).when(t.startswith("BS_"), 0)
+    names = running(cut.withColumn("edge", edge), ["path"], ["line_no"], {"inside": Carry("last", F.col("edge"))}, ["block"])
+    kept = names.where((F.coalesce("inside", F.lit(0)) == 0) | F.col("as_version").isNotNull())
+    kind = F.when(F.col("as_version").isNotNull(), "version").when(t.startswith("BS_"), "skip").when(t.startswith("BU_:"), "nodes")
+    for name in ("message", "signal", "values", "message_note", "signal_note"):
+        kind = kind.when(F.col(f"as_{name}").isNotNull(), name)
+    kind = kind.when(_starts(t, EXTENSIONS), "passthrough").when(_starts(t, CORE), "malformed").otherwise("passthrough")
+    typed = kept.drop("edge", "inside").withColumn("kind", kind).where("kind != 'skip'")
+    owner = F.when(F.col("kind") == "message", F.struct(F.col("line_no").alias("line_no"), F.col("as_message.raw_id").alias("raw_id"), F.col("as_message.dlc").alias("dlc")))
     return running(typed, ["path"], ["line_no"], {"owner": Carry("last", owner)}, ["block"])
 
 
@@ -80,41 +163,23 @@ def definitions(lines: DataFrame) -> dict[str, DataFrame]:
     # eleven tables and checks read the statements; they are written once instead of scanned eleven times
     st = cut_lineage(statements(lines))
     t = F.col("text")
-    part = lambda pattern, i: F.regexp_extract(t, pattern, i)
-    long = lambda c: c.cast("decimal(20,0)").cast("bigint")
-    of = lambda kind: st.where(F.col("kind") == kind)
+    of = lambda kind: st.where(F.col("kind") == kind).withColumn("f", F.col(f"as_{kind}"))
 
-    version = of("version").groupBy("path").agg(F.max_by(unescape_text(part(VERSION_LINE, 1)), "line_no").alias("version"))
+    version = of("version").groupBy("path").agg(F.max_by("f.version", "line_no").alias("version"))
     sources = st.select("path").distinct().join(version, "path", "left").withColumn("version", F.coalesce("version", F.lit("")))
-    nodes = of("nodes").select(
-        "path", "line_no", F.posexplode(F.filter(F.split(F.trim(F.substr(t, F.lit(5))), r"\s+"), lambda n: n != "")).alias("pos", "name")
-    ).select("path", (F.col("line_no") * 100_000 + F.col("pos")).alias("ordinal"), "name")
-
-    raw = of("message").select(
-        "path", "line_no", long(part(MESSAGE_LINE, 1)).alias("raw_id"), part(MESSAGE_LINE, 2).alias("name"),
-        part(MESSAGE_LINE, 3).cast("int").alias("dlc"), part(MESSAGE_LINE, 4).alias("transmitter"),
-    ).withColumn("id", dbc_id(F.col("raw_id")))
+    nodes = st.where("kind = 'nodes'").withColumn("f", _fields(F.substr(t, F.lit(5)))).select("path", "line_no", F.posexplode("f").alias("pos", "name")).select(
+        "path", (F.col("line_no") * 100_000 + F.col("pos")).alias("ordinal"), "name"
+    )
+    raw = of("message").select("path", "line_no", "f.*").withColumn("id", dbc_id(F.col("raw_id")))
     messages = raw.select(
         "path", F.col("line_no").alias("ordinal"), "id.arbitration_id", "id.is_extended", "name", "dlc", "transmitter"
     )
     signals = of("signal").where("owner IS NOT NULL").withColumn("id", dbc_id(F.col("owner.raw_id"))).select(
         "path", F.col("owner.line_no").alias("message_ordinal"), "id.arbitration_id", "id.is_extended", F.col("line_no").alias("ordinal"),
-        part(SIGNAL_LINE, 1).alias("name"), F.nullif(part(SIGNAL_LINE, 2), F.lit("")).alias("multiplex"),
-        part(SIGNAL_LINE, 3).cast("int").alias("start_bit"), part(SIGNAL_LINE, 4).cast("int").alias("length"),
-        part(SIGNAL_LINE, 5).cast("int").alias("byte_order"), (part(SIGNAL_LINE, 6) == "-").alias("is_signed"),
-        *[part(SIGNAL_LINE, i).try_cast("double").alias(n) for i, n in ((7, "factor"), (8, "offset"), (9, "minimum"), (10, "maximum"))],
-        unescape_text(part(SIGNAL_LINE, 11)).alias("unit"),
-        F.filter(F.transform(F.split(part(SIGNAL_LINE, 12), ","), lambda r: F.trim(r)), lambda r: r != "").alias("receivers"),
-        F.col("owner.dlc").alias("owner_dlc"),
+        "f.*", F.col("owner.dlc").alias("owner_dlc"),
     )
-    noted = lambda kind, pattern, named: of(kind).select(
-        "path", "line_no", dbc_id(long(part(pattern, 1))).alias("id"),
-        *([part(pattern, 2).alias("name")] if named else []),
-        (unescape_text(part(pattern, 3 if named else 2)) if "note" in kind else part(pattern, 3)).alias("body"),
-    )
-    values = noted("values", VALUES_LINE, True)
-    m_notes = noted("message_note", MESSAGE_NOTE, False)
-    s_notes = noted("signal_note", SIGNAL_NOTE, True)
+    noted = lambda kind: of(kind).select("path", "line_no", dbc_id(F.col("f.raw_id")).alias("id"), "f.*")
+    values, m_notes, s_notes = noted("values"), noted("message_note"), noted("signal_note")
     m_key, s_key = ["path", "arbitration_id", "is_extended"], ["path", "arbitration_id", "is_extended", "name"]
     flat = lambda df, *extra: df.select("path", "line_no", "id.arbitration_id", "id.is_extended", *extra)
     latest = lambda df, key: df.groupBy(*key).agg(F.max_by("body", "line_no").alias("comment"))
@@ -123,14 +188,9 @@ def definitions(lines: DataFrame) -> dict[str, DataFrame]:
     first = signals.groupBy(*s_key).agg(F.min("ordinal").alias("ordinal"))
     signal_comments = latest(flat(s_notes, "name", "body"), s_key).join(first, s_key)
     signals_out = signals.join(signal_comments.select(*s_key, "ordinal", "comment"), [*s_key, "ordinal"], "left").drop("owner_dlc")
-    last_list = flat(values, "name", "body").groupBy(*s_key).agg(F.max_by("body", "line_no").alias("body")).join(first, s_key)
-    pair = F.regexp_extract_all("body", F.lit(VALUE_PAIR), F.lit(0))
-    values_out = last_list.select(*s_key, F.col("ordinal").alias("signal_ordinal"), F.posexplode(pair).alias("pos", "p")).select(
-        *s_key, "signal_ordinal", "pos",
-        F.regexp_extract("p", r"^(-?\d+)", 1).cast("bigint").alias("value"),
-        unescape_text(F.regexp_extract("p", QUOTED, 1)).alias("text"),
-    )
-    passthrough = of("passthrough").select("path", F.col("line_no").alias("ordinal"), t.alias("statement"))
+    last_list = flat(values, "name", "pairs").groupBy(*s_key).agg(F.max_by("pairs", "line_no").alias("pairs")).join(first, s_key)
+    values_out = last_list.select(*s_key, F.col("ordinal").alias("signal_ordinal"), F.posexplode("pairs").alias("pos", "p")).select(*s_key, "signal_ordinal", "pos", "p.*")
+    passthrough = st.where("kind = 'passthrough'").select("path", F.col("line_no").alias("ordinal"), t.alias("statement"))
 
     rule = lambda df, name, detail, line="line_no": df.select(
         "path", F.col(line).cast("bigint").alias("line_no"), F.lit(name).alias("rule"), detail.cast("string").alias("detail")
@@ -138,14 +198,14 @@ def definitions(lines: DataFrame) -> dict[str, DataFrame]:
     repeated = messages.groupBy(*m_key).agg(F.count("*").alias("n"), F.max("ordinal").alias("line_no")).where("n > 1")
     known_m, known_s = messages.select(*m_key).distinct(), signals.select(*s_key).distinct()
     violations = [
-        rule(of("malformed"), "malformedStatement", F.substr(t, F.lit(1), F.lit(120))),
+        rule(st.where("kind = 'malformed'"), "malformedStatement", F.substr(t, F.lit(1), F.lit(120))),
         rule(raw.where("id IS NULL"), "idOutOfRange", F.col("raw_id")),
         rule(raw.where("dlc < 0 OR dlc > 64"), "dlcOutOfRange", F.col("dlc")),
-        rule(of("signal").where("owner IS NULL"), "signalWithoutMessage", t),
+        rule(st.where("kind = 'signal' AND owner IS NULL"), "signalWithoutMessage", t),
         rule(signals.where("length < 1 OR length > 64"), "signalLengthOutOfRange", F.col("length"), "ordinal"),
         rule(signals.where("start_bit >= owner_dlc * 8"), "signalOutsideMessage", F.col("start_bit"), "ordinal"),
         rule(repeated, "duplicateMessage", F.col("arbitration_id")),
-        rule(values.where((F.size(pair) == 0) & (F.trim("body") != "")), "malformedValues", F.col("body")),
+        rule(values.where((F.size("pairs") == 0) & (F.trim("body") != "")), "malformedValues", F.col("body")),
         rule(flat(values, "name").join(known_s, s_key, "left_anti"), "valuesWithoutSignal", F.col("name")),
         rule(flat(m_notes).join(known_m, m_key, "left_anti"), "noteWithoutMessage", F.col("arbitration_id")),
         rule(flat(s_notes, "name").join(known_s, s_key, "left_anti"), "noteWithoutSignal", F.col("name")),

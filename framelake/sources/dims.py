@@ -10,10 +10,7 @@ from pyspark.sql import functions as F
 from framelake import schemas
 from framelake.functions.bits import hex_to_long
 
-# Schema ids and the registry's own network.
-MANIFEST_SCHEMA = "voltec-atlas.capture-session.v1"
-VOICE_SCHEMA = "obd-atlas.voice-event-correlation.v1"
-SPEED_SCHEMA = "atlas.fleetcarma-signal-correlation.v1"
+# The registry's own network and the catalog's statuses.
 REGISTRY_NETWORK, REGISTRY_KBPS = "internal_becm_bicm", 125
 CATALOG_STATUSES = ["confirmed", "communityCorroborated", "candidate"]
 
@@ -26,11 +23,15 @@ def _require(condition: Column, message: str, value: Column) -> Column:
     return F.when(F.coalesce(condition, F.lit(False)), value).otherwise(F.raise_error(F.lit(message)).cast("string"))
 
 
-def read_manifest(spark: SparkSession, path: str | Sequence[str]) -> dict[str, DataFrame]:
-    """Capture manifests to sessions, buses and capture_files; a manifest missing required parts stops the load."""
-    raw = _json(spark, path, schemas.MANIFEST)
+def read_manifest(spark: SparkSession, path: str | Sequence[str], schema_id: str, bus_field: str = "bus") -> dict[str, DataFrame]:
+    """Capture manifests to sessions, buses and capture_files; a manifest missing required parts stops the load.
+
+    ``schema_id`` is the schema that a manifest must name, ``bus_field`` the field of a bus entry that holds its name.
+    Files keep the folder of their manifest, in which their names are looked up.
+    """
+    raw = _json(spark, path, schemas.manifest(bus_field)).withColumn("manifest_path", F.col("_metadata.file_path"))
     ok = (
-        (F.col("schema") == MANIFEST_SCHEMA)
+        (F.col("schema") == schema_id)
         & F.col("session_id").isNotNull()
         & F.col("capture_type").isNotNull()
         & (F.size("buses") > 0)
@@ -43,11 +44,11 @@ def read_manifest(spark: SparkSession, path: str | Sequence[str]) -> dict[str, D
         "time.metadata_started_utc", "time.first_can_frame_utc", "time.last_can_frame_utc", "time.can_duration_seconds",
         "time.audio_duration_seconds", "host", F.col("capture_status.total_frames").alias("total_frames"),
         F.col("capture_status.termination_reason").alias("termination_reason"),
-        F.to_json(F.struct(*[F.col(c) for c in raw.columns])).alias("manifest_json"),
+        F.to_json(F.struct(*[F.col(c) for c in raw.columns if c != "manifest_path"])).alias("manifest_json"),
     )
     buses = m.select("session_id", F.explode("buses").alias("b")).select(
         "session_id", "b.*", F.to_json("b").alias("details_json")
-    ).withColumnRenamed("atlas_bus", "bus_name")
+    ).withColumnRenamed(bus_field, "bus_name")
     buses = buses.withColumn("captured", F.coalesce("captured", F.lit(False))).withColumn("frames", F.coalesce("frames", F.lit(0)))
     files = m.select("session_id", F.explode("files").alias("f")).select("session_id", "f.*")
     return {"sessions": sessions, "buses": buses, "capture_files": files}
@@ -158,14 +159,14 @@ def read_module_registry(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_trace_jsonl(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Trace records per file with their line number; blank lines do not count, broken JSON stops the load."""
+    """Trace records per file (trace_id is its whole path) with their line number; blank lines do not count, broken JSON stops the load."""
     from framelake.plans.ordered import Carry, running
     from framelake.sources.lines import read_lines
 
     lines = read_lines(spark, path).where("trim(value) != ''")
     numbered = running(lines, ["path"], ["line_no"], {"line": Carry("sum", F.lit(1).cast("bigint"))}, ["block"])
     parsed = numbered.select(
-        F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "").alias("trace_id"), "line",
+        F.col("path").alias("trace_id"), "line",
         F.from_json("value", schemas.TRACE, {"mode": "FAILFAST"}).alias("r"),
     )
     return parsed.select("trace_id", "line", "r.*")
@@ -178,10 +179,10 @@ def read_bench_jsonl(spark: SparkSession, path: str | Sequence[str]) -> DataFram
     return raw.withColumn("timestamp", _require(ok, "Expected timestamped JSON object", F.col("timestamp"))).drop("_corrupt")
 
 
-def voice_markers(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+def voice_markers(spark: SparkSession, path: str | Sequence[str], schema_id: str) -> DataFrame:
     """Markers with windows from voice correlation reports."""
     raw = _json(spark, path, schemas.VOICE_REPORT)
-    checked = raw.withColumn("schema", _require(F.col("schema") == VOICE_SCHEMA, "Unsupported voice report", F.col("schema")))
+    checked = raw.withColumn("schema", _require(F.col("schema") == schema_id, "Unsupported voice report", F.col("schema")))
     us = lambda c: F.round(F.col(c) * 1e6).cast("bigint")
     return checked.where("schema IS NOT NULL").select(
         F.coalesce("input_latency_calibrated", F.lit(False)).alias("input_latency_calibrated"), F.explode("events").alias("e")
@@ -193,19 +194,25 @@ def voice_markers(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 
 
 def mapping_reports(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Mapping reports as observations; the session is the 1-based place of the file in ``paths``."""
-    order = F.lit(0)
-    for i, p in enumerate(paths, start=1):
-        order = F.when(F.input_file_name().endswith(p.rsplit("/", 1)[-1]), i).otherwise(order)
+    """Mapping reports as observations; the session is the 1-based place of the file in ``paths``, found by its whole path."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+
+    def whole(p: str) -> str:
+        path = fs.Path(p)
+        return path.getFileSystem(conf).makeQualified(path).toUri().getPath()
+
+    places = spark.createDataFrame([(whole(p), i) for i, p in enumerate(paths, start=1)], "_path STRING, session INT")
     raw = _json(spark, list(paths), schemas.MAPPING_REPORT)
-    return raw.select(order.alias("session"), F.explode("mapping").alias("m")).select(
+    at = F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), "^[a-z0-9]+:(//[^/]*)?", ""))
+    return raw.select(at.alias("_path"), F.explode("mapping").alias("m")).join(places, "_path").select(
         "session", "m.cell", "m.slot", "m.score", F.col("m.rmseV").alias("rmse_v"), "m.confidence"
     )
 
 
-def speed_candidates(spark: SparkSession, path: str) -> DataFrame:
+def speed_candidates(spark: SparkSession, path: str, schema_id: str) -> DataFrame:
     """Candidates of a speed report; rows whose id is no hex number are left out."""
-    raw = _json(spark, path, schemas.SPEED_REPORT).where(F.col("schema") == SPEED_SCHEMA)
+    raw = _json(spark, path, schemas.SPEED_REPORT).where(F.col("schema") == schema_id)
     c = raw.select(F.explode("topSpeedCandidates").alias("c")).where(F.trim("c.canIdHex").rlike("^[0-9A-Fa-f]{1,8}$"))
     return c.select(
         F.coalesce("c.bus", F.lit(0)).alias("bus"), hex_to_long(F.trim("c.canIdHex")).alias("can_id"), "c.kind",

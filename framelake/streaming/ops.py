@@ -7,7 +7,7 @@ that already holds newer ones.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +20,7 @@ from framelake.functions.services import SERVICES, positive_map, request_of_posi
 from framelake.operators.correlation import candidates_from_counts, phase_bit_counts
 from framelake.operators.decode import CELL_COUNT, bicm_slot
 from framelake.plans.timejoin import asof_backward
-from framelake.sources.candump import ANY_FRAME_LINE, frame_columns
+from framelake.sources.candump import frame_columns
 from framelake.streaming.state import CellsProcessor, DiagPairProcessor, IsoTpProcessor, PendingRequests
 
 MESSAGES = "session_id string, iface string, arb_id bigint, ts_us bigint, completion_seq bigint, payload binary"
@@ -39,7 +39,7 @@ def stream_frames(spark: SparkSession, folder: str, fmt: str = "parquet", sessio
     if fmt == "parquet":
         return reader.schema(schemas.FRAMES).parquet(folder)
     text = reader.text(folder).select(F.trim("value").alias("value"))
-    cols = frame_columns(F.col("value"), ANY_FRAME_LINE)
+    cols = frame_columns(F.col("value"), extended=True)
     parsed = text.select(F.lit(session_id).alias("session_id"), cols["ts_us"].alias("sequence"), *[c.alias(n) for n, c in cols.items()])
     return parsed.where("ts_us IS NOT NULL AND data IS NOT NULL").select(
         "session_id", "sequence", "ts_us", "iface", "arb_id", "is_extended", "remote", F.length("data").alias("dlc"), "data"
@@ -150,11 +150,13 @@ def check_phase_order(phases: DataFrame) -> DataFrame:
     return p.where(~F.coalesce(ok, F.lit(False))).select("discovery_id")
 
 
-def stream_candidate_validation(samples: DataFrame, step_markers: DataFrame, out_path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Tag each batch's samples with the current target and store them; idempotent per batch."""
+def stream_candidate_validation(
+    samples: DataFrame, step_markers: DataFrame, out_path: str, checkpoint: str, once: bool = True, by: Sequence[str] = ("session_id",)
+) -> StreamingQuery:
+    """Tag each batch's samples with the current target of their capture and store them; idempotent per batch."""
 
     def tag(batch: DataFrame, batch_id: int) -> None:
-        asof_backward(batch, step_markers, [], ["target_mph"]).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+        asof_backward(batch, step_markers, by, ["target_mph"]).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
 
     return _batches(samples, tag, checkpoint, once)
 
@@ -181,8 +183,6 @@ def _pair_rows(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=[c.split()[0] for c in PAIRS.split(", ")])
 
 
-def live_pair(messages: DataFrame, n: int = 500) -> DataFrame:
-    """Pairing over the newest ``n`` endpoint messages, the live view's own bound."""
-    newest = messages.orderBy(F.desc("ts_us"), F.desc("sequence")).limit(n)
-    return newest.groupBy("session_id", "channel", "request_id").applyInPandas(_pair_rows, PAIRS)
-
+def live_pair(messages: DataFrame) -> DataFrame:
+    """Pairing over all endpoint messages; a caller that wants the newest alone selects them first."""
+    return messages.groupBy("session_id", "channel", "request_id").applyInPandas(_pair_rows, PAIRS)

@@ -17,10 +17,10 @@ from framelake.sources.lines import read_lines
 
 def test_candump_modes_and_line_numbers(spark, tmp_path):
     log = tmp_path / "drive.log"
-    log.write_text("(1000.000001) can0 100#01\n\n# ATLAS_EVENT (1000.5) 2026-01-01T00:00:00Z source=op label=Drive start\n(1000.000002) vcan0 10204040#010203\n(1.5) can0 0100#R\njunk\n(2.0) can0 100#1\n(3.0) can0 100##1AABB\n")
+    log.write_text("(1000.000001) can0 100#01\n\n# MARK (1000.5) 2026-01-01T00:00:00Z source=op label=Drive start\n(1000.000002) vcan0 10204040#010203\n(1.5) can0 0100#R\njunk\n(2.0) can0 100#1\n(3.0) can0 100##1AABB\n")
     lenient = candump.read_candump(spark, str(log), mode="lenient").orderBy("sequence").collect()
     assert [(r["sequence"], r["ts_us"], r["arb_id"], r["is_extended"], r["session_id"]) for r in lenient] == [
-        (1, 1000000001, 0x100, False, "drive"), (4, 1000000002, 0x10204040, True, "drive"),
+        (1, 1000000001, 0x100, False, f"file:{log}"), (4, 1000000002, 0x10204040, True, f"file:{log}"),
     ]
     extended = candump.read_candump(spark, str(log), mode="extended").orderBy("sequence").collect()
     assert [(r["sequence"], r["remote"], bytes(r["data"]).hex(), r["is_extended"]) for r in extended] == [
@@ -30,7 +30,7 @@ def test_candump_modes_and_line_numbers(spark, tmp_path):
     assert [(r["line_no"], r["reason"]) for r in bad if r["text"]] == [(3, "malformed"), (5, "malformed"), (6, "malformed"), (7, "oddLengthData"), (8, "malformed")]
     with pytest.raises(Exception, match="Malformed capture line"):
         candump.read_candump(spark, str(log)).select("sequence", "data").collect()
-    marks = candump.read_markers(spark, str(log)).collect()
+    marks = candump.read_markers(spark, str(log), "MARK").collect()
     assert [(m["sequence"], m["ts_us"], m["source"], m["label"]) for m in marks] == [(3, 1000500000, "op", "Drive start")]
 
 
@@ -140,9 +140,9 @@ def test_manifest_ingest_and_sinks(spark, tmp_path):
     log.parent.mkdir()
     log.write_text("(1000.000001) can0 100#01\n(1000.000002) vcan0 10204040#010203\n")
     manifest = {
-        "schema": "voltec-atlas.capture-session.v1", "session_id": "s1", "capture_type": "passive", "vehicle": {"model": "M", "generation": 1},
+        "schema": "capture.v1", "session_id": "s1", "capture_type": "passive", "vehicle": {"model": "M", "generation": 1},
         "time": {"metadata_started_utc": "1970-01-01T00:16:40+00:00", "can_duration_seconds": 0.1}, "capture_status": {"total_frames": 2},
-        "buses": [{"logged_interface": "can0", "atlas_bus": "a", "frames": 1, "unique_arbitration_ids": 1, "captured": True}, {"logged_interface": "vcan0", "atlas_bus": "b"}],
+        "buses": [{"logged_interface": "can0", "bus": "a", "frames": 1, "unique_arbitration_ids": 1, "captured": True}, {"logged_interface": "vcan0", "bus": "b"}],
         "files": [
             {"name": "drive.log", "role": "candump_log", "size_bytes": log.stat().st_size, "sha256": sha256(log.read_bytes()).hexdigest().upper()},
             {"name": "gone.flac", "role": "audio"},
@@ -150,7 +150,7 @@ def test_manifest_ingest_and_sinks(spark, tmp_path):
     }
     path = tmp_path / "m.json"
     path.write_text(json.dumps(manifest))
-    m = dims.read_manifest(spark, str(path))
+    m = dims.read_manifest(spark, str(path), "capture.v1")
     assert {r["name"]: r["status"] for r in quality.verify_files(m["capture_files"], spark, str(log.parent)).collect()} == {"drive.log": "verified", "gone.flac": "missing"}
     assert quality.sessions_without_log(m["capture_files"]).count() == 0
     assert [r["state"] for r in reports.session_summary(m["sessions"], m["buses"]).collect()] == ["captured", "no frames"]
@@ -175,7 +175,7 @@ def test_manifest_ingest_and_sinks(spark, tmp_path):
     manifest["schema"] = "other"
     path.write_text(json.dumps(manifest))
     with pytest.raises(Exception, match="Invalid capture manifest"):
-        dims.read_manifest(spark, str(path))["sessions"].collect()
+        dims.read_manifest(spark, str(path), "capture.v1")["sessions"].collect()
 
 
 def test_transcripts_catalogs_and_reports(spark, tmp_path):
@@ -198,15 +198,16 @@ def test_transcripts_catalogs_and_reports(spark, tmp_path):
     registry.write_text("source,network,bitrate_kbps,can_id_hex,message_name,signal_name,start_bit,length,endian,signed,scale,offset,unit,confidence,notes\na,internal_becm_bicm,125,0x460,M,Cell_01,3,12,motorola,false,0.00125,0,V,c,\na,other,500,0x1,M,S,0,8,intel,false,1,0,,c,\na,internal_becm_bicm,125,0x461,M,,3,12,motorola,false,1,0,V,c,\n")
     assert [(r["signal"], r["can_id"]) for r in dims.read_registry_csv(spark, str(registry)).collect()] == [("Cell_01", 0x460)]
     voice = tmp_path / "v.json"
-    voice.write_text(json.dumps({"schema": dims.VOICE_SCHEMA, "events": [{"annotation_index": 1, "text": "go", "can_window_start_epoch_seconds": 1.5, "can_window_end_epoch_seconds": 2.0}]}))
-    v = dims.voice_markers(spark, str(voice)).first()
+    voice.write_text(json.dumps({"schema": "voice.v1", "events": [{"annotation_index": 1, "text": "go", "can_window_start_epoch_seconds": 1.5, "can_window_end_epoch_seconds": 2.0}]}))
+    v = dims.voice_markers(spark, str(voice), "voice.v1").first()
     assert (v["start_us"], v["end_us"], v["label"], v["input_latency_calibrated"]) == (1500000, 2000000, "go", False)
     speed = tmp_path / "sp.json"
-    speed.write_text(json.dumps({"schema": dims.SPEED_SCHEMA, "topSpeedCandidates": [{"bus": 1, "canIdHex": "210", "kind": "u8", "offset": 0}, {"canIdHex": "zz"}]}))
-    assert [r["can_id"] for r in dims.speed_candidates(spark, str(speed)).collect()] == [0x210]
+    speed.write_text(json.dumps({"schema": "speed.v1", "topSpeedCandidates": [{"bus": 1, "canIdHex": "210", "kind": "u8", "offset": 0}, {"canIdHex": "zz"}]}))
+    assert [r["can_id"] for r in dims.speed_candidates(spark, str(speed), "speed.v1").collect()] == [0x210]
     for i, slot in enumerate(("S1", "S1", "S2"), start=1):
-        (tmp_path / f"map{i}.json").write_text(json.dumps({"mapping": [{"cell": "C1", "slot": slot, "score": 0.95, "rmseV": 0.001, "confidence": "strongCandidate"}]}))
-    m = dims.mapping_reports(spark, [str(tmp_path / f"map{i}.json") for i in (1, 2, 3)])
+        (tmp_path / f"run{i}").mkdir()
+        (tmp_path / f"run{i}" / "report.json").write_text(json.dumps({"mapping": [{"cell": "C1", "slot": slot, "score": 0.95, "rmseV": 0.001, "confidence": "strongCandidate"}]}))
+    m = dims.mapping_reports(spark, [str(tmp_path / f"run{i}" / "report.json") for i in (1, 2, 3)])
     assert sorted((r["session"], r["slot"]) for r in m.collect()) == [(1, "S1"), (2, "S1"), (3, "S2")]
     know = spark.createDataFrame([("k", "can0", "n", 500, 1), ("k", "can0", "n", 500, 1)], "catalog_id STRING, logged_bus STRING, network STRING, bitrate_kbps INT, arbitration_id BIGINT")
     assert {r["rule"] for r in dims.validate_knowledge(know, {"can0": 3}).collect()} == {"busCount", "duplicateIdentity"}
@@ -254,3 +255,33 @@ def test_bench_and_trace_jsonl(spark, tmp_path):
     b.write_text('{"direction": "rx"}\n')
     with pytest.raises(Exception, match="timestamped"):
         dims.read_bench_jsonl(spark, str(b)).collect()
+
+
+def test_equal_base_names_are_two_sessions(spark, tmp_path):
+    for folder, byte in (("a", "01"), ("b", "02")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "drive.log").write_text(f"(1.0) can0 100#{byte}\n(2.0) can0 100#{byte}\n")
+    got = candump.read_candump(spark, [str(tmp_path / "a"), str(tmp_path / "b")]).orderBy("session_id", "sequence").collect()
+    assert [(r["session_id"].split("/")[-2], r["sequence"], bytes(r["data"]).hex()) for r in got] == [("a", 1, "01"), ("a", 2, "01"), ("b", 1, "02"), ("b", 2, "02")]
+    entries = spark.createDataFrame(
+        [("s", "a/drive.log", "candump_log", 36, sha256((tmp_path / "a" / "drive.log").read_bytes()).hexdigest()), ("s", "b/drive.log", "candump_log", 36, "0" * 64), ("s", "drive.log", "audio", 1, None)],
+        "session_id STRING, name STRING, role STRING, size_bytes BIGINT, sha256 STRING",
+    )
+    assert {r["name"]: r["status"] for r in quality.verify_files(entries, spark, str(tmp_path)).collect()} == {"a/drive.log": "verified", "b/drive.log": "hashMismatch", "drive.log": "missing"}
+
+
+def test_derived_tables_lose_stale_rows_and_a_failed_write_changes_nothing(spark, make_frames, tmp_path):
+    from framelake.sinks.tables import overwrite_sessions
+
+    table = str(tmp_path / "derived")
+    rows = spark.createDataFrame([("s/1", 1), ("t", 2)], "session_id STRING, x INT")
+    overwrite_sessions(rows, table)
+    overwrite_sessions(rows.where("x = 9"), table, spark.createDataFrame([("s/1",)], "session_id STRING"))
+    assert [tuple(r) for r in spark.read.parquet(table).select("session_id", "x").collect()] == [("t", 2)]
+    store, one = str(tmp_path / "frames"), spark.createDataFrame([("s", 2)], "session_id STRING, total_frames BIGINT")
+    write_session(make_frames([(1.0, "can0", 1, "01"), (2.0, "can0", 1, "02")]), one, store)
+    with pytest.raises(ValueError, match="differs"):
+        write_session(make_frames([(1.0, "can0", 1, "07")]), one, store, replace=True)
+    assert sorted(bytes(r["data"]) for r in spark.read.parquet(store).collect()) == [b"\x01", b"\x02"]
+    write_session(make_frames([]), spark.createDataFrame([("s", 0)], "session_id STRING, total_frames BIGINT"), store, replace=True)
+    assert spark.read.schema("session_id STRING, data BINARY").parquet(store).count() == 0

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from framelake.operators import decode, mapping, states
 from framelake.operators.activity import byte_activity, id_activity, select_dominant_dlc
 from framelake.operators.correlation import bit_event_candidates, signal_speed_correlation, voice_correlation, window_correlation
-from framelake.sources.synthetic import internal_registry, synthetic_bms_capture
+from tests.battery import battery_capture, internal_registry, slot_of
 
 
 def samples(spark, seqs):
@@ -68,13 +68,13 @@ def test_startup_timeline_golden(make_frames):
 
 
 def test_permutation_recovered(spark):
-    cap = synthetic_bms_capture(spark, 10)
-    cells = decode.decode_registry(cap["internal"], internal_registry(spark)).select(F.col("signal").alias("cell"), "ts_us", "sequence", "value")
-    slots = decode.decode_hv_frames(cap["hv"]).where("signal = 'cellVoltage'").select(F.format_string("HVslot_%02d", "slot").alias("slot"), "ts_us", "sequence", "value")
+    cap = battery_capture(spark, 10)
+    cells = decode.decode_registry(cap["internal"], internal_registry(spark)).select("session_id", F.col("signal").alias("cell"), "ts_us", "sequence", "value")
+    slots = decode.decode_hv_frames(cap["hv"]).where("signal = 'cellVoltage'").select("session_id", F.format_string("HVslot_%02d", "slot").alias("slot"), "ts_us", "sequence", "value")
     scores = mapping.series_pair_score(cells, slots)
     assert scores.count() == 96 * 96
     got = {r["cell"]: (r["slot"], r["confidence"]) for r in mapping.greedy_assign(scores).collect()}
-    assert got == {f"Cell_{c:02d}": (f"HVslot_{(c - 1) * 37 % 96 + 1:02d}", "strongCandidate") for c in range(1, 97)}
+    assert got == {f"Cell_{c:02d}": (f"HVslot_{slot_of(c):02d}", "strongCandidate") for c in range(1, 97)}
 
 
 def test_greedy_equals_sorted_scan(spark):
@@ -87,7 +87,7 @@ def test_greedy_equals_sorted_scan(spark):
             used_c.add(c)
             used_s.add(s)
             want.add((c, s))
-    assert {(r["cell"], r["slot"]) for r in mapping.greedy_assign(df).collect()} == want
+    assert {(r["cell"], r["slot"]) for r in mapping.greedy_assign(df, by=[]).collect()} == want
 
 
 def test_cross_session(spark):
@@ -111,14 +111,14 @@ def test_activity_golden(make_frames):
 
 def test_bit_discovery_golden(spark, make_frames):
     rows = [(i * 0.1, "can4", 0x17D, "000020" if 10 <= i < 20 else "000000") for i in range(30)]
-    phases = spark.createDataFrame([(1, "baseline", 0, 1_000_000), (1, "event", 1_000_000, 2_000_000), (1, "after", 2_000_000, 3_000_000)], "discovery_id INT, phase STRING, lo_us BIGINT, hi_us BIGINT")
+    phases = spark.createDataFrame([("s", 1, "baseline", 0, 1_000_000), ("s", 1, "event", 1_000_000, 2_000_000), ("s", 1, "after", 2_000_000, 3_000_000)], "session_id STRING, discovery_id INT, phase STRING, lo_us BIGINT, hi_us BIGINT")
     got = bit_event_candidates(make_frames(rows), phases).collect()
     assert [(r["byte_index"], r["bit_index"], r["score"]) for r in got] == [(2, 5, 1.0)]
 
 
 def test_window_and_voice_correlation(spark, make_frames):
     rows = [(1000 + i * 0.1, "can0", 0x100, "01" if i < 50 else "FF") for i in range(80)] + [(1000 + i * 0.1 + 0.05, "can0", 0x200, "07") for i in range(80)]
-    a = spark.createDataFrame([(1, 1_005_000_000, 1_006_500_000)], "annotation_idx INT, start_us BIGINT, end_us BIGINT")
+    a = spark.createDataFrame([("s", 1, 1_005_000_000, 1_006_500_000)], "session_id STRING, annotation_idx INT, start_us BIGINT, end_us BIGINT")
     for fn in (window_correlation, voice_correlation):
         top = fn(make_frames(rows), a).where("rank = 1").first()
         assert (top["arb_id"], top["byte_index"], top["distance"]) == (0x100, 0, 1.0) and top["score"] > 100
@@ -133,3 +133,27 @@ def test_speed_ramp_and_constant(spark, make_frames):
     assert signal_speed_correlation(f, short, tol=0).count() == 0
     with pytest.raises(Exception):
         signal_speed_correlation(f, short.drop("speed"))
+
+
+def test_captures_at_one_time_do_not_meet(spark, make_frames):
+    def drive(byte, session):
+        return make_frames([(1000 + i * 0.1, "can0", 0x100, byte if 50 <= i < 65 else "00") for i in range(80)], session)
+
+    frames = drive("FF", "a").unionByName(drive("00", "b"))
+    notes = spark.createDataFrame([(s, 1, 1_005_000_000, 1_006_500_000) for s in "ab"], "session_id STRING, annotation_idx INT, start_us BIGINT, end_us BIGINT")
+    assert {(r["session_id"], r["distance"]) for r in window_correlation(frames, notes).collect()} == {("a", 1.0), ("b", 0.0)}
+
+
+def test_bytes_beyond_the_eighth_count(spark, make_frames):
+    from framelake.functions.bits import explode_bytes, extract_words
+    from framelake.operators.activity import byte_activity, id_activity
+
+    frames = make_frames([(i * 0.1, "can0", 0x100, "00" * 10 + ("20" if 10 <= i < 20 else "00") + "00" * 9) for i in range(30)])
+    assert id_activity(frames).first()["transition_count"] == 2 and id_activity(frames).first()["changing_byte_count"] == 1
+    assert [r["byte_index"] for r in byte_activity(frames).where("change_count > 0").collect()] == [10] and byte_activity(frames).count() == 20
+    assert explode_bytes(frames).where("value = 32").select("byte_index").distinct().first()[0] == 10
+    words = extract_words(frames.where("sequence = 15"))
+    assert words.count() == 20 + 2 * 19
+    assert {(r["kind"], r["offset"], r["x"]) for r in words.where("x > 0").collect()} == {("u8", 10, 32), ("u16le", 10, 32), ("u16be", 10, 8192), ("u16le", 9, 8192), ("u16be", 9, 32)}
+    phases = spark.createDataFrame([("s", 1, "baseline", 0, 1_000_000), ("s", 1, "event", 1_000_000, 2_000_000), ("s", 1, "after", 2_000_000, 3_000_000)], "session_id STRING, discovery_id INT, phase STRING, lo_us BIGINT, hi_us BIGINT")
+    assert [(r["byte_index"], r["bit_index"], r["length"]) for r in bit_event_candidates(frames, phases).collect()] == [(10, 5, 20)]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from framelake.operators.correlation import bit_event_candidates
 from framelake.operators.isotp import reassemble_isotp
 from framelake.schemas import FRAMES
-from framelake.sources.synthetic import synthetic_bms_capture
+from tests.battery import battery_capture
 from framelake.streaming import ops
 from tests.test_diagnostics import wire
 
@@ -47,7 +47,7 @@ def test_stream_pairs_and_live_pairs(spark, tmp_path):
         rows.append(("s", i, i * 1000, "can0", 0x7E0 if ask else 0x7E8, False, False, len(hx) // 2, bytes.fromhex(hx)))
     f = spark.createDataFrame(rows, FRAMES)
     endpoints = spark.createDataFrame([(0x7E0, 0x7E8)], "request_id BIGINT, response_id BIGINT")
-    batch = ops.live_pair(ops.endpoint_messages(reassemble_isotp(f), endpoints), 500)
+    batch = ops.live_pair(ops.endpoint_messages(reassemble_isotp(f), endpoints))
     pick = lambda rows: sorted((r["ts_us"], r["role"], r["latency_ms"]) for r in rows)
     want = pick(batch.where("latency_ms IS NOT NULL").collect())
     messages = reassemble_isotp(f).select("session_id", "iface", "arb_id", "ts_us", "completion_seq", "payload")
@@ -63,7 +63,7 @@ def test_stream_pairs_and_live_pairs(spark, tmp_path):
 
 
 def test_stream_cells_and_rate(spark, tmp_path):
-    cap = synthetic_bms_capture(spark, 2)["internal"].withColumn("data", F.substring("data", 1, 6)).withColumn("dlc", F.lit(6)).select(*[c.split()[0] for c in FRAMES.split(", ")])
+    cap = battery_capture(spark, 2)["internal"].withColumn("data", F.substring("data", 1, 6)).withColumn("dlc", F.lit(6)).select(*[c.split()[0] for c in FRAMES.split(", ")])
     stream = replay(spark, cap, str(tmp_path / "c"), parts=2)
     snaps = drain(ops.stream_cells(stream), "cells", "update")
     assert len(snaps) == 2 and all(len(s["cells_volts"]) == 96 for s in snaps)
@@ -74,14 +74,14 @@ def test_stream_cells_and_rate(spark, tmp_path):
 
 def test_stream_discovery_validation_and_sink(spark, make_frames, tmp_path):
     f = make_frames([(i * 0.1, "can4", 0x17D, "000020" if 10 <= i < 20 else "000000") for i in range(30)])
-    phases = spark.createDataFrame([(1, "baseline", 0, 1_000_000), (1, "event", 1_000_000, 2_000_000), (1, "after", 2_000_000, 3_000_000)], "discovery_id INT, phase STRING, lo_us BIGINT, hi_us BIGINT")
+    phases = spark.createDataFrame([("s", 1, "baseline", 0, 1_000_000), ("s", 1, "event", 1_000_000, 2_000_000), ("s", 1, "after", 2_000_000, 3_000_000)], "session_id STRING, discovery_id INT, phase STRING, lo_us BIGINT, hi_us BIGINT")
     assert ops.check_phase_order(phases).count() == 0
     assert ops.check_phase_order(phases.where("phase != 'after'")).count() == 1
     stream = replay(spark, f, str(tmp_path / "in"), parts=4)
     ops.stream_bit_discovery(stream, phases, str(tmp_path / "counts"), str(tmp_path / "ck1")).awaitTermination(120)
     assert ops.discovered_bits(spark, str(tmp_path / "counts")).collect() == bit_event_candidates(f, phases).collect()
-    samples = stream.select("ts_us", "sequence", F.length("data").alias("raw_value"))
-    steps = spark.createDataFrame([(500_000, 1, 10.0), (2_000_000, 2, None)], "ts_us BIGINT, sequence BIGINT, target_mph DOUBLE")
+    samples = stream.select("session_id", "ts_us", "sequence", F.length("data").alias("raw_value"))
+    steps = spark.createDataFrame([("s", 500_000, 1, 10.0), ("s", 2_000_000, 2, None)], "session_id STRING, ts_us BIGINT, sequence BIGINT, target_mph DOUBLE")
     ops.stream_candidate_validation(samples, steps, str(tmp_path / "val"), str(tmp_path / "ck2")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "val")).where("target_mph = 10").count() == 15
     ops.stream_capture_sink(stream, str(tmp_path / "store"), str(tmp_path / "ck3"), once=True).awaitTermination(120)

@@ -3,13 +3,14 @@ from __future__ import annotations
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from framelake.operators import trace
 from framelake.operators.diagnostics import classify_diag, redact
 from framelake.operators.isotp import reassemble_isotp
 from framelake.sources.dims import read_trace_jsonl
 
-S = trace.TRACE_SCHEMA
+S = "trace.v1"
 
 
 def write(path, rows):
@@ -34,14 +35,14 @@ def test_valid_trace_and_matches(spark, make_frames, tmp_path):
     ]
     t = read_trace_jsonl(spark, write(tmp_path / "t.jsonl", rows))
     for chunk in (1, 2, 1000):
-        assert trace.validate_trace(t, chunk=chunk).count() == 0
+        assert trace.validate_trace(t, S, chunk=chunk).count() == 0
     pairs = {(r["call_id"], r["occurrence"]): r["end_sequence"] for r in trace.pair_calls(t).collect()}
     assert pairs == {("a", 1): 2, ("b", 1): 4, ("a", 2): 6, ("c", 1): None}
     s = {(r["section"], r["name"]): r["value"] for r in trace.trace_summary(t).collect()}
     assert s["totals", "messages"] == 4 and s["totals", "redacted_messages"] == 1 and s["api", "PassThruWriteMsgs"] == 3
     f = make_frames([(1.01, "can0", 0x7E0, "0322F190"), (1.21, "can0", 0x7E8, "0462F19041"), (2.3, "can0", 0x7E0, "022701"), (2.1, "can0", 0x7E0, "023E00")])
     bus = redact(classify_diag(reassemble_isotp(f)))
-    out = {(r["call_id"], r["sequence"]): r for r in trace.match_trace_to_bus(trace.explode_trace_messages(t), bus).collect()}
+    out = {(r["call_id"], r["sequence"]): r for r in trace.match_trace_to_bus(trace.explode_trace_messages(t).withColumn("session_id", F.lit("s")), bus).collect()}
     assert out["a", 1]["status"] == out["b", 4]["status"] == "exactPayloadAndTimeMatch"
     assert out["a", 5]["status"] == "serviceAndTimeCandidate" and out["a", 5]["payload_compared"] is False and round(out["a", 5]["delta_ms"]) == 300
     assert out["c", 7]["status"] == "noBusCandidateInWindow"
@@ -58,12 +59,12 @@ def test_valid_trace_and_matches(spark, make_frames, tmp_path):
 ])
 def test_violations(spark, tmp_path, rows, rule):
     t = read_trace_jsonl(spark, write(tmp_path / "t.jsonl", rows))
-    assert [r["rule"] for r in trace.validate_trace(t).collect()] == [rule]
+    assert [r["rule"] for r in trace.validate_trace(t, S).collect()] == [rule]
 
 
 def test_markers_near_events(spark, make_frames):
     f = make_frames([(t, "can0", 0x7E0, "023E00") for t in (0.5, 4.0, 10.0, 12.0, 30.0)])
     e = classify_diag(reassemble_isotp(f))
-    m = spark.createDataFrame([(1, "m", 9_000_000, 11_000_000)], "marker_id INT, label STRING, start_us BIGINT, end_us BIGINT")
+    m = spark.createDataFrame([("s", 1, "m", 9_000_000, 11_000_000), ("other", 2, "m", 9_000_000, 11_000_000)], "session_id STRING, marker_id INT, label STRING, start_us BIGINT, end_us BIGINT")
     got = [(r["rank"], r["ts_us"], r["delta_ms"]) for r in trace.markers_near_events(m, e, k=2).orderBy("rank").collect()]
     assert got == [(1, 10_000_000, 0.0), (2, 12_000_000, 1000.0)]
