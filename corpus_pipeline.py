@@ -11,7 +11,7 @@ from framelake.llm.common import stored, table
 from framelake.llm.decontaminate import contained_items
 from framelake.llm.lines import dedup_lines
 from framelake.llm.packing import measured, pack
-from framelake.llm.simhash import near_duplicates
+from framelake.llm.simhash import copy_groups
 from framelake.llm.toxicity import toxic_scores
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -34,12 +34,12 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays.
+    """Of each group of copies the document with the smallest id stays.
 
+    Copies are texts with linked fingerprints, and texts whose five-word shingles have a similarity of 0.8 or more.
     Documents without words have one fingerprint, as in the operator, so one of them stays; rows without id stay.
     """
-    found = near_duplicates(docs)
-    return _without(docs, found.where("id <> component_id").select("id"))
+    return _without(docs, copy_groups(docs).where("id <> group").select("id"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm.common import components, stored, table
+from framelake.llm.common import SHINGLE_WORDS, SIMILARITY, components, stored, table
 
 BITS = 64
 RADIUS = 2
@@ -176,6 +177,86 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return fps.join(named, "fp").select("id", "fp", "component_id")
 
 
+# ---- near copies further apart than a fingerprint can tell -----------------------------------------------------
+
+#: A piece of a text ends at words of one hash class in so many; texts keep about 48 to 96 pieces at most, by their hash.
+PIECE_WORDS = 12
+KEPT_PIECES = 48
+
+
+class _Ends(dict):
+    def __missing__(self, word: bytes) -> bool:
+        if len(self) >= 300_000:
+            self.clear()
+        self[word] = got = zlib.crc32(word) % PIECE_WORDS == 0
+        return got
+
+
+def pieces(words: list[bytes], ends: dict[bytes, bool]) -> set[int]:
+    """Hashes of a text's pieces. Cuts depend on the words at hand alone, so an edit changes the pieces around it and no others;
+    a longer text keeps the pieces whose hash is divisible by a power of two, the same ones in every text."""
+    out, start = [], 0
+    for i, word in enumerate(words):
+        if ends[word]:
+            out.append(xxhash.xxh64_intdigest(b" ".join(words[start : i + 1]), 7))
+            start = i + 1
+    if start < len(words):
+        out.append(xxhash.xxh64_intdigest(b" ".join(words[start:]), 7))
+    step = 1 << max(0, (len(out) // KEPT_PIECES).bit_length() - 1)
+    return {h for h in out if h % step == 0}
+
+
+def shingles(text: str | None, n_words: int = SHINGLE_WORDS) -> set[bytes]:
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    return {b" ".join(words[i : i + n_words]) for i in range(max(1, len(words) - n_words + 1))} if words else set()
+
+
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b): verified links between texts whose sets of five-word shingles have a similarity of ``similarity`` or more.
+
+    A 64-bit fingerprint tells such texts apart by some ten bits, out of reach of a search by radius. So texts that share
+    a piece are compared: each with the text of smallest and of largest id that has the piece, not all pairs of a piece,
+    so a passage in a third of all texts costs two comparisons for each. Rows without id or words take no part.
+    """
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ends = _Ends()
+        for pdf in batches:
+            ids, hashes = [], []
+            for i, t in zip(pdf["id"], pdf["t"]):
+                found = pieces((t or "").encode("utf-8", "replace").lower().split(), ends)
+                hashes += found
+                ids += [i] * len(found)
+            yield pd.DataFrame({"id": np.array(ids, dtype=np.int64), "h": np.array(hashes, dtype=np.uint64).view(np.int64)})
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            keep = []
+            for x, y in zip(pdf["ta"], pdf["tb"]):
+                s, u = shingles(x), shingles(y)
+                both = len(s & u)
+                keep.append(x == y or (both > 0 and both >= similarity * (len(s) + len(u) - both)))
+            yield pdf.loc[keep, ["a", "b"]]
+
+    docs = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
+    held = stored(docs.mapInPandas(cut, "id long, h long"))
+    ranges = held.groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
+    met = held.join(ranges, "h").select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("id").alias("b")), F.struct(F.col("id").alias("a"), F.col("high").alias("b")))).alias("p"))
+    pairs = stored(met.select("p.*").where("a < b").distinct())
+    texts = docs.dropDuplicates(["id"])
+    left = texts.select(F.col("id").alias("a"), F.col("t").alias("ta"))
+    right = texts.select(F.col("id").alias("b"), F.col("t").alias("tb"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInPandas(check, "a long, b long")
+
+
+def copy_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, group): the smallest id that a row is linked to, by fingerprints (as in :func:`near_duplicates`) or as a near copy."""
+    same = near_duplicates(df, id_col, text_col).where("id is not null").select("id", "component_id").distinct()
+    near = stored(near_copies(df, id_col, text_col))
+    linked = components(near.union(same.where("id <> component_id").select(F.col("component_id").alias("a"), F.col("id").alias("b"))))
+    return same.select("id").distinct().join(linked, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("group"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
