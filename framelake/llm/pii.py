@@ -6,6 +6,8 @@ strings with the words before them; all scoring works on that small table.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,28 +38,44 @@ CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?:\x20[(]?[0-9][0-9().-]*+(?!\S))*+"
 _STEP = 64
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: an expression used inside a lambda would be computed for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _prefix_sums(lengths: Column) -> Column:
     """Sums of all entries before each one. Two levels, since appending one by one copies the array each time."""
     n = F.size(lengths)
-    sums = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / _STEP).cast("int")), lambda c: F.aggregate(F.slice(lengths, c * _STEP + 1, F.lit(_STEP)), F.lit(0), lambda s, x: s + x))
+    blocks = F.sequence(F.lit(0), F.floor((n - 1) / _STEP).cast("int"))
+    sums = F.transform(blocks, lambda c: F.aggregate(F.slice(lengths, c * _STEP + 1, F.lit(_STEP)), F.lit(0), lambda s, x: s + x))
     firsts = F.aggregate(sums, F.array(F.lit(0)), lambda out, x: F.concat(out, F.array(F.element_at(out, -1) + x)))
 
-    def before(i: Column) -> Column:
-        block = F.floor(i / _STEP).cast("int")
-        own = F.slice(lengths, block * _STEP + 1, i % _STEP)
-        return F.get(firsts, block) + F.aggregate(own, F.lit(0), lambda s, x: s + x)
+    def with_firsts(at: Column) -> Column:
+        def before(i: Column) -> Column:
+            block = F.floor(i / _STEP).cast("int")
+            own = F.slice(lengths, block * _STEP + 1, i % _STEP)
+            return F.get(at, block) + F.aggregate(own, F.lit(0), lambda s, x: s + x)
+
+        return F.transform(F.sequence(F.lit(0), n - 1), before)
 
-    return F.transform(F.sequence(F.lit(0), n - 1), before)
+    return _let(firsts, with_firsts)
 
 
 def _found(text: Column, pattern: str) -> Column:
-    """(gap, value, start, end) of each leftmost non-overlapping match, in code points; empty without one."""
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.slice(F.split(text, pattern, -1), 1, F.size(values))
-    lengths = F.zip_with(gaps, values, lambda g, v: F.length(g) + F.length(v))
-    rows = F.arrays_zip(gaps.alias("gap"), values.alias("value"), _prefix_sums(lengths).alias("before"))
-    spans = F.transform(rows, lambda x: F.struct(x["gap"].alias("gap"), x["value"].alias("value"), (x["before"] + F.length(x["gap"])).alias("start"), (x["before"] + F.length(x["gap"]) + F.length(x["value"])).alias("end")))
-    return F.when(F.size(values) > 0, spans)
+    """(gap, value, start, end) of each leftmost non-overlapping match, in code points; null without one."""
+
+    def span(x: Column) -> Column:
+        start = x["before"] + F.length(x["gap"])
+        return F.struct(x["gap"].alias("gap"), x["value"].alias("value"), start.alias("start"), (start + F.length(x["value"])).alias("end"))
+
+    def spans(m: Column) -> Column:
+        gaps, values = F.slice(m["gaps"], 1, F.size(m["values"])), m["values"]
+        lengths = F.zip_with(gaps, values, lambda g, v: F.length(g) + F.length(v))
+        before = _let(lengths, _prefix_sums)
+        placed = F.transform(F.arrays_zip(gaps.alias("gap"), values.alias("value"), before.alias("before")), span)
+        return F.when(F.size(values) > 0, placed)
+
+    return _let(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("values"), F.split(text, pattern, -1).alias("gaps")), spans)
 
 
 def _digits(value: Column) -> Column:
@@ -65,14 +83,17 @@ def _digits(value: Column) -> Column:
 
 
 def luhn(digits: Column) -> Column:
-    """Whether a string of digits passes the Luhn check."""
-    back = F.reverse(digits)
+    """Whether a string of at most 19 digits passes the Luhn check; longer ones are no card."""
+
+    def total(back: Column) -> Column:
+        def worth(i: Column) -> Column:
+            d = F.substring(back, i, F.lit(1)).cast("int") * (2 - i % 2)
+            return d - F.when(d > 9, 9).otherwise(0)
 
-    def worth(i: Column) -> Column:
-        d = F.substring(back, i, F.lit(1)).cast("int") * (2 - i % 2)
-        return d - F.when(d > 9, 9).otherwise(0)
+        return F.aggregate(F.sequence(F.lit(1), F.length(back)), F.lit(0), lambda s, i: s + worth(i))
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), lambda s, i: s + worth(i)) % 10 == 0
+    # a sequence from 1 to 0 would count down
+    return F.when(F.length(digits).between(1, 19), _let(F.reverse(digits), total) % 10 == 0).otherwise(False)
 
 
 def valid(kind: int, value: Column) -> Column:
