@@ -364,7 +364,10 @@ def extract_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     text, give an empty text; ids may be null or repeated; an empty table gives no rows.
     """
     spark = df.sparkSession
-    sample = df.where(F.length(html_col).between(1, TRAIN_CHARS)).select(F.col(html_col).alias("h"), F.xxhash64(html_col).alias("k")).orderBy("k", "h").limit(train_pages)
+    known = df.where(F.length(html_col).between(1, TRAIN_CHARS)).select(F.col(html_col).alias("h"), F.xxhash64(html_col).alias("k"))
+    # the choice is made on hashes alone, so that tasks don't send pages that are not taken; copies count once
+    chosen = known.select(F.col("k").alias("c")).distinct().orderBy("c").limit(train_pages)
+    sample = known.join(F.broadcast(chosen), F.col("k") == F.col("c")).groupBy("k").agg(F.min("h").alias("h")).orderBy("k")
     model = train([r["h"] for r in sample.collect()])
     shared = spark.sparkContext.broadcast(model)
 
