@@ -299,7 +299,7 @@ def live_validation_steps(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def state_runs(spark: SparkSession, d: str) -> DataFrame:
-    return states.compress_states(B.states(spark, d), ["channel"])
+    return states.compress_states(B.states(spark, d).drop("session_id"), ["channel"])
 
 
 def _daily(spark: SparkSession, d: str) -> DataFrame:
