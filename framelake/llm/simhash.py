@@ -215,38 +215,48 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """(a, b): verified links between texts whose sets of five-word shingles have a similarity of ``similarity`` or more.
 
     A 64-bit fingerprint tells such texts apart by some ten bits, out of reach of a search by radius. So texts that share
-    a piece are compared: each with the text of smallest and of largest id that has the piece, not all pairs of a piece,
-    so a passage in a third of all texts costs two comparisons for each. Rows without id or words take no part.
+    pieces are compared: each with the text of smallest and of largest id that has the piece, not all pairs of a piece,
+    so a passage in a third of all texts costs two candidates for each. Such texts share more than half of their pieces;
+    candidates that share fewer than a tenth (a common passage in longer texts) are not read again. Rows without id or
+    words take no part.
     """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ends = _Ends()
         for pdf in batches:
-            ids, hashes = [], []
+            ids, hashes, kept = [], [], []
             for i, t in zip(pdf["id"], pdf["t"]):
                 found = pieces((t or "").encode("utf-8", "replace").lower().split(), ends)
                 hashes += found
                 ids += [i] * len(found)
-            yield pd.DataFrame({"id": np.array(ids, dtype=np.int64), "h": np.array(hashes, dtype=np.uint64).view(np.int64)})
+                kept += [len(found)] * len(found)
+            yield pd.DataFrame({"id": np.array(ids, dtype=np.int64), "kept": np.array(kept, dtype=np.int32), "h": np.array(hashes, dtype=np.uint64).view(np.int64)})
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             keep = []
             for x, y in zip(pdf["ta"], pdf["tb"]):
-                s, u = shingles(x), shingles(y)
+                s, u = (shingles(x), shingles(y)) if x != y else ({1}, {1})
                 both = len(s & u)
-                keep.append(x == y or (both > 0 and both >= similarity * (len(s) + len(u) - both)))
+                keep.append(both > 0 and both >= similarity * (len(s) + len(u) - both))
             yield pdf.loc[keep, ["a", "b"]]
 
     docs = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    held = stored(docs.mapInPandas(cut, "id long, h long"))
-    ranges = held.groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    met = held.join(ranges, "h").select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("id").alias("b")), F.struct(F.col("id").alias("a"), F.col("high").alias("b")))).alias("p"))
-    pairs = stored(met.select("p.*").where("a < b").distinct())
-    texts = docs.dropDuplicates(["id"])
-    left = texts.select(F.col("id").alias("a"), F.col("t").alias("ta"))
-    right = texts.select(F.col("id").alias("b"), F.col("t").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInPandas(check, "a long, b long")
+    held = stored(docs.mapInPandas(cut, "id long, kept int, h long"))
+    place = F.struct("id", "kept")
+    ranges = held.groupBy("h").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low.id < high.id")
+    me = F.struct("id", "kept")
+    met = held.join(ranges, "h").select(F.explode(F.array(F.struct(F.col("low").alias("a"), me.alias("b")), F.struct(me.alias("a"), F.col("high").alias("b")))).alias("p"))
+    counted = met.select("p.*").where("a.id < b.id").groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(
+        F.count("*").alias("shared"), F.least(F.min("a.kept"), F.min("b.kept")).alias("least")
+    )
+    pairs = stored(counted.where("shared * 10 >= least").select("a", "b"))
+    # the texts are shuffled once, those of pairs once more
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("id"), "a", "b"), F.struct(F.col("b").alias("id"), "a", "b"))).alias("e")).select("e.*")
+    sides = ends.join(docs, "id").groupBy("a", "b").agg(
+        F.max(F.when(F.col("id") == F.col("a"), F.col("t"))).alias("ta"), F.max(F.when(F.col("id") == F.col("b"), F.col("t"))).alias("tb")
+    )
+    return sides.mapInPandas(check, "a long, b long")
 
 
 def copy_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
