@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.llm.common import SHINGLE_WORDS, SIMILARITY, components, stored, table
@@ -179,84 +178,135 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 # ---- near copies further apart than a fingerprint can tell -----------------------------------------------------
 
-#: A piece of a text ends at words of one hash class in so many; texts keep about 48 to 96 pieces at most, by their hash.
-PIECE_WORDS = 12
-KEPT_PIECES = 48
+#: Keys held by more texts than this are paired in two steps.
+FEW = 16
+#: Shingles are put in order by their frequency in one text of so many, in this many texts at least.
+SAMPLE_STEP = 64
+SAMPLE_TEXTS = 5_000
+#: Common shingles whose frequency is known at most; it decides the order, so the cost, and never the result.
+MOST_COMMON = 300_000
 
 
-class _Ends(dict):
-    def __missing__(self, word: bytes) -> bool:
-        if len(self) >= 300_000:
-            self.clear()
-        self[word] = got = zlib.crc32(word) % PIECE_WORDS == 0
-        return got
+def shingles(text: str | None, n_words: int = SHINGLE_WORDS) -> set[bytes]:
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    return {b" ".join(words[i : i + n_words]) for i in range(max(1, len(words) - n_words + 1))} if words else set()
 
 
-def pieces(words: list[bytes], ends: dict[bytes, bool]) -> set[int]:
-    """Hashes of a text's pieces. Cuts depend on the words at hand alone, so an edit changes the pieces around it and no others;
-    a longer text keeps the pieces whose hash is divisible by a power of two, the same ones in every text."""
-    out, start = [], 0
-    for i, word in enumerate(words):
-        if ends[word]:
-            out.append(xxhash.xxh64_intdigest(b" ".join(words[start : i + 1]), 7))
-            start = i + 1
-    if start < len(words):
-        out.append(xxhash.xxh64_intdigest(b" ".join(words[start:]), 7))
-    step = 1 << max(0, (len(out) // KEPT_PIECES).bit_length() - 1)
-    return {h for h in out if h % step == 0}
+def shingle_hashes(text: str | None, n_words: int = SHINGLE_WORDS) -> np.ndarray:
+    """Sorted distinct hashes of :func:`shingles`."""
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    if not words:
+        return np.zeros(0, dtype=np.int64)
+    joined = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words])
+    n = max(1, len(words) - n_words + 1)
+    starts = [0, *ends[: n - 1].tolist()]
+    stops = (ends[min(n_words, len(words)) - 1 :] - 1).tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[s:e], 7) for s, e in zip(starts, stops)], dtype=np.uint64).view(np.int64))
 
 
-def shingles(text: str | None, n_words: int = SHINGLE_WORDS) -> set[bytes]:
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    return {b" ".join(words[i : i + n_words]) for i in range(max(1, len(words) - n_words + 1))} if words else set()
+def prefix(hashes: np.ndarray, common: np.ndarray, ranks: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """The first hashes of a text in the order of all texts: what is not common, then by rank.
+
+    Sets of this similarity have one of these in common, whatever the order is, as long as all texts share it.
+    """
+    at = np.minimum(np.searchsorted(common, hashes), max(0, len(common) - 1))
+    rank = np.where(common[at] == hashes, ranks[at], -1) if len(common) else np.full(len(hashes), -1)
+    size = len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1
+    return hashes[np.lexsort((hashes, rank))[:size]]
 
 
-def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b): verified links between texts whose sets of five-word shingles have a similarity of ``similarity`` or more.
+def _common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, ranks) of shingles that occur in several texts of a sample, sorted by hash; a higher rank is more frequent."""
 
-    A 64-bit fingerprint tells such texts apart by some ten bits, out of reach of a search by radius. So texts that share
-    pieces are compared: each with the text of smallest and of largest id that has the piece, not all pairs of a piece,
-    so a passage in a third of all texts costs two candidates for each. Such texts share more than half of their pieces;
-    candidates that share fewer than a tenth (a common passage in longer texts) are not read again. Rows without id or
-    words take no part.
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [shingle_hashes(t) for t in pdf["t"]]
+            yield pd.DataFrame({"h": np.concatenate([np.zeros(0, dtype=np.int64), *found])})
+
+    step = max(1, min(SAMPLE_STEP, docs.count() // SAMPLE_TEXTS))
+    some = docs.where(F.pmod(F.xxhash64("id", "t"), F.lit(step)) == 0).select("t")
+    counts = some.mapInPandas(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2")
+    top = counts.orderBy(F.desc("n"), "h").limit(MOST_COMMON).toPandas()
+    hashes, n = top["h"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
+    order = np.argsort(hashes)
+    return hashes[order], n[order]
+
+
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b): verified links that join the same texts as all pairs whose sets of five-word shingles have a similarity of
+    ``similarity`` or more.
+
+    A 64-bit fingerprint tells such texts apart by some ten bits, out of reach of a search by radius. Candidates are found
+    exactly: texts of this similarity share one of their first shingles (a fifth of them) in an order common to all, here
+    rarest first, so that a passage of many texts is no key unless a text has little else. Equal texts are one node.
+    Members of a key with few texts are all paired. Those of other keys are first paired with the smallest and the largest
+    node of the key alone, and then with every node that is not joined to them by then, so a large group of near copies
+    costs no pair for each two. Rows without id or words take no part.
     """
+    docs = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).withColumn("d", F.xxhash64("t"))
+    common, ranks = _common_shingles(docs)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ends = _Ends()
         for pdf in batches:
-            ids, hashes, kept = [], [], []
-            for i, t in zip(pdf["id"], pdf["t"]):
-                found = pieces((t or "").encode("utf-8", "replace").lower().split(), ends)
-                hashes += found
-                ids += [i] * len(found)
-                kept += [len(found)] * len(found)
-            yield pd.DataFrame({"id": np.array(ids, dtype=np.int64), "kept": np.array(kept, dtype=np.int32), "h": np.array(hashes, dtype=np.uint64).view(np.int64)})
+            for at in range(0, len(pdf), 1024):
+                part = pdf.iloc[at : at + 1024]
+                sets = [shingle_hashes(t) for t in part["t"]]
+                keys = [prefix(s, common, ranks, similarity) if len(s) else s for s in sets]
+                many = [len(k) for k in keys]
+                none = np.zeros(0, dtype=np.int64)
+                place = np.concatenate([none, *[np.arange(m) for m in many]])
+                yield pd.DataFrame({
+                    "h": np.concatenate([none, *keys]), "d": np.repeat(part["d"].to_numpy(np.int64), many), "place": place.astype(np.int32),
+                    "n": np.repeat(np.array([len(s) for s in sets], dtype=np.int32), many), "id": np.repeat(part["id"].to_numpy(np.int64), many),
+                })
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             keep = []
             for x, y in zip(pdf["ta"], pdf["tb"]):
-                s, u = (shingles(x), shingles(y)) if x != y else ({1}, {1})
+                s, u = shingles(x), shingles(y)
                 both = len(s & u)
                 keep.append(both > 0 and both >= similarity * (len(s) + len(u) - both))
             yield pdf.loc[keep, ["a", "b"]]
 
-    docs = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    held = stored(docs.mapInPandas(cut, "id long, kept int, h long"))
-    place = F.struct("id", "kept")
-    ranges = held.groupBy("h").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low.id < high.id")
-    me = F.struct("id", "kept")
-    met = held.join(ranges, "h").select(F.explode(F.array(F.struct(F.col("low").alias("a"), me.alias("b")), F.struct(me.alias("a"), F.col("high").alias("b")))).alias("p"))
-    counted = met.select("p.*").where("a.id < b.id").groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(
-        F.count("*").alias("shared"), F.least(F.min("a.kept"), F.min("b.kept")).alias("least")
-    )
-    pairs = stored(counted.where("shared * 10 >= least").select("a", "b"))
-    # the texts are shuffled once, those of pairs once more
-    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("id"), "a", "b"), F.struct(F.col("b").alias("id"), "a", "b"))).alias("e")).select("e.*")
-    sides = ends.join(docs, "id").groupBy("a", "b").agg(
-        F.max(F.when(F.col("id") == F.col("a"), F.col("t"))).alias("ta"), F.max(F.when(F.col("id") == F.col("b"), F.col("t"))).alias("tb")
-    )
-    return sides.mapInPandas(check, "a long, b long")
+    held = stored(docs.mapInPandas(cut, "h long, d long, place int, n int, id long"))
+    nodes = held.where("place = 0").groupBy("d").agg(F.min("id").alias("node"))
+    equal = held.where("place = 0").select("d", "id").join(nodes, "d").where("node <> id").select(F.col("node").alias("a"), F.col("id").alias("b"))
+    repeated = stored(held.groupBy("h").agg(F.count("*").alias("texts")).where("texts > 1"))
+    keyed = stored(held.select("h", "d", "place", "n").join(repeated, "h").distinct())
+
+    # shares of both that are left after this key bound the common shingles; the bound holds for each common key
+    bound = F.least("x.place", "y.place") + F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
+    fits = bound * (1 + similarity) + 1e-6 >= similarity * (F.col("x.n") + F.col("y.n"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """(a, b) of the pairs (da, db) that are similar enough, by digest; only one text of each digest is read."""
+        ends = pairs.select(F.explode(F.array(F.struct(F.col("da").alias("d"), "da", "db"), F.struct(F.col("db").alias("d"), "da", "db"))).alias("e")).select("e.*")
+        placed = ends.join(nodes, "d").withColumnRenamed("node", "id")
+        sides = placed.join(docs, ["d", "id"]).groupBy("da", "db").agg(
+            F.max(F.when(F.col("d") == F.col("da"), F.col("t"))).alias("ta"), F.max(F.when(F.col("d") == F.col("db"), F.col("t"))).alias("tb")
+        )
+        return stored(sides.select(F.col("da").alias("a"), F.col("db").alias("b"), "ta", "tb").mapInPandas(check, "a long, b long"))
+
+    def self_join(left: DataFrame, right: DataFrame, when: Column) -> DataFrame:
+        return left.alias("x").join(right.alias("y"), (F.col("x.h") == F.col("y.h")) & when & fits).select(F.least("x.d", "y.d").alias("da"), F.greatest("x.d", "y.d").alias("db"))
+
+    few, many = keyed.where(F.col("texts") <= FEW), keyed.where(F.col("texts") > FEW)
+    place = F.struct("d", "place", "n")
+    ends_ = many.groupBy("h").agg(F.min(place).alias("low"), F.max(place).alias("high")).select("h", F.explode(F.array("low", "high")).alias("e")).select("h", "e.*")
+    pairs = self_join(few, few, F.col("x.d") < F.col("y.d")).union(self_join(many, ends_, F.col("x.d") != F.col("y.d")))
+    pairs = stored(pairs.distinct())
+    first = verified(pairs)
+    root = components(first)
+    placed = stored(many.join(root, many["d"] == root["node"], "left").select("h", "d", "place", "n", F.coalesce("root", "d").alias("root")))
+    mixed = placed.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h")
+    rest = placed.join(mixed, "h", "left_semi")
+    more = self_join(rest, rest, (F.col("x.d") < F.col("y.d")) & (F.col("x.root") != F.col("y.root"))).distinct().join(pairs, ["da", "db"], "left_anti")
+    found = first.union(verified(stored(more)))
+    a, b = nodes.select(F.col("d").alias("a"), F.col("node").alias("na")), nodes.select(F.col("d").alias("b"), F.col("node").alias("nb"))
+    return found.join(a, "a").join(b, "b").where("na <> nb").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).union(equal)
 
 
 def copy_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,7 +6,7 @@ import re
 import xxhash
 
 from framelake.llm.common import components
-from framelake.llm.simhash import BKTree, copy_groups, fingerprint, links, near_duplicates, shingles, tree_links
+from framelake.llm.simhash import FEW, BKTree, copy_groups, fingerprint, links, near_copies, near_duplicates, shingles, tree_links
 
 
 def brute_fingerprint(text):
@@ -95,3 +95,51 @@ def test_copy_groups_join_texts_of_high_similarity(spark, docs_of):
     sets = {i: shingles(t) for i, t in rows}
     want = groups_of(list(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
     assert {i: got[i] for i in want} == want and got[200] == got[201] == 200
+
+
+def joined_by(df):
+    return {r["node"]: r["root"] for r in components(near_copies(df)).collect()}
+
+
+def test_copies_whose_pieces_occur_in_longer_texts_are_found(spark, docs_of):
+    rnd = random.Random(5)
+    prose = lambda n: [rnd.choice("abcdefgh") + str(rnd.randrange(5000)) for _ in range(n)]
+    article = prose(300)
+    edited = [*article[:150], "new", *article[151:]]
+    rows = [(i, " ".join(prose(400) + (article if k % 2 else edited) + prose(400))) for k, i in enumerate((1, 2, 90, 91))]
+    rows += [(40, " ".join(article)), (41, " ".join(edited))]
+    # texts made mostly of a passage that many hold, and two of them that are near copies
+    passage = prose(160)
+    rows += [(100 + i, " ".join(prose(60) + passage + prose(60))) for i in range(2 * FEW)]
+    own = [*prose(50), *passage, *prose(30)]
+    rows += [(110, " ".join(prose(60) + passage)), (116, " ".join(own)), (117, " ".join([*own[:20], "x", *own[21:]]))]
+    rows = [*{i: t for i, t in rows}.items()]
+    assert joined_by(docs_of(rows)) == {40: 40, 41: 40, 116: 116, 117: 116}
+
+
+def test_short_near_copies_are_all_found(spark, docs_of):
+    rnd = random.Random(6)
+    rows = []
+    for i in range(0, 800, 2):
+        words = [rnd.choice("abcdefgh") + str(rnd.randrange(5000)) for _ in range(rnd.choice((1, 5, 9, 15, 20, 25, 30, 50)))]
+        rows += [(i, " ".join(words)), (i + 1, " ".join([*words, "more"]))]
+    sets = {i: shingles(t) for i, t in rows}
+    alike = {i for i in sets if i % 2 == 0 and len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])}
+    assert len(alike) > 200
+    assert joined_by(docs_of(rows)) == {j: i for i in alike for j in (i, i + 1)}
+
+
+def test_random_texts_are_joined_as_by_brute_force(spark, docs_of):
+    rnd = random.Random(7)
+    rows = []
+    for family in range(4):
+        base = [str(rnd.randrange(40)) for _ in range(60 + 30 * family)]
+        for k in range(3 * FEW):
+            words = base[:]
+            for _ in range(rnd.randrange(5)):
+                words[rnd.randrange(len(words))] = str(rnd.randrange(40))
+            rows.append((family * 100 + k, " ".join(words)))
+    sets = {i: shingles(t) for i, t in rows}
+    want = groups_of(list(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    got = joined_by(docs_of(rows))
+    assert {i: got.get(i, i) for i in want} == want
