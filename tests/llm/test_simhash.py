@@ -104,9 +104,9 @@ def joined_by(df):
 def test_copies_whose_pieces_occur_in_longer_texts_are_found(spark, docs_of):
     rnd = random.Random(5)
     prose = lambda n: [rnd.choice("abcdefgh") + str(rnd.randrange(5000)) for _ in range(n)]
-    article = prose(300)
-    edited = [*article[:150], "new", *article[151:]]
-    rows = [(i, " ".join(prose(400) + (article if k % 2 else edited) + prose(400))) for k, i in enumerate((1, 2, 90, 91))]
+    article = prose(600)
+    edited = [*article[:300], "new", *article[301:]]
+    rows = [(i, " ".join(prose(150) + (article if k % 2 else edited) + prose(150))) for k, i in enumerate((1, 2, 90, 91))]
     rows += [(40, " ".join(article)), (41, " ".join(edited))]
     # texts made mostly of a passage that many hold, and two of them that are near copies
     passage = prose(160)
