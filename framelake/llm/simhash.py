@@ -241,9 +241,10 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     A 64-bit fingerprint tells such texts apart by some ten bits, out of reach of a search by radius. Candidates are found
     exactly: texts of this similarity share one of their first shingles (a fifth of them) in an order common to all, here
     rarest first, so that a passage of many texts is no key unless a text has little else. Equal texts are one node.
-    Members of a key with few texts are all paired. Those of other keys are first paired with the smallest and the largest
-    node of the key alone, and then with every node that is not joined to them by then, so a large group of near copies
-    costs no pair for each two. Rows without id or words take no part.
+    First, members of a key with few texts are all paired, those of other keys with the smallest and the largest node of
+    the key alone; then all keys pair the nodes that are not joined by then, so a large group of near copies costs no pair
+    for each two. Texts are read for pairs that share as many keys as the similarity asks for. Rows without id or words
+    take no part.
     """
     docs = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).withColumn("d", F.xxhash64("t"))
     common, ranks = _common_shingles(docs)
@@ -277,9 +278,13 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     repeated = stored(held.groupBy("h").agg(F.count("*").alias("texts")).where("texts > 1"))
     keyed = stored(held.select("h", "d", "place", "n").join(repeated, "h").distinct())
 
-    # shares of both that are left after this key bound the common shingles; the bound holds for each common key
+    # what both have left after a common key bounds the common shingles; the bound holds for each common key
+    least = similarity * (F.col("x.n") + F.col("y.n")) - 1e-6
     bound = F.least("x.place", "y.place") + F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
-    fits = bound * (1 + similarity) + 1e-6 >= similarity * (F.col("x.n") + F.col("y.n"))
+    fits = bound * (1 + similarity) >= least
+    # and so do the keys in common with the longer rest behind the keys
+    after = F.ceil(similarity * F.greatest("x.n", "y.n") - 1e-9) - 1
+    needed = (least / (1 + similarity) - after).alias("needed")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """(a, b) of the pairs (da, db) that are similar enough, by digest; only one text of each digest is read."""
@@ -291,20 +296,27 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         return stored(sides.select(F.col("da").alias("a"), F.col("db").alias("b"), "ta", "tb").mapInPandas(check, "a long, b long"))
 
     def self_join(left: DataFrame, right: DataFrame, when: Column) -> DataFrame:
-        return left.alias("x").join(right.alias("y"), (F.col("x.h") == F.col("y.h")) & when & fits).select(F.least("x.d", "y.d").alias("da"), F.greatest("x.d", "y.d").alias("db"))
+        """(da, db, needed) once per key in common."""
+        both = left.alias("x").join(right.alias("y"), (F.col("x.h") == F.col("y.h")) & when & fits)
+        return both.select(F.least("x.d", "y.d").alias("da"), F.greatest("x.d", "y.d").alias("db"), needed)
+
+    def sharing(keys: DataFrame, part: float) -> DataFrame:
+        counts = keys.groupBy("da", "db").agg(F.count("*").alias("shared"), F.first("needed").alias("needed"))
+        return counts.where(F.col("shared") >= part * F.col("needed")).select("da", "db")
 
     few, many = keyed.where(F.col("texts") <= FEW), keyed.where(F.col("texts") > FEW)
     place = F.struct("d", "place", "n")
     ends_ = many.groupBy("h").agg(F.min(place).alias("low"), F.max(place).alias("high")).select("h", F.explode(F.array("low", "high")).alias("e")).select("h", "e.*")
-    pairs = self_join(few, few, F.col("x.d") < F.col("y.d")).union(self_join(many, ends_, F.col("x.d") != F.col("y.d")))
-    pairs = stored(pairs.distinct())
+    # keys of many texts are counted in part here: this only joins most of a large group, what it leaves out is found below
+    keys = self_join(few, few, F.col("x.d") < F.col("y.d")).union(self_join(many, ends_, F.col("x.d") != F.col("y.d")))
+    pairs = stored(sharing(keys, 0.5))
     first = verified(pairs)
     root = components(first)
-    placed = stored(many.join(root, many["d"] == root["node"], "left").select("h", "d", "place", "n", F.coalesce("root", "d").alias("root")))
+    placed = stored(keyed.join(root, keyed["d"] == root["node"], "left").select("h", "d", "place", "n", F.coalesce("root", "d").alias("root")))
     mixed = placed.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h")
     rest = placed.join(mixed, "h", "left_semi")
-    more = self_join(rest, rest, (F.col("x.d") < F.col("y.d")) & (F.col("x.root") != F.col("y.root"))).distinct().join(pairs, ["da", "db"], "left_anti")
-    found = first.union(verified(stored(more)))
+    more = sharing(self_join(rest, rest, (F.col("x.d") < F.col("y.d")) & (F.col("x.root") != F.col("y.root"))), 1.0)
+    found = first.union(verified(stored(more.join(pairs, ["da", "db"], "left_anti"))))
     a, b = nodes.select(F.col("d").alias("a"), F.col("node").alias("na")), nodes.select(F.col("d").alias("b"), F.col("node").alias("nb"))
     return found.join(a, "a").join(b, "b").where("na <> nb").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).union(equal)
 
