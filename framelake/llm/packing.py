@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.llm.common import table
+from framelake.llm.simhash import copy_groups
 
 #: Tokens of a sequence.
 CAPACITY = 2048
@@ -140,5 +141,12 @@ def measured(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).alias("n"), F.md5(F.trim(F.lower(text))).alias("g"))
 
 
+def grouped(docs: DataFrame) -> DataFrame:
+    """:func:`measured`, with the near-copy group of ``docs`` in place of the digest for rows with an id."""
+    groups = copy_groups(docs).groupBy(F.col("id").alias("_id")).agg(F.min("group").alias("_group"))
+    sized = measured(docs)
+    return sized.join(groups, sized["doc_id"].cast("long") == F.col("_id"), "left").select("doc_id", "source", "n", F.coalesce(F.col("_group").cast("string"), "g").alias("g"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(measured(table(spark, sf_dir, "documents")), "doc_id", "n", "source", "g").withColumnRenamed("id", "doc_id")
+    return pack(grouped(table(spark, sf_dir, "documents")), "doc_id", "n", "source", "g").withColumnRenamed("id", "doc_id")

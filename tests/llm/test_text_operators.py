@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from framelake.llm import pii
 from framelake.llm.decontaminate import contained_items, grams, words_of
 from framelake.llm.lines import dedup_lines
-from framelake.llm.packing import measured, pack, pack_rows
+from framelake.llm.packing import measured, op6_packing, pack, pack_rows
 from framelake.llm.tokens import Encoder, dac_decode, dac_encode, dac_get, pack as pack_file, read_tokens, unpack, write_tokens
 
 
@@ -118,6 +118,15 @@ def test_packing_keeps_every_token(spark, docs_of):
     assert pack(measured(docs_of([])), "doc_id", "n", "source", "g").count() == 0
 
 
+def test_packing_keeps_near_copies_apart(spark, docs_of, tmp_path):
+    words = [f"w{i}" for i in range(300)]
+    rows = [(0, " ".join(words)), (1, " ".join([*words[:150], "new", *words[151:]])), (2, "quite another text"), (None, "no id"), (None, "no id")]
+    docs_of(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = op6_packing(spark, str(tmp_path)).collect()
+    bins = {r["doc_id"]: r["bin_id"] for r in got if r["doc_id"] is not None}
+    assert len(got) == len(rows) and bins[0] != bins[1]
+
+
 # ---- token files ---------------------------------------------------------------------------------------------
 
 
