@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from framelake.llm.common import stored, table
 
 KINDS = ["email", "ip", "card", "phone"]
-#: Rounds of scoring, confidence that a pattern needs, and distinct seed values that must stand behind it.
+#: Rounds of scoring, confidence that a pattern needs, and distinct seeds or accepted values that must stand behind it.
 ROUNDS = 3
 CONFIDENCE = 0.8
 SEEDS = 3
@@ -132,7 +132,7 @@ def _shape(value: Column) -> Column:
         F.when(value.rlike(r"^[^\s@]{1,64}@[^\s@]{2,255}$"), 0)
         .when(value.rlike(r"^[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){3,7}$"), 1)
         .when(number & n.between(16, 19), 2)
-        .when(number & n.between(7, 15) & value.rlike(r"[().\x20/-]"), 3)
+        .when(number & n.between(7, 15), 3)
     )
 
 
@@ -157,21 +157,23 @@ def discovered(mentions: DataFrame) -> DataFrame:
     ``mentions`` (kind, value, context, seed) holds seeds and candidates. A pattern is the word before a value. Values
     and patterns score each other over their graph: a pattern's confidence in a kind is the score of its values of that
     kind against those of other kinds or shapes, unknown ones counting little; a value's score is the chance that one
-    of its patterns is right. Seeds keep the score 1.
+    of its patterns is right. Seeds keep the score 1. Values accepted in one round stand behind patterns like seeds in the
+    next. Bare digits may be a phone number, but still count against patterns of other kinds.
     """
     edges = mentions.where("context is not null").groupBy("context", F.coalesce("kind", F.lit(-1)).alias("kind"), "value").agg(F.max(F.col("seed").cast("int")).alias("seed"))
-    edges = stored(edges)
-    totals = edges.groupBy("context").agg(F.sum(F.when((F.col("seed") == 1) | (F.col("kind") == -1), 1.0).otherwise(0.0)).alias("known"))
+    edges = stored(edges.withColumn("bare", ((F.col("seed") == 0) & (F.col("kind") == 3) & F.col("value").rlike("^[0-9]+$")).cast("int")))
+    totals = edges.groupBy("context").agg(F.sum(F.when((F.col("seed") == 1) | (F.col("kind") == -1) | (F.col("bare") == 1), 1.0).otherwise(0.0)).alias("known"))
     scores = edges.where("seed = 0 and kind >= 0").select("kind", "value", F.lit(0.0).alias("score")).distinct()
     patterns = None
     for _ in range(ROUNDS):
         linked = edges.where("kind >= 0").join(scores, ["kind", "value"], "left")
         good = F.when(F.col("seed") == 1, 1.0).otherwise(F.coalesce("score", F.lit(0.0)))
         unknown = F.when(F.col("seed") == 0, 1 - F.coalesce("score", F.lit(0.0))).otherwise(0.0)
-        sums = linked.groupBy("context", "kind").agg(F.sum(good).alias("good"), F.sum("seed").alias("seeds"), F.sum(unknown).alias("unknown"))
-        rated = sums.join(totals, "context").withColumn("other", F.greatest(F.col("known") - F.col("seeds"), F.lit(0.0)))
+        accepted = F.when((F.col("seed") == 1) | (F.coalesce("score", F.lit(0.0)) >= CONFIDENCE - 1e-9), 1).otherwise(0)
+        sums = linked.groupBy("context", "kind").agg(F.sum(good).alias("good"), F.sum(F.col("seed") + F.col("bare")).alias("own"), F.sum(accepted).alias("support"), F.sum(unknown).alias("unknown"))
+        rated = sums.join(totals, "context").withColumn("other", F.greatest(F.col("known") - F.col("own"), F.lit(0.0)))
         rated = rated.withColumn("confidence", F.col("good") / (F.col("good") + F.col("other") + UNKNOWN * F.col("unknown")))
-        patterns = stored(rated.where((F.col("seeds") >= SEEDS) & (F.col("confidence") >= CONFIDENCE)).select("context", "kind", "confidence"))
+        patterns = stored(rated.where((F.col("support") >= SEEDS) & (F.col("confidence") >= CONFIDENCE)).select("context", "kind", "confidence"))
         miss = F.log(1 - F.least("confidence", F.lit(0.999)))
         scores = stored(edges.where("seed = 0").join(patterns, ["context", "kind"]).groupBy("kind", "value").agg((1 - F.exp(F.sum(miss))).alias("score")))
     return patterns.select("context", "kind")

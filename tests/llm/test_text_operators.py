@@ -219,3 +219,19 @@ def test_contexts_find_unseen_identifiers(docs_of):
     assert spans_of(got[42], "extra") == [("card", 12, 31)] and spans_of(got[41], "extra") == spans_of(got[43], "extra") == []
     assert all(spans_of(got[i], "base") == brute_spans(t) for i, t in rows)
     assert pii.find_pii(docs_of([])).count() == 0
+
+
+def test_contexts_are_found_through_discovered_values(docs_of):
+    rows = [(i, f"please call: +1 (736) 555-26{i:02d} today") for i in range(10)]
+    rows += [(20 + i, f"call: 555-01{i:02d} and dial 555-01{i:02d} now") for i in range(4)]
+    rows += [(30, "dial 555-0999 now"), (31, "room 555-0999 now")]
+    got = {r["id"]: r for r in pii.find_pii(docs_of(rows)).collect()}
+    assert spans_of(got[30], "extra") == [("phone", 5, 13)] and spans_of(got[31], "extra") == []
+    assert spans_of(got[20], "extra") == [("phone", 6, 14), ("phone", 24, 32)]
+
+
+def test_bare_digits_are_weak_phone_candidates(docs_of):
+    rows = [(i, f"please call: +1 (736) 555-26{i:02d} today") for i in range(10)]
+    rows += [(20 + i, f"call: 736555019{i}") for i in range(5)] + [(30, "order 7365550199")]
+    got = {r["id"]: r for r in pii.find_pii(docs_of(rows)).collect()}
+    assert all(spans_of(got[20 + i], "extra") == [("phone", 6, 16)] for i in range(5)) and spans_of(got[30], "extra") == []
