@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 from pyarrow.fs import FileSystem
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words of a shingle and the similarity at which texts count as near copies, where an operator has no contract of its own.
@@ -70,3 +70,18 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     nodes = cur.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return nodes.union(cur.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def numbered(df: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """``df`` with ``pos``, the place of a row among those of its ``group`` (not null) by ``order``, and ``size``, their number.
+
+    A range shuffle deals rows by group and order together, so a group of any size takes as many tasks as it needs; only
+    the counts per task and group meet afterwards. Rows alike in all of ``order`` are put in any order.
+    """
+    dealt = df.repartitionByRange(group, *order).sortWithinPartitions(group, *order)
+    rows = stored(dealt.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()))
+    starts = rows.groupBy(group, "_part").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
+    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per task
+    starts = starts.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first"))
+    starts = starts.withColumn("size", F.sum("_n").over(Window.partitionBy(group))).drop("_n", "_first")
+    return rows.join(starts, [group, "_part"]).withColumn("pos", F.col("_base") + F.col("_row")).drop("_part", "_row", "_base")
