@@ -25,13 +25,12 @@ def lookup(column: Column, table: dict[str, int]) -> Column:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event table with microsecond time, integer k and value in cents."""
+    """The event table with microsecond time, integer k and the value in cents modulo 65,536."""
     raw = spark.read.parquet(f"{sf_dir}/events.parquet")
     epoch = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
     k = F.split_part(F.split_part("props", F.lit(": "), F.lit(2)), F.lit("}"), F.lit(1)).cast("int")
-    exact = F.round(F.col("value") * 100).cast("bigint")
-    # the payloads below have two bytes for it
-    cents = F.when(exact <= 65535, exact).otherwise(F.raise_error(F.lit("Value does not fit the frame layout")).cast("bigint"))
+    # a counter of two bytes, as in the payloads below: it wraps at 65,536, and no value counts as 0
+    cents = F.coalesce(F.round(F.col("value") * 100).try_cast("bigint"), F.lit(0)).bitwiseAND(65535)
     # the generator computes the three values once per row; as plain columns, a pushed-down filter on a payload
     # built from them would repeat the parsing for every reference
     parsed = F.inline(F.array(F.struct(epoch.alias("ts_us"), k.alias("k"), cents.alias("cents"))))
@@ -256,6 +255,18 @@ def raw_diag_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def monitor_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The diagnostic payloads on the wire: modules 0 and 1 send them unframed on ids below 0x700, module 2 in single frames."""
+    f = raw_diag_frames(spark, sf_dir)
+    module = (F.col("arb_id") - 0x7E0) % 8
+    legacy = F.when(F.col("arb_id") < 0x7E8, 0x240 + module).otherwise(0x640 + module)
+    single = F.unhex(F.concat(_hex(F.length("data"), 2), F.hex("data")))
+    return f.select(
+        "session_id", "sequence", "ts_us", "iface", F.when(module == 2, F.col("arb_id")).otherwise(legacy).alias("arb_id"), "is_extended", "remote",
+        F.when(module == 2, F.col("dlc") + 1).otherwise(F.col("dlc")).alias("dlc"), F.when(module == 2, single).otherwise(F.col("data")).alias("data"),
+    )
+
+
 def address_refs(spark: SparkSession) -> DataFrame:
     """Address candidates of three modules; 0x7EA also belongs to a second catalog."""
     rows = [("catalogA", "legacyReference", f"M{m}", "request", 0x7E0 + m) for m in range(3)]

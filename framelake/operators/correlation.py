@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelake.functions.bits import BLOCK, explode_words, extract_words, with_words
+from framelake.functions.bits import BLOCK, extract_words, with_words
 from framelake.operators.activity import select_dominant_dlc
+from framelake.plans.cubes import SLICE, BitCube, Cube, gathered, per_window, window_totals
 from framelake.plans.ordered import CHUNK_US
 from framelake.plans.stats import pearson
 from framelake.plans.timejoin import asof_backward, interval_join, nearest_within
@@ -36,37 +39,64 @@ def annotation_window_join(
     return joined.withColumn("action", F.col("ts_us") >= F.col("start_us")).drop("start_us", "end_us")
 
 
+def annotation_window_totals(
+    frames: DataFrame, annotations: DataFrame, baseline_us: int, by: Sequence[str] = ("session_id",), chunk_us: int = CHUNK_US
+) -> DataFrame:
+    """Frames per annotation and phase, with the xor of their sequence numbers, without joining frames to annotations."""
+    borders = {"lo": F.col("start_us") - baseline_us, "start": F.least("start_us", "end_us"), "end": F.col("end_us")}
+    seen = window_totals(frames, annotations.where(F.col("start_us") - baseline_us < F.col("end_us")), by, ["annotation_idx"], borders, chunk_us=chunk_us)
+
+    def between(first: str, last: str, action: bool) -> Column:
+        count = F.sum(F.when(F.col("border") == last, F.col("n")).when(F.col("border") == first, -F.col("n")))
+        mark = F.bit_xor(F.when(F.col("border").isin(first, last), F.col("checksum")))
+        return F.struct(F.lit(action).alias("action"), count.alias("frames"), mark.alias("checksum"))
+
+    told = seen.groupBy(*by, "annotation_idx").agg(F.array(between("lo", "start", False), between("start", "end", True)).alias("phases"))
+    return told.select(*by, "annotation_idx", F.inline("phases")).where("frames > 0")
+
+
+def _byte(points: pd.DataFrame, i: int) -> np.ndarray:
+    """Byte ``i`` of blocks opened by ``with_words``."""
+    word, shift = ("w_hi", 24 - 8 * i) if i < 4 else ("w_lo", 56 - 8 * i)
+    return (points[word].to_numpy() >> shift) & 255
+
+
 def distribution_shift(
     frames: DataFrame, annotations: DataFrame, baseline_us: int, min_obs: int, bin_us: int = CHUNK_US, by: Sequence[str] = ("session_id",)
 ) -> DataFrame:
-    """Per (capture, annotation, interface, id, byte): value histograms before and during, their distance and score."""
-    key = [*by, "annotation_idx", "iface", "arb_id", "byte_index"]
-    # payloads are opened once, before the join repeats frames for overlapping windows
-    wide = with_words(frames.select(*by, "sequence", "ts_us", "iface", "arb_id", "data")).drop("data", "w_next")
-    joined = annotation_window_join(wide, annotations, baseline_us, bin_us, by).drop("ts_us", "sequence")
-    # values of one byte: at most 256 rows per key from here on
-    hist = (
-        explode_words(joined)
-        .groupBy(*key, "value")
-        .agg(F.sum(F.when(F.col("action"), 0).otherwise(1)).alias("b"), F.sum(F.when(F.col("action"), 1).otherwise(0)).alias("a"))
-    )
-    whole = Window.partitionBy(*key)
-    sized = hist.select(*key, "value", "b", "a", F.sum("b").over(whole).alias("nb"), F.sum("a").over(whole).alias("na"))
-    sized = sized.where((F.col("nb") >= max(min_obs, 1)) & (F.col("na") >= max(min_obs, 1)))
-    nb, na = F.col("nb").cast("double"), F.col("na").cast("double")
-    totals = sized.groupBy(*key, "nb", "na").agg(
-        F.sum(F.abs(F.col("b") * na - F.col("a") * nb)).alias("gap"),
-        F.sum(F.col("value") * F.col("b")).alias("sb"),
-        F.sum(F.col("value") * F.col("a")).alias("sa"),
-    )
-    scored = totals.select(
-        *key,
-        F.col("nb").alias("n_base"),
-        F.col("na").alias("n_action"),
-        (F.col("sb") / nb).alias("mean_base"),
-        (F.col("sa") / na).alias("mean_action"),
-        (F.col("gap") / (nb * na) / 2).alias("distance"),
-    )
+    """Per (capture, annotation, interface, id, byte): value histograms before and during, their distance and score.
+
+    The histograms of a window are differences of prefix cubes per (id, byte), so a frame is read once or twice however
+    many windows overlap it. Windows from start - baseline to end; values before start are the baseline.
+    """
+    least = max(min_obs, 1)
+    stats = ["n_base", "n_action", "mean_base", "mean_action", "distance"]
+
+    def fold(points: pd.DataFrame, windows: pd.DataFrame) -> pd.DataFrame:
+        borders = [windows[c].to_numpy() for c in ("_lo", "start_us", "end_us")]
+        found = []
+        for (iface, arb_id, block), g in points.sort_values("ts_us", kind="stable").groupby(["iface", "arb_id", "w_block"], sort=False, dropna=False):
+            times, held = g["ts_us"].to_numpy(), g["w_len"].to_numpy()
+            for i in range(int(held.max())):
+                has = held > i
+                ts = times[has]
+                at = [np.searchsorted(ts, x, "left") for x in borders]
+                enough = np.nonzero((at[1] - at[0] >= least) & (at[2] - at[1] >= least))[0]
+                cube = Cube(_byte(g, i)[has]) if len(enough) else None
+                for s in range(0, len(enough), SLICE):
+                    rows = enough[s : s + SLICE]
+                    before, middle, after = (cube.upto(x[rows]) for x in at)
+                    b, a = middle - before, after - middle
+                    nb, na = b.sum(axis=1), a.sum(axis=1)
+                    gap = np.abs(b * na[:, None] - a * nb[:, None]).sum(axis=1).astype(float)
+                    found.append((rows, iface, arb_id, block * BLOCK + i, nb, na, (b @ cube.levels) / nb, (a @ cube.levels) / na, gap / (nb.astype(float) * na) / 2))
+        return gathered(windows, found, [*by, "annotation_idx"], ["iface", "arb_id", "byte_index", *stats])
+
+    wide = with_words(frames.select(*by, "ts_us", "iface", "arb_id", "data")).where("w_len > 0").drop("data", "w_next")
+    windows = annotations.select(*by, "annotation_idx", "start_us", "end_us")
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    schema = ", ".join([*[f"{c} {kind(frames, c)}" for c in by], f"annotation_idx {kind(windows, 'annotation_idx')}", "iface string", "arb_id bigint", "byte_index int", "n_base bigint", "n_action bigint", "mean_base double", "mean_action double", "distance double"])
+    scored = per_window(wide, windows, by, ["iface", "arb_id", "w_block"], F.col("start_us") - baseline_us, F.col("end_us"), fold, schema, chunk_us=bin_us)
     change = F.abs(F.col("mean_action") - F.col("mean_base"))
     return scored.withColumn("score", F.lit(100.0) * F.col("distance") + F.lit(20.0) * change / 255)
 
@@ -115,23 +145,45 @@ def voice_correlation(
 BIT_KEY = ["discovery_id", "iface", "arb_id", "is_extended", "length", "w_block"]
 
 
+def _bit_points(frames: DataFrame, by: Sequence[str]) -> DataFrame:
+    usable = frames.where(~F.col("remote") & (F.length("data") > 0)).select(*by, "ts_us", "iface", "arb_id", "is_extended", F.length("data").alias("length"), "data")
+    return with_words(usable).drop("data", "w_next", "w_len")
+
+
+_BIT_SERIES = ["iface", "arb_id", "is_extended", "length", "w_block"]
+
+
+def _bit_groups(points: pd.DataFrame) -> Iterator[tuple[tuple, np.ndarray, BitCube]]:
+    """Per id, length and block: its key, times and cube of 64 bits, least significant bit of each byte first."""
+    for key, g in points.sort_values("ts_us", kind="stable").groupby(_BIT_SERIES, sort=False, dropna=False):
+        bytes_ = np.stack([_byte(g, i) for i in range(BLOCK)], axis=1).astype(np.uint8)
+        yield key, g["ts_us"].to_numpy(), BitCube(np.unpackbits(bytes_, axis=1, bitorder="little"))
+
+
 def phase_bit_counts(frames: DataFrame, phases: DataFrame, bin_us: int = CHUNK_US, by: Sequence[str] = ("session_id",)) -> DataFrame:
     """Frames and one-counts of the 64 bits of each block per (key, phase); additive, so batches of a stream can be summed.
 
     ``phases`` has (discovery_id, phase, lo_us, hi_us) and the capture key ``by``, with phase baseline, event or after.
-    The counts build up map-side; only they are shuffled.
+    Counts are differences of prefix cubes per id, so overlapping phases do not repeat frames.
     """
-    usable = frames.where(~F.col("remote") & (F.length("data") > 0)).select(*by, "sequence", "ts_us", "iface", "arb_id", "is_extended", F.length("data").alias("length"), "data")
-    joined = interval_join(with_words(usable).drop("data", "w_next"), phases, F.col("lo_us"), F.col("hi_us"), on=by, bin_us=bin_us)
 
-    def ones(byte: int, bit: int) -> str:
-        word, base = ("w_hi", 24 - 8 * byte) if byte < 4 else ("w_lo", 56 - 8 * byte)
-        return f"sum(shiftright({word}, {base + bit}) & 1)"
+    def fold(points: pd.DataFrame, windows: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for key, ts, cube in _bit_groups(points):
+            first, last = (np.searchsorted(ts, windows[c].to_numpy(), "left") for c in ("lo_us", "hi_us"))
+            some = np.nonzero(last > first)[0]
+            for s in range(0, len(some), SLICE):
+                rows = some[s : s + SLICE]
+                found.append((rows, *key, last[rows] - first[rows], list(cube.upto(last[rows]) - cube.upto(first[rows]))))
+        return gathered(windows, found, [*by, "discovery_id", "phase"], [*_BIT_SERIES, "n", "ones"])
+
+    windows = phases.select(*by, "discovery_id", "phase", "lo_us", "hi_us")
+    schema = ", ".join([*[f"{c} {windows.schema[c].dataType.simpleString()}" for c in [*by, "discovery_id"]], "phase string", _BIT_SCHEMA, "n bigint", "ones array<bigint>"])
+    return per_window(_bit_points(frames, by), windows, by, _BIT_SERIES, F.col("lo_us"), F.col("hi_us"), fold, schema, chunk_us=bin_us)
 
-    return joined.groupBy(*by, *BIT_KEY, "phase").agg(
-        F.count("*").alias("n"),
-        F.expr("array(" + ", ".join(ones(b, i) for b in range(8) for i in range(8)) + ")").alias("ones"),
-    )
+
+_BIT_SCHEMA = "iface string, arb_id bigint, is_extended boolean, length int, w_block int"
+_PHASES = ("baseline", "event", "after")
 
 
 def bit_event_candidates(
@@ -143,8 +195,45 @@ def bit_event_candidates(
     bin_us: int = CHUNK_US,
     by: Sequence[str] = ("session_id",),
 ) -> DataFrame:
-    """Bits that change during an event and return to their baseline afterwards."""
-    return candidates_from_counts(phase_bit_counts(frames, phases, bin_us, by), min_frames, min_change, max_restore, by)
+    """Bits that change during an event and return to their baseline afterwards.
+
+    All phases of a discovery are one window, so its counts meet where they are made and only candidates leave the task.
+    A phase may consist of several intervals; other phase names take no part.
+    """
+    least = max(min_frames, 1)
+
+    def fold(points: pd.DataFrame, windows: pd.DataFrame) -> pd.DataFrame:
+        spans = [(w, _PHASES.index(x["phase"]), x["lo_us"], x["hi_us"]) for w, held in enumerate(windows["intervals"]) for x in held]
+        owner, phase, lo, hi = (np.array(c, dtype=np.int64) for c in zip(*spans))
+        cells = owner * 3 + phase
+        found = []
+        for key, ts, cube in _bit_groups(points):
+            first, last = np.searchsorted(ts, lo, "left"), np.searchsorted(ts, hi, "left")
+            n = np.zeros(len(windows) * 3, np.int64)
+            np.add.at(n, cells, np.maximum(last - first, 0))
+            n = n.reshape(-1, 3)
+            full = np.nonzero((n >= least).all(axis=1))[0]
+            for s in range(0, len(full), SLICE):
+                rows = full[s : s + SLICE]
+                place = np.full(len(windows), -1)
+                place[rows] = np.arange(len(rows))
+                mine = np.nonzero((place[owner] >= 0) & (last > first))[0]
+                ones = np.zeros((len(rows) * 3, 64), np.int64)
+                np.add.at(ones, place[owner[mine]] * 3 + phase[mine], cube.upto(last[mine]) - cube.upto(first[mine]))
+                p = ones.reshape(-1, 3, 64) / n[rows][:, :, None]
+                change = np.abs(p[:, 1] - (p[:, 0] + p[:, 2]) / 2)
+                restore = np.abs(p[:, 0] - p[:, 2])
+                held = np.arange(64) < min(int(key[3]) - int(key[4]) * BLOCK, BLOCK) * 8
+                w, bit = np.nonzero((change >= min_change) & (restore <= max_restore) & held)
+                found.append((rows[w], *key[:4], int(key[4]) * BLOCK + bit // 8, bit % 8, p[w, 0, bit], p[w, 1, bit], p[w, 2, bit], change[w, bit] - restore[w, bit] / 2))
+        return gathered(windows, found, [*by, "discovery_id"], names[len(by) + 1 :])
+
+    interval = F.struct("phase", F.col("lo_us").cast("bigint").alias("lo_us"), F.col("hi_us").cast("bigint").alias("hi_us"))
+    windows = phases.where(F.col("phase").isin(*_PHASES)).groupBy(*by, "discovery_id").agg(F.min("lo_us").alias("lo_us"), F.max("hi_us").alias("hi_us"), F.collect_list(interval).alias("intervals"))
+    keys = ", ".join(f"{c} {windows.schema[c].dataType.simpleString()}" for c in [*by, "discovery_id"])
+    schema = keys + ", channel string, id bigint, extended boolean, length int, byte_index int, bit_index int, p_base double, p_event double, p_after double, score double"
+    names = [c.split()[0] for c in schema.split(", ")]
+    return per_window(_bit_points(frames, by), windows, by, _BIT_SERIES, F.col("lo_us"), F.col("hi_us"), fold, schema, chunk_us=bin_us)
 
 
 def candidates_from_counts(

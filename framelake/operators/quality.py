@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from framelake.session import spread
+
 
 def relative_path(path: Column, folder: str) -> Column:
     """The part of a file's whole path below ``folder``, url escapes undone."""
@@ -38,13 +40,13 @@ def verify_files(capture_files: DataFrame, spark: SparkSession, folder: str, che
     """Manifest entries with status verified, missing, sizeMismatch, hashMismatch or unhashed (no hash given or asked for).
 
     Names are paths below ``folder``, so equal base names in two folders are two files. Files are listed without their
-    content and hashed by a streamed read on the executors, a task for each.
+    content and hashed by a streamed read on the executors, dealt to tasks by their number.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     listed = raw.select("path", relative_path(F.col("path"), folder).alias("name"), F.col("length").alias("actual_size"))
     listed = listed.join(capture_files.select("name").distinct(), "name", "left_semi")
     if check_hash:
-        listed = listed.repartition("path").mapInPandas(_sha256, "name string, path string, actual_size bigint, actual_sha256 string")
+        listed = spread(listed).mapInPandas(_sha256, "name string, path string, actual_size bigint, actual_sha256 string")
     else:
         listed = listed.withColumn("actual_sha256", F.lit(None).cast("string"))
     joined = capture_files.join(listed.drop("path"), "name", "left")

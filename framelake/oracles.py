@@ -8,7 +8,7 @@ DAY = 24 * HOUR
 _EV = """ev AS (
   SELECT event_id, epoch_us(ts) AS ts_us, user_id, event_type, value,
          CAST(regexp_extract(props, '"k": (\\d+)', 1) AS INT) AS k,
-         CAST(round(value * 100) AS BIGINT) AS cents,
+         coalesce(TRY_CAST(round(value * 100) AS BIGINT), 0) & 65535 AS cents,
          CASE event_type WHEN 'signup' THEN 1 WHEN 'click' THEN 2 WHEN 'error' THEN 3 WHEN 'purchase' THEN 4 ELSE 5 END AS code,
          CASE event_type WHEN 'signup' THEN 104 WHEN 'click' THEN 106 WHEN 'error' THEN 111 ELSE 107 END AS state,
          'can' || CAST(user_id % 5 AS VARCHAR) AS iface
@@ -290,8 +290,34 @@ cl AS (SELECT *, CASE WHEN section LIKE 'BCM%' THEN 'BCM' WHEN section LIKE 'Rad
        FROM hd WHERE event_type != 'signup')"""
 
 
+def _pairing(request_id: str, extra: str) -> str:
+    """Open requests carried from message to message: nd is the identifier negated, 1 for none; equal times go to the larger nd."""
+    return _with(
+        _EV, _DM,
+        f"""ms AS (
+  SELECT iface AS channel, {request_id} AS request_id, CASE WHEN event_type IN ('purchase', 'view') THEN 39 ELSE 34 END AS service, ts_us, event_id AS sequence,
+         CASE WHEN direction = 'request' THEN 'request' ELSE 'response' END AS role, CASE WHEN event_type IN ('signup', 'click') THEN 61696 + k // 10 END AS did,
+         CASE WHEN event_type = 'error' THEN CASE WHEN k < 50 THEN 120 ELSE 49 END END AS nrc,
+         row_number() OVER (PARTITION BY iface, {request_id}, event_type IN ('purchase', 'view') ORDER BY event_id) AS rn FROM dm)""",
+        """st AS (
+  SELECT channel, request_id, service, CAST(0 AS BIGINT) AS rn, CAST([] AS STRUCT(t BIGINT, nd INT)[]) AS open, CAST(NULL AS STRUCT(t BIGINT, nd INT)) AS hit
+  FROM (SELECT DISTINCT channel, request_id, service FROM ms)
+  UNION ALL
+  SELECT channel, request_id, service, rn,
+         CASE WHEN role = 'request' THEN list_append(list_filter(open, lambda x: x.nd != own), {'t': ts_us, 'nd': own})
+              WHEN h IS NOT NULL AND nrc IS DISTINCT FROM 120 THEN list_filter(open, lambda x: x.nd != h.nd) ELSE open END,
+         CASE WHEN role != 'request' THEN h END
+  FROM (SELECT m.*, CAST(coalesce(-did, 1) AS INT) AS own, s.open,
+               coalesce(list_filter(s.open, lambda x: x.nd = coalesce(-m.did, 1))[1], list_sort(list_filter(s.open, lambda x: m.did IS NULL OR x.nd = 1))[-1]) AS h
+        FROM st s JOIN ms m ON m.channel = s.channel AND m.request_id = s.request_id AND m.service = s.service AND m.rn = s.rn + 1))""",
+        body=f"SELECT {extra}channel, request_id, ts_us, sequence, role, service, did, nrc, (ts_us - hit.t) / 1000.0 AS latency_ms FROM st JOIN ms USING (channel, request_id, service, rn)",
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def build() -> dict[str, str]:
     q: dict[str, str] = {}
+    q["live_pairs"] = _pairing("2016 + user_id % 3", "'events' AS session_id, ")
+    q["live_monitor"] = _pairing("CASE WHEN user_id % 3 = 2 THEN 2018 ELSE 576 + user_id % 3 END", "")
     fr = (_EV, _FR)
     lf = (_EV, _LF)
     q["frames_bridge"] = _with(*fr, body="SELECT 'events' AS session_id, event_id AS sequence, ts_us, iface, arb_id, dlc, hx AS payload FROM fr")

@@ -30,9 +30,12 @@ def place(ts: str = "ts_us", pos: str = "sequence") -> Column:
     return (F.col(ts).cast("decimal(18,0)") * scale + F.col(pos).cast("decimal(19,0)")).cast("decimal(38,0)")
 
 
+_FOLDS = {"sum": F.sum, "xor": F.bit_xor}
+
+
 @dataclass(frozen=True)
 class Carry:
-    """One running value: ``kind`` is ``sum`` or ``last`` (last non-null)."""
+    """One running value: ``kind`` is ``sum``, ``xor`` or ``last`` (last non-null)."""
 
     kind: str
     expr: Column
@@ -60,8 +63,8 @@ def running(
     }
 
     def local(spec: Carry) -> Column:
-        if spec.kind == "sum":
-            return F.coalesce(F.sum(spec.expr).over(frames[spec.inclusive]), F.lit(0).cast("bigint"))
+        if spec.kind in _FOLDS:
+            return F.coalesce(_FOLDS[spec.kind](spec.expr).over(frames[spec.inclusive]), F.lit(0).cast("bigint"))
         return F.last(spec.expr, ignorenulls=True).over(frames[spec.inclusive])
 
     inside = df.select("*", *[local(spec).alias(name) for name, spec in specs.items()])
@@ -73,8 +76,8 @@ def running(
     per_chunk = df.groupBy(*part).agg(
         *[
             (
-                F.coalesce(F.sum(spec.expr), F.lit(0).cast("bigint"))
-                if spec.kind == "sum"
+                F.coalesce(_FOLDS[spec.kind](spec.expr), F.lit(0).cast("bigint"))
+                if spec.kind in _FOLDS
                 else F.max_by(spec.expr, F.when(spec.expr.isNotNull(), place))
             ).alias(f"_s_{name}")
             for name, spec in specs.items()
@@ -90,8 +93,9 @@ def running(
     joined = inside.join(carried, part, "left")
 
     def merged(name: str, spec: Carry) -> Column:
-        if spec.kind == "sum":
-            return (F.col(name) + F.coalesce(F.col(f"_c_{name}"), F.lit(0).cast("bigint"))).alias(name)
+        if spec.kind in _FOLDS:
+            before = F.coalesce(F.col(f"_c_{name}"), F.lit(0).cast("bigint"))
+            return (F.col(name) + before if spec.kind == "sum" else F.col(name).bitwiseXOR(before)).alias(name)
         return F.coalesce(F.col(name), F.col(f"_c_{name}")).alias(name)
 
     return joined.select(*df.columns, *[merged(name, spec) for name, spec in specs.items()])

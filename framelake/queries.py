@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from framelake import bridge as B
 from framelake.functions import bits, text
 from framelake.functions.services import candidate_response_id, normalise_service
-from framelake.operators import activity, correlation, decode, diagnostics, did_reads, isotp, mapping, reports, states, trace
+from framelake.operators import activity, correlation, decode, diagnostics, did_reads, isotp, mapping, pairing, reports, states, trace
 from framelake.session import cut_lineage
 from framelake.sinks import definitions as dsink
 from framelake.sinks.tables import candump_lines, check_frame_count
@@ -237,21 +237,20 @@ def _ranked(df: DataFrame) -> DataFrame:
 
 @query
 def window_correlation(spark: SparkSession, d: str) -> DataFrame:
-    out = correlation.window_correlation(_captures(spark, d), B.annotations(spark, d), baseline_us=6 * HOUR, bin_us=3 * HOUR)
+    out = correlation.window_correlation(_captures(spark, d), B.annotations(spark, d), baseline_us=6 * HOUR, bin_us=5 * DAY)
     return _ranked(out)
 
 
 @query
 def voice_correlation(spark: SparkSession, d: str) -> DataFrame:
     a = B.annotations(spark, d).withColumn("end_us", F.col("start_us") + 1000)
-    out = correlation.voice_correlation(_captures(spark, d), a, baseline_us=6 * HOUR, after_us=2 * HOUR, min_span_us=HOUR, bin_us=3 * HOUR)
+    out = correlation.voice_correlation(_captures(spark, d), a, baseline_us=6 * HOUR, after_us=2 * HOUR, min_span_us=HOUR, bin_us=5 * DAY)
     return _ranked(out)
 
 
 @query
 def annotation_windows(spark: SparkSession, d: str) -> DataFrame:
-    j = correlation.annotation_window_join(_captures(spark, d), B.annotations(spark, d), 6 * HOUR, bin_us=3 * HOUR)
-    return j.groupBy("session_id", "annotation_idx", "action").agg(F.count("*").alias("frames"), F.bit_xor("sequence").alias("checksum"))
+    return correlation.annotation_window_totals(_captures(spark, d), B.annotations(spark, d), 6 * HOUR)
 
 
 @query
@@ -266,7 +265,7 @@ def bit_event_candidates(spark: SparkSession, d: str) -> DataFrame:
             F.struct(F.lit("after").alias("phase"), F.col("end_us").alias("lo_us"), (F.col("end_us") + 6 * HOUR).alias("hi_us")),
         )),
     )
-    return correlation.bit_event_candidates(_captures(spark, d), phases, min_change=0.45, max_restore=0.30, bin_us=3 * HOUR)
+    return correlation.bit_event_candidates(_captures(spark, d), phases, min_change=0.45, max_restore=0.30, bin_us=5 * DAY)
 
 
 @query
@@ -655,7 +654,15 @@ def frame_rate_1s(spark: SparkSession, d: str) -> DataFrame:
 @query
 def live_pairs(spark: SparkSession, d: str) -> DataFrame:
     endpoints = spark.createDataFrame([(0x7E0 + m, 0x7E8 + m) for m in range(3)], "request_id BIGINT, response_id BIGINT")
-    return stream.live_pair(stream.endpoint_messages(B.diag_messages(spark, d), endpoints))
+    return pairing.pair_messages(stream.endpoint_messages(B.diag_messages(spark, d), endpoints), chunk=5000)
+
+
+@query
+def live_monitor(spark: SparkSession, d: str) -> DataFrame:
+    """From wire frames: two modules with unframed payloads below 0x700, one with framed ones."""
+    endpoints = spark.createDataFrame([(0x240, 0x640), (0x241, 0x641), (0x7E2, 0x7EA)], "request_id BIGINT, response_id BIGINT")
+    messages = pairing.endpoint_payloads(B.monitor_frames(spark, d), endpoints)
+    return pairing.pair_messages(stream.endpoint_messages(messages, endpoints), chunk=5000).drop("session_id")
 
 
 @query

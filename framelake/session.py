@@ -47,3 +47,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     folder = shared_folder(df.sparkSession)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def spread(df: DataFrame, rows: int | None = None, per_core: int = 8) -> DataFrame:
+    """Dealt to as many tasks as there are rows, up to some per core, for rows that name work and are small themselves.
+
+    Without a number of its own a shuffle of a few paths is made one task by adaptive execution, which looks at the size
+    of the paths and not of what they name.
+    """
+    most = per_core * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(1, min(df.count() if rows is None else rows, most)))

@@ -21,7 +21,7 @@ from framelake.operators.correlation import candidates_from_counts, phase_bit_co
 from framelake.operators.decode import CELL_COUNT, bicm_slot
 from framelake.plans.timejoin import asof_backward
 from framelake.sources.candump import frame_columns
-from framelake.streaming.state import CellsProcessor, DiagPairProcessor, IsoTpProcessor, PendingRequests
+from framelake.streaming.state import CellsProcessor, DiagPairProcessor, IsoTpProcessor
 
 MESSAGES = "session_id string, iface string, arb_id bigint, ts_us bigint, completion_seq bigint, payload binary"
 PAIRS = (
@@ -172,17 +172,3 @@ def endpoint_counters(frames: DataFrame, endpoints: DataFrame) -> DataFrame:
     role = lambda c, name: endpoints.where(F.col(c).isNotNull()).select(F.col(c).alias("arb_id"), F.lit(name).alias("role"))
     roles = role("request_id", "endpoint").unionByName(role("response_id", "endpoint")).unionByName(role("stream_id", "stream")).dropDuplicates()
     return frames.join(roles, "arb_id").groupBy("role").agg(F.count("*").alias("frames"))
-
-
-def _pair_rows(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    machine, out = PendingRequests(), []
-    for r in rows.sort_values(["ts_us", "sequence"], kind="stable").itertuples(index=False):
-        did = None if pd.isna(r.did) else int(r.did)
-        nrc = None if pd.isna(r.nrc) else int(r.nrc)
-        out.append((*key, r.ts_us, r.sequence, r.role, r.service, did, nrc, machine.push(r.role, int(r.ts_us), int(r.service), did, nrc)))
-    return pd.DataFrame(out, columns=[c.split()[0] for c in PAIRS.split(", ")])
-
-
-def live_pair(messages: DataFrame) -> DataFrame:
-    """Pairing over all endpoint messages; a caller that wants the newest alone selects them first."""
-    return messages.groupBy("session_id", "channel", "request_id").applyInPandas(_pair_rows, PAIRS)

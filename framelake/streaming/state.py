@@ -67,7 +67,7 @@ class PendingRequests:
 
     def _compatible(self, service: int, did: int | None) -> tuple[int, int] | None:
         fits = [k for k in self.open if k[0] == service and (did is None or k[1] == -1 or k[1] == did)]
-        return max(fits, key=lambda k: self.open[k], default=None)
+        return max(fits, key=lambda k: (self.open[k], -k[1]), default=None)
 
 
 def _ordered(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:

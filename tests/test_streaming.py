@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from framelake.operators.correlation import bit_event_candidates
 from framelake.operators.isotp import reassemble_isotp
+from framelake.operators.pairing import pair_messages
 from framelake.schemas import FRAMES
 from tests.battery import battery_capture
 from framelake.streaming import ops
@@ -47,7 +48,7 @@ def test_stream_pairs_and_live_pairs(spark, tmp_path):
         rows.append(("s", i, i * 1000, "can0", 0x7E0 if ask else 0x7E8, False, False, len(hx) // 2, bytes.fromhex(hx)))
     f = spark.createDataFrame(rows, FRAMES)
     endpoints = spark.createDataFrame([(0x7E0, 0x7E8)], "request_id BIGINT, response_id BIGINT")
-    batch = ops.live_pair(ops.endpoint_messages(reassemble_isotp(f), endpoints))
+    batch = pair_messages(ops.endpoint_messages(reassemble_isotp(f), endpoints), chunk=25)
     pick = lambda rows: sorted((r["ts_us"], r["role"], r["latency_ms"]) for r in rows)
     want = pick(batch.where("latency_ms IS NOT NULL").collect())
     messages = reassemble_isotp(f).select("session_id", "iface", "arb_id", "ts_us", "completion_seq", "payload")
