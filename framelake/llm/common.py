@@ -85,3 +85,13 @@ def numbered(df: DataFrame, group: str, order: list[str]) -> DataFrame:
     starts = starts.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first"))
     starts = starts.withColumn("size", F.sum("_n").over(Window.partitionBy(group))).drop("_n", "_first")
     return rows.join(starts, [group, "_part"]).withColumn("pos", F.col("_base") + F.col("_row")).drop("_part", "_row", "_base")
+
+
+def spread(df: DataFrame, rows: int | None = None, per_core: int = 8) -> DataFrame:
+    """``df``, whose small rows name much work, dealt to as many tasks as it has rows, up to some per core.
+
+    Without a number of its own a shuffle of paths is made one task by adaptive execution, which sees the size of the
+    paths and not of the files.
+    """
+    most = per_core * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(1, min(df.count() if rows is None else rows, most)))

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framelake.llm.common import shared_folder, store, stored, table
+from framelake.llm.common import shared_folder, spread, store, stored, table
 
 MAGIC = b"DACTOK01"
 #: Bits of a chunk level, and bitmap bytes per entry of the rank directory.
@@ -259,7 +259,7 @@ def read_tokens(files: DataFrame, with_ids: bool = False) -> DataFrame:
                 yield pd.DataFrame(out)
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return files.select("path", "start").repartition("path").mapInPandas(run, schema)
+    return spread(files.select("path", "start")).mapInPandas(run, schema)
 
 
 def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

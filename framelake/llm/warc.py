@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm.common import shared_folder, store, stored, table
+from framelake.llm.common import shared_folder, spread, store, stored, table
 
 #: Compressed bytes after which the writer begins a new file, and of a split of the reader.
 FILE_BYTES = 64 << 20
@@ -211,7 +211,7 @@ def read_warc(files: DataFrame, with_payload: bool = True, split_bytes: int = SP
     """
     begin = F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))).alias("begin")
     splits = files.where("bytes > 0").select("path", "bytes", begin)
-    splits = splits.select("path", "begin", F.least(F.col("begin") + split_bytes, F.col("bytes")).alias("end")).repartition("path", "begin")
+    splits = spread(splits.select("path", "begin", F.least(F.col("begin") + split_bytes, F.col("bytes")).alias("end")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
