@@ -180,6 +180,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 #: Keys held by more texts than this are paired in two steps.
 FEW = 16
+#: Turns in which large groups grow before all pairs of what is left are compared, and members that a text meets in each.
+GROW_ROUNDS = 1
+GROW_MEMBERS = 8
 #: Shingles are put in order by their frequency in one text of so many, in this many texts at least.
 SAMPLE_STEP = 64
 SAMPLE_TEXTS = 5_000
@@ -234,6 +237,18 @@ def _common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return hashes[order], n[order]
 
 
+def one_key_per_set(keyed: DataFrame) -> DataFrame:
+    """``keyed`` (h, d, place, n, texts) with one key in place of all that are held by the same texts, and ``keys``, their number.
+
+    The first words of copies, and of texts with a passage in common, are many keys of one set of texts, and would pair
+    these once for each. Sets are told apart by their size and 128 bits of hashes of their members.
+    """
+    member = [F.bit_xor(F.xxhash64("d")), F.bit_xor(F.xxhash64(F.lit(1), F.col("d")))]
+    sets = keyed.groupBy("h").agg(F.count("*").alias("_size"), *[m.alias(f"_set{i}") for i, m in enumerate(member)])
+    kept = sets.groupBy("_size", "_set0", "_set1").agg(F.min("h").alias("h"), F.count("*").alias("keys")).where("_size > 1")
+    return stored(keyed.join(kept.select("h", "keys"), "h"))
+
+
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(a, b): verified links that join the same texts as all pairs whose sets of five-word shingles have a similarity of
     ``similarity`` or more.
@@ -242,8 +257,8 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     exactly: texts of this similarity share one of their first shingles (a fifth of them) in an order common to all, here
     rarest first, so that a passage of many texts is no key unless a text has little else. Equal texts are one node.
     First, members of a key with few texts are all paired, those of other keys with the smallest and the largest node of
-    the key alone; then all keys pair the nodes that are not joined by then, so a large group of near copies costs no pair
-    for each two. Texts are read for pairs that share as many keys as the similarity asks for. Rows without id or words
+    the key alone; then for a few turns the nodes outside the largest part of a key with a few of its members; at last all
+    keys pair the nodes that are not joined by then. So a large group of near copies costs no pair for each two. Keys of the same set of texts count as one with their number. Texts are read for pairs that share as many keys as the similarity asks for. Rows without id or words
     take no part.
     """
     docs = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).withColumn("d", F.xxhash64("t"))
@@ -276,7 +291,7 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     nodes = held.where("place = 0").groupBy("d").agg(F.min("id").alias("node"))
     equal = held.where("place = 0").select("d", "id").join(nodes, "d").where("node <> id").select(F.col("node").alias("a"), F.col("id").alias("b"))
     repeated = stored(held.groupBy("h").agg(F.count("*").alias("texts")).where("texts > 1"))
-    keyed = stored(held.select("h", "d", "place", "n").join(repeated, "h").distinct())
+    keyed = one_key_per_set(stored(held.select("h", "d", "place", "n").join(repeated, "h").distinct()))
 
     # what both have left after a common key bounds the common shingles; the bound holds for each common key
     least = similarity * (F.col("x.n") + F.col("y.n")) - 1e-6
@@ -284,7 +299,7 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     fits = bound * (1 + similarity) >= least
     # and so do the keys in common with the longer rest behind the keys
     after = F.ceil(similarity * F.greatest("x.n", "y.n") - 1e-9) - 1
-    needed = (least / (1 + similarity) - after).alias("needed")
+    needed = least / (1 + similarity) - after
 
     def verified(pairs: DataFrame) -> DataFrame:
         """(a, b) of the pairs (da, db) that are similar enough, by digest; only one text of each digest is read."""
@@ -296,12 +311,12 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         return stored(sides.select(F.col("da").alias("a"), F.col("db").alias("b"), "ta", "tb").mapInPandas(check, "a long, b long"))
 
     def self_join(left: DataFrame, right: DataFrame, when: Column) -> DataFrame:
-        """(da, db, needed) once per key in common."""
-        both = left.alias("x").join(right.alias("y"), (F.col("x.h") == F.col("y.h")) & when & fits)
-        return both.select(F.least("x.d", "y.d").alias("da"), F.greatest("x.d", "y.d").alias("db"), needed)
+        """(da, db, needed, keys) once per set of keys in common."""
+        both = left.alias("x").join(right.alias("y"), (F.col("x.h") == F.col("y.h")) & fits & when)
+        return both.select(F.least("x.d", "y.d").alias("da"), F.greatest("x.d", "y.d").alias("db"), needed.alias("needed"), "x.keys")
 
     def sharing(keys: DataFrame, part: float) -> DataFrame:
-        counts = keys.groupBy("da", "db").agg(F.count("*").alias("shared"), F.first("needed").alias("needed"))
+        counts = keys.groupBy("da", "db").agg(F.sum("keys").alias("shared"), F.first("needed").alias("needed"))
         return counts.where(F.col("shared") >= part * F.col("needed")).select("da", "db")
 
     few, many = keyed.where(F.col("texts") <= FEW), keyed.where(F.col("texts") > FEW)
@@ -310,13 +325,40 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     # keys of many texts are counted in part here: this only joins most of a large group, what it leaves out is found below
     keys = self_join(few, few, F.col("x.d") < F.col("y.d")).union(self_join(many, ends_, F.col("x.d") != F.col("y.d")))
     pairs = stored(sharing(keys, 0.5))
-    first = verified(pairs)
-    root = components(first)
-    placed = stored(keyed.join(root, keyed["d"] == root["node"], "left").select("h", "d", "place", "n", F.coalesce("root", "d").alias("root")))
-    mixed = placed.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h")
-    rest = placed.join(mixed, "h", "left_semi")
-    more = sharing(self_join(rest, rest, (F.col("x.d") < F.col("y.d")) & (F.col("x.root") != F.col("y.root"))), 1.0)
-    found = first.union(verified(stored(more.join(pairs, ["da", "db"], "left_anti"))))
+    found = verified(pairs)
+
+    def mixed_keys(links: DataFrame) -> DataFrame:
+        """Members of the keys whose texts are not all joined by ``links``, with their root."""
+        root = components(links)
+        placed = stored(keyed.join(root, keyed["d"] == root["node"], "left").select("h", "d", "place", "n", "keys", F.coalesce("root", "d").alias("root")))
+        mixed = placed.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h")
+        return placed.join(mixed, "h", "left_semi")
+
+    # large groups grow around their largest part: each text outside it meets a few of its members, chosen by hashes so that
+    # they are the same for most keys
+    for turn in range(GROW_ROUNDS):
+        rest = stored(mixed_keys(found))
+        chosen = [F.min_by(place, F.xxhash64(F.lit(turn * GROW_MEMBERS + i), F.col("d"))) for i in range(GROW_MEMBERS)]
+        parts = rest.groupBy("h", "root").agg(F.count("*").alias("members"), F.array_distinct(F.array(*chosen)).alias("some"))
+        largest = parts.groupBy("h").agg(F.max(F.struct("members", "root", "some")).alias("p"))
+        members = largest.select("h", F.col("p.root").alias("root"), F.explode("p.some").alias("e")).select("h", "root", "e.*")
+        more = stored(sharing(self_join(rest, members, F.col("x.root") != F.col("y.root")), 0.5).join(pairs, ["da", "db"], "left_anti"))
+        new = verified(more)
+        pairs, found = pairs.union(more), stored(found.union(new))
+        if new.isEmpty():
+            break
+    # the rest: each pair comes from its first key in common alone, and only with as many keys as it needs. What is joined
+    # shares no mixed key with what is not, so the keys of a text that are left tell all that it has in common
+    rest = mixed_keys(found)
+    held_keys = rest.groupBy("d").agg(F.array_sort(F.collect_list(F.struct("h", "keys"))).alias("_k"))
+    arrays = held_keys.select("d", F.transform("_k", lambda k: k["h"]).alias("hs"), F.transform("_k", lambda k: k["keys"]).alias("ws"))
+    rest = stored(rest.join(arrays, "d"))
+    common_keys = F.array_intersect("x.hs", "y.hs")
+    weight = F.aggregate(common_keys, F.lit(0).cast("long"), lambda a, h: a + F.element_at("x.ws", F.array_position("x.hs", h).cast("int")))
+    first_of = (F.array_min(common_keys) == F.col("x.h")) & (weight >= needed)
+    apart = (F.col("x.d") < F.col("y.d")) & (F.col("x.root") != F.col("y.root"))
+    more = self_join(rest, rest, apart & first_of).select("da", "db")
+    found = found.union(verified(stored(more.join(pairs, ["da", "db"], "left_anti"))))
     a, b = nodes.select(F.col("d").alias("a"), F.col("node").alias("na")), nodes.select(F.col("d").alias("b"), F.col("node").alias("nb"))
     return found.join(a, "a").join(b, "b").where("na <> nb").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).union(equal)
 

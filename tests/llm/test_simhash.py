@@ -143,3 +143,27 @@ def test_random_texts_are_joined_as_by_brute_force(spark, docs_of):
     want = groups_of(list(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
     got = joined_by(docs_of(rows))
     assert {i: got.get(i, i) for i in want} == want
+
+
+def test_a_large_family_is_joined_as_by_brute_force(spark, docs_of):
+    """Edited versions of one article, many of them not similar enough to most others: every link counts, and few pairs are rows."""
+    rnd = random.Random(8)
+    base = [f"w{rnd.randrange(9000)}" for _ in range(150)]
+    rows = []
+    for k in range(700):
+        words = base[:]
+        for _ in range(rnd.randrange(1, 9)):
+            words[rnd.randrange(len(words))] = f"x{rnd.randrange(9000)}"
+        rows.append((k, " ".join(words)))
+    rows += [(1000 + k, " ".join([f"y{rnd.randrange(9000)}" for _ in range(200)] + base[:40])) for k in range(200)]  # a passage only
+    sets = {i: shingles(t) for i, t in rows}
+    sizes = {i: len(s) for i, s in sets.items()}
+
+    def alike(a, b):
+        both = len(sets[a] & sets[b])
+        return both >= 0.8 * (sizes[a] + sizes[b] - both)
+
+    want = groups_of(list(sets), alike)
+    assert 5 < len(set(want.values())) - 200 < 650
+    got = joined_by(docs_of(rows))
+    assert {i: got.get(i, i) for i in want} == want
