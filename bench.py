@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import os
+import signal
+import sys
 import time
 
 from framelake.queries import QUERIES
@@ -28,6 +30,7 @@ HEADLINE = [
     "pair_transactions",
     "asof_definition",
     "did_fifo",
+    "live_pairs",
     "trace_validation",
     "band_match",
     "marker_nearest",
@@ -47,11 +50,21 @@ def main() -> None:
     spark.read.parquet(f"{sf_dir}/events.parquet").count()
     names = [n for n in os.environ.get("BENCH_QUERIES", "").split(",") if n] or HEADLINE
     seconds: dict[str, float] = {}
+
+    def report() -> None:
+        print(json.dumps({"metric": "headline_queries_total", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "sf": sf_dir.rsplit("sf", 1)[-1]}), flush=True)
+
+    def stopped(*_: object) -> None:
+        report()  # what has ended by then
+        os._exit(1)
+
+    signal.signal(signal.SIGTERM, stopped)
     for name in names:
         start = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
-    print(json.dumps({"metric": "headline_queries_total", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "sf": sf_dir.rsplit("sf", 1)[-1]}))
+        print(f"{name} {seconds[name]}", file=sys.stderr, flush=True)
+    report()
 
 
 if __name__ == "__main__":

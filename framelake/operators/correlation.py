@@ -336,7 +336,11 @@ def live_validation_steps(samples: DataFrame, step_markers: DataFrame, chunk_us:
     ``samples`` has (ts_us, sequence, raw_value), ``step_markers`` (ts_us, sequence, target_mph), both with the capture
     key ``by``. A marker without target pauses the validation.
     """
-    tagged = asof_backward(samples, step_markers, by, ["target_mph"], chunk_us=chunk_us)
+    return step_statistics(asof_backward(samples, step_markers, by, ["target_mph"], chunk_us=chunk_us), by)
+
+
+def step_statistics(tagged: DataFrame, by: Sequence[str] = ("session_id",)) -> DataFrame:
+    """Raw value statistics per target of tagged samples."""
     return (
         tagged.where("target_mph IS NOT NULL")
         .groupBy(*by, "target_mph")

@@ -8,10 +8,17 @@ A response that follows A requests, of which E are too old and G are not later t
 
 Such maps are closed under composition: each is "x < T ? max(x + k, b) : C". So a chunk of responses folds to four
 numbers, the numbers of a key's chunks chain to the h at the start of each chunk, and the chunks then run apart.
+
+That needs request times that do not decrease in completion order, as in a capture. Keys where they do are found first
+and go through a queue in order, one pass over the sorted rows of the key.
 """
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+from itertools import groupby
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -69,6 +76,39 @@ def _run_chunk(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["session_id", "channel", "did", "sequence", "number"])
 
 
+def _run_queue(window_us: int):
+    """Matches of keys in completion order by the queue itself; only the waiting requests of one key are held."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (r for pdf in batches for r in zip(*(pdf[c] for c in [*KEY, "sequence", "ts_us", "is_request"])))
+        out: list[tuple] = []
+        for key, group in groupby(rows, key=lambda r: r[:3]):
+            waiting: deque[tuple[int, int]] = deque()
+            asked = 0
+            for *_, sequence, ts, is_request in group:
+                if is_request:
+                    asked += 1
+                    waiting.append((asked, ts))
+                    continue
+                while waiting:
+                    number, asked_at = waiting.popleft()
+                    if 0 <= ts - asked_at <= window_us:
+                        out.append((*key, sequence, number))
+                        break
+                if len(out) >= 10_000:
+                    yield pd.DataFrame(out, columns=[*KEY, "sequence", "number"])
+                    out = []
+        yield pd.DataFrame(out, columns=[*KEY, "sequence", "number"])
+
+    return run
+
+
+def _stepping_back(requests: DataFrame) -> DataFrame:
+    """Keys with the number of requests (sequence, ts_us, chunk) that are earlier than the one before them."""
+    before = running(requests, KEY, ["sequence"], {"before": Carry("last", F.col("ts_us"), inclusive=False)}, ["chunk"])
+    return before.where("before > ts_us").groupBy(*KEY).agg(F.count("*").alias("steps_back"))
+
+
 def _numbered(rows: DataFrame, window_us: int, chunk: int, chunk_us: int) -> tuple[DataFrame, DataFrame]:
     """Requests with their number, and responses with (asked, old, good) counts."""
     asked = running(
@@ -103,9 +143,9 @@ def pair_did_reads(
 ) -> DataFrame:
     """Service 0x22 requests with their 0x62 responses per (channel, identifier).
 
-    A response takes the oldest waiting request that is at most ``window_us`` older; requests it passes over are
-    gone. Requests of one (channel, identifier) must carry times that never decrease in completion order, as in a
-    capture; :func:`unordered_requests` lists the keys where they do.
+    A response takes the first waiting request that is at most ``window_us`` older and not later than it; requests it
+    passes over are gone. Keys whose request times never decrease in completion order are cut into chunks; the others,
+    which :func:`unordered_requests` lists, are each read once in order.
     """
     p = F.col("payload")
     n = F.length(p)
@@ -116,16 +156,21 @@ def pair_did_reads(
         F.col("completion_seq").alias("sequence"), "ts_us", "payload", asks.alias("is_request"),
     )
     rows = cut_lineage(rows)  # a small part of all messages, read by the numbering and by the counts
+    back = cut_lineage(_stepping_back(rows.where("is_request").select(*KEY, "sequence", "ts_us", F.expr(f"sequence div {chunk}").alias("chunk"))).select(*KEY))
+    stepped = rows.join(back, KEY, "left_semi")
     requests, responses = _numbered(rows, window_us, chunk, chunk_us)
     responses = cut_lineage(responses)  # read by the fold, by the run and for the output
-    folded = responses.select(*KEY, "chunk", "sequence", "asked", "old", "good").groupBy(*KEY, "chunk").applyInPandas(_fold_chunk, _FOLD)
+    even = responses.join(back, KEY, "left_anti")
+    folded = even.select(*KEY, "chunk", "sequence", "asked", "old", "good").groupBy(*KEY, "chunk").applyInPandas(_fold_chunk, _FOLD)
     starts = folded.groupBy(*KEY).applyInPandas(_chain, _START)
     matched = (
-        responses.join(starts, [*KEY, "chunk"])
+        even.join(starts, [*KEY, "chunk"])
         .select(*KEY, "chunk", "sequence", "asked", "old", "good", "h")
         .groupBy(*KEY, "chunk")
         .applyInPandas(_run_chunk, _MATCH)
     )
+    in_order = stepped.repartition(*KEY).sortWithinPartitions(*KEY, "sequence").mapInPandas(_run_queue(window_us), _MATCH)
+    matched = matched.unionByName(in_order)
     answered = matched.join(responses.select(*KEY, "sequence", "ts_us", "payload"), [*KEY, "sequence"])
     return answered.join(requests, [*KEY, "number"]).select(
         "session_id",
@@ -148,5 +193,4 @@ def unordered_requests(messages: DataFrame, tx: int = 0x7E4, chunk: int = SEQUEN
         "session_id", F.col("iface").alias("channel"), (byte_at(p, 1) * 256 + byte_at(p, 2)).alias("did"),
         F.col("completion_seq").alias("sequence"), "ts_us", F.expr(f"completion_seq div {chunk}").alias("chunk"),
     )
-    before = running(rows, KEY, ["sequence"], {"before": Carry("last", F.col("ts_us"), inclusive=False)}, ["chunk"])
-    return before.where("before > ts_us").groupBy(*KEY).agg(F.count("*").alias("steps_back"))
+    return _stepping_back(rows)

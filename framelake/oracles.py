@@ -316,6 +316,22 @@ def _pairing(request_id: str, extra: str) -> str:
 
 def build() -> dict[str, str]:
     q: dict[str, str] = {}
+    q["did_fifo"] = _with(
+        _EV,
+        """ms AS (
+  SELECT iface AS channel, k // 10 AS d, event_id, ts_us, event_type = 'signup' AS asks, '22F1' || printf('%02X', k // 10) AS request_payload, printf('%04X', cents) AS data,
+         row_number() OVER (PARTITION BY iface, k // 10 ORDER BY event_id) AS rn FROM ev WHERE event_type IN ('signup', 'click'))""",
+        """st AS (
+  SELECT channel, d, CAST(0 AS BIGINT) AS rn, CAST([] AS STRUCT(n BIGINT, t BIGINT)[]) AS waiting, CAST(NULL AS STRUCT(n BIGINT, t BIGINT)) AS hit
+  FROM (SELECT DISTINCT channel, d FROM ms)
+  UNION ALL
+  SELECT channel, d, rn, CASE WHEN asks THEN list_append(waiting, {'n': rn, 't': ts_us}) WHEN h IS NULL THEN [] ELSE list_filter(waiting, lambda x: x.n > h.n) END, CASE WHEN NOT asks THEN h END
+  FROM (SELECT m.*, s.waiting, list_filter(s.waiting, lambda x: m.ts_us - x.t BETWEEN 0 AND %d)[1] AS h
+        FROM st s JOIN ms m ON m.channel = s.channel AND m.d = s.d AND m.rn = s.rn + 1))""" % DAY,
+        body="""SELECT 'events' AS session_id, channel, '0xF1' || printf('%02X', d) AS did, hit.t / 1e6 AS request_ts, ts_us / 1e6 AS response_ts, (ts_us - hit.t) / 1000.0 AS latency_ms,
+       request_payload, '62F1' || printf('%02X', d) || data AS response_payload, data, event_id AS completion_seq
+FROM st JOIN ms USING (channel, d, rn) WHERE hit IS NOT NULL""",
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
     q["live_pairs"] = _pairing("2016 + user_id % 3", "'events' AS session_id, ")
     q["live_monitor"] = _pairing("CASE WHEN user_id % 3 = 2 THEN 2018 ELSE 576 + user_id % 3 END", "")
     fr = (_EV, _FR)
@@ -549,8 +565,41 @@ SELECT can_id, CASE WHEN can_id = 582 THEN 'edr' END AS registry_key, CASE WHEN
     q["recent_events"] = _with(*dm, body="SELECT event_id AS pos, ts_us, service FROM dm ORDER BY ts_us DESC, event_id DESC LIMIT 30")
     lo = 1_704_067_200_000_000 + 5 * DAY
     q["time_range"] = _with(*fr, body=f"SELECT event_id AS sequence, hx AS payload FROM fr WHERE ts_us >= {lo} AND ts_us < {lo + 7 * DAY}")
-    q["frame_rate_1s"] = _with(_EV, """wf AS (SELECT iface, event_id, ts_us, unnest(range(0, CAST(CASE WHEN k + 1 <= 7 THEN 1 ELSE 1 + ceil((k + 1 - 6) / 7.0) + CASE cents % 7 WHEN 0 THEN -1 WHEN 1 THEN 1 ELSE 0 END END AS BIGINT))) AS i FROM ev)""",
-        body="SELECT ((ts_us + i) // 1000000) * 1000000 AS second_us, iface, count(*) AS frames FROM wf GROUP BY ALL")
+    q["frame_rate_1s"] = _with(_EV, """wf AS (SELECT iface, user_id, event_id, ts_us, unnest(range(0, CAST(CASE WHEN k + 1 <= 7 THEN 1 ELSE 1 + ceil((k + 1 - 6) / 7.0) + CASE cents % 7 WHEN 0 THEN -1 WHEN 1 THEN 1 ELSE 0 END END AS BIGINT))) AS i FROM ev)""",
+        body="SELECT ((ts_us + i) // 1000000) * 1000000 AS second_us, iface, count(*) AS frames, count(DISTINCT user_id) AS ids FROM wf GROUP BY ALL")
+    q["stream_capture"] = q["frames_bridge"]
+    q["stream_distinct_ids"] = _with(*fr, body="SELECT DISTINCT 'events' AS session_id, iface, arb_id FROM fr")
+    q["stream_isotp"] = q["isotp_reassembly"]
+    q["stream_diag_pairs"] = q["live_pairs"]
+    q["stream_bit_discovery"] = q["bit_event_candidates"]
+    q["stream_validation"] = q["live_validation_steps"]
+    q["stream_cells"] = _with(_EV, _VF, _BF, f"""sl AS (
+  SELECT *, CASE WHEN bid - 1120 >= 16 THEN (bid - 1136) * 2 + 1 ELSE (bid - 1120) * 2 END AS slot, (ts_us - lo) // ((hi - lo) // 2 + 1) AS part
+  FROM bf, (SELECT min(ts_us) AS lo, max(ts_us) AS hi FROM bf) WHERE bid < 1280),
+lat AS (
+  SELECT p.part AS upto, slot, arg_max([{', '.join(f'((c{2 * i} & 15) * 256 + c{2 * i + 1}) * CAST(0.00125 AS DOUBLE)' for i in range(3))}], struct_pack(t := ts_us, e := event_id)) AS v
+  FROM sl JOIN (SELECT DISTINCT part FROM sl) p ON sl.part <= p.part GROUP BY ALL),
+al AS (SELECT upto, list_reverse(flatten(list(v ORDER BY slot))) AS l FROM lat GROUP BY upto)""",
+        body="SELECT 'all' AS session_id, (SELECT max(ts_us) FROM sl WHERE part = upto) AS ts_us, cell, l[cell + 1] AS volts FROM al, range(0, 96) t(cell) WHERE len(l) = 96")
+    q["ingest_files"] = _with(*fr, body="SELECT iface AS session_id, ts_us, iface, arb_id, dlc, hx AS payload FROM fr")
+    q["file_statuses"] = _with(_EV, body="""SELECT DISTINCT iface AS session_id, CASE iface WHEN 'can1' THEN 'hashMismatch' WHEN 'can2' THEN 'sizeMismatch' WHEN 'can3' THEN 'missing'
+  WHEN 'can4' THEN 'unhashed' ELSE 'verified' END AS status FROM ev""")
+    q["transcript_files"] = _with(_EV, body="""SELECT idx, count(*) AS rows, CAST(sum(CASE WHEN k % 4 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS blank, min(ts_us) / 1e6 AS first_s, max(ts_us) / 1e6 AS last_s
+FROM (SELECT *, row_number() OVER (PARTITION BY iface ORDER BY ts_us) AS idx FROM ev WHERE event_type = 'error') GROUP BY idx""")
+    q["transcript_faults"] = _with(_EV, """t AS (SELECT iface, event_id AS idx, ts_us / 1e6 AS start_s, ts_us / 1e6 + (k - 10) * CAST(60 AS DOUBLE) AS end_s FROM ev WHERE event_type = 'purchase'),
+l AS (SELECT *, lag(end_s) OVER (PARTITION BY iface ORDER BY idx) AS before FROM t)""", body="""SELECT iface, idx, CASE WHEN end_s < start_s THEN 'negativeDuration' ELSE 'overlap' END AS rule
+FROM l WHERE end_s < start_s OR start_s < before""")
+    q["registry_files"] = """SELECT 'S_' || p_partkey AS signal, p_partkey % 2048 AS can_id, p_brand AS message, p_partkey % 64 AS start_bit, p_size AS length,
+  CASE WHEN p_partkey % 2 = 0 THEN 'intel' ELSE 'motorola' END AS endian, p_partkey % 2 = 0 AS signed, 0.5 AS scale, p_partkey % 7 AS "offset", p_name AS unit, p_type AS notes
+FROM part WHERE p_partkey % 3 != 0 AND p_partkey % 5 != 0"""
+    q["trace_files"] = f"SELECT trace_id, rule, detail, count(*) AS n FROM ({q['trace_validation']}) GROUP BY ALL"
+    q["bench_files"] = _with(_EV, body="""SELECT CASE WHEN event_type = 'purchase' THEN 'marker' ELSE 'rx' END AS direction, CASE WHEN event_type = 'purchase' THEN 'step' ELSE '' END AS label, count(*) AS n,
+  bit_xor(ts_us) AS times, count(DISTINCT CASE WHEN event_type != 'purchase' THEN user_id % 40 END) AS ids FROM ev GROUP BY ALL""")
+    q["c5_table_files"] = _with(_EV, body="""SELECT user_id % 5 + 1 AS bus, user_id + 256 AS can_id, count(*) AS frames, count(*) AS rows, max(printf('%02X%04X0000000000', k, cents)) AS last_data
+FROM ev WHERE event_type != 'view' AND user_id + 256 <= 2047 GROUP BY ALL""")
+    q["bad_capture_lines"] = _with(_EV, body="""SELECT CASE k % 10 WHEN 1 THEN 'oddLengthData' WHEN 2 THEN 'malformed' ELSE 'read' END AS reason, count(*) AS lines FROM ev GROUP BY ALL""")
+    q["session_overwrite"] = _with(*fr, body="SELECT iface AS session_id, arb_id, CAST(sum(CASE WHEN iface = 'can1' THEN -1 ELSE 1 END) AS BIGINT) AS frames FROM fr WHERE iface != 'can2' GROUP BY ALL")
+    q["session_versions"] = _with(*fr, body="SELECT iface AS session_id, event_id AS sequence, ts_us, arb_id, hx AS payload FROM fr WHERE iface != 'can3' AND (iface != 'can1' OR event_id % 2 = 0)")
     q["endpoint_counters"] = _with(*dm, body="""SELECT 'endpoint' AS role, count(*) AS frames FROM dm WHERE can_id IN (2016, 2024, 2017, 2026) UNION ALL SELECT 'stream', count(*) FROM dm WHERE can_id = 2025""")
 
     line = "'(' || (ts_us // 1000000) || '.' || lpad(CAST(ts_us % 1000000 AS VARCHAR), 6, '0') || ') ' || iface || ' ' || printf('%03X', arb_id) || '#' || hx"

@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from framelake import bridge as B
+from framelake.file_queries import FILE_QUERIES
 from framelake.functions import bits, text
 from framelake.functions.services import candidate_response_id, normalise_service
 from framelake.operators import activity, correlation, decode, diagnostics, did_reads, isotp, mapping, pairing, reports, states, trace
-from framelake.session import cut_lineage
+from framelake.schemas import FRAMES
+from framelake.session import cut_lineage, shared_folder
+from framelake.sinks import versions
 from framelake.sinks import definitions as dsink
 from framelake.sinks.tables import candump_lines, check_frame_count
 from framelake.sources import adapters, c5, candump, dbc, transcripts
 from framelake.streaming import ops as stream
+from framelake.streaming.replay import replay, streamed
 
 HOUR = 3_600_000_000
 DAY = 24 * HOUR
@@ -253,10 +259,9 @@ def annotation_windows(spark: SparkSession, d: str) -> DataFrame:
     return correlation.annotation_window_totals(_captures(spark, d), B.annotations(spark, d), 6 * HOUR)
 
 
-@query
-def bit_event_candidates(spark: SparkSession, d: str) -> DataFrame:
+def _phases(spark: SparkSession, d: str) -> DataFrame:
     a = B.annotations(spark, d)
-    phases = a.select(
+    return a.select(
         "session_id",
         F.col("annotation_idx").alias("discovery_id"),
         F.inline(F.array(
@@ -265,7 +270,11 @@ def bit_event_candidates(spark: SparkSession, d: str) -> DataFrame:
             F.struct(F.lit("after").alias("phase"), F.col("end_us").alias("lo_us"), (F.col("end_us") + 6 * HOUR).alias("hi_us")),
         )),
     )
-    return correlation.bit_event_candidates(_captures(spark, d), phases, min_change=0.45, max_restore=0.30, bin_us=5 * DAY)
+
+
+@query
+def bit_event_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return correlation.bit_event_candidates(_captures(spark, d), _phases(spark, d), min_change=0.45, max_restore=0.30, bin_us=5 * DAY)
 
 
 @query
@@ -283,14 +292,18 @@ def signal_speed_correlation(spark: SparkSession, d: str) -> DataFrame:
     return out.select("bus", "can_id", "kind", "offset", "r", "abs_r", "overlap", "confidence")
 
 
-@query
-def live_validation_steps(spark: SparkSession, d: str) -> DataFrame:
+def _validation(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     e = B.events(spark, d).withColumn("session_id", F.concat(F.lit("can"), (F.col("user_id") % 5).cast("string")))
     samples = e.where("event_type = 'click'").select("session_id", "ts_us", F.col("event_id").alias("sequence"), F.col("cents").alias("raw_value"))
     steps = e.where("event_type = 'purchase'").select(
         "session_id", "ts_us", F.col("event_id").alias("sequence"), F.when(F.col("k") >= 20, F.floor(F.col("k") / 10) * 10).cast("double").alias("target_mph")
     )
-    return correlation.live_validation_steps(samples, steps)
+    return samples, steps
+
+
+@query
+def live_validation_steps(spark: SparkSession, d: str) -> DataFrame:
+    return correlation.live_validation_steps(*_validation(spark, d))
 
 
 # ---- states --------------------------------------------------------------------------------------------------
@@ -648,7 +661,7 @@ def time_range(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def frame_rate_1s(spark: SparkSession, d: str) -> DataFrame:
-    return stream.frame_rate_1s(B.isotp_frames(spark, d)).select("second_us", "iface", "frames")
+    return stream.frame_rate_1s(B.isotp_frames(spark, d))
 
 
 @query
@@ -671,6 +684,66 @@ def endpoint_counters(spark: SparkSession, d: str) -> DataFrame:
     return stream.endpoint_counters(B.raw_diag_frames(spark, d), endpoints)
 
 
+# ---- streams: each runs in two slices with a restart between them ----------------------------------------------
+
+
+def _frames_stream(f: DataFrame) -> DataFrame:
+    return f.select([c.split()[0] for c in FRAMES.split(", ")])
+
+
+@query
+def stream_capture(spark: SparkSession, d: str) -> DataFrame:
+    """Frames through the capture sink."""
+    f = _frames_stream(B.frames(spark, d))
+    out = replay(f, lambda s, path, checkpoint: stream.stream_capture_sink(s, path, checkpoint, once=True))
+    return _hexed(spark.read.schema(f.schema).parquet(out)).drop("is_extended", "remote")
+
+
+@query
+def stream_distinct_ids(spark: SparkSession, d: str) -> DataFrame:
+    return streamed(_frames_stream(B.frames(spark, d)), stream.stream_distinct_ids)
+
+
+@query
+def stream_isotp(spark: SparkSession, d: str) -> DataFrame:
+    return _messages(streamed(_frames_stream(B.isotp_frames(spark, d)), stream.stream_isotp))
+
+
+@query
+def stream_diag_pairs(spark: SparkSession, d: str) -> DataFrame:
+    endpoints = spark.createDataFrame([(0x7E0 + m, 0x7E8 + m) for m in range(3)], "request_id BIGINT, response_id BIGINT")
+    return streamed(B.diag_messages(spark, d), lambda m: stream.stream_diag_pairs(stream.endpoint_messages(m, endpoints)))
+
+
+@query
+def stream_bit_discovery(spark: SparkSession, d: str) -> DataFrame:
+    phases = _phases(spark, d)
+    out = replay(_frames_stream(_captures(spark, d)), lambda s, path, checkpoint: stream.stream_bit_discovery(s, phases, path, checkpoint, bin_us=5 * DAY))
+    return stream.discovered_bits(spark, out, min_change=0.45, max_restore=0.30)
+
+
+@query
+def stream_cells(spark: SparkSession, d: str) -> DataFrame:
+    """A snapshot after each slice that leaves all cells known."""
+    f = _frames_stream(B.battery_frames(spark, d).withColumn("session_id", F.lit("all")))
+
+    def start(s: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+        write = lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/slice={n}")
+        return stream.stream_cells(s).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start()
+
+    rows = spark.read.schema("session_id string, ts_us bigint, cells_volts array<double>").parquet(replay(f, start))
+    return rows.select("session_id", "ts_us", F.posexplode("cells_volts").alias("cell", "volts"))
+
+
+@query
+def stream_validation(spark: SparkSession, d: str) -> DataFrame:
+    """Samples tagged with the operator's target as they come, then summed up as in ``live_validation_steps``."""
+    samples, steps = _validation(spark, d)
+    out = replay(samples, lambda s, path, checkpoint: stream.stream_candidate_validation(s, steps, path, checkpoint))
+    tagged = spark.read.schema(samples.schema.add("target_mph", "double")).parquet(out)
+    return correlation.step_statistics(tagged)
+
+
 # ---- sources and sinks ---------------------------------------------------------------------------------------
 
 
@@ -732,6 +805,21 @@ def adapter_stm(spark: SparkSession, d: str) -> DataFrame:
     return _adapter(spark, d, "stm", line)
 
 
+@query
+def session_versions(spark: SparkSession, d: str) -> DataFrame:
+    """Captures stored, one replaced, one removed, and a replacement that fails midway and so is never seen."""
+    store = shared_folder(spark)
+    f = cut_lineage(_frames_stream(_by_iface(B.frames(spark, d))))
+    totals = f.groupBy("session_id").agg(F.count("*").alias("total_frames"))
+    versions.commit_sessions(f, totals, store)
+    short = f.where("session_id = 'can1' AND sequence % 2 = 0")
+    versions.commit_sessions(short, short.groupBy("session_id").agg(F.count("*").alias("total_frames")), store, replace=True)
+    versions.remove_sessions(totals.where("session_id = 'can3'"), store)
+    with contextlib.suppress(ValueError):  # the number of frames is not the one told
+        versions.commit_sessions(f.where("sequence % 3 = 0"), totals, store, replace=True)
+    return _hexed(versions.read_sessions(spark, store, FRAMES)).select("session_id", "sequence", "ts_us", "arb_id", "payload")
+
+
 @query
 def c5_load(spark: SparkSession, d: str) -> DataFrame:
     r = c5.decode_blobs(B.c5_blobs(spark, d))
@@ -805,3 +893,6 @@ def scalar_functions(spark: SparkSession, d: str) -> DataFrame:
         text.marker_source(F.concat(F.col("event_type"), F.lit(" /x"))).alias("source"),
         states.safe_ratio(F.col("value"), F.col("k").cast("double") - 50).alias("ratio"),
     )
+
+
+QUERIES |= FILE_QUERIES

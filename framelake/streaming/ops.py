@@ -19,6 +19,7 @@ from framelake.functions.bits import byte_at
 from framelake.functions.services import SERVICES, positive_map, request_of_positive
 from framelake.operators.correlation import candidates_from_counts, phase_bit_counts
 from framelake.operators.decode import CELL_COUNT, bicm_slot
+from framelake.plans.ordered import CHUNK_US
 from framelake.plans.timejoin import asof_backward
 from framelake.sources.candump import frame_columns
 from framelake.streaming.state import CellsProcessor, DiagPairProcessor, IsoTpProcessor
@@ -52,10 +53,10 @@ def _timed(frames: DataFrame, watermark: str) -> DataFrame:
 
 
 def frame_rate_1s(frames: DataFrame, watermark: str = "10 seconds", per_channel: bool = True) -> DataFrame:
-    """Frames and approximate distinct ids per second, by channel or in total."""
+    """Frames and distinct ids per second, by channel or in total; the ids of a second are a set bounded by the id space."""
     keys = [F.window("event_time", "1 second")] + ([F.col("iface")] if per_channel else [])
     return _timed(frames, watermark).groupBy(*keys).agg(
-        F.count("*").alias("frames"), F.approx_count_distinct("arb_id").alias("ids")
+        F.count("*").alias("frames"), F.size(F.collect_set("arb_id")).alias("ids")
     ).select(F.unix_micros("window.start").alias("second_us"), *(["iface"] if per_channel else []), "frames", "ids")
 
 
@@ -97,10 +98,15 @@ def endpoint_messages(messages: DataFrame, endpoints: DataFrame) -> DataFrame:
     ).where("service IS NOT NULL")
 
 
-def stream_diag_pairs(messages: DataFrame) -> DataFrame:
-    """Endpoint messages with the latency of responses; responsePending keeps its request open."""
-    return messages.groupBy("session_id", "channel", "request_id").transformWithStateInPandas(
-        statefulProcessor=DiagPairProcessor(), outputStructType=PAIRS, outputMode="Append", timeMode="None"
+def stream_diag_pairs(messages: DataFrame, ttl_us: int | None = None, watermark: str = "10 seconds") -> DataFrame:
+    """Endpoint messages with the latency of responses; responsePending keeps its request open.
+
+    With ``ttl_us`` a request that waits longer than that in event time is dropped once the watermark has passed it, so
+    state stays bounded; the original, and a call without it, keep requests until they are answered.
+    """
+    timed = messages if ttl_us is None else _timed(messages, watermark)
+    return timed.groupBy("session_id", "channel", "request_id").transformWithStateInPandas(
+        statefulProcessor=DiagPairProcessor(ttl_us), outputStructType=PAIRS, outputMode="Append", timeMode="None" if ttl_us is None else "EventTime"
     )
 
 
@@ -126,11 +132,11 @@ def _batches(frames: DataFrame, handle: Callable[[DataFrame, int], None], checkp
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start()
 
 
-def stream_bit_discovery(frames: DataFrame, phases: DataFrame, counts_path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+def stream_bit_discovery(frames: DataFrame, phases: DataFrame, counts_path: str, checkpoint: str, once: bool = True, bin_us: int = CHUNK_US) -> StreamingQuery:
     """Add each batch's bit counts to a table; a batch rewrites its own partition, so a retry counts once."""
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        phase_bit_counts(batch, phases).write.mode("overwrite").parquet(f"{counts_path}/batch={batch_id}")
+        phase_bit_counts(batch, phases, bin_us).write.mode("overwrite").parquet(f"{counts_path}/batch={batch_id}")
 
     return _batches(frames, add, checkpoint, once)
 

@@ -99,22 +99,37 @@ class IsoTpProcessor(StatefulProcessor):
 
 
 class DiagPairProcessor(StatefulProcessor):
+    """Pairs messages in completion order; with a time to live, open requests leave when the watermark has passed it."""
+
+    def __init__(self, ttl_us: int | None = None) -> None:
+        self.ttl_us = ttl_us
+
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getMapState("open", "service int, did int", "ts_us bigint")
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        due = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        for k in [tuple(k) for k, v in self.state.iterator() if v[0] + self.ttl_us < due]:
+            self.state.removeKey(k)
+        yield pd.DataFrame()
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         machine = PendingRequests({tuple(k): v[0] for k, v in self.state.iterator()})
-        before = set(machine.open)
+        before = dict(machine.open)
         out = []
-        for row in _ordered(rows).itertuples(index=False):
+        for row in pd.concat(list(rows), ignore_index=True).sort_values("sequence", kind="stable").itertuples(index=False):
             did = None if pd.isna(row.did) else int(row.did)
             nrc = None if pd.isna(row.nrc) else int(row.nrc)
             latency = machine.push(row.role, int(row.ts_us), int(row.service), did, nrc)
             out.append((*key, row.ts_us, row.sequence, row.role, row.service, row.did, row.nrc, latency))
-        for k in before - set(machine.open):
+        for k in set(before) - set(machine.open):
             self.state.removeKey(k)
         for k, ts in machine.open.items():
-            self.state.updateValue(k, (ts,))
+            if before.get(k) != ts:
+                self.state.updateValue(k, (ts,))
+                if self.ttl_us is not None:
+                    self.handle.registerTimer((ts + self.ttl_us) // 1000 + 1)
         frame = pd.DataFrame(
             out, columns=["session_id", "channel", "request_id", "ts_us", "sequence", "role", "service", "did", "nrc", "latency_ms"]
         )

@@ -113,6 +113,24 @@ def test_did_fifo_equals_queue(spark):
             assert got == sorted((d, at[d, rs], s) for d, rs, s in want), (seed, chunk)
 
 
+def test_did_fifo_with_times_that_step_back(spark):
+    """Some identifiers step back and are read in order, the others keep to chunks; both equal the queue."""
+    rnd = random.Random(44)
+    rows, t = [], 0
+    for seq in range(500):
+        t += rnd.choice([0, 1, 2, 5])
+        did = rnd.randrange(4)
+        late = rnd.choice([0, 0, 9]) if did < 2 else 0
+        rows.append((seq, t - late, "q" if rnd.random() < 0.5 else "a", did))
+    data = [("s", "c", 0x7E4 if k == "q" else 0x7EC, ts, seq, bytes([0x22 if k == "q" else 0x62, 0, did, 1])) for seq, ts, k, did in rows]
+    m = spark.createDataFrame(data, "session_id STRING, iface STRING, arb_id BIGINT, ts_us BIGINT, completion_seq BIGINT, payload BINARY")
+    assert {r["did"] for r in unordered_requests(m, chunk=50).collect()} == {0, 1}
+    at = {rs: ts for rs, ts, k, d in rows if k == "q"}
+    out = pair_did_reads(m, window_us=6, chunk=50, chunk_us=40).collect()
+    got = sorted((int(r["did"], 16), round(r["request_ts"] * 1e6), r["completion_seq"]) for r in out)
+    assert got == sorted((d, at[rs], s) for d, rs, s in brute_fifo(rows, 6)) and len(got) > 50
+
+
 def test_did_goldens(make_frames):
     f = make_frames([
         (1.0, "can0", 0x7E4, "0322435600000000"), (1.012, "can0", 0x7EC, "05624356FFFA0000"), (2.0, "can0", 0x7E4, "0322430000000000"),
