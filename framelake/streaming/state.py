@@ -115,8 +115,10 @@ class DiagPairProcessor(StatefulProcessor):
         yield pd.DataFrame()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        machine = PendingRequests({tuple(k): v[0] for k, v in self.state.iterator()})
-        before = dict(machine.open)
+        before = {tuple(k): v[0] for k, v in self.state.iterator()}
+        # timers run behind the rows of their batch: what the watermark has passed is gone before them
+        passed = None if self.ttl_us is None else timerValues.getCurrentWatermarkInMs() * 1000 - self.ttl_us
+        machine = PendingRequests({k: ts for k, ts in before.items() if passed is None or ts >= passed})
         out = []
         for row in pd.concat(list(rows), ignore_index=True).sort_values("sequence", kind="stable").itertuples(index=False):
             did = None if pd.isna(row.did) else int(row.did)

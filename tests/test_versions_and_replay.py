@@ -50,16 +50,16 @@ def test_replay_restarts_from_its_state(spark, make_frames):
 def test_requests_expire_in_event_time(spark):
     schema = "session_id STRING, iface STRING, arb_id BIGINT, ts_us BIGINT, completion_seq BIGINT, payload BINARY"
     ask, answer = bytes.fromhex("22F190"), bytes.fromhex("62F19001")
-    rows = [("s", "can0", 0x7E0, 0, 1, ask), ("s", "can0", 0x7E0, 99_000_000, 2, bytes.fromhex("3E00")), ("s", "can0", 0x7E8, 100_000_000, 3, answer), ("s", "can0", 0x7E0, 199_000_000, 4, ask), ("s", "can0", 0x7E8, 200_000_000, 5, answer)]
+    rows = [("s", "can0", 0x7E0, 0, 1, ask), ("s", "can0", 0x7E0, 60_000_000, 2, bytes.fromhex("3E00")), ("s", "can0", 0x7E8, 120_000_000, 3, answer), ("s", "can0", 0x7E0, 199_000_000, 4, ask), ("s", "can0", 0x7E8, 200_000_000, 5, answer)]
     endpoints = spark.createDataFrame([(0x7E0, 0x7E8)], "request_id BIGINT, response_id BIGINT")
-    messages = spark.createDataFrame(rows, schema)
+    messages = spark.createDataFrame([(*r[:3], r[3] + 10**15, *r[4:]) for r in rows], schema)
 
-    def latencies(ttl):
-        out = streamed(messages, lambda m: ops.stream_diag_pairs(ops.endpoint_messages(m, endpoints), ttl, "1 second"), slices=4)
+    def latencies(ttl, slices):
+        out = streamed(messages, lambda m: ops.stream_diag_pairs(ops.endpoint_messages(m, endpoints), ttl, "1 second"), slices)
         return {r["sequence"]: r["latency_ms"] for r in out.collect()}
 
-    assert latencies(None) == {1: None, 2: None, 3: 100_000.0, 4: None, 5: 1000.0}
-    assert latencies(10_000_000) == {1: None, 2: None, 3: None, 4: None, 5: 1000.0}
+    assert latencies(None, 1) == {1: None, 2: None, 3: 120_000.0, 4: None, 5: 1000.0}
+    assert latencies(10_000_000, 4) == {1: None, 2: None, 3: None, 4: None, 5: 1000.0}
 
 
 def test_replay_of_nothing(spark, make_frames):
