@@ -40,14 +40,15 @@ class Hashing:
         rng = np.random.default_rng((self.seed, dims))
         return rng.normal(size=(self.tables, self.k, dims + 1)), rng.uniform(0, self.width, (self.tables, self.k))
 
-    def positions(self, vectors: np.ndarray, largest: float, is_query: bool) -> np.ndarray:
+    def positions(self, vectors: np.ndarray, largest: np.ndarray | float, is_query: bool) -> np.ndarray:
         """(rows, tables, k): where each row falls, in widths.
 
-        Vectors are scaled by the largest norm of the index and given one more component that makes all index vectors
-        equally long, so that the nearest by distance is the largest by inner product; queries get their own length.
+        Vectors are scaled by the largest norm of their class and given one more component that makes all index vectors
+        of a class equally long, so that the nearest by distance is the largest by inner product; queries get their own
+        length.
         """
         norms = np.sqrt((vectors**2).sum(axis=1))
-        x = vectors / (norms[:, None] if is_query else largest)
+        x = vectors / (norms[:, None] if is_query else np.reshape(largest, (-1, 1)))
         extra = np.zeros(len(x)) if is_query else np.sqrt(np.maximum(0.0, 1 - (norms / largest) ** 2))
         a, b = self.functions(vectors.shape[1])
         x = np.concatenate([x, extra[:, None]], axis=1)
@@ -103,13 +104,15 @@ def inner(a: str, b: str) -> Column:
 def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", top: int = NEAREST, hashing: Hashing = Hashing()) -> DataFrame:
     """(query_id, rank, vec_id, score): per row for which ``is_query`` holds, its ``top`` rows of largest inner product among those found.
 
-    Every other row is a candidate. Equal vectors are hashed once: of each, the ``top`` + 1 smallest ids can be in a
+    Every other row is a candidate. Norms are cut into classes that halve, each with buckets of its own, so that a long
+    vector does not press the others into one bucket. Queries for which fewer than ``top`` rows (or all, if fewer) are
+    found in the buckets are compared with all rows, in blocks. Equal vectors are hashed once: of each, the ``top`` + 1 smallest ids can be in a
     result, so copies, however many, cost nothing. Buckets of any size are dealt to blocks, and so are the queries that
     visit them. Ties go to the smaller id. Rows without a usable vector or without id take no part; vectors meet only
-    those of their own length; an empty table gives no rows. Repeated ids count once.
+    those of their own length; an empty table gives no rows. Repeated ids count once, with their smallest vector, and are queries if one of them is.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
-    rows = rows.where(F.col("id").isNotNull() & usable("v")).dropDuplicates(["id"])
+    rows = rows.where(F.col("id").isNotNull() & usable("v")).groupBy("id").agg(F.min("v").alias("v"), F.max("q").alias("q"))
     # row_number with a limit is applied before the shuffle too, so a frequent vector sends few rows
     few = rows.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("n") <= top + 1)
     index = stored(few.groupBy("v").agg(F.min("id").alias("rep"), F.sort_array(F.collect_list("id")).alias("ids")))
@@ -117,22 +120,28 @@ def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col:
     spark = df.sparkSession
     if largest is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    norm = F.greatest(F.sqrt(inner("v", "v")), F.lit(largest * 2.0**-60))  # what is shorter is in the last class
+    class_of = F.floor(F.log2(F.lit(largest) / norm)).cast("int")
+    index = stored(index.withColumn("c", class_of))
+    tops = index.groupBy("c").agg(F.max(F.sqrt(inner("v", "v"))).alias("m")).collect()  # a row per class, 61 at most
+    longest = {r["c"]: r["m"] for r in tops}
     asked = stored(rows.where("q").select(F.col("id").alias("query_id"), "v").join(index.select("v", "rep"), "v"))
     wanted = asked.select("rep").distinct().join(index.select("rep", "v"), "rep")
 
     def hash_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for _, part in pdf.groupby(pdf["v"].map(len)):
-                cells = np.floor(hashing.positions(_vectors(part["v"]), largest, False)).astype(np.int64)
+                own = part["c"].to_numpy()
+                cells = np.floor(hashing.positions(_vectors(part["v"]), np.array([longest[c] for c in own]), False)).astype(np.int64)
                 for t in range(hashing.tables):
-                    yield pd.DataFrame({"t": t, "bucket": packed(cells[:, t]), "rep": part["rep"].to_numpy(), "v": part["v"].to_numpy()})
+                    yield pd.DataFrame({"t": own * hashing.tables + t, "bucket": packed(cells[:, t]), "rep": part["rep"].to_numpy(), "v": part["v"].to_numpy()})
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for _, part in pdf.groupby(pdf["v"].map(len)):
                 for at in range(0, len(part), 256):
                     some = part.iloc[at : at + 256]
-                    places = hashing.positions(_vectors(some["v"]), largest, True)
+                    places = hashing.positions(_vectors(some["v"]), 1.0, True)
                     cells = np.floor(places).astype(np.int64)
                     for t in range(hashing.tables):
                         keys, owner = [], []
@@ -145,9 +154,10 @@ def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col:
                             own = np.unique(packed(moved))
                             keys.append(own)
                             owner += [n] * len(own)
-                        yield pd.DataFrame({"t": t, "bucket": np.concatenate(keys), "query": some["rep"].to_numpy()[owner]})
+                        for c in longest:
+                            yield pd.DataFrame({"t": c * hashing.tables + t, "bucket": np.concatenate(keys), "query": some["rep"].to_numpy()[owner]})
 
-    hashed = stored(index.select("rep", "v").mapInPandas(hash_rows, f"t int, bucket long, rep long, v {index.schema['v'].dataType.simpleString()}"))
+    hashed = stored(index.select("rep", "v", "c").mapInPandas(hash_rows, f"t int, bucket long, rep long, v {index.schema['v'].dataType.simpleString()}"))
     sizes = hashed.groupBy("t", "bucket").agg(F.count("*").alias("size"))
     visits = wanted.mapInPandas(probe, "t int, bucket long, query long").join(sizes, ["t", "bucket"])
     visits = stored(visits)
@@ -174,16 +184,34 @@ def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col:
                 found.append(pd.DataFrame({"query": q["query"].to_numpy()[at[0]], "rep": m["rep"].to_numpy()[at[1]]}))
         return pd.concat(found) if found else pd.DataFrame({"query": np.zeros(0, np.int64), "rep": np.zeros(0, np.int64)})
 
-    pairs = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(best, "query long, rep long").distinct()
     there = index.select("rep", "v", "ids")
-    scored = pairs.join(there, "rep").join(wanted.select(F.col("rep").alias("query"), F.col("v").alias("w")), "query")
-    scored = scored.select("query", F.explode("ids").alias("vec_id"), inner("w", "v").alias("score"))
     order = [F.desc("score"), "vec_id"]
-    # top + 1 of each distinct vector are enough for its copies, which each leave themselves out
-    kept = scored.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("n") <= top + 1).drop("n")
-    each = asked.select("query_id", F.col("rep").alias("query")).join(kept, "query").where("vec_id <> query_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
-    return each.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= top)
+
+    def answered(pairs: DataFrame) -> DataFrame:
+        """(query_id, vec_id, score, rank) of the pairs (query, rep) that blocks have found."""
+        scored = pairs.distinct().join(there, "rep").join(wanted.select(F.col("rep").alias("query"), F.col("v").alias("w")), "query")
+        scored = scored.select("query", F.explode("ids").alias("vec_id"), inner("w", "v").alias("score"))
+        # top + 1 of each distinct vector are enough for its copies, which each leave themselves out
+        kept = scored.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("n") <= top + 1).drop("n")
+        each = asked.select("query_id", F.col("rep").alias("query")).join(kept, "query").where("vec_id <> query_id")
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
+        return each.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= top)
+
+    got = stored(answered(left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(best, "query long, rep long")))
+    lengths = rows.groupBy(F.size("v").alias("dims")).agg((F.count("*") - 1).alias("others"))
+    counts = got.groupBy("query_id").agg(F.count("*").alias("n"))
+    missing = asked.withColumn("dims", F.size("v")).join(lengths, "dims").join(counts, "query_id", "left").where(F.coalesce("n", F.lit(0)) < F.least(F.lit(top), "others"))
+    missing = stored(missing.select("query_id", "rep"))
+    again, size = missing.select("rep").distinct().count(), index.count()
+    if not again:
+        return got
+    iblocks, qblocks = -(-size // INDEX_BLOCK), -(-again // QUERY_BLOCK)
+    all_blocks = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = index.select(F.pmod(F.xxhash64("rep"), F.lit(iblocks)).alias("ib"), all_blocks(qblocks).alias("qb"), "rep", "v")
+    lacking = missing.select("rep").distinct().join(wanted, "rep")
+    right = lacking.select(F.pmod(F.xxhash64("rep"), F.lit(qblocks)).alias("qb"), all_blocks(iblocks).alias("ib"), F.col("rep").alias("query"), F.col("v").alias("w"))
+    whole = answered(left.groupBy("ib", "qb").cogroup(right.groupBy("ib", "qb")).applyInPandas(best, "query long, rep long"))
+    return got.join(missing, "query_id", "left_anti").unionByName(whole.join(missing.select("query_id"), "query_id", "left_semi"))
 
 
 def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -181,8 +181,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 #: Keys held by more texts than this are paired in two steps.
 FEW = 16
 #: Turns in which large groups grow before all pairs of what is left are compared, and members that a text meets in each.
-GROW_ROUNDS = 1
+GROW_ROUNDS = 3
 GROW_MEMBERS = 8
+#: Texts of a key from which on another turn follows; like the two above it decides the cost alone.
+GROW_FROM = 256
 #: Shingles are put in order by their frequency in one text of so many, in this many texts at least.
 SAMPLE_STEP = 64
 SAMPLE_TEXTS = 5_000
@@ -345,7 +347,8 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         more = stored(sharing(self_join(rest, members, F.col("x.root") != F.col("y.root")), 0.5).join(pairs, ["da", "db"], "left_anti"))
         new = verified(more)
         pairs, found = pairs.union(more), stored(found.union(new))
-        if new.isEmpty():
+        most = rest.groupBy("h").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        if most < GROW_FROM or new.isEmpty():
             break
     # the rest: each pair comes from its first key in common alone, and only with as many keys as it needs. What is joined
     # shares no mixed key with what is not, so the keys of a text that are left tell all that it has in common

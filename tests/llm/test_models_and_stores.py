@@ -190,3 +190,36 @@ def test_recall_and_ties(spark, scaled):
     few = nearest(df.where("vec_id < 4"), F.col("vec_id") % 20 == 0, hashing=Hashing(k=1, width=50.0)).collect()
     assert sorted(r["vec_id"] for r in few) == [1, 2, 3]
     assert nearest(df.where("vec_id > 9999"), F.lit(True)).count() == 0
+
+
+def _exact(vectors, queries, top=20):
+    out = {}
+    for q in queries:
+        scores = sorted(((-float(np.dot(vectors[q], v)), i) for i, v in enumerate(vectors) if i != q))[:top]
+        out[q] = [i for _, i in scores]
+    return out
+
+
+@pytest.mark.parametrize("n", [2, 10, 21, 1500])
+def test_every_query_gets_its_rows_with_the_default_hashing(spark, n):
+    """Small tables, and one vector a hundred times longer than the others, which would press them into one bucket."""
+    rng = np.random.default_rng(n)
+    vectors = rng.normal(size=(n, 32))
+    vectors /= np.sqrt((vectors**2).sum(axis=1))[:, None]
+    vectors[n // 2] *= 100
+    df = spark.createDataFrame([(i, v.tolist(), "x", 1) for i, v in enumerate(vectors)], "vec_id BIGINT, embedding ARRAY<DOUBLE>, v STRING, c INT")
+    got = {}
+    for r in nearest(df, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+    want = _exact(vectors, range(0, n, 20))
+    assert {q: sorted(r) for q, r in got.items()} == {q: list(range(1, min(20, n - 1) + 1)) for q in want}
+    right = sum(len(set(got[q].values()) & set(want[q])) for q in want)
+    assert right >= 0.9 * sum(map(len, want.values()))
+    if n <= 21:
+        assert {q: [r[k] for k in sorted(r)] for q, r in got.items()} == want
+
+
+def test_repeated_ids_count_once_with_the_smallest_vector(spark):
+    rows = [(0, [1.0, 0.0]), (20, [0.5, 0.5]), (20, [0.25, 9.0]), (3, [1.0, 1.0])]
+    got = nearest(spark.createDataFrame(rows, "vec_id BIGINT, embedding ARRAY<DOUBLE>"), F.col("vec_id") == 0).collect()
+    assert [(r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"])] == [(3, 1.0), (20, 0.25)]
