@@ -18,7 +18,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose id is in ``ids`` (id); rows with a null id stay."""
+    """``docs`` without the rows whose id is in ``ids`` (id).
+
+    Decisions name documents by their id, in every stage: rows that share an id are one document, of which all go or all
+    stay, equal rows included; rows without id are named by nothing and stay.
+    """
     return docs.join(ids.distinct(), docs["doc_id"] == ids["id"], "left_anti").select(*COLUMNS)
 
 
@@ -61,7 +65,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", pack_documents),
 ]
 
-#: Learned scores and hash fingerprints have no SQL twin; tests compare each stage with a brute-force version.
+#: Learned scores and hash fingerprints have no SQL twin; tests compare the operators of the stages with brute-force versions.
 ORACLE_SQL = None
 
 
