@@ -8,8 +8,10 @@ that already holds newer ones.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,7 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 from framelake import schemas
 from framelake.functions.bits import byte_at
 from framelake.functions.services import SERVICES, positive_map, request_of_positive
-from framelake.operators.correlation import candidates_from_counts, phase_bit_counts
+from framelake.operators.correlation import _phase_counts, bits_of_points, candidates_from_counts, piece_bit_counts
 from framelake.operators.decode import CELL_COUNT, bicm_slot
 from framelake.plans.ordered import CHUNK_US
 from framelake.plans.timejoin import asof_backward
@@ -132,18 +134,53 @@ def _batches(frames: DataFrame, handle: Callable[[DataFrame, int], None], checkp
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start()
 
 
+def _generation(phases: DataFrame, path: str) -> int:
+    """The number of these phases in the table; phases that differ from the last ones are stored under a new number."""
+    spark = phases.sparkSession
+    here = phases.select("session_id", "discovery_id", "phase", F.col("lo_us").cast("bigint").alias("lo_us"), F.col("hi_us").cast("bigint").alias("hi_us"))
+    last = -1
+    try:
+        known = spark.read.parquet(f"{path}/phases")
+    except AnalysisException:  # the first start
+        known = None
+    if known is not None:
+        last = known.agg(F.max("generation")).first()[0]
+        last = -1 if last is None else last
+        before = known.where(F.col("generation") == last).select(*here.columns)
+        if before.exceptAll(here).isEmpty() and here.exceptAll(before).isEmpty():
+            return last
+    here.write.mode("overwrite").parquet(f"{path}/phases/generation={last + 1}")
+    return last + 1
+
+
 def stream_bit_discovery(frames: DataFrame, phases: DataFrame, counts_path: str, checkpoint: str, once: bool = True, bin_us: int = CHUNK_US) -> StreamingQuery:
-    """Add each batch's bit counts to a table; a batch rewrites its own partition, so a retry counts once."""
+    """Add each batch's bit counts to a table; a batch rewrites its own partition, so a retry counts once.
+
+    The counts are those of the pieces that the borders of the phases cut the time into, so the table grows with the frames
+    and not with phases that overlap. The phases are stored beside them; a start with other phases leaves earlier batches as they are.
+    """
+    phases = phases.where(F.col("phase").isin("baseline", "event", "after"))
+    generation = _generation(phases, counts_path)
+    stored = frames.sparkSession.read.parquet(f"{counts_path}/phases/generation={generation}")
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        phase_bit_counts(batch, phases, bin_us).write.mode("overwrite").parquet(f"{counts_path}/batch={batch_id}")
+        piece_bit_counts(batch, stored, bin_us).write.mode("overwrite").parquet(f"{counts_path}/counts/generation={generation}/batch={batch_id}")
 
     return _batches(frames, add, checkpoint, once)
 
 
-def discovered_bits(spark: SparkSession, counts_path: str, **limits: float) -> DataFrame:
+def discovered_bits(spark: SparkSession, counts_path: str, bin_us: int = CHUNK_US, **limits: float) -> DataFrame:
     """Candidates of all batches so far."""
-    return candidates_from_counts(spark.read.parquet(counts_path), **limits)
+    counts = spark.read.parquet(f"{counts_path}/counts")
+    # a batch that was tried again after a start with other phases counts with these
+    counts = counts.join(counts.groupBy("batch").agg(F.max("generation").alias("generation")), ["batch", "generation"], "left_semi")
+    used = [r["generation"] for r in counts.select("generation").distinct().collect()]  # one for each change of the phases
+    phases = spark.read.parquet(f"{counts_path}/phases")
+    of = lambda df, g: df.where(F.col("generation") == g).drop("generation", "batch")
+    if len(used) < 2:
+        return bits_of_points(of(counts, used[0]), of(phases, used[0]), bin_us=bin_us, **limits) if used else bits_of_points(counts.drop("generation", "batch"), phases.drop("generation"), bin_us=bin_us, **limits)
+    summed = [_phase_counts(of(counts, g), of(phases, g), bin_us, ["session_id"]) for g in used]
+    return candidates_from_counts(reduce(DataFrame.unionByName, summed), **limits)
 
 
 def check_phase_order(phases: DataFrame) -> DataFrame:
