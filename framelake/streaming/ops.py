@@ -27,6 +27,8 @@ from framelake.sources.candump import frame_columns
 from framelake.streaming.state import CellsProcessor, DiagPairProcessor, IsoTpProcessor
 
 MESSAGES = "session_id string, iface string, arb_id bigint, ts_us bigint, completion_seq bigint, payload binary"
+#: Groups that the keys of the reassembly are dealt to.
+ISOTP_BUCKETS = 512
 PAIRS = (
     "session_id string, channel string, request_id bigint, ts_us bigint, sequence bigint, role string, service int, "
     "did int, nrc int, latency_ms double"
@@ -68,10 +70,16 @@ def stream_distinct_ids(frames: DataFrame) -> DataFrame:
 
 
 def stream_isotp(frames: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """Messages reassembled with sequence check; ``ttl_ms`` drops abandoned messages, which the original keeps."""
-    rows = frames.where("length(data) > 0").select("session_id", "iface", "arb_id", "ts_us", "sequence", "data")
+    """Messages reassembled with sequence check; ``ttl_ms`` drops abandoned messages, which the original keeps.
+
+    Keyed state is asked for once per group and batch, so keys share a fixed number of buckets; a checkpoint keeps that number.
+    """
+    key = ["session_id", "iface", "arb_id"]
+    rows = frames.where("length(data) > 0").select(
+        F.pmod(F.xxhash64(*key), F.lit(ISOTP_BUCKETS)).cast("int").alias("bucket"), F.to_json(F.struct(*key)).alias("key"), *key, "ts_us", "sequence", "data"
+    )
     mode = "None" if ttl_ms is None else "ProcessingTime"
-    return rows.groupBy("session_id", "iface", "arb_id").transformWithStateInPandas(
+    return rows.groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=IsoTpProcessor(ttl_ms), outputStructType=MESSAGES, outputMode="Append", timeMode=mode
     )
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -75,24 +76,35 @@ def _ordered(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
 
 
 class IsoTpProcessor(StatefulProcessor):
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("open", "first_us bigint, length int, expect int, data binary", self.ttl_ms)
+    """Reassembles the keys of one bucket. Open messages are read at once, and only those that changed are written."""
 
     def __init__(self, ttl_ms: int | None = None) -> None:
         self.ttl_ms = ttl_ms
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getMapState("open", "key string", "first_us bigint, length int, expect int, data binary", self.ttl_ms)
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        machine = Reassembler(*self.state.get()) if self.state.exists() else Reassembler()
-        out = []
-        for row in _ordered(rows).itertuples(index=False):
-            done = machine.push(row.ts_us, bytes(row.data))
-            if done is not None:
-                out.append((*key, done[0], row.sequence, done[1]))
-        if machine.first_us is None:
-            self.state.clear()
-        else:
-            self.state.update((machine.first_us, machine.length, machine.expect, machine.data))
-        yield pd.DataFrame(out, columns=["session_id", "iface", "arb_id", "ts_us", "completion_seq", "payload"])
+        batch = _ordered(rows)
+        codes, keys = pd.factorize(batch["key"])
+        order = np.argsort(codes, kind="stable")
+        bounds = np.searchsorted(codes[order], np.arange(len(keys) + 1))
+        columns = {c: batch[c].to_numpy()[order] for c in ("session_id", "iface", "arb_id", "ts_us", "sequence", "data")}
+        before = {k[0]: v for k, v in self.state.iterator()}
+        taken, out = [], []
+        for k, lo, hi in zip(keys, bounds, bounds[1:]):
+            machine = Reassembler(*before[k]) if k in before else Reassembler()
+            for i, ts_us, data in zip(range(lo, hi), columns["ts_us"][lo:hi].tolist(), columns["data"][lo:hi]):
+                done = machine.push(ts_us, bytes(data))
+                if done is not None:
+                    taken.append(i)
+                    out.append(done)
+            if machine.first_us is not None:
+                self.state.updateValue((k,), (machine.first_us, machine.length, machine.expect, machine.data))
+            elif k in before:
+                self.state.removeKey((k,))
+        frame = pd.DataFrame({c: columns[c][taken] for c in ("session_id", "iface", "arb_id")})
+        yield frame.assign(ts_us=[t for t, _ in out], completion_seq=columns["sequence"][taken], payload=[p for _, p in out])
 
     def close(self) -> None:
         pass
