@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from framelake.plans.ordered import CHUNK_US, chunk_of, previous
 from framelake.plans.stats import pearson
 from framelake.plans.timejoin import nearest_within
-from framelake.session import cut_lineage
+from framelake.session import cut_lineage, tasks_for
 
 
 def _slots_of(slots: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -18,7 +18,17 @@ def _slots_of(slots: DataFrame, by: Sequence[str]) -> DataFrame:
     return slots.select(*by, "slot").distinct()
 
 
-def paired_series(cells: DataFrame, slots: DataFrame, tol_us: int = 250_000, chunk_us: int = CHUNK_US, by: Sequence[str] = ("session_id",)) -> DataFrame:
+def _pair_tasks(cells: DataFrame, slots: DataFrame, by: Sequence[str]) -> int:
+    """Tasks for all pairs of a cell sample and a slot of its capture."""
+    samples = cells.groupBy(*by).agg(F.count("*").alias("samples"))
+    others = slots.groupBy(*by).agg(F.countDistinct("slot").alias("slots"), F.count("*").alias("taken"))
+    rows = samples.join(others, [*by]).agg(F.sum(F.col("samples") * F.col("slots") + F.col("taken"))).first()[0] if by else cells.count() * slots.select("slot").distinct().count() + slots.count()
+    return tasks_for(rows or 0)
+
+
+def paired_series(
+    cells: DataFrame, slots: DataFrame, tol_us: int = 250_000, chunk_us: int = CHUNK_US, by: Sequence[str] = ("session_id",), tasks: int | None = None
+) -> DataFrame:
     """Each cell sample with the nearest sample of every slot of its capture.
 
     ``cells`` has (cell, ts_us, sequence, value), ``slots`` (slot, ts_us, sequence, value), both with the capture key
@@ -26,15 +36,17 @@ def paired_series(cells: DataFrame, slots: DataFrame, tol_us: int = 250_000, chu
     """
     samples = cells.select(*by, "cell", "ts_us", "sequence", F.col("value").alias("cell_v"))
     left = samples.join(_slots_of(slots, by), [*by])
+    tasks = _pair_tasks(cells, slots, by) if tasks is None else tasks
     right = slots.select(*by, "slot", "ts_us", "sequence", F.col("value").alias("slot_v"))
-    return nearest_within(left, right, [*by, "slot"], tol_us, ["slot_v"], right_dup="last", chunk_us=chunk_us)
+    return nearest_within(left, right, [*by, "slot"], tol_us, ["slot_v"], right_dup="last", chunk_us=chunk_us, tasks=tasks)
 
 
 def series_pair_score(cells: DataFrame, slots: DataFrame, tol_us: int = 250_000, chunk_us: int = CHUNK_US, by: Sequence[str] = ("session_id",)) -> DataFrame:
     """Score of every (capture, cell, slot): 0.65 delta correlation + 0.25 closeness + 0.10 overlap, rounded to 6 digits."""
     key = [*by, "cell", "slot"]
-    pairs = paired_series(cells, slots, tol_us, chunk_us, by).withColumn("chunk", chunk_of("ts_us", chunk_us))
-    stepped = previous(pairs, key, ["ts_us", "sequence"], ["cell_v", "slot_v"], ["chunk"])
+    tasks = _pair_tasks(cells, slots, by)
+    pairs = paired_series(cells, slots, tol_us, chunk_us, by, tasks).withColumn("chunk", chunk_of("ts_us", chunk_us))
+    stepped = previous(pairs, key, ["ts_us", "sequence"], ["cell_v", "slot_v"], ["chunk"], tasks)
     dc = F.col("cell_v") - F.col("prev.cell_v")
     ds = F.col("slot_v") - F.col("prev.slot_v")
     miss = F.col("cell_v") - F.col("slot_v")
