@@ -106,10 +106,11 @@ def semantic_rows(tables: dict[str, DataFrame]) -> DataFrame:
     )
 
 
-def semantic_diff(left: dict[str, DataFrame], right: dict[str, DataFrame]) -> DataFrame:
-    """Items on one side only, counted with their repetitions, in one pass over both sides."""
-    l = semantic_rows(left).withColumn("side", F.lit(1))
-    r = semantic_rows(right).withColumn("side", F.lit(-1))
+def semantic_diff(left: dict[str, DataFrame] | DataFrame, right: dict[str, DataFrame] | DataFrame) -> DataFrame:
+    """Items on one side only, counted with their repetitions, in one pass over both sides; a side may be its semantic rows."""
+    rows = lambda side: side if isinstance(side, DataFrame) else semantic_rows(side)
+    l = rows(left).withColumn("side", F.lit(1))
+    r = rows(right).withColumn("side", F.lit(-1))
     return l.unionByName(r).groupBy("path", "kind", "body").agg(F.sum("side").alias("balance")).where("balance != 0")
 
 

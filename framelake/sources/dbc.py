@@ -139,12 +139,14 @@ def statements(lines: DataFrame) -> DataFrame:
     The names block runs from NS_ to BS_ and is skipped; a signal belongs to the last message line above it.
     """
     text = F.trim(F.regexp_replace("value", "^﻿", ""))
-    # each line is cut once; what it was cut into travels with it
+    # each line is cut once, in as many tasks as there are cores and not as there are splits of a small input, and what it was
+    # cut into is written: the state lines and the owners below read it several times
     t = F.col("text")
-    cut = cut_lines(lines.where("trim(value) != ''").select("path", "block", "line_no", text.alias("text"))).select(
+    dealt = lines.where("trim(value) != ''").select("path", "block", "line_no", text.alias("text")).repartition("path", "block")
+    cut = cut_lineage(cut_lines(dealt).select(
         "path", "block", "line_no", "text", version_fields().alias("as_version"), message_fields().alias("as_message"), signal_fields().alias("as_signal"),
         value_fields().alias("as_values"), note_fields(False).alias("as_message_note"), note_fields(True).alias("as_signal_note"),
-    )
+    ))
     # state lines of the names block; VERSION lines are read even inside it
     edge = F.when(F.col("as_version").isNotNull(), None).when(t.startswith("NS_"), 1).when(t.startswith("BS_"), 0)
     names = running(cut.withColumn("edge", edge), ["path"], ["line_no"], {"inside": Carry("last", F.col("edge"))}, ["block"])

@@ -147,3 +147,22 @@ def test_isotp_reads_state_once_per_bucket(spark):
     assert len(out) == 50 and calls == ["list", "put"]
     out = pd.concat(p.handleInputRows((0,), batch([("k7", "s", "can0", 7, 200, 200, bytes.fromhex("210708"))]), None))
     assert [(r.arb_id, r.ts_us, r.completion_seq, r.payload) for r in out.itertuples()] == [(7, 100, 200, bytes(range(1, 9)))] and calls[2:] == ["list", "drop"]
+
+
+def test_definition_lines_of_one_split_are_cut_in_many_tasks(spark, monkeypatch):
+    from framelake.sources import dbc
+
+    lines = spark.createDataFrame([(f"p{i}", 0, 1, f"BO_ {i} M{i}: 8 ECU") for i in range(60)], "path STRING, block BIGINT, line_no BIGINT, value STRING").coalesce(1)
+    cuts = []
+
+    def cut(df):
+        cuts.append(df)
+        return session.cut_lineage(df)
+
+    monkeypatch.setattr(dbc, "cut_lineage", cut)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert dbc.definitions(lines)["messages"].count() == 60
+        assert len(partitions_rows(cuts[0])) > 1 and "as_signal" in cuts[0].columns
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
