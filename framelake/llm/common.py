@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,6 +15,8 @@ from pyspark.sql import functions as F
 #: Words of a shingle and the similarity at which texts count as near copies, where an operator has no contract of its own.
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
+#: Edges that one task joins by itself.
+LOCAL_EDGES = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,13 +50,46 @@ def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, roots) of the edges (a, b): the smallest node that each node is joined to by these edges."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ends[: len(a)], ends[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        rx, ry = root[x], root[y]
+        apart = rx != ry
+        if not apart.any():
+            return nodes, nodes[root]
+        x, y, rx, ry = x[apart], y[apart], rx[apart], ry[apart]
+        np.minimum.at(root, np.maximum(rx, ry), np.minimum(rx, ry))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _forests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The edges of a task as links from each node to its root among them."""
+    a = b = np.zeros(0, dtype=np.int64)
+    for pdf in batches:
+        a, b = np.concatenate([a, pdf["a"].to_numpy(np.int64)]), np.concatenate([b, pdf["b"].to_numpy(np.int64)])
+        if len(a) > 2 * LOCAL_EDGES:  # no more is held than a link per node
+            a, b = forest(a, b)
+            a, b = a[a != b], b[a != b]
+    nodes, roots = forest(a, b)
+    yield pd.DataFrame({"a": nodes[nodes != roots], "b": roots[nodes != roots]})
+
+
+def components(edges: DataFrame, max_rounds: int = 60, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """Connected components of ``edges`` (a long, b long): one row (node, root) per node with a link; root is the smallest node.
 
-    Alternates large-star and small-star steps. Each keeps at most one row per edge, so a hub costs as much as its
-    links; minima are pre-aggregated and the joins on a hub can be split by adaptive execution.
+    Each task joins its own edges first, and some hundred thousand are one task's work; from more, large-star and
+    small-star steps alternate. Each keeps at most one row per edge, so a hub costs as much as its links; minima are
+    pre-aggregated and the joins on a hub can be split by adaptive execution.
     """
-    cur = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    ends = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    tasks = max(1, -(-ends.count() // local_edges))
+    cur = stored((ends.coalesce(1) if tasks == 1 else ends.repartition(tasks)).mapInPandas(_forests, "a long, b long"))
+    if tasks == 1:
+        return _labelled(cur)
     state = None
     for _ in range(max_rounds):
         both = cur.union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -68,8 +106,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         state = now
     else:
         raise RuntimeError("components did not settle")
-    nodes = cur.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return nodes.union(cur.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    return _labelled(cur)
+
+
+def _labelled(stars: DataFrame) -> DataFrame:
+    nodes = stars.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return nodes.union(stars.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
 def numbered(df: DataFrame, group: str, order: list[str]) -> DataFrame:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm.common import table
-from framelake.llm.simhash import copy_groups
+from framelake.llm.common import stored, table
+from framelake.llm.simhash import copy_groups, profile
 
 #: Tokens of a sequence.
 CAPACITY = 2048
@@ -99,7 +99,8 @@ def pack(df: DataFrame, id_col: str, tokens_col: str, source_col: str, group_col
     a place. An empty table gives an empty one.
     """
     tokens = F.greatest(F.coalesce(F.col(tokens_col).cast("long"), F.lit(0)), F.lit(0))
-    docs = df.select(F.col(id_col).alias("id"), tokens.alias("_n"), F.col(source_col).cast("string").alias("source"), F.col(group_col).cast("string").alias("_g"))
+    # stored, as the count below and the packing read it: what measures the texts runs once
+    docs = stored(df.select(F.col(id_col).alias("id"), tokens.alias("_n"), F.col(source_col).cast("string").alias("source"), F.col(group_col).cast("string").alias("_g")))
     last = F.greatest(F.ceil(F.col("_n") / capacity), F.lit(1)) - 1
     pieces = docs.select("*", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))).alias("piece"))
     pieces = pieces.select("id", "piece", "source", "_g", F.least(F.lit(capacity).cast("long"), F.col("_n") - F.col("piece") * capacity).alias("n_tokens"))
@@ -135,17 +136,23 @@ def pack(df: DataFrame, id_col: str, tokens_col: str, source_col: str, group_col
     return out.withColumn("id", F.col("id").cast(kind))
 
 
+def _digest() -> Column:
+    return F.md5(F.trim(F.lower(F.coalesce("text", F.lit("")))))
+
+
 def measured(docs: DataFrame) -> DataFrame:
     """(doc_id, source, n, g) of documents: words of the whole text as tokens, and the digest of the text as the group of copies."""
-    text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", "source", F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).alias("n"), F.md5(F.trim(F.lower(text))).alias("g"))
+    return docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).alias("n"), _digest().alias("g"))
 
 
 def grouped(docs: DataFrame) -> DataFrame:
-    """:func:`measured`, with the near-copy group of ``docs`` in place of the digest for rows with an id."""
-    groups = copy_groups(docs).groupBy(F.col("id").alias("_id")).agg(F.min("group").alias("_group"))
-    sized = measured(docs)
-    return sized.join(groups, sized["doc_id"].cast("long") == F.col("_id"), "left").select("doc_id", "source", "n", F.coalesce(F.col("_group").cast("string"), "g").alias("g"))
+    """:func:`measured`, with the near-copy group of ``docs`` in place of the digest for rows with an id; a text is read once for
+    its words and its fingerprint."""
+    whole = F.col("doc_id").cast("long")
+    sized = docs.select("doc_id", "source", whole.alias("_key"), F.when(whole.isNull(), _digest()).alias("g"), profile(F.col("text")).alias("_p"))
+    sized = stored(sized.select("doc_id", "source", "_key", "g", "_p.fp", F.col("_p.words").alias("n")))
+    groups = copy_groups(docs, fps=sized.select(F.col("_key").alias("id"), "fp")).select(F.col("id").alias("_id"), F.col("group").alias("_group"))
+    return sized.join(groups, F.col("_key") == F.col("_id"), "left").select("doc_id", "source", "n", F.coalesce(F.col("_group").cast("string"), "g").alias("g"))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

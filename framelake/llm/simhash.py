@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -20,22 +21,88 @@ TREE_SIZE = 1024
 LEVELS = 5
 
 
+#: Shingles that are hashed at once.
+BLOCK = 1 << 15
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _rotl(x: np.ndarray, r: int) -> np.ndarray:
+    return x << np.uint64(r) | x >> np.uint64(64 - r)
+
+
+def xxh64(data: bytes, starts: np.ndarray, sizes: np.ndarray, seed: int) -> np.ndarray:
+    """XXH64 of the pieces of ``data``; those under 32 bytes, which most shingles are, all at once."""
+    padded = np.frombuffer(data + bytes(8), np.uint8)
+    eight, four = (np.ndarray(len(padded) - 7, kind, padded, strides=(1,)) for kind in ("<u8", "<u4"))
+    h = sizes.astype(np.uint64) + _P5 + np.uint64(seed)
+    at = starts.copy()
+    for lane in range(8, 32, 8):
+        i = np.flatnonzero(sizes >= lane)
+        h[i] = _rotl(h[i] ^ _rotl(eight[at[i]] * _P2, 31) * _P1, 27) * _P1 + _P4
+        at[i] += 8
+    i = np.flatnonzero(sizes & 4)
+    h[i] = _rotl(h[i] ^ four[at[i]].astype(np.uint64) * _P1, 23) * _P2 + _P3
+    at[i] += 4
+    for rest in range(1, 4):
+        i = np.flatnonzero(sizes & 3 >= rest)
+        h[i] = _rotl(h[i] ^ padded[at[i]].astype(np.uint64) * _P5, 11) * _P1
+        at[i] += 1
+    h = (h ^ h >> np.uint64(33)) * _P2
+    h = (h ^ h >> np.uint64(29)) * _P3
+    h ^= h >> np.uint64(32)
+    long = np.flatnonzero(sizes >= 32)
+    h[long] = [xxhash.xxh64_intdigest(data[s : s + n], seed) for s, n in zip(starts[long].tolist(), sizes[long].tolist())]
+    return h
+
+
+def _spans(texts: list[list[bytes]], n_words: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts given by their words, joined: the bytes, where each word begins and stops, and of each shingle the first and the
+    last word and the number of its text."""
+    data = b" ".join([w for words in texts for w in words])
+    lengths = np.fromiter(map(len, chain.from_iterable(texts)), np.int64)
+    ends = np.cumsum(lengths + 1)
+    words = np.array([len(x) for x in texts], dtype=np.int64)
+    many = np.where(words > 0, np.maximum(1, words - n_words + 1), 0)
+    owner = np.repeat(np.arange(len(texts)), many)
+    first = np.repeat(np.cumsum(words) - words - (np.cumsum(many) - many), many) + np.arange(len(owner))
+    return data, ends - lengths - 1, ends - 1, first, first + np.minimum(n_words, words)[owner] - 1, owner
+
+
+def _fingerprints(texts: list[list[bytes]], n_words: int, seed: int) -> np.ndarray:
+    """Fingerprints (unsigned) of texts given by their words."""
+    data, begins, stops, first, last, owner = _spans(texts, n_words)
+    many = np.bincount(owner, minlength=len(texts))
+    total = np.zeros((len(texts), BITS), dtype=np.int64)
+    for at in range(0, len(first), BLOCK):
+        a, own = begins[first[at : at + BLOCK]], owner[at : at + BLOCK]
+        hashes = xxh64(data, a, stops[last[at : at + BLOCK]] - a, seed).astype("<u8", copy=False)
+        # 64 counters of a byte, which hold the bits of up to 255 shingles
+        new = np.ones(len(own), dtype=bool)
+        new[1:] = own[1:] != own[:-1]
+        place = np.arange(len(own))
+        place -= np.maximum.accumulate(np.where(new, place, 0))
+        cuts = np.flatnonzero(place % 255 == 0)
+        counters = np.unpackbits(hashes.view(np.uint8), bitorder="little").view(np.uint64).reshape(-1, BITS // 8)
+        np.add.at(total, own[cuts], np.add.reduceat(counters, cuts, axis=0).view(np.uint8).reshape(-1, BITS).astype(np.int64))
+    return np.packbits(2 * total > many[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+
+
+def word_lists(texts: Iterable[str | None]) -> Iterator[list[list[bytes]]]:
+    """The lower-case words of the texts, some texts at a time."""
+    held, n = [], 0
+    for text in texts:
+        held.append((text or "").encode("utf-8", "replace").lower().split())
+        n += len(held[-1])
+        if n >= BLOCK:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
 def fingerprint(text: str | None, n_words: int = 3, seed: int = 42) -> int:
     """64-bit SimHash over all shingles of the whole text, repeats included; 0 without words."""
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    n = max(1, len(words) - n_words + 1)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    starts = [0, *ends[: n - 1].tolist()]
-    stops = (ends[min(n_words, len(words)) - 1 :] - 1).tolist()
-    digest = xxhash.xxh64_intdigest
-    total = np.zeros(BITS, dtype=np.int64)
-    for at in range(0, n, 65536):
-        hashes = np.array([digest(joined[s:e], seed) for s, e in zip(starts[at : at + 65536], stops[at : at + 65536])], dtype="<u8")
-        total += np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, BITS).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
+    return int(_fingerprints([(text or "").encode("utf-8", "replace").lower().split()], n_words, seed)[0])
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 3) -> DataFrame:
@@ -43,12 +110,22 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            fps = np.array([fingerprint(t, n_words) for t in pdf["t"]], dtype=np.uint64)
+            fps = np.concatenate([np.zeros(0, np.uint64), *[_fingerprints(words, n_words, 42) for words in word_lists(pdf["t"])]])
             yield pd.DataFrame({"id": pdf["id"], "fp": fps.view(np.int64)})
 
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInPandas(run, "id long, fp long")
 
 
+def profile(text: Column) -> Column:
+    """(fp long, words long) of a text: its fingerprint and the number of its words, from one reading."""
+
+    def run(texts: pd.Series) -> pd.DataFrame:
+        got = [(_fingerprints(words, 3, 42).view(np.int64), [len(x) for x in words]) for words in word_lists(texts)]
+        return pd.DataFrame({"fp": np.concatenate([np.zeros(0, np.int64), *[x for x, _ in got]]), "words": [n for _, x in got for n in x]})
+
+    return F.pandas_udf(run, "fp long, words long")(text)
+
+
 class BKTree:
     """Children are keyed by their integer distance to the parent; a search follows the edges within the radius only."""
 
@@ -167,7 +244,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     component_id is the smallest id of the component. Null and empty texts have fingerprint 0 and are linked like any
     other. Null ids keep their row and never name a component (null if all its ids are null); repeated rows stay.
     """
-    fps = stored(fingerprints(df, id_col, text_col, n_words))
+    return linked(stored(fingerprints(df, id_col, text_col, n_words)), radius)
+
+
+def linked(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(id, fp, component_id) per row of ``fps`` (id, fp), see :func:`near_duplicates`."""
     firsts = fps.groupBy("fp").agg(F.min("id").alias("first"))
     comps = components(links(firsts, radius))
     member = firsts.join(comps, firsts["fp"] == comps["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
@@ -185,11 +266,14 @@ GROW_ROUNDS = 3
 GROW_MEMBERS = 8
 #: Texts of a key from which on another turn follows; like the two above it decides the cost alone.
 GROW_FROM = 256
-#: Shingles are put in order by their frequency in one text of so many, in this many texts at least.
-SAMPLE_STEP = 64
+#: Shingles are put in order by their frequency in one text of so many, in this many texts at least. A shingle that the
+#: sample does not show as common is in some 30 texts then, however many there are.
+SAMPLE_STEP = 10
 SAMPLE_TEXTS = 5_000
 #: Common shingles whose frequency is known at most; it decides the order, so the cost, and never the result.
 MOST_COMMON = 300_000
+#: Texts whose keys make one bucket on average, so some ten MB; a bucket is searched for keys of several texts at once.
+BUCKET_TEXTS = 5_000
 
 
 def shingles(text: str | None, n_words: int = SHINGLE_WORDS) -> set[bytes]:
@@ -197,58 +281,119 @@ def shingles(text: str | None, n_words: int = SHINGLE_WORDS) -> set[bytes]:
     return {b" ".join(words[i : i + n_words]) for i in range(max(1, len(words) - n_words + 1))} if words else set()
 
 
-def shingle_hashes(text: str | None, n_words: int = SHINGLE_WORDS) -> np.ndarray:
-    """Sorted distinct hashes of :func:`shingles`."""
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    if not words:
-        return np.zeros(0, dtype=np.int64)
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    n = max(1, len(words) - n_words + 1)
-    starts = [0, *ends[: n - 1].tolist()]
-    stops = (ends[min(n_words, len(words)) - 1 :] - 1).tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[s:e], 7) for s, e in zip(starts, stops)], dtype=np.uint64).view(np.int64))
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Each of ``x`` (unsigned) with all bits depending on all."""
+    x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+
+
+def shingle_sets(texts: list[list[bytes]], n_words: int = SHINGLE_WORDS) -> list[np.ndarray]:
+    """Sorted distinct hashes of the :func:`shingles` of texts given by their words, each made of the hashes of its words."""
+    data, begins, stops, first, last, owner = _spans(texts, n_words)
+    of_word = xxh64(data, begins, stops - begins, 7)
+    total = np.zeros(len(first), dtype=np.uint64)
+    for i in range(n_words):
+        at = first + i
+        total = np.where(at <= last, total * np.uint64(0x9E3779B97F4A7C15) + of_word[np.minimum(at, last)], total)
+    sets = np.split(_mixed(total).view(np.int64), np.cumsum(np.bincount(owner, minlength=len(texts)))[:-1])
+    out = []
+    for x in map(np.sort, sets):
+        new = np.ones(len(x), dtype=bool)
+        new[1:] = x[1:] != x[:-1]
+        out.append(x[new])
+    return out
+
+
+def shingle_hashes(texts: Iterable[str | None]) -> list[np.ndarray]:
+    """The sets of :func:`shingle_sets` of each text; empty without words."""
+    return [x for words in word_lists(texts) for x in shingle_sets(words)]
 
 
 def prefix(hashes: np.ndarray, common: np.ndarray, ranks: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
-    """The first hashes of a text in the order of all texts: what is not common, then by rank.
+    """The first hashes of a text in the order of all texts: what is not common, then by rank, each by hash.
 
     Sets of this similarity have one of these in common, whatever the order is, as long as all texts share it.
     """
-    at = np.minimum(np.searchsorted(common, hashes), max(0, len(common) - 1))
-    rank = np.where(common[at] == hashes, ranks[at], -1) if len(common) else np.full(len(hashes), -1)
     size = len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1
-    return hashes[np.lexsort((hashes, rank))[:size]]
-
-
-def _common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    if not len(common):
+        return hashes[:size]
+    at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+    known = common[at] == hashes
+    rare = hashes[~known][:size]
+    if len(rare) == size:
+        return rare
+    rest = hashes[known]
+    return np.concatenate([rare, rest[np.lexsort((rest, ranks[at[known]]))[: size - len(rare)]]])
+
+
+def _common_shingles(docs: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, ranks) of shingles that occur in several texts of a sample, sorted by hash; a higher rank is more frequent."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [shingle_hashes(t) for t in pdf["t"]]
-            yield pd.DataFrame({"h": np.concatenate([np.zeros(0, dtype=np.int64), *found])})
+            found = shingle_hashes(pdf["t"])
+            h, n = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *found]), return_counts=True)
+            yield pd.DataFrame({"h": h, "n": n})
 
-    step = max(1, min(SAMPLE_STEP, docs.count() // SAMPLE_TEXTS))
+    step = max(1, min(SAMPLE_STEP, n_docs // SAMPLE_TEXTS))
     some = docs.where(F.pmod(F.xxhash64("id", "t"), F.lit(step)) == 0).select("t")
-    counts = some.mapInPandas(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2")
+    counts = some.mapInPandas(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 2")
     top = counts.orderBy(F.desc("n"), "h").limit(MOST_COMMON).toPandas()
     hashes, n = top["h"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
     order = np.argsort(hashes)
     return hashes[order], n[order]
 
 
-def one_key_per_set(keyed: DataFrame) -> DataFrame:
-    """``keyed`` (h, d, place, n, texts) with one key in place of all that are held by the same texts, and ``keys``, their number.
+#: A key of a text as it is shuffled: its hash, the digest of the text, its place among the text's keys, the shingles of the text.
+_KEY = (("h", np.int64), ("d", np.int64), ("place", np.int32), ("n", np.int32))
+_KEY_BYTES = sum(np.dtype(kind).itemsize for _, kind in _KEY)
+
+
+def _packed(keys: dict[str, np.ndarray], at: np.ndarray) -> bytes:
+    return b"".join(keys[c][at].tobytes() for c, _ in _KEY)
+
+
+def _unpacked(blobs: list[bytes]) -> dict[str, np.ndarray]:
+    out: dict[str, list[np.ndarray]] = {c: [] for c, _ in _KEY}
+    for blob in blobs:
+        m, at = len(blob) // _KEY_BYTES, 0
+        for c, kind in _KEY:
+            out[c].append(np.frombuffer(blob, kind, m, at))
+            at += m * np.dtype(kind).itemsize
+    return {c: np.concatenate(parts) for c, parts in out.items()}
+
+
+def repeated_keys(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Rows (h, d, place, n, texts, set0, set1, lead) of the keys of a bucket (``pdf``: keys, binary) that several texts hold.
+
+    texts is the number of texts of a key; set0 and set1 are 128 bits of hashes of which ones they are; lead marks one row per key.
+    """
+    keys = _unpacked(pdf["keys"].tolist())
+    order = np.lexsort((keys["d"], keys["h"]))
+    h, d = keys["h"][order], keys["d"][order]
+    first = np.ones(len(h), dtype=bool)
+    first[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])  # equal texts are one
+    order, h, d = order[first], h[first], d[first]
+    lead = np.ones(len(h), dtype=bool)
+    lead[1:] = h[1:] != h[:-1]
+    starts = np.flatnonzero(lead)
+    texts = np.diff(np.append(starts, len(h)))
+    u = d.view(np.uint64)
+    sets = [np.bitwise_xor.reduceat(_mixed(x), starts).view(np.int64) if len(h) else d for x in (u + np.uint64(1), ~u)]
+    out = {"h": h, "d": d, "place": keys["place"][order], "n": keys["n"][order], "lead": lead}
+    out |= {c: np.repeat(v, texts) for c, v in (("texts", texts), ("set0", sets[0]), ("set1", sets[1]))}
+    return pd.DataFrame(out)[["h", "d", "place", "n", "texts", "set0", "set1", "lead"]][np.repeat(texts > 1, texts)]
+
+
+def one_key_per_set(held: DataFrame) -> DataFrame:
+    """(h, d, place, n, texts, keys): ``held`` (see :func:`repeated_keys`) with one key in place of all that are held by the
+    same texts, and ``keys``, their number.
 
     The first words of copies, and of texts with a passage in common, are many keys of one set of texts, and would pair
     these once for each. Sets are told apart by their size and 128 bits of hashes of their members.
     """
-    member = [F.bit_xor(F.xxhash64("d")), F.bit_xor(F.xxhash64(F.lit(1), F.col("d")))]
-    sets = keyed.groupBy("h").agg(F.count("*").alias("_size"), *[m.alias(f"_set{i}") for i, m in enumerate(member)])
-    kept = sets.groupBy("_size", "_set0", "_set1").agg(F.min("h").alias("h"), F.count("*").alias("keys")).where("_size > 1")
-    return stored(keyed.join(kept.select("h", "keys"), "h"))
+    kept = held.where("lead").groupBy("texts", "set0", "set1").agg(F.min("h").alias("h"), F.count("*").alias("keys")).select("h", "keys")
+    return stored(held.join(kept, "h").select("h", "d", "place", "n", "texts", "keys"))
 
 
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -258,27 +403,36 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     A 64-bit fingerprint tells such texts apart by some ten bits, out of reach of a search by radius. Candidates are found
     exactly: texts of this similarity share one of their first shingles (a fifth of them) in an order common to all, here
     rarest first, so that a passage of many texts is no key unless a text has little else. Equal texts are one node.
-    First, members of a key with few texts are all paired, those of other keys with the smallest and the largest node of
-    the key alone; then for a few turns the nodes outside the largest part of a key with a few of its members; at last all
-    keys pair the nodes that are not joined by then. So a large group of near copies costs no pair for each two. Keys of the same set of texts count as one with their number. Texts are read for pairs that share as many keys as the similarity asks for. Rows without id or words
-    take no part.
+    Keys travel packed, in buckets of their hashes; keys of one text end there, and those of the same set of texts count
+    as one with their number. A pair is a row only where it shares as many keys as the similarity asks for. First,
+    members of a key with few texts are all paired, those of other keys with the smallest and the largest node of the
+    key alone; then for a few turns the nodes outside the largest part of a key with a few of its members; at last all
+    keys pair the nodes that are not joined by then. So a large group of near copies costs no pair for each two. Rows
+    without id or words take no part.
     """
-    docs = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).withColumn("d", F.xxhash64("t"))
-    common, ranks = _common_shingles(docs)
+    spark = df.sparkSession
+    docs = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
+    ids = stored(docs.where(F.col("t").rlike(r"[^\x20\x09-\x0D]")).select("id", F.xxhash64("t").alias("d")))
+    n_docs = ids.count()
+    common, ranks = map(spark.sparkContext.broadcast, _common_shingles(docs, n_docs))
+    buckets = max(1, -(-n_docs // BUCKET_TEXTS))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for at in range(0, len(pdf), 1024):
-                part = pdf.iloc[at : at + 1024]
-                sets = [shingle_hashes(t) for t in part["t"]]
-                keys = [prefix(s, common, ranks, similarity) if len(s) else s for s in sets]
-                many = [len(k) for k in keys]
-                none = np.zeros(0, dtype=np.int64)
-                place = np.concatenate([none, *[np.arange(m) for m in many]])
-                yield pd.DataFrame({
-                    "h": np.concatenate([none, *keys]), "d": np.repeat(part["d"].to_numpy(np.int64), many), "place": place.astype(np.int32),
-                    "n": np.repeat(np.array([len(s) for s in sets], dtype=np.int32), many), "id": np.repeat(part["id"].to_numpy(np.int64), many),
-                })
+            pdf = pdf.drop_duplicates("d")
+            for at in range(0, len(pdf), 4096):
+                part = pdf.iloc[at : at + 4096]
+                sets = shingle_hashes(part["t"])
+                held = [prefix(s, common.value, ranks.value, similarity) if len(s) else s for s in sets]
+                many = [len(k) for k in held]
+                keys = {
+                    "h": np.concatenate(held), "d": np.repeat(part["d"].to_numpy(np.int64), many),
+                    "place": np.concatenate([np.arange(m, dtype=np.int32) for m in many]), "n": np.repeat(np.array([len(s) for s in sets], dtype=np.int32), many),
+                }
+                bucket = (_mixed(keys["h"].view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+                order = np.argsort(bucket, kind="stable")
+                found, starts = np.unique(bucket[order], return_index=True)
+                yield pd.DataFrame({"bucket": found, "keys": [_packed(keys, x) for x in np.split(order, starts[1:])] if len(found) else []})
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -289,11 +443,15 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
                 keep.append(both > 0 and both >= similarity * (len(s) + len(u) - both))
             yield pdf.loc[keep, ["a", "b"]]
 
-    held = stored(docs.mapInPandas(cut, "h long, d long, place int, n int, id long"))
-    nodes = held.where("place = 0").groupBy("d").agg(F.min("id").alias("node"))
-    equal = held.where("place = 0").select("d", "id").join(nodes, "d").where("node <> id").select(F.col("node").alias("a"), F.col("id").alias("b"))
-    repeated = stored(held.groupBy("h").agg(F.count("*").alias("texts")).where("texts > 1"))
-    keyed = one_key_per_set(stored(held.select("h", "d", "place", "n").join(repeated, "h").distinct()))
+    nodes = stored(ids.groupBy("d").agg(F.min("id").alias("node")))
+    equal = ids.join(nodes, "d").where("node <> id").select(F.col("node").alias("a"), F.col("id").alias("b"))
+    cut_up = docs.withColumn("d", F.xxhash64("t")).mapInPandas(cut, "bucket int, keys binary")
+    schema = "h long, d long, place int, n int, texts long, set0 long, set1 long, lead boolean"
+    keyed = one_key_per_set(stored(cut_up.groupBy("bucket").applyInPandas(repeated_keys, schema)))
+    few, many = F.col("texts") <= FEW, F.col("texts") > FEW
+    of_text = keyed.groupBy("d").agg(F.array_sort(F.collect_list(F.struct("h", "keys", few.alias("few")))).alias("_k"))
+    arrays = of_text.select("d", F.transform("_k", lambda k: k["h"]).alias("hs"), F.transform("_k", lambda k: k["keys"]).alias("ws"), F.transform(F.filter("_k", lambda k: k["few"]), lambda k: k["h"]).alias("fs"))
+    keyed = stored(keyed.join(arrays, "d"))
 
     # what both have left after a common key bounds the common shingles; the bound holds for each common key
     least = similarity * (F.col("x.n") + F.col("y.n")) - 1e-6
@@ -302,76 +460,77 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     # and so do the keys in common with the longer rest behind the keys
     after = F.ceil(similarity * F.greatest("x.n", "y.n") - 1e-9) - 1
     needed = least / (1 + similarity) - after
+    shared = F.array_intersect("x.hs", "y.hs")
+    weight = F.aggregate(shared, F.lit(0).cast("long"), lambda a, h: a + F.element_at("x.ws", F.array_position("x.hs", h).cast("int")))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """(a, b) of the pairs (da, db) that are similar enough, by digest; only one text of each digest is read."""
-        ends = pairs.select(F.explode(F.array(F.struct(F.col("da").alias("d"), "da", "db"), F.struct(F.col("db").alias("d"), "da", "db"))).alias("e")).select("e.*")
-        placed = ends.join(nodes, "d").withColumnRenamed("node", "id")
-        sides = placed.join(docs, ["d", "id"]).groupBy("da", "db").agg(
-            F.max(F.when(F.col("d") == F.col("da"), F.col("t"))).alias("ta"), F.max(F.when(F.col("d") == F.col("db"), F.col("t"))).alias("tb")
-        )
-        return stored(sides.select(F.col("da").alias("a"), F.col("db").alias("b"), "ta", "tb").mapInPandas(check, "a long, b long"))
+        wanted = pairs.select(F.explode(F.array("da", "db")).alias("d")).distinct().join(nodes, "d").withColumnRenamed("node", "id")
+        texts = wanted.join(docs, "id").where(F.xxhash64("t") == F.col("d")).groupBy("d").agg(F.first("t").alias("t"))
+        a, b = texts.select(F.col("d").alias("da"), F.col("t").alias("ta")), texts.select(F.col("d").alias("db"), F.col("t").alias("tb"))
+        both = pairs.join(a, "da").join(b, "db").select(F.col("da").alias("a"), F.col("db").alias("b"), "ta", "tb")
+        return stored(both.mapInPandas(check, "a long, b long"))
 
     def self_join(left: DataFrame, right: DataFrame, when: Column) -> DataFrame:
-        """(da, db, needed, keys) once per set of keys in common."""
-        both = left.alias("x").join(right.alias("y"), (F.col("x.h") == F.col("y.h")) & fits & when)
-        return both.select(F.least("x.d", "y.d").alias("da"), F.greatest("x.d", "y.d").alias("db"), needed.alias("needed"), "x.keys")
-
-    def sharing(keys: DataFrame, part: float) -> DataFrame:
-        counts = keys.groupBy("da", "db").agg(F.sum("keys").alias("shared"), F.first("needed").alias("needed"))
-        return counts.where(F.col("shared") >= part * F.col("needed")).select("da", "db")
-
-    few, many = keyed.where(F.col("texts") <= FEW), keyed.where(F.col("texts") > FEW)
-    place = F.struct("d", "place", "n")
-    ends_ = many.groupBy("h").agg(F.min(place).alias("low"), F.max(place).alias("high")).select("h", F.explode(F.array("low", "high")).alias("e")).select("h", "e.*")
-    # keys of many texts are counted in part here: this only joins most of a large group, what it leaves out is found below
-    keys = self_join(few, few, F.col("x.d") < F.col("y.d")).union(self_join(many, ends_, F.col("x.d") != F.col("y.d")))
-    pairs = stored(sharing(keys, 0.5))
+        """(da, db) of rows of one key that share as many keys as they need."""
+        both = left.alias("x").join(right.alias("y"), (F.col("x.h") == F.col("y.h")) & fits & when & (weight >= needed))
+        return both.select(F.least("x.d", "y.d").alias("da"), F.greatest("x.d", "y.d").alias("db"))
+
+    place = F.struct("d", "place", "n", "hs", "ws")
+    ends_ = keyed.where(many).groupBy("h").agg(F.min(place).alias("low"), F.max(place).alias("high")).select("h", F.explode(F.array("low", "high")).alias("e")).select("h", "e.*")
+    # a pair of keys of few texts comes from the first of them; keys of many texts are paired in part here: this only
+    # joins most of a large group, what it leaves out is found below
+    first_few = (F.col("x.d") < F.col("y.d")) & (F.array_min(F.array_intersect("x.fs", "y.fs")) == F.col("x.h"))
+    pairs = stored(self_join(keyed.where(few), keyed.where(few), first_few).union(self_join(keyed.where(many), ends_, F.col("x.d") != F.col("y.d"))).distinct())
     found = verified(pairs)
 
     def mixed_keys(links: DataFrame) -> DataFrame:
-        """Members of the keys whose texts are not all joined by ``links``, with their root."""
+        """Members of the keys whose texts are not all joined by ``links``, with their root; keys of few texts have been paired."""
         root = components(links)
-        placed = stored(keyed.join(root, keyed["d"] == root["node"], "left").select("h", "d", "place", "n", "keys", F.coalesce("root", "d").alias("root")))
+        placed = stored(keyed.where(many).join(root, keyed["d"] == root["node"], "left").select("h", "d", "place", "n", "hs", "ws", F.coalesce("root", "d").alias("root")))
         mixed = placed.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h")
-        return placed.join(mixed, "h", "left_semi")
+        return stored(placed.join(mixed, "h", "left_semi"))
 
     # large groups grow around their largest part: each text outside it meets a few of its members, chosen by hashes so that
     # they are the same for most keys
+    rest = mixed_keys(found)
     for turn in range(GROW_ROUNDS):
-        rest = stored(mixed_keys(found))
+        most = rest.groupBy("h").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        if most < GROW_FROM:
+            break
         chosen = [F.min_by(place, F.xxhash64(F.lit(turn * GROW_MEMBERS + i), F.col("d"))) for i in range(GROW_MEMBERS)]
         parts = rest.groupBy("h", "root").agg(F.count("*").alias("members"), F.array_distinct(F.array(*chosen)).alias("some"))
         largest = parts.groupBy("h").agg(F.max(F.struct("members", "root", "some")).alias("p"))
         members = largest.select("h", F.col("p.root").alias("root"), F.explode("p.some").alias("e")).select("h", "root", "e.*")
-        more = stored(sharing(self_join(rest, members, F.col("x.root") != F.col("y.root")), 0.5).join(pairs, ["da", "db"], "left_anti"))
+        more = self_join(rest, members, F.col("x.root") != F.col("y.root")).distinct()
+        more = stored(more.join(pairs, ["da", "db"], "left_anti"))
         new = verified(more)
-        pairs, found = pairs.union(more), stored(found.union(new))
-        most = rest.groupBy("h").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-        if most < GROW_FROM or new.isEmpty():
+        if new.isEmpty():
+            pairs = pairs.union(more)
             break
-    # the rest: each pair comes from its first key in common alone, and only with as many keys as it needs. What is joined
-    # shares no mixed key with what is not, so the keys of a text that are left tell all that it has in common
-    rest = mixed_keys(found)
-    held_keys = rest.groupBy("d").agg(F.array_sort(F.collect_list(F.struct("h", "keys"))).alias("_k"))
-    arrays = held_keys.select("d", F.transform("_k", lambda k: k["h"]).alias("hs"), F.transform("_k", lambda k: k["keys"]).alias("ws"))
-    rest = stored(rest.join(arrays, "d"))
-    common_keys = F.array_intersect("x.hs", "y.hs")
-    weight = F.aggregate(common_keys, F.lit(0).cast("long"), lambda a, h: a + F.element_at("x.ws", F.array_position("x.hs", h).cast("int")))
-    first_of = (F.array_min(common_keys) == F.col("x.h")) & (weight >= needed)
-    apart = (F.col("x.d") < F.col("y.d")) & (F.col("x.root") != F.col("y.root"))
-    more = self_join(rest, rest, apart & first_of).select("da", "db")
+        pairs, found = pairs.union(more), stored(found.union(new))
+        rest = mixed_keys(found)
+    # the rest: each pair comes from its first key of many texts alone. What is joined shares no mixed key with what is not, so
+    # the first of their common keys that is mixed is one that both have here
+    mixed = rest.groupBy("d").agg(F.sort_array(F.collect_list("h")).alias("ms"))
+    rest = stored(rest.join(mixed, "d"))
+    apart = (F.col("x.d") < F.col("y.d")) & (F.col("x.root") != F.col("y.root")) & (F.array_min(F.array_intersect("x.ms", "y.ms")) == F.col("x.h"))
+    more = self_join(rest, rest, apart)
     found = found.union(verified(stored(more.join(pairs, ["da", "db"], "left_anti"))))
     a, b = nodes.select(F.col("d").alias("a"), F.col("node").alias("na")), nodes.select(F.col("d").alias("b"), F.col("node").alias("nb"))
     return found.join(a, "a").join(b, "b").where("na <> nb").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).union(equal)
 
 
-def copy_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, group): the smallest id that a row is linked to, by fingerprints (as in :func:`near_duplicates`) or as a near copy."""
-    same = near_duplicates(df, id_col, text_col).where("id is not null").select("id", "component_id").distinct()
-    near = stored(near_copies(df, id_col, text_col))
-    linked = components(near.union(same.where("id <> component_id").select(F.col("component_id").alias("a"), F.col("id").alias("b"))))
-    return same.select("id").distinct().join(linked, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("group"))
+def copy_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fps: DataFrame | None = None) -> DataFrame:
+    """(id, group): the smallest id that a row is linked to, by fingerprints (as in :func:`near_duplicates`) or as a near copy.
+
+    ``fps`` (id, fp) are the fingerprints of the rows, where they are known.
+    """
+    same = linked(stored(fingerprints(df, id_col, text_col)) if fps is None else fps)
+    same = stored(same.where("id is not null").select("id", "component_id").distinct())
+    near = near_copies(df, id_col, text_col)
+    root = components(near.union(same.where("id <> component_id").select(F.col("component_id").alias("a"), F.col("id").alias("b"))))
+    return same.select("id").distinct().join(root, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("group"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
