@@ -264,14 +264,18 @@ FEW = 16
 #: Turns in which large groups grow before all pairs of what is left are compared, and members that a text meets in each.
 GROW_ROUNDS = 3
 GROW_MEMBERS = 8
-#: Texts of a key from which on another turn follows; like the two above it decides the cost alone.
+#: Texts of a key from which on another turn follows, and the share of the rows that the last turn may have left for it; like
+#: the two above they decide the cost alone.
 GROW_FROM = 256
+GROW_LEFT = 0.9
 #: Shingles are put in order by their frequency in one text of so many, in this many texts at least. A shingle that the
 #: sample does not show as common is in some 30 texts then, however many there are.
 SAMPLE_STEP = 10
 SAMPLE_TEXTS = 5_000
 #: Common shingles whose frequency is known at most; it decides the order, so the cost, and never the result.
 MOST_COMMON = 300_000
+#: Longs of the bitmap that tells which texts are read again.
+SIFT_WORDS = 1 << 18
 #: Texts whose keys make one bucket on average, so some ten MB; a bucket is searched for keys of several texts at once.
 BUCKET_TEXTS = 5_000
 
@@ -396,6 +400,18 @@ def one_key_per_set(held: DataFrame) -> DataFrame:
     return stored(held.join(kept, "h").select("h", "d", "place", "n", "texts", "keys"))
 
 
+def sifted(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``docs`` without most of the rows whose id is not among those of ``wanted``, so that their texts are not shuffled.
+
+    A row stays if the bit of its id is set in a bitmap of some 32 bits per wanted id, at most ``SIFT_WORDS`` longs; that is
+    what is broadcast, however many ids there are.
+    """
+    words = max(1, min(wanted.count() // 2, SIFT_WORDS))
+    word, bit = F.pmod(F.xxhash64("id"), F.lit(words)), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(64)).cast("int"))
+    bits = wanted.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    return docs.withColumn("_word", word).join(F.broadcast(bits), "_word").where(F.col("_bits").bitwiseAND(bit) != 0).drop("_word", "_bits")
+
+
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(a, b): verified links that join the same texts as all pairs whose sets of five-word shingles have a similarity of
     ``similarity`` or more.
@@ -451,7 +467,8 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     few, many = F.col("texts") <= FEW, F.col("texts") > FEW
     of_text = keyed.groupBy("d").agg(F.array_sort(F.collect_list(F.struct("h", "keys", few.alias("few")))).alias("_k"))
     arrays = of_text.select("d", F.transform("_k", lambda k: k["h"]).alias("hs"), F.transform("_k", lambda k: k["keys"]).alias("ws"), F.transform(F.filter("_k", lambda k: k["few"]), lambda k: k["h"]).alias("fs"))
-    keyed = stored(keyed.join(arrays, "d"))
+    total = F.aggregate("ws", F.lit(0).cast("long"), lambda a, w: a + w)
+    keyed = stored(keyed.join(arrays.withColumn("total", total), "d"))
 
     # what both have left after a common key bounds the common shingles; the bound holds for each common key
     least = similarity * (F.col("x.n") + F.col("y.n")) - 1e-6
@@ -465,18 +482,18 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     def verified(pairs: DataFrame) -> DataFrame:
         """(a, b) of the pairs (da, db) that are similar enough, by digest; only one text of each digest is read."""
-        wanted = pairs.select(F.explode(F.array("da", "db")).alias("d")).distinct().join(nodes, "d").withColumnRenamed("node", "id")
-        texts = wanted.join(docs, "id").where(F.xxhash64("t") == F.col("d")).groupBy("d").agg(F.first("t").alias("t"))
+        wanted = stored(pairs.select(F.explode(F.array("da", "db")).alias("d")).distinct().join(nodes, "d").withColumnRenamed("node", "id"))
+        texts = sifted(docs, wanted).join(wanted, "id").where(F.xxhash64("t") == F.col("d")).groupBy("d").agg(F.first("t").alias("t"))
         a, b = texts.select(F.col("d").alias("da"), F.col("t").alias("ta")), texts.select(F.col("d").alias("db"), F.col("t").alias("tb"))
         both = pairs.join(a, "da").join(b, "db").select(F.col("da").alias("a"), F.col("db").alias("b"), "ta", "tb")
         return stored(both.mapInPandas(check, "a long, b long"))
 
     def self_join(left: DataFrame, right: DataFrame, when: Column) -> DataFrame:
         """(da, db) of rows of one key that share as many keys as they need."""
-        both = left.alias("x").join(right.alias("y"), (F.col("x.h") == F.col("y.h")) & fits & when & (weight >= needed))
+        both = left.alias("x").join(right.alias("y"), (F.col("x.h") == F.col("y.h")) & fits & (F.least("x.total", "y.total") >= needed) & when & (weight >= needed))
         return both.select(F.least("x.d", "y.d").alias("da"), F.greatest("x.d", "y.d").alias("db"))
 
-    place = F.struct("d", "place", "n", "hs", "ws")
+    place = F.struct("d", "place", "n", "total", "hs", "ws")
     ends_ = keyed.where(many).groupBy("h").agg(F.min(place).alias("low"), F.max(place).alias("high")).select("h", F.explode(F.array("low", "high")).alias("e")).select("h", "e.*")
     # a pair of keys of few texts comes from the first of them; keys of many texts are paired in part here: this only
     # joins most of a large group, what it leaves out is found below
@@ -487,15 +504,15 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     def mixed_keys(links: DataFrame) -> DataFrame:
         """Members of the keys whose texts are not all joined by ``links``, with their root; keys of few texts have been paired."""
         root = components(links)
-        placed = stored(keyed.where(many).join(root, keyed["d"] == root["node"], "left").select("h", "d", "place", "n", "hs", "ws", F.coalesce("root", "d").alias("root")))
+        placed = stored(keyed.where(many).join(root, keyed["d"] == root["node"], "left").select("h", "d", "place", "n", "total", "hs", "ws", F.coalesce("root", "d").alias("root")))
         mixed = placed.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h")
         return stored(placed.join(mixed, "h", "left_semi"))
 
     # large groups grow around their largest part: each text outside it meets a few of its members, chosen by hashes so that
     # they are the same for most keys
     rest = mixed_keys(found)
+    left, most = rest.agg(F.count("*")).first()[0], rest.groupBy("h").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     for turn in range(GROW_ROUNDS):
-        most = rest.groupBy("h").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
         if most < GROW_FROM:
             break
         chosen = [F.min_by(place, F.xxhash64(F.lit(turn * GROW_MEMBERS + i), F.col("d"))) for i in range(GROW_MEMBERS)]
@@ -504,12 +521,11 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         members = largest.select("h", F.col("p.root").alias("root"), F.explode("p.some").alias("e")).select("h", "root", "e.*")
         more = self_join(rest, members, F.col("x.root") != F.col("y.root")).distinct()
         more = stored(more.join(pairs, ["da", "db"], "left_anti"))
-        new = verified(more)
-        if new.isEmpty():
-            pairs = pairs.union(more)
+        pairs, found = pairs.union(more), stored(found.union(verified(more)))
+        rest, before = mixed_keys(found), left
+        left, most = rest.agg(F.count("*")).first()[0], rest.groupBy("h").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        if left > GROW_LEFT * before:
             break
-        pairs, found = pairs.union(more), stored(found.union(new))
-        rest = mixed_keys(found)
     # the rest: each pair comes from its first key of many texts alone. What is joined shares no mixed key with what is not, so
     # the first of their common keys that is mixed is one that both have here
     mixed = rest.groupBy("d").agg(F.sort_array(F.collect_list("h")).alias("ms"))
