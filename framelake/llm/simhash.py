@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -23,6 +23,8 @@ LEVELS = 5
 
 #: Shingles that are hashed at once.
 BLOCK = 1 << 15
+#: Bytes of texts that are cut into words at once.
+BLOCK_BYTES = 1 << 18
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
 
@@ -55,27 +57,58 @@ def xxh64(data: bytes, starts: np.ndarray, sizes: np.ndarray, seed: int) -> np.n
     return h
 
 
-def _spans(texts: list[list[bytes]], n_words: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Texts given by their words, joined: the bytes, where each word begins and stops, and of each shingle the first and the
-    last word and the number of its text."""
-    data = b" ".join([w for words in texts for w in words])
-    lengths = np.fromiter(map(len, chain.from_iterable(texts)), np.int64)
-    ends = np.cumsum(lengths + 1)
-    words = np.array([len(x) for x in texts], dtype=np.int64)
-    many = np.where(words > 0, np.maximum(1, words - n_words + 1), 0)
-    owner = np.repeat(np.arange(len(texts)), many)
-    first = np.repeat(np.cumsum(words) - words - (np.cumsum(many) - many), many) + np.arange(len(owner))
-    return data, ends - lengths - 1, ends - 1, first, first + np.minimum(n_words, words)[owner] - 1, owner
+class Words(NamedTuple):
+    """The words of some texts: the bytes, each word with one blank behind it; where each word begins and stops; the words of each text."""
+
+    data: bytes
+    begins: np.ndarray
+    stops: np.ndarray
+    many: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[bytes]) -> Words:
+        joined = np.frombuffer(b" ".join([*texts, b""]).lower(), np.uint8)
+        blank = (joined == 32) | (joined - np.uint8(9) <= 4)
+        stop = blank.copy()
+        stop[1:] &= ~blank[:-1]
+        stop[:1] = False
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+        many = np.diff(np.searchsorted(np.flatnonzero(stop), ends), prepend=0)
+        kept = ~blank | stop
+        data = joined[kept]
+        stops = np.flatnonzero(stop[kept])
+        data[stops] = 32
+        return cls(data.tobytes(), np.concatenate([np.zeros(min(1, len(stops)), np.int64), stops[:-1] + 1]), stops, many)
+
+    def spans(self, n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each shingle the first and the last word and the number of its text."""
+        many = np.where(self.many > 0, np.maximum(1, self.many - n_words + 1), 0)
+        owner = np.repeat(np.arange(len(many)), many)
+        first = np.repeat(np.cumsum(self.many) - self.many - (np.cumsum(many) - many), many) + np.arange(len(owner))
+        return first, first + np.minimum(n_words, self.many)[owner] - 1, owner
+
+
+def word_blocks(texts: Iterable[str | None]) -> Iterator[Words]:
+    """The lower-case words of the texts, some texts at a time."""
+    held, n = [], 0
+    for text in texts:
+        held.append((text or "").encode("utf-8", "replace"))
+        n += len(held[-1])
+        if n >= BLOCK_BYTES:
+            yield Words.of(held)
+            held, n = [], 0
+    if held:
+        yield Words.of(held)
 
 
-def _fingerprints(texts: list[list[bytes]], n_words: int, seed: int) -> np.ndarray:
+def _fingerprints(words: Words, n_words: int, seed: int) -> np.ndarray:
     """Fingerprints (unsigned) of texts given by their words."""
-    data, begins, stops, first, last, owner = _spans(texts, n_words)
-    many = np.bincount(owner, minlength=len(texts))
-    total = np.zeros((len(texts), BITS), dtype=np.int64)
+    first, last, owner = words.spans(n_words)
+    many = np.bincount(owner, minlength=len(words.many))
+    total = np.zeros((len(words.many), BITS), dtype=np.int64)
     for at in range(0, len(first), BLOCK):
-        a, own = begins[first[at : at + BLOCK]], owner[at : at + BLOCK]
-        hashes = xxh64(data, a, stops[last[at : at + BLOCK]] - a, seed).astype("<u8", copy=False)
+        a, own = words.begins[first[at : at + BLOCK]], owner[at : at + BLOCK]
+        hashes = xxh64(words.data, a, words.stops[last[at : at + BLOCK]] - a, seed).astype("<u8", copy=False)
         # 64 counters of a byte, which hold the bits of up to 255 shingles
         new = np.ones(len(own), dtype=bool)
         new[1:] = own[1:] != own[:-1]
@@ -87,22 +120,9 @@ def _fingerprints(texts: list[list[bytes]], n_words: int, seed: int) -> np.ndarr
     return np.packbits(2 * total > many[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
 
 
-def word_lists(texts: Iterable[str | None]) -> Iterator[list[list[bytes]]]:
-    """The lower-case words of the texts, some texts at a time."""
-    held, n = [], 0
-    for text in texts:
-        held.append((text or "").encode("utf-8", "replace").lower().split())
-        n += len(held[-1])
-        if n >= BLOCK:
-            yield held
-            held, n = [], 0
-    if held:
-        yield held
-
-
 def fingerprint(text: str | None, n_words: int = 3, seed: int = 42) -> int:
     """64-bit SimHash over all shingles of the whole text, repeats included; 0 without words."""
-    return int(_fingerprints([(text or "").encode("utf-8", "replace").lower().split()], n_words, seed)[0])
+    return int(_fingerprints(next(word_blocks([text])), n_words, seed)[0])
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 3) -> DataFrame:
@@ -110,7 +130,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            fps = np.concatenate([np.zeros(0, np.uint64), *[_fingerprints(words, n_words, 42) for words in word_lists(pdf["t"])]])
+            fps = np.concatenate([np.zeros(0, np.uint64), *[_fingerprints(words, n_words, 42) for words in word_blocks(pdf["t"])]])
             yield pd.DataFrame({"id": pdf["id"], "fp": fps.view(np.int64)})
 
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInPandas(run, "id long, fp long")
@@ -120,8 +140,8 @@ def profile(text: Column) -> Column:
     """(fp long, words long) of a text: its fingerprint and the number of its words, from one reading."""
 
     def run(texts: pd.Series) -> pd.DataFrame:
-        got = [(_fingerprints(words, 3, 42).view(np.int64), [len(x) for x in words]) for words in word_lists(texts)]
-        return pd.DataFrame({"fp": np.concatenate([np.zeros(0, np.int64), *[x for x, _ in got]]), "words": [n for _, x in got for n in x]})
+        got = [(_fingerprints(words, 3, 42).view(np.int64), words.many) for words in word_blocks(texts)]
+        return pd.DataFrame({c: np.concatenate([np.zeros(0, np.int64), *[x[k] for x in got]]) for k, c in enumerate(("fp", "words"))})
 
     return F.pandas_udf(run, "fp long, words long")(text)
 
@@ -291,15 +311,16 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
 
 
-def shingle_sets(texts: list[list[bytes]], n_words: int = SHINGLE_WORDS) -> list[np.ndarray]:
+def shingle_sets(texts: Words | list[list[bytes]], n_words: int = SHINGLE_WORDS) -> list[np.ndarray]:
     """Sorted distinct hashes of the :func:`shingles` of texts given by their words, each made of the hashes of its words."""
-    data, begins, stops, first, last, owner = _spans(texts, n_words)
-    of_word = xxh64(data, begins, stops - begins, 7)
+    words = texts if isinstance(texts, Words) else Words.of([b" ".join(x) for x in texts])
+    first, last, owner = words.spans(n_words)
+    of_word = xxh64(words.data, words.begins, words.stops - words.begins, 7)
     total = np.zeros(len(first), dtype=np.uint64)
     for i in range(n_words):
         at = first + i
         total = np.where(at <= last, total * np.uint64(0x9E3779B97F4A7C15) + of_word[np.minimum(at, last)], total)
-    sets = np.split(_mixed(total).view(np.int64), np.cumsum(np.bincount(owner, minlength=len(texts)))[:-1])
+    sets = np.split(_mixed(total).view(np.int64), np.cumsum(np.bincount(owner, minlength=len(words.many)))[:-1])
     out = []
     for x in map(np.sort, sets):
         new = np.ones(len(x), dtype=bool)
@@ -310,7 +331,7 @@ def shingle_sets(texts: list[list[bytes]], n_words: int = SHINGLE_WORDS) -> list
 
 def shingle_hashes(texts: Iterable[str | None]) -> list[np.ndarray]:
     """The sets of :func:`shingle_sets` of each text; empty without words."""
-    return [x for words in word_lists(texts) for x in shingle_sets(words)]
+    return [x for words in word_blocks(texts) for x in shingle_sets(words)]
 
 
 def prefix(hashes: np.ndarray, common: np.ndarray, ranks: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
@@ -389,15 +410,43 @@ def repeated_keys(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out)[["h", "d", "place", "n", "texts", "set0", "set1", "lead"]][np.repeat(texts > 1, texts)]
 
 
+def needed_keys(x: np.ndarray, y: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """Keys that texts of ``x`` and ``y`` shingles share at least: the shingles in common without the longer rest behind the keys."""
+    return np.ceil((similarity * (x + y) - 1e-6) / (1 + similarity) - np.ceil(similarity * np.maximum(x, y) - 1e-9) + 1).astype(np.int64)
+
+
+def paired_keys(held: pd.DataFrame, similarity: float = SIMILARITY) -> pd.DataFrame:
+    """Rows (a, b, w, needed) of the pairs of texts (a < b) that share keys of a bucket: how many, and how many they need in all.
+
+    ``held`` has the rows of the keys, see :func:`repeated_keys`. What both have left after a common key bounds the common
+    shingles; a pair that one of its keys rules out by that is left out there.
+    """
+    h, d, place, n = (held[c].to_numpy(np.int64) for c in ("h", "d", "place", "n"))
+    found = []
+    for step in range(1, int(held["texts"].max()) if len(held) else 1):
+        i = np.flatnonzero(h[step:] == h[:-step])
+        j = i + step
+        bound = np.minimum(place[i], place[j]) + np.minimum(n[i] - place[i], n[j] - place[j])
+        fits = bound * (1 + similarity) >= similarity * (n[i] + n[j]) - 1e-6
+        found.append((i[fits], j[fits]))
+    i, j = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+    order = np.lexsort((d[j], d[i]))
+    i, j = i[order], j[order]
+    new = np.ones(len(i), dtype=bool)
+    new[1:] = (d[i[1:]] != d[i[:-1]]) | (d[j[1:]] != d[j[:-1]])
+    w = np.diff(np.append(np.flatnonzero(new), len(i)))
+    i, j = i[new], j[new]
+    return pd.DataFrame({"a": d[i], "b": d[j], "w": w, "needed": needed_keys(n[i], n[j], similarity)})
+
+
 def one_key_per_set(held: DataFrame) -> DataFrame:
-    """(h, d, place, n, texts, keys): ``held`` (see :func:`repeated_keys`) with one key in place of all that are held by the
-    same texts, and ``keys``, their number.
+    """(h, d, place, n): ``held`` (see :func:`repeated_keys`) with one key in place of all that are held by the same texts.
 
     The first words of copies, and of texts with a passage in common, are many keys of one set of texts, and would pair
     these once for each. Sets are told apart by their size and 128 bits of hashes of their members.
     """
-    kept = held.where("lead").groupBy("texts", "set0", "set1").agg(F.min("h").alias("h"), F.count("*").alias("keys")).select("h", "keys")
-    return stored(held.join(kept, "h").select("h", "d", "place", "n", "texts", "keys"))
+    kept = held.where("lead").groupBy("texts", "set0", "set1").agg(F.min("h").alias("h")).select("h")
+    return stored(held.join(kept, "h").select("h", "d", "place", "n"))
 
 
 def sifted(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -419,12 +468,14 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     A 64-bit fingerprint tells such texts apart by some ten bits, out of reach of a search by radius. Candidates are found
     exactly: texts of this similarity share one of their first shingles (a fifth of them) in an order common to all, here
     rarest first, so that a passage of many texts is no key unless a text has little else. Equal texts are one node.
-    Keys travel packed, in buckets of their hashes; keys of one text end there, and those of the same set of texts count
-    as one with their number. A pair is a row only where it shares as many keys as the similarity asks for. First,
-    members of a key with few texts are all paired, those of other keys with the smallest and the largest node of the
-    key alone; then for a few turns the nodes outside the largest part of a key with a few of its members; at last all
-    keys pair the nodes that are not joined by then. So a large group of near copies costs no pair for each two. Rows
-    without id or words take no part.
+    Keys travel packed, in buckets of their hashes; keys of one text end there. Keys with few texts become rows of pairs
+    there, with the number of keys in common; these are summed up, and a pair is compared if the keys are as many as the
+    similarity asks for. Other keys stay rows; one stands for those of the same set of texts. Their pairs,
+    too, are compared only if they share enough keys, counting those of few texts, if there are any, at the most that either text has
+    in common with any other. First, members of such a key are paired with the smallest and the largest node of the key alone;
+    then for a few turns the nodes outside the largest part of a key with a few of its members; at last all of them pair
+    the nodes that are not joined by then. So a large group of near copies costs no pair for each two. Rows without id or
+    words take no part.
     """
     spark = df.sparkSession
     docs = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
@@ -450,11 +501,19 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
                 found, starts = np.unique(bucket[order], return_index=True)
                 yield pd.DataFrame({"bucket": found, "keys": [_packed(keys, x) for x in np.split(order, starts[1:])] if len(found) else []})
 
+    def bucket_rows(pdf: pd.DataFrame) -> pd.DataFrame:
+        held = repeated_keys(pdf)
+        few = held["texts"] <= FEW
+        pairs = paired_keys(held[few], similarity).rename(columns={"a": "h", "b": "d", "w": "place", "needed": "n"})
+        pairs = pairs.assign(texts=0, set0=0, set1=0, lead=False)
+        return pd.concat([pairs, held[~few]])[["h", "d", "place", "n", "texts", "set0", "set1", "lead"]]
+
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            keep = []
-            for x, y in zip(pdf["ta"], pdf["tb"]):
-                s, u = shingles(x), shingles(y)
+            keep, last = [], {}
+            for *d, x, y in zip(pdf["a"], pdf["b"], pdf["ta"], pdf["tb"]):
+                last = {k: last[k] if k in last else shingles(t) for k, t in zip(d, (x, y))}  # a text's pairs follow each other
+                s, u = map(last.get, d)
                 both = len(s & u)
                 keep.append(both > 0 and both >= similarity * (len(s) + len(u) - both))
             yield pdf.loc[keep, ["a", "b"]]
@@ -463,12 +522,17 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     equal = ids.join(nodes, "d").where("node <> id").select(F.col("node").alias("a"), F.col("id").alias("b"))
     cut_up = docs.withColumn("d", F.xxhash64("t")).mapInPandas(cut, "bucket int, keys binary")
     schema = "h long, d long, place int, n int, texts long, set0 long, set1 long, lead boolean"
-    keyed = one_key_per_set(stored(cut_up.groupBy("bucket").applyInPandas(repeated_keys, schema)))
-    few, many = F.col("texts") <= FEW, F.col("texts") > FEW
-    of_text = keyed.groupBy("d").agg(F.array_sort(F.collect_list(F.struct("h", "keys", few.alias("few")))).alias("_k"))
-    arrays = of_text.select("d", F.transform("_k", lambda k: k["h"]).alias("hs"), F.transform("_k", lambda k: k["keys"]).alias("ws"), F.transform(F.filter("_k", lambda k: k["few"]), lambda k: k["h"]).alias("fs"))
-    total = F.aggregate("ws", F.lit(0).cast("long"), lambda a, w: a + w)
-    keyed = stored(keyed.join(arrays.withColumn("total", total), "d"))
+    held = stored(cut_up.groupBy("bucket").applyInPandas(bucket_rows, schema))
+    # rows of no text are pairs: two digests, the keys they share and need; one shared key alone tells nothing of any other pair
+    summed = held.where("texts = 0").groupBy(F.col("h").alias("da"), F.col("d").alias("db")).agg(F.sum("place").alias("w"), F.max("n").alias("needed"))
+    paired = stored(summed.where("w > 1 or w >= needed"))
+    both = paired.select("da", "db", "w").union(paired.select("db", "da", "w")).toDF("d", "other", "few")
+    others = both.groupBy("d").agg(F.max("few").alias("few"), F.collect_list("other").alias("others"))
+    many = held.where("texts > 0")
+    # all keys of a text, by 32 bits, so that their number tells what is shared; twice is the number of keys that this hides
+    arrays = many.groupBy("d").agg(F.collect_set(F.shiftright("h", 32).cast("int")).alias("hs"), F.count("*").alias("keys"))
+    arrays = arrays.join(others, "d", "left").select("d", "hs", (F.col("keys") - F.size("hs")).cast("int").alias("twice"), F.coalesce("few", F.lit(1)).alias("few"), "others")
+    keyed = stored(one_key_per_set(many).join(arrays, "d"))
 
     # what both have left after a common key bounds the common shingles; the bound holds for each common key
     least = similarity * (F.col("x.n") + F.col("y.n")) - 1e-6
@@ -477,34 +541,37 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     # and so do the keys in common with the longer rest behind the keys
     after = F.ceil(similarity * F.greatest("x.n", "y.n") - 1e-9) - 1
     needed = least / (1 + similarity) - after
-    shared = F.array_intersect("x.hs", "y.hs")
-    weight = F.aggregate(shared, F.lit(0).cast("long"), lambda a, h: a + F.element_at("x.ws", F.array_position("x.hs", h).cast("int")))
+    few = F.least("x.few", "y.few")
+    shared = F.size(F.array_intersect("x.hs", "y.hs")) + F.least("x.twice", "y.twice")
+    enough = (shared + few >= needed) & ((shared + 1 >= needed) | F.array_contains("x.others", F.col("y.d")))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """(a, b) of the pairs (da, db) that are similar enough, by digest; only one text of each digest is read."""
         wanted = stored(pairs.select(F.explode(F.array("da", "db")).alias("d")).distinct().join(nodes, "d").withColumnRenamed("node", "id"))
-        texts = sifted(docs, wanted).join(wanted, "id").where(F.xxhash64("t") == F.col("d")).groupBy("d").agg(F.first("t").alias("t"))
+        w, x = wanted.alias("w"), sifted(docs, wanted).withColumn("d", F.xxhash64("t")).alias("x")
+        # dealt by digest alone, as the texts are needed after; so the id is no key of the join
+        texts = x.join(w, (F.col("x.d") == F.col("w.d")) & (F.col("x.id").bitwiseXOR(F.col("w.id")) == 0)).groupBy("x.d").agg(F.first("t").alias("t"))
         a, b = texts.select(F.col("d").alias("da"), F.col("t").alias("ta")), texts.select(F.col("d").alias("db"), F.col("t").alias("tb"))
         both = pairs.join(a, "da").join(b, "db").select(F.col("da").alias("a"), F.col("db").alias("b"), "ta", "tb")
         return stored(both.mapInPandas(check, "a long, b long"))
 
     def self_join(left: DataFrame, right: DataFrame, when: Column) -> DataFrame:
         """(da, db) of rows of one key that share as many keys as they need."""
-        both = left.alias("x").join(right.alias("y"), (F.col("x.h") == F.col("y.h")) & fits & (F.least("x.total", "y.total") >= needed) & when & (weight >= needed))
+        both = left.alias("x").join(right.alias("y"), (F.col("x.h") == F.col("y.h")) & fits & when & enough)
         return both.select(F.least("x.d", "y.d").alias("da"), F.greatest("x.d", "y.d").alias("db"))
 
-    place = F.struct("d", "place", "n", "total", "hs", "ws")
-    ends_ = keyed.where(many).groupBy("h").agg(F.min(place).alias("low"), F.max(place).alias("high")).select("h", F.explode(F.array("low", "high")).alias("e")).select("h", "e.*")
-    # a pair of keys of few texts comes from the first of them; keys of many texts are paired in part here: this only
-    # joins most of a large group, what it leaves out is found below
-    first_few = (F.col("x.d") < F.col("y.d")) & (F.array_min(F.array_intersect("x.fs", "y.fs")) == F.col("x.h"))
-    pairs = stored(self_join(keyed.where(few), keyed.where(few), first_few).union(self_join(keyed.where(many), ends_, F.col("x.d") != F.col("y.d"))).distinct())
+    row = ("place", "n", "hs", "twice", "few", "others")
+    place = F.struct("d", *row)
+    ends_ = keyed.groupBy("h").agg(F.min(F.struct("d", "place", "n")).alias("low"), F.max(F.struct("d", "place", "n")).alias("high")).select("h", F.explode(F.array("low", "high")).alias("e")).select("h", "e.*")
+    ends_ = ends_.join(keyed.select("h", "d", *row[2:]), ["h", "d"])
+    # keys of many texts are paired in part here: this only joins most of a large group, what it leaves out is found below
+    pairs = stored(paired.where("w >= needed").select("da", "db").union(self_join(keyed, ends_, F.col("x.d") != F.col("y.d"))).distinct())
     found = verified(pairs)
 
     def mixed_keys(links: DataFrame) -> DataFrame:
-        """Members of the keys whose texts are not all joined by ``links``, with their root; keys of few texts have been paired."""
+        """Members of the keys of many texts that are not all joined by ``links``, with their root."""
         root = components(links)
-        placed = stored(keyed.where(many).join(root, keyed["d"] == root["node"], "left").select("h", "d", "place", "n", "total", "hs", "ws", F.coalesce("root", "d").alias("root")))
+        placed = stored(keyed.join(root, keyed["d"] == root["node"], "left").select("h", "d", *row, F.coalesce("root", "d").alias("root")))
         mixed = placed.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h")
         return stored(placed.join(mixed, "h", "left_semi"))
 
@@ -526,7 +593,7 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         left, most = rest.agg(F.count("*")).first()[0], rest.groupBy("h").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
         if left > GROW_LEFT * before:
             break
-    # the rest: each pair comes from its first key of many texts alone. What is joined shares no mixed key with what is not, so
+    # the rest: each pair comes from its first key of many texts alone, also if it shares keys of few texts but not enough. What is joined shares no mixed key with what is not, so
     # the first of their common keys that is mixed is one that both have here
     mixed = rest.groupBy("d").agg(F.sort_array(F.collect_list("h")).alias("ms"))
     rest = stored(rest.join(mixed, "d"))

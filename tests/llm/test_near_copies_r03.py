@@ -78,3 +78,42 @@ def test_marks_behind_a_word_are_pieces_of_their_own():
     encoder.words._encoded = lambda piece: (calls.append(piece), whole(piece))[1]
     assert encoder.encode(text) == whole(text)
     assert len(calls) <= 8
+
+
+def test_words_are_cut_at_once_as_one_by_one():
+    """Each word was a Python object: half of the time of the fingerprints and the shingles."""
+    rnd = random.Random(5)
+    texts = [b"", b" ", b"\n A", b"b\x0b\x0cC \x1c\x08", "\u00c4 \u0085x".encode()] + [bytes(rnd.choices(b"aB\xc3 \n\t\r", k=rnd.randrange(50))) for _ in range(300)]
+    words = simhash.Words.of(texts)
+    want = [t.lower().split() for t in texts]
+    assert words.many.tolist() == [len(x) for x in want]
+    assert [words.data[a:b] for a, b in zip(words.begins, words.stops)] == [w for x in want for w in x]
+    assert words.data == b"".join(w + b" " for x in want for w in x)
+    assert simhash.Words.of([]).many.tolist() == [] and list(simhash.word_blocks([])) == []
+
+
+def test_pairs_of_a_bucket_are_rows_of_their_keys():
+    """Each row of a key carried all keys of its text, so the shuffles grew faster than the input."""
+    rows = [(h, d, place, 20, texts) for h, texts, ds in ((1, 3, (4, 5, 6)), (2, 2, (4, 5)), (3, 2, (5, 6))) for place, d in enumerate(ds)]
+    rows += [(9, 4, 0, 20, 2), (9, 7, 0, 90, 2)]  # too different in size
+    got = simhash.paired_keys(pd.DataFrame(rows, columns=["h", "d", "place", "n", "texts"]))
+    assert got[["a", "b", "w"]].values.tolist() == [[4, 5, 2], [4, 6, 1], [5, 6, 2]]
+    assert got["needed"].tolist() == [int(np.ceil((0.8 * 40 - 1e-6) / 1.8 - 15))] * 3
+    assert simhash.paired_keys(pd.DataFrame(rows[:0], columns=["h", "d", "place", "n", "texts"])).empty
+
+
+def test_pairs_with_keys_of_few_and_of_many_texts_are_found(spark, docs_of):
+    """Some keys that a pair shares are held by few texts, some by many; only together they are as many as it needs."""
+    rnd = random.Random(7)
+    passage = [f"p{k}" for k in range(60)]
+    rows = [(i, " ".join([*passage, *(f"r{i}x{k}" for k in range(60))])) for i in range(simhash.FEW + 10)]
+    for i in range(6):  # half of the text is a passage of many, the other half is shared with one text, with an edit
+        own = [f"o{i}x{k}" for k in range(60)]
+        edited = [*own[:30], f"e{i}", *own[31:]]
+        rows += [(100 + 2 * i, " ".join([*passage, *own])), (101 + 2 * i, " ".join([*passage, *edited]))]
+    rnd.shuffle(rows)
+    near = common.components(simhash.near_copies(docs_of(rows)))
+    sets = {i: simhash.shingles(t) for i, t in rows}
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert want == {(100 + 2 * i, 101 + 2 * i) for i in range(6)}
+    assert {(r["root"], r["node"]) for r in near.collect() if r["root"] != r["node"]} == want
