@@ -149,9 +149,10 @@ def grouped(docs: DataFrame) -> DataFrame:
     """:func:`measured`, with the near-copy group of ``docs`` in place of the digest for rows with an id; a text is read once for
     its words and its fingerprint."""
     whole = F.col("doc_id").cast("long")
-    sized = docs.select("doc_id", "source", whole.alias("_key"), F.when(whole.isNull(), _digest()).alias("g"), profile(F.col("text")).alias("_p"))
-    sized = stored(sized.select("doc_id", "source", "_key", "g", "_p.fp", F.col("_p.words").alias("n")))
-    groups = copy_groups(docs, fps=sized.select(F.col("_key").alias("id"), "fp")).select(F.col("id").alias("_id"), F.col("group").alias("_group"))
+    sized = docs.select("doc_id", "source", whole.alias("_key"), F.when(whole.isNull(), _digest()).alias("g"), F.xxhash64("text").alias("_d"), profile(F.col("text")).alias("_p"))
+    sized = stored(sized.select("doc_id", "source", "_key", "g", "_d", "_p.fp", F.col("_p.words").alias("n")))
+    ids = sized.where("_key is not null and n > 0").select(F.col("_key").alias("id"), F.col("_d").alias("d"))
+    groups = copy_groups(docs, fps=sized.select(F.col("_key").alias("id"), "fp"), ids=ids).select(F.col("id").alias("_id"), F.col("group").alias("_group"))
     return sized.join(groups, F.col("_key") == F.col("_id"), "left").select("doc_id", "source", "n", F.coalesce(F.col("_group").cast("string"), "g").alias("g"))
 
 

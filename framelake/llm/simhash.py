@@ -296,6 +296,10 @@ SAMPLE_TEXTS = 5_000
 MOST_COMMON = 300_000
 #: Longs of the bitmap that tells which texts are read again.
 SIFT_WORDS = 1 << 18
+#: Bits of a hash that tell most of those that are not common.
+SEEN_BITS = 22
+#: Bits, a multiple of 64, that tell for each text which parts of all hashes hold an odd number of its shingles.
+SIGN_BITS = 512
 #: Texts whose keys make one bucket on average, so some ten MB; a bucket is searched for keys of several texts at once.
 BUCKET_TEXTS = 5_000
 
@@ -311,11 +315,30 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
 
 
+#: Masks of the first 0 to 8 bytes of a long.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+
+
+def word_hashes(words: Words) -> np.ndarray:
+    """A hash (unsigned) of each word, made of its bytes by eights; long words are few and hashed one by one."""
+    padded = np.frombuffer(words.data + bytes(8), np.uint8)
+    eight = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))
+    sizes = words.stops - words.begins
+    h = sizes.astype(np.uint64) * _P1 ^ (eight[words.begins] & _FIRST[np.minimum(sizes, 8)]) * _P2
+    h = _rotl(h, 31) * _P1
+    for lane in (8, 16, 24):
+        i = np.flatnonzero(sizes > lane)
+        h[i] = _rotl(h[i] ^ (eight[words.begins[i] + lane] & _FIRST[np.minimum(sizes[i] - lane, 8)]) * _P2, 31) * _P1
+    for i in np.flatnonzero(sizes > 32):
+        h[i] = xxhash.xxh64_intdigest(words.data[words.begins[i] : words.stops[i]], 7)
+    return h
+
+
 def shingle_sets(texts: Words | list[list[bytes]], n_words: int = SHINGLE_WORDS) -> list[np.ndarray]:
     """Sorted distinct hashes of the :func:`shingles` of texts given by their words, each made of the hashes of its words."""
     words = texts if isinstance(texts, Words) else Words.of([b" ".join(x) for x in texts])
     first, last, owner = words.spans(n_words)
-    of_word = xxh64(words.data, words.begins, words.stops - words.begins, 7)
+    of_word = word_hashes(words)
     total = np.zeros(len(first), dtype=np.uint64)
     for i in range(n_words):
         at = first + i
@@ -339,16 +362,36 @@ def prefix(hashes: np.ndarray, common: np.ndarray, ranks: np.ndarray, similarity
 
     Sets of this similarity have one of these in common, whatever the order is, as long as all texts share it.
     """
-    size = len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1
+    return prefixes([hashes], common, ranks, similarity)[0]
+
+
+def prefixes(sets: list[np.ndarray], common: np.ndarray, ranks: np.ndarray, similarity: float = SIMILARITY) -> list[np.ndarray]:
+    """The :func:`prefix` of each text."""
+    sizes = np.array([len(x) - int(np.ceil(similarity * len(x) - 1e-9)) + 1 if len(x) else 0 for x in sets], dtype=np.int64)
     if not len(common):
-        return hashes[:size]
-    at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
-    known = common[at] == hashes
-    rare = hashes[~known][:size]
-    if len(rare) == size:
-        return rare
-    rest = hashes[known]
-    return np.concatenate([rare, rest[np.lexsort((rest, ranks[at[known]]))[: size - len(rare)]]])
+        return [x[:size] for x, size in zip(sets, sizes)]
+    flat = np.concatenate([np.zeros(0, np.int64), *sets])
+    length = np.array([len(x) for x in sets], dtype=np.int64)
+    ends, owner = np.cumsum(length), np.repeat(np.arange(len(sets)), length)
+    # the first bits of a hash tell most of those that are not common
+    begins = np.zeros(1 << SEEN_BITS, dtype=bool)
+    begins[common.view(np.uint64) >> np.uint64(64 - SEEN_BITS)] = True
+    known = np.flatnonzero(begins[flat.view(np.uint64) >> np.uint64(64 - SEEN_BITS)])
+    at = np.minimum(np.searchsorted(common, flat[known]), len(common) - 1)
+    same = common[at] == flat[known]
+    known, at = known[same], at[same]
+    rare = np.ones(len(flat), dtype=bool)
+    rare[known] = False
+    many = np.bincount(owner[rare], minlength=len(sets))
+    before = np.cumsum(rare)  # of all texts, this one included
+    rare &= before - (np.cumsum(many) - many)[owner] <= sizes[owner]
+    out = np.split(flat[rare], np.cumsum(np.minimum(many, sizes))[:-1])
+    cuts = np.searchsorted(known, np.append(0, ends))
+    for i in np.flatnonzero(many < sizes):
+        rest = slice(cuts[i], cuts[i + 1])
+        h = flat[known[rest]]
+        out[i] = np.concatenate([out[i], h[np.lexsort((h, ranks[at[rest]]))[: sizes[i] - many[i]]]])
+    return out
 
 
 def _common_shingles(docs: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
@@ -388,6 +431,17 @@ def _unpacked(blobs: list[bytes]) -> dict[str, np.ndarray]:
     return {c: np.concatenate(parts) for c, parts in out.items()}
 
 
+def signs(sets: list[np.ndarray]) -> np.ndarray:
+    """``SIGN_BITS`` bits (int64) of each set of hashes: whether the hashes of a part are odd in number.
+
+    A hash that only one of two sets holds turns one bit, so sets differ in as many hashes as their bits differ in, or more.
+    """
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    part = np.concatenate([np.zeros(0, np.int64), *sets]).view(np.uint64) % np.uint64(SIGN_BITS)
+    odd = np.bincount(owner * SIGN_BITS + part.astype(np.int64), minlength=len(sets) * SIGN_BITS) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(-1, SIGN_BITS), axis=1, bitorder="little").view("<i8")
+
+
 def repeated_keys(pdf: pd.DataFrame) -> pd.DataFrame:
     """Rows (h, d, place, n, texts, set0, set1, lead) of the keys of a bucket (``pdf``: keys, binary) that several texts hold.
 
@@ -461,7 +515,7 @@ def sifted(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.withColumn("_word", word).join(F.broadcast(bits), "_word").where(F.col("_bits").bitwiseAND(bit) != 0).drop("_word", "_bits")
 
 
-def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, ids: DataFrame | None = None) -> DataFrame:
     """(a, b): verified links that join the same texts as all pairs whose sets of five-word shingles have a similarity of
     ``similarity`` or more.
 
@@ -472,14 +526,15 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     there, with the number of keys in common; these are summed up, and a pair is compared if the keys are as many as the
     similarity asks for. Other keys stay rows; one stands for those of the same set of texts. Their pairs,
     too, are compared only if they share enough keys, counting those of few texts, if there are any, at the most that either text has
-    in common with any other. First, members of such a key are paired with the smallest and the largest node of the key alone;
+    in common with any other, and if the :func:`signs` of their whole texts are near enough, which few others are. First, members of such a key are paired with the smallest and the largest node of the key alone;
     then for a few turns the nodes outside the largest part of a key with a few of its members; at last all of them pair
     the nodes that are not joined by then. So a large group of near copies costs no pair for each two. Rows without id or
-    words take no part.
+    words take no part. ``ids`` (id, d) are the ids of the others with xxhash64 of their texts, where they are known.
     """
     spark = df.sparkSession
     docs = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    ids = stored(docs.where(F.col("t").rlike(r"[^\x20\x09-\x0D]")).select("id", F.xxhash64("t").alias("d")))
+    if ids is None:
+        ids = stored(docs.where(F.col("t").rlike(r"[^\x20\x09-\x0D]")).select("id", F.xxhash64("t").alias("d")))
     n_docs = ids.count()
     common, ranks = map(spark.sparkContext.broadcast, _common_shingles(docs, n_docs))
     buckets = max(1, -(-n_docs // BUCKET_TEXTS))
@@ -490,7 +545,7 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
             for at in range(0, len(pdf), 4096):
                 part = pdf.iloc[at : at + 4096]
                 sets = shingle_hashes(part["t"])
-                held = [prefix(s, common.value, ranks.value, similarity) if len(s) else s for s in sets]
+                held = prefixes(sets, common.value, ranks.value, similarity)
                 many = [len(k) for k in held]
                 keys = {
                     "h": np.concatenate(held), "d": np.repeat(part["d"].to_numpy(np.int64), many),
@@ -499,14 +554,25 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
                 bucket = (_mixed(keys["h"].view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
                 order = np.argsort(bucket, kind="stable")
                 found, starts = np.unique(bucket[order], return_index=True)
-                yield pd.DataFrame({"bucket": found, "keys": [_packed(keys, x) for x in np.split(order, starts[1:])] if len(found) else []})
+                yield pd.DataFrame({"bucket": found, "keys": [_packed(keys, x) for x in np.split(order, starts[1:])] if len(found) else [], "signs": None})
+                # texts with a common key are those that may have one of many texts; without a sign nothing is left out
+                some = [i for i, k in enumerate(held) if len(k) and len(common.value) and k[-1] == common.value[min(np.searchsorted(common.value, k[-1]), len(common.value) - 1)]]
+                if some:
+                    digests = part["d"].to_numpy(np.int64)[some]
+                    rows = np.column_stack([digests, signs([sets[i] for i in some])])
+                    at_ = (_mixed(digests.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+                    found = np.unique(at_)
+                    yield pd.DataFrame({"bucket": found, "keys": b"", "signs": [rows[at_ == x].tobytes() for x in found]})
 
     def bucket_rows(pdf: pd.DataFrame) -> pd.DataFrame:
         held = repeated_keys(pdf)
         few = held["texts"] <= FEW
         pairs = paired_keys(held[few], similarity).rename(columns={"a": "h", "b": "d", "w": "place", "needed": "n"})
         pairs = pairs.assign(texts=0, set0=0, set1=0, lead=False)
-        return pd.concat([pairs, held[~few]])[["h", "d", "place", "n", "texts", "set0", "set1", "lead"]]
+        rows = np.frombuffer(b"".join(pdf["signs"].dropna()), np.int64).reshape(-1, 1 + SIGN_BITS // 64)
+        rows = rows[np.unique(rows[:, 0], return_index=True)[1]]
+        signed = pd.DataFrame({"h": 0, "d": rows[:, 0], "place": 0, "n": 0, "texts": -1, "set0": 0, "set1": 0, "lead": False, "signs": [*rows[:, 1:]]})
+        return pd.concat([x.assign(signs=x["signs"] if "signs" in x else [None] * len(x))[signed.columns] for x in (pairs, held[~few], signed) if len(x) or x is pairs])
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -520,10 +586,10 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     nodes = stored(ids.groupBy("d").agg(F.min("id").alias("node")))
     equal = ids.join(nodes, "d").where("node <> id").select(F.col("node").alias("a"), F.col("id").alias("b"))
-    cut_up = docs.withColumn("d", F.xxhash64("t")).mapInPandas(cut, "bucket int, keys binary")
-    schema = "h long, d long, place int, n int, texts long, set0 long, set1 long, lead boolean"
+    cut_up = docs.withColumn("d", F.xxhash64("t")).mapInPandas(cut, "bucket int, keys binary, signs binary")
+    schema = "h long, d long, place int, n int, texts long, set0 long, set1 long, lead boolean, signs array<long>"
     held = stored(cut_up.groupBy("bucket").applyInPandas(bucket_rows, schema))
-    # rows of no text are pairs: two digests, the keys they share and need; one shared key alone tells nothing of any other pair
+    # rows of -1 texts are signs; rows of no text are pairs: two digests, the keys they share and need; one shared key alone tells nothing of any other pair
     summed = held.where("texts = 0").groupBy(F.col("h").alias("da"), F.col("d").alias("db")).agg(F.sum("place").alias("w"), F.max("n").alias("needed"))
     paired = stored(summed.where("w > 1 or w >= needed"))
     both = paired.select("da", "db", "w").union(paired.select("db", "da", "w")).toDF("d", "other", "few")
@@ -532,18 +598,23 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     # all keys of a text, by 32 bits, so that their number tells what is shared; twice is the number of keys that this hides
     arrays = many.groupBy("d").agg(F.collect_set(F.shiftright("h", 32).cast("int")).alias("hs"), F.count("*").alias("keys"))
     arrays = arrays.join(others, "d", "left").select("d", "hs", (F.col("keys") - F.size("hs")).cast("int").alias("twice"), F.coalesce("few", F.lit(1)).alias("few"), "others")
+    sign = F.struct(*[F.col("signs")[i].alias(f"s{i}") for i in range(SIGN_BITS // 64)]).alias("sign")
+    arrays = arrays.join(held.where("texts = -1").select("d", sign), "d", "left")
     keyed = stored(one_key_per_set(many).join(arrays, "d"))
 
     # what both have left after a common key bounds the common shingles; the bound holds for each common key
     least = similarity * (F.col("x.n") + F.col("y.n")) - 1e-6
     bound = F.least("x.place", "y.place") + F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
     fits = bound * (1 + similarity) >= least
+    # so do the signs, as they show no more shingles apart than there are
+    differ = sum((F.bit_count(F.col(f"x.sign.s{i}").bitwiseXOR(F.col(f"y.sign.s{i}"))) for i in range(SIGN_BITS // 64)), F.lit(0))
+    near = F.coalesce(F.col("x.n") + F.col("y.n") - differ, F.col("x.n") + F.col("y.n")) * (1 + similarity) >= 2 * least
     # and so do the keys in common with the longer rest behind the keys
     after = F.ceil(similarity * F.greatest("x.n", "y.n") - 1e-9) - 1
     needed = least / (1 + similarity) - after
     few = F.least("x.few", "y.few")
     shared = F.size(F.array_intersect("x.hs", "y.hs")) + F.least("x.twice", "y.twice")
-    enough = (shared + few >= needed) & ((shared + 1 >= needed) | F.array_contains("x.others", F.col("y.d")))
+    enough = near & (shared + few >= needed) & ((shared + 1 >= needed) | F.array_contains("x.others", F.col("y.d")))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """(a, b) of the pairs (da, db) that are similar enough, by digest; only one text of each digest is read."""
@@ -555,15 +626,19 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         both = pairs.join(a, "da").join(b, "db").select(F.col("da").alias("a"), F.col("db").alias("b"), "ta", "tb")
         return stored(both.mapInPandas(check, "a long, b long"))
 
-    def self_join(left: DataFrame, right: DataFrame, when: Column) -> DataFrame:
+    def self_join(left: DataFrame, right: DataFrame, when: Column, last: Column = F.lit(True)) -> DataFrame:
         """(da, db) of rows of one key that share as many keys as they need."""
-        both = left.alias("x").join(right.alias("y"), (F.col("x.h") == F.col("y.h")) & fits & when & enough)
+        both = left.alias("x").join(right.alias("y"), (F.col("x.h") == F.col("y.h")) & when & fits & enough & last)
         return both.select(F.least("x.d", "y.d").alias("da"), F.greatest("x.d", "y.d").alias("db"))
 
-    row = ("place", "n", "hs", "twice", "few", "others")
-    place = F.struct("d", *row)
+    def rows_of(rows: DataFrame, some: DataFrame) -> DataFrame:
+        """The rows with a key and digest of ``some`` (h, d); dealt by key alone, as the join of a key's rows needs them."""
+        x, y = rows.alias("x"), some.alias("y")
+        return x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.d").bitwiseXOR(F.col("y.d")) == 0)).select("x.*")
+
+    row = ("place", "n", "hs", "twice", "few", "others", "sign")
     ends_ = keyed.groupBy("h").agg(F.min(F.struct("d", "place", "n")).alias("low"), F.max(F.struct("d", "place", "n")).alias("high")).select("h", F.explode(F.array("low", "high")).alias("e")).select("h", "e.*")
-    ends_ = ends_.join(keyed.select("h", "d", *row[2:]), ["h", "d"])
+    ends_ = rows_of(keyed, ends_.select("h", "d"))
     # keys of many texts are paired in part here: this only joins most of a large group, what it leaves out is found below
     pairs = stored(paired.where("w >= needed").select("da", "db").union(self_join(keyed, ends_, F.col("x.d") != F.col("y.d"))).distinct())
     found = verified(pairs)
@@ -575,6 +650,11 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         mixed = placed.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h")
         return stored(placed.join(mixed, "h", "left_semi"))
 
+    def largest_parts(rows: DataFrame) -> DataFrame:
+        """(h, root): the part with the most members of each key."""
+        sizes = rows.groupBy("h", "root").agg(F.count("*").alias("members"))
+        return sizes.groupBy("h").agg(F.max(F.struct("members", "root")).alias("p")).select("h", F.col("p.root").alias("root"))
+
     # large groups grow around their largest part: each text outside it meets a few of its members, chosen by hashes so that
     # they are the same for most keys
     rest = mixed_keys(found)
@@ -582,10 +662,11 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     for turn in range(GROW_ROUNDS):
         if most < GROW_FROM:
             break
-        chosen = [F.min_by(place, F.xxhash64(F.lit(turn * GROW_MEMBERS + i), F.col("d"))) for i in range(GROW_MEMBERS)]
-        parts = rest.groupBy("h", "root").agg(F.count("*").alias("members"), F.array_distinct(F.array(*chosen)).alias("some"))
-        largest = parts.groupBy("h").agg(F.max(F.struct("members", "root", "some")).alias("p"))
-        members = largest.select("h", F.col("p.root").alias("root"), F.explode("p.some").alias("e")).select("h", "root", "e.*")
+        # by digest alone, which is hashed on the way; whole rows would be sorted
+        chosen = [F.min_by("d", F.xxhash64(F.lit(turn * GROW_MEMBERS + i), F.col("d"))) for i in range(GROW_MEMBERS)]
+        largest = rest.join(largest_parts(rest), ["h", "root"], "left_semi").groupBy("h").agg(*[c.alias(f"d{i}") for i, c in enumerate(chosen)])
+        some = largest.select("h", F.explode(F.array_distinct(F.array(*[f"d{i}" for i in range(GROW_MEMBERS)]))).alias("d"))
+        members = rows_of(rest, some)
         more = self_join(rest, members, F.col("x.root") != F.col("y.root")).distinct()
         more = stored(more.join(pairs, ["da", "db"], "left_anti"))
         pairs, found = pairs.union(more), stored(found.union(verified(more)))
@@ -597,21 +678,21 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     # the first of their common keys that is mixed is one that both have here
     mixed = rest.groupBy("d").agg(F.sort_array(F.collect_list("h")).alias("ms"))
     rest = stored(rest.join(mixed, "d"))
-    apart = (F.col("x.d") < F.col("y.d")) & (F.col("x.root") != F.col("y.root")) & (F.array_min(F.array_intersect("x.ms", "y.ms")) == F.col("x.h"))
-    more = self_join(rest, rest, apart)
+    apart = (F.col("x.d") < F.col("y.d")) & (F.col("x.root") != F.col("y.root"))
+    more = self_join(rest, rest, apart, F.array_min(F.array_intersect("x.ms", "y.ms")) == F.col("x.h"))
     found = found.union(verified(stored(more.join(pairs, ["da", "db"], "left_anti"))))
     a, b = nodes.select(F.col("d").alias("a"), F.col("node").alias("na")), nodes.select(F.col("d").alias("b"), F.col("node").alias("nb"))
     return found.join(a, "a").join(b, "b").where("na <> nb").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).union(equal)
 
 
-def copy_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fps: DataFrame | None = None) -> DataFrame:
+def copy_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fps: DataFrame | None = None, ids: DataFrame | None = None) -> DataFrame:
     """(id, group): the smallest id that a row is linked to, by fingerprints (as in :func:`near_duplicates`) or as a near copy.
 
-    ``fps`` (id, fp) are the fingerprints of the rows, where they are known.
+    ``fps`` (id, fp) are the fingerprints of the rows, where they are known; ``ids`` as in :func:`near_copies`.
     """
     same = linked(stored(fingerprints(df, id_col, text_col)) if fps is None else fps)
     same = stored(same.where("id is not null").select("id", "component_id").distinct())
-    near = near_copies(df, id_col, text_col)
+    near = near_copies(df, id_col, text_col, ids=ids)
     root = components(near.union(same.where("id <> component_id").select(F.col("component_id").alias("a"), F.col("id").alias("b"))))
     return same.select("id").distinct().join(root, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("group"))
 

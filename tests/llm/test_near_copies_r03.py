@@ -117,3 +117,50 @@ def test_pairs_with_keys_of_few_and_of_many_texts_are_found(spark, docs_of):
     want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
     assert want == {(100 + 2 * i, 101 + 2 * i) for i in range(6)}
     assert {(r["root"], r["node"]) for r in near.collect() if r["root"] != r["node"]} == want
+
+
+def test_signs_differ_in_no_more_bits_than_sets_in_hashes():
+    rnd = np.random.default_rng(3)
+    sets = [np.unique(rnd.integers(-(1 << 63), 1 << 63, n)) for n in (0, 1, 200, 5000)]
+    sets.append(np.unique(np.concatenate([sets[2][:180], rnd.integers(-(1 << 63), 1 << 63, 20)])))
+    bits = simhash.signs(sets).view(np.uint64)
+    apart = lambda i, j: int(np.bitwise_count(bits[i] ^ bits[j]).sum())
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            assert apart(i, j) <= len(np.setxor1d(x, y))
+    assert apart(2, 4) > 20 and not bits[0].any()
+
+
+def test_prefixes_at_once_as_one_by_one():
+    rnd = np.random.default_rng(4)
+    pool = np.unique(rnd.integers(-(1 << 63), 1 << 63, 4000))
+    common, ranks = pool[::3], rnd.integers(3, 50, len(pool[::3]))
+    sets = [np.sort(rnd.choice(pool[::3] if n % 2 else pool, n, replace=False)) for n in (0, 1, 7, 40, 300, 901, 0)]
+    rank = dict(zip(common.tolist(), ranks.tolist()))
+    for some, got in ((rank, simhash.prefixes(sets, common, ranks)), ({}, simhash.prefixes(sets, common[:0], ranks[:0]))):
+        for x, keys in zip(sets, got):
+            size = len(x) - int(np.ceil(0.8 * len(x) - 1e-9)) + 1 if len(x) else 0
+            assert keys.tolist() == sorted(x.tolist(), key=lambda h: (some.get(h, -1), h))[:size]
+    words = simhash.Words.of([b"x" * 40 + b" ab abc " + b" ".join(b"z" * n for n in range(1, 40)), b"", b"ab"])
+    assert len(set(simhash.word_hashes(words).tolist())) == 42 and simhash.word_hashes(words)[1] == simhash.word_hashes(words)[-1]
+
+
+def test_a_large_group_of_near_copies_is_not_paired_whole(spark, docs_of, monkeypatch):
+    """Texts of one group with some edits each were all compared, although few of them are similar enough."""
+    rnd = random.Random(8)
+    base = [f"b{k}" for k in range(150)]
+    rows = []
+    for i in range(300):
+        words = list(base)
+        for k in rnd.sample(range(150), 1 if i % 2 else 3):
+            words[k] = f"e{i}x{k}"
+        rows.append((i, " ".join(words)))
+    compared = []
+    keep = simhash.stored
+    monkeypatch.setattr(simhash, "stored", lambda d, *a: (lambda r: (compared.append(r.count() if r.columns == ["da", "db"] else 0), r)[1])(keep(d, *a)))
+    near = common.components(simhash.near_copies(docs_of(rows)))
+    sets = [simhash.shingles(t) for _, t in rows]
+    pairs = [(a, b) for a in range(300) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = simhash.components(spark.createDataFrame(pairs, "a BIGINT, b BIGINT"))
+    assert {tuple(r) for r in near.collect()} == {tuple(r) for r in want.collect()}
+    assert sum(compared) < 300 * 30
