@@ -15,6 +15,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 
 from framelake import schemas
 from framelake.functions.bits import byte_at
@@ -172,14 +173,25 @@ def stream_bit_discovery(frames: DataFrame, phases: DataFrame, counts_path: str,
     stored = frames.sparkSession.read.parquet(f"{counts_path}/phases/generation={generation}")
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        piece_bit_counts(batch, stored, bin_us).write.mode("overwrite").parquet(f"{counts_path}/counts/generation={generation}/batch={batch_id}")
+        piece_bit_counts(batch, stored, bin_us).withColumnRenamed("ones", "packed").write.mode("overwrite").parquet(f"{counts_path}/counts/generation={generation}/batch={batch_id}")
 
     return _batches(frames, add, checkpoint, once)
 
 
+def _pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored pieces; batches of the first layout hold their 64 counts as an array, later ones packed."""
+    held = spark.read.parquet(folder).schema
+    for name, kind in ("ones", ArrayType(IntegerType())), ("packed", BinaryType()):
+        if name not in held.names:
+            held = held.add(name, kind)
+    digits = lambda x: F.lpad(F.hex(F.shiftleft(x.bitwiseAND(0xFF), 24) + F.shiftleft(x.bitwiseAND(0xFF00), 8) + F.shiftright(x, 8).bitwiseAND(0xFF00) + F.shiftright(x, 24)), 8, "0")
+    first = F.unhex(F.array_join(F.transform(F.col("ones").cast("array<bigint>"), digits), ""))
+    return spark.read.schema(held).parquet(folder).withColumn("ones", F.coalesce("packed", first)).drop("packed")
+
+
 def discovered_bits(spark: SparkSession, counts_path: str, bin_us: int = CHUNK_US, **limits: float) -> DataFrame:
     """Candidates of all batches so far."""
-    counts = spark.read.parquet(f"{counts_path}/counts")
+    counts = _pieces(spark, f"{counts_path}/counts")
     # a batch that was tried again after a start with other phases counts with these
     counts = counts.join(counts.groupBy("batch").agg(F.max("generation").alias("generation")), ["batch", "generation"], "left_semi")
     used = [r["generation"] for r in counts.select("generation").distinct().collect()]  # one for each change of the phases
